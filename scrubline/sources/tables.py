@@ -86,7 +86,8 @@ def write_clean(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
     """Write the cleaned table in the given format, one file per task and no index column."""
     writer = df.write.mode(mode)
     if fmt.lower() == "csv":
-        writer.csv(path, header=True, quote='"', escape='"')
+        writer.csv(path, header=True, quote='"', escape='"',
+                   ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif fmt.lower() == "parquet":
         writer.parquet(path)
     else:
