@@ -16,52 +16,65 @@ from scrubline.functions.text import squeeze_spaces
 DATE_LOOK = r"^\s*\d{1,4}\s*[-/]\s*[A-Za-z0-9]{1,9}\s*[-/]\s*\d{1,4}\s*$"
 # ---- end of fixed values -------------------------------------------------------------------
 
-MONTH_NAMES = (
-    "january", "february", "march", "april", "may", "june", "july", "august", "september",
-    "october", "november", "december",
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTH_NAME = (
+    r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+    r"(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?\b\.?"
 )
+# What any readable date starts with; everything else is turned away by this one test.
+START = r"(?i)^\s*(?:\d{1,4}\s*[-/.,\sT]|\d{4}\s*$|\d{8}\s*(?:$|[T ])|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b)"
 ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?: \d{1,2}:\d{2}(?::\d{2})?)?$"
 CLOCK = r"[t ](\d{1,2}:\d{2}(?::\d{2})?)(?:\.\d+)?(?: ?([ap]m))?z?$"
-TAIL = r"((?:@.*)?)$"
-MONTH = r"(0?[1-9]|1[0-2])"
+_YEAR, _SHORT_YEAR, _MONTH, _DAY = r"(\d{4})", r"(\d{2})", r"(0?[1-9]|1[0-2])", r"(\d{1,2})"
+_NAMED = r"m(\d{1,2})"
 
-# Rewrites of a date whose separators are "-", month names are "m1".."m12" and whose time, if
-# any, follows an "@". Month first; day first only where the first number can not be a month.
+# Shapes of a date whose separators are "-" (or, between digits, "."), whose month names are "m1"
+# .. "m12" and whose time, if any, follows an "@"; with what each group is. The first match counts:
+# month before day, day before month only where the first number can not be a month.
 SHAPES = (
-    (r"^(\d{4})(\d{2})(\d{2})" + TAIL, "$1-$2-$3$4"),
-    (r"^(\d{4})-m(\d{1,2})-(\d{1,2})" + TAIL, "$1-$2-$3$4"),
-    (r"^(\d{1,2})-m(\d{1,2})-(\d{2,4})" + TAIL, "$2-$1-$3$4"),
-    (r"^m(\d{1,2})-(\d{1,2})-(\d{4})" + TAIL, "$1-$2-$3$4"),
-    (r"^m(\d{1,2})-(\d{4})$", "$2-$1-1"),
-    (r"^" + MONTH + r"-(\d{1,2})-([0-5]\d|6[0-8])" + TAIL, "20$3-$1-$2$4"),
-    (r"^" + MONTH + r"-(\d{1,2})-(\d{2})" + TAIL, "19$3-$1-$2$4"),
-    (r"^(\d{1,2})-" + MONTH + r"-([0-5]\d|6[0-8])" + TAIL, "20$3-$2-$1$4"),
-    (r"^(\d{1,2})-" + MONTH + r"-(\d{2})" + TAIL, "19$3-$2-$1$4"),
-    (r"^" + MONTH + r"-(\d{1,2})-(\d{4})" + TAIL, "$3-$1-$2$4"),
-    (r"^(\d{1,2})-" + MONTH + r"-(\d{4})" + TAIL, "$3-$2-$1$4"),
-    (r"^(\d{4})-(\d{1,2})$", "$1-$2-1"),
-    (r"^(\d{4})$", "$1-1-1"),
+    (rf"{_YEAR}[-.]{_DAY}[-.]{_DAY}", "ymd"),
+    (rf"{_YEAR}(\d\d)(\d\d)", "ymd"),
+    (rf"{_YEAR}-{_NAMED}-{_DAY}", "ymd"),
+    (rf"{_DAY}-{_NAMED}-{_YEAR}", "dmy"),
+    (rf"{_DAY}-{_NAMED}-{_SHORT_YEAR}", "dmy"),
+    (rf"{_NAMED}-{_DAY}-{_YEAR}", "mdy"),
+    (rf"{_NAMED}-{_YEAR}", "my"),
+    (rf"{_MONTH}[-.]{_DAY}[-.]{_YEAR}", "mdy"),
+    (rf"{_DAY}[-.]{_MONTH}[-.]{_YEAR}", "dmy"),
+    (rf"{_MONTH}[-.]{_DAY}[-.]{_SHORT_YEAR}", "mdy"),
+    (rf"{_DAY}[-.]{_MONTH}[-.]{_SHORT_YEAR}", "dmy"),
+    (rf"{_YEAR}-{_DAY}", "ym"),
+    (_YEAR, "y"),
 )
 
 
-def _months_numbered(text: Column) -> Column:
-    for i, name in enumerate(MONTH_NAMES):
-        short, rest = name[:3], name[3:]
-        optional = f"(?:{rest}|t)?" if name == "september" else f"(?:{rest})?" if rest else ""
-        text = F.regexp_replace(text, rf"\b{short}{optional}\b\.?", f"m{i + 1}")
-    return text
+def _one_pattern() -> tuple[str, str]:
+    """All shapes as alternatives of one pattern. Groups of the shapes that did not match are
+    empty, so writing all year groups, all month groups and all day groups gives y-m-d.
+    """
+    groups: dict[str, list[int]] = {"y": [], "m": [], "d": []}
+    for part in "".join(parts for _, parts in SHAPES):
+        groups[part].append(sum(map(len, groups.values())) + 1)
+    ordered = ["".join(f"${g}" for g in groups[part]) for part in "ymd"]
+    return "^(?:" + "|".join(shape for shape, _ in SHAPES) + ")(?=@|$)", "-".join(ordered)
 
 
 def _iso_text(c: Column) -> Column:
     text = F.lower(squeeze_spaces(c))
-    text = F.when(c.rlike("[A-Za-z]{3}"), _months_numbered(text)).otherwise(text)
+    name = F.regexp_extract(F.lower(c), MONTH_NAME, 1)
+    number = (F.instr(F.lit(MONTHS), name) + 2) / 3
+    text = F.when(
+        c.rlike("[A-Za-z]{3}"),
+        F.regexp_replace(text, F.lit(MONTH_NAME), F.concat(F.lit("m"), number.cast("int").cast("string"))),
+    ).otherwise(text)
     # 12 am / 12 pm count from zero; the afternoon is added after the cast.
     text = F.regexp_replace(text, r"([t ])12(:\d{2}(?::\d{2})?) ?([ap]m)$", "$10$2$3")
     text = F.regexp_replace(text, CLOCK, "@$1$2")
-    text = F.regexp_replace(text, r"^(\d{1,4})\.(\d{1,2})\.(\d{1,4})(?=@|$)", "$1-$2-$3")
     text = F.regexp_replace(text, r"[\s,/-]+", "-")
-    for pattern, order in SHAPES:
-        text = F.regexp_replace(text, pattern, order)
+    text = F.regexp_replace(text, *_one_pattern())
+    text = F.regexp_replace(text, r"^([0-5]\d|6[0-8])-", "20$1-")
+    text = F.regexp_replace(text, r"^(\d\d)-", "19$1-")
+    text = F.regexp_replace(text, r"-(?=[-@]|$)", "-1")  # absent month or day
     text = F.regexp_replace(text, r"@((?:0?\d|1[01]):.*)[ap]m$", "@$1")
     return F.replace(text, F.lit("@"), F.lit(" "))
 
@@ -69,7 +82,7 @@ def _iso_text(c: Column) -> Column:
 def parse_datetime(c: Column) -> Column:
     """The moment written in ``c`` (``timestamp_ntz``), NULL when unreadable."""
     iso = F.regexp_extract(_iso_text(c), ISO, 0)  # empty, hence NULL, for any other text
-    moment = F.when(c.rlike(r"\d"), iso.try_cast("timestamp_ntz"))
+    moment = F.when(c.rlike(START) & c.rlike(r"\d{2}"), iso.try_cast("timestamp_ntz"))
     afternoon = F.when(c.rlike(r"(?i)\dpm\s*$|\d pm\s*$"), F.expr("interval 12 hours"))
     return F.when(
         c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("timestamp_ntz")

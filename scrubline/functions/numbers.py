@@ -49,11 +49,11 @@ def parse_numeric(
     amount = F.when(digits.rlike(PLAIN_NUMBER), digits.try_cast("double"))
     if convert_currency:
         amount = amount * F.coalesce(currency_rate(amount_text, rates), F.lit(1.0))
-    # Values that are bare numbers already skip the pattern work.
+    # Bare numbers, and text without any digit, skip the pattern work.
     return (
         F.when(c.rlike(PLAIN_NUMBER), c.try_cast("double"))
-        .when(text.isin(*vocab.NUMBER_WORDS), word_number(text))
-        .otherwise(amount)
+        .when(c.rlike(r"\d"), amount)
+        .otherwise(word_number(text))
     )
 
 

@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from scrubline.functions import vocab
 
 
+# Unicode white space, by code point.
+WHITESPACE = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+    0x202F, 0x205F, 0x3000,
+)))
+
+
 def squeeze_spaces(c: Column) -> Column:
     """Collapse every run of (Unicode) whitespace to one space and strip both ends."""
     return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "), F.lit(" "))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def trimmed(c: Column) -> Column:

@@ -25,7 +25,7 @@ def is_gender_name(name: str) -> bool:
     return "gender" in name.lower() or name.lower() == "sex"
 
 
-def _test(kind: str, name: str, c: Column) -> Column | None:
+def _test(kind: str, name: str, c: Column, moment: Column | None) -> Column | None:
     """The count behind one detector, or None where the column name rules it out."""
     if kind == "numeric":
         if not has_hint(name, vocab.IDENTIFIER_HINTS):
@@ -37,9 +37,9 @@ def _test(kind: str, name: str, c: Column) -> Column | None:
     elif kind == "date_look":
         return F.count_if(looks_like_date(c))
     elif kind == "date":
-        return F.count(parse_datetime(c))
+        return F.count(moment)
     elif kind == "time":
-        return F.count_if(has_time_of_day(parse_datetime(c)))
+        return F.count_if(has_time_of_day(moment))
     elif kind == "boolean":
         if not is_gender_name(name):
             return F.count_if(is_boolean_word(c))
@@ -54,12 +54,13 @@ def _test(kind: str, name: str, c: Column) -> Column | None:
 class Shares:
     """Counts per (column, test), with ``share`` relative to the non-NULL values."""
 
-    def __init__(self, df: DataFrame, kinds: Iterable[str], cols: Iterable[str] | None = None):
+    def __init__(self, df: DataFrame, kinds: list[str], cols: Iterable[str] | None = None):
         self.columns = [c for c in text_columns(df) if cols is None or c in set(cols)]
         aggs = {(c, "values"): F.count(col(c)) for c in self.columns}
         for c in self.columns:
+            moment = parse_datetime(col(c)) if {"date", "time"} & set(kinds) else None
             for kind in kinds:
-                test = _test(kind, c, col(c))
+                test = _test(kind, c, col(c), moment)
                 if test is not None:
                     aggs[c, kind] = test
         self.counts = agg_row(df, aggs) if aggs else {}

@@ -31,6 +31,7 @@ from scrubline.storage import write_table
 KEY_WORDS = 10
 # Replacements up to this number are written into the projection; more go through a join.
 MAX_LITERALS = 200
+SHORT_VOCABULARY = 5_000
 
 
 def vocabulary(df: DataFrame, cols: Iterable[str]) -> DataFrame:
@@ -45,6 +46,14 @@ def vocabulary(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     )
 
 
+def _stored_vocabulary(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The vocabulary as a stored table; a short one as a single partition, so that the joins on
+    it need no shuffle.
+    """
+    words = write_table(vocabulary(df, cols), "vocabulary")
+    return words.coalesce(1) if words.count() <= SHORT_VOCABULARY else words
+
+
 def _stems(words: DataFrame) -> DataFrame:
     """Distinct comparable stems; text without any Latin letter or digit has none."""
     return words.where(F.col("stem") != "").select("column", "stem").distinct()
@@ -194,7 +203,7 @@ def similar_pairs(df: DataFrame, column: str, threshold: float = 85) -> DataFram
 
     Values of one stem are alike by definition and stand as that one stem.
     """
-    words = write_table(vocabulary(df, [column]), "vocabulary")
+    words = _stored_vocabulary(df, [column])
     return stem_pairs(_stems(words), threshold).select(
         "stem_a", "stem_b", indel_ratio(F.col("stem_a"), F.col("stem_b")).alias("ratio")
     )
@@ -206,9 +215,11 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
     Alternating large-star and small-star contraction: a logarithmic number of rounds, each with
     at most as many edges as before, whatever the shape of the groups.
     """
-    edges = write_table(
-        pairs.select("column", F.col("stem_b").alias("u"), F.col("stem_a").alias("v")), "edges"
-    )
+    def stored(e: DataFrame) -> DataFrame:
+        e = write_table(e, "edges")
+        return e.coalesce(1) if e.count() <= SHORT_VOCABULARY else e
+
+    edges = stored(pairs.select("column", F.col("stem_b").alias("u"), F.col("stem_a").alias("v")))
 
     def star(both: DataFrame, keep_larger: bool) -> DataFrame:
         lowest = both.groupBy("column", "u").agg(F.min("v").alias("m"))
@@ -232,7 +243,7 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
     while before[0]:
         mirrored = edges.unionByName(edges.select("column", F.col("v").alias("u"), F.col("u").alias("v")))
         large = ordered(star(mirrored, True))
-        edges = write_table(ordered(star(large, False)), "edges")
+        edges = stored(ordered(star(large, False)))
         after = state(edges)
         if after == before:
             break
@@ -250,7 +261,7 @@ def fit_fuzzy(df: DataFrame, cols: Iterable[str], threshold: float = 85) -> Data
     names = present(df, cols)
     if not names:
         return df.sparkSession.createDataFrame([], "column string, value string, canonical string")
-    words = write_table(vocabulary(df, names), "vocabulary")
+    words = _stored_vocabulary(df, names)
     stems = _stems(words)
     groups = connected_groups(stem_pairs(stems, threshold))
     rooted = words.join(groups, ["column", "stem"], "left").withColumn(

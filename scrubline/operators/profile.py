@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,18 +48,14 @@ def profile_duplicates(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_outliers(df: DataFrame, z_thresh: float = 3.0) -> DataFrame:
-    """Per numeric column, how many values lie more than ``z_thresh`` population deviations off.
-
-    Two scans whatever the number of columns: moments first, then the counts.
-    """
-    names = numeric_columns(df)
-    if not names:
-        return df.sparkSession.createDataFrame([], "column string, outlier_count long, outlier_pct double")
-    moments = agg_row(df, {
+def _moments(df: DataFrame, names: list[str]) -> dict:
+    return {
         (c, kind): f(as_double(df, c))
         for c in names for kind, f in (("mean", F.avg), ("std", F.stddev_pop))
-    })
+    }
+
+
+def _far_counts(df: DataFrame, names: list[str], moments: dict, z_thresh: float) -> DataFrame:
     aggs = []
     for i, c in enumerate(names):
         mean, std = moments[c, "mean"], moments[c, "std"]
@@ -75,6 +72,21 @@ def profile_outliers(df: DataFrame, z_thresh: float = 3.0) -> DataFrame:
     ])
 
 
+def profile_outliers(df: DataFrame, z_thresh: float = 3.0) -> DataFrame:
+    """Per numeric column, how many values lie more than ``z_thresh`` population deviations off.
+
+    Two scans whatever the number of columns: moments first, then the counts.
+    """
+    names = numeric_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], OUTLIERS)
+    return _far_counts(df, names, agg_row(df, _moments(df, names)), z_thresh)
+
+
+MISSING = "column string, missing_count long, missing_pct double, dtype string"
+OUTLIERS = "column string, outlier_count long, outlier_pct double"
+
+
 @dataclass(frozen=True)
 class Profile:
     rows: int
@@ -107,17 +119,30 @@ class Profile:
         )
 
 
-def _fixed(frame: DataFrame) -> DataFrame:
-    """Evaluate a frame of one row per column now, so that it describes the table as it was."""
-    return frame.sparkSession.createDataFrame(frame.collect(), frame.schema)
-
-
 def profile_dataset(df: DataFrame, z_thresh: float = 3.0) -> Profile:
-    missing = _fixed(profile_missing(df))
+    """All figures, evaluated now: one scan for counts and moments, one for the outliers (numeric
+    columns only) and one shuffle for the duplicates.
+    """
+    df = nan_to_null(df)
+    spark = df.sparkSession
+    names = numeric_columns(df)
+    seen = agg_row(df, {
+        "rows": F.count(F.lit(1)), **{(c, "n"): F.count(col(c)) for c in df.columns}, **_moments(df, names),
+    })
+    rows = seen["rows"]
+    missing = [
+        (f.name, rows - seen[f.name, "n"],
+         float(np.rint((rows - seen[f.name, "n"]) / rows * 1e4) / 100) if rows else 0.0,
+         f.dataType.simpleString())
+        for f in df.schema
+    ]
+    # One row per numeric column at most: these are figures, not data.
+    outliers = _far_counts(df, names, seen, z_thresh).collect() if names else []
+    duplicates = profile_duplicates(df)
     return Profile(
-        rows=df.count(),
+        rows=rows,
         columns=len(df.columns),
-        missing=missing,
-        duplicates=_fixed(profile_duplicates(df)),
-        outliers=_fixed(profile_outliers(df, z_thresh)),
+        missing=spark.createDataFrame(missing, MISSING),
+        duplicates=spark.createDataFrame(duplicates.collect(), duplicates.schema),
+        outliers=spark.createDataFrame(outliers, OUTLIERS),
     )

@@ -81,6 +81,12 @@ def sql_view(name: str) -> str:
     return f"{name} AS ({text.format(**{table: table})})"
 
 
+def read_table(spark, sf_dir: str, table: str):
+    """One small file is one task; spread its rows over the cores, as many files would be."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 def spark_view(spark, sf_dir: str, name: str):
     table, text = VIEWS[name]
-    return spark.sql(text, **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+    return spark.sql(text, **{table: read_table(spark, sf_dir, table)})

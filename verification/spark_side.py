@@ -11,7 +11,7 @@ from scrubline.functions import categories, numbers
 from scrubline.functions.text import title_case, trimmed
 from scrubline.operators.detect import Shares
 from scrubline.storage import new_path
-from verification.fixtures import spark_view
+from verification.fixtures import read_table, spark_view
 
 QUERIES = {}
 
@@ -22,7 +22,7 @@ def query(fn):
 
 
 def table(spark, d, name):
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return read_table(spark, d, name)
 
 
 def customers(spark, d):

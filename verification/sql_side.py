@@ -275,7 +275,7 @@ SQL["standardize_dates"] = with_views("messy_events", body="SELECT event_id, str
 SQL["cast_columns"] = with_views("messy_orders", body=(
     "SELECT CAST(order_id AS VARCHAR) AS order_id, total_price, CAST(fee_amount AS DOUBLE) AS fee_amount FROM messy_orders"))
 _bool_words = quoted(vocab.TRUE_WORDS + vocab.FALSE_WORDS)
-SQL["detect_boolean"] = detection("messy_customer", no_placeholders("messy_customer"), lambda c: "false" if c == "gender" else (
+SQL["detect_boolean"] = detection("messy_customer", no_placeholders("messy_customer"), lambda c: "count(*) < 0" if c == "gender" else (
     f"avg(CASE WHEN lower(trim({c})) IN ({_bool_words}) THEN 1.0 WHEN {c} IS NOT NULL THEN 0.0 END) >= 0.9"))
 SQL["standardize_boolean"] = project("messy_customer", is_active=boolean("is_active"))
 SQL["standardize_gender"] = project("messy_customer", gender=gender("gender"))
