@@ -18,7 +18,7 @@ from scrubline.operators.quantiles import exact_quantiles
 WHOLE_SHARE = 0.98
 WHOLE_TOLERANCE = 1e-8
 # Cells of one distance block inside a task (rows of a batch x donors).
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 250_000
 
 
 @dataclass
@@ -94,49 +94,55 @@ def nearest_means(rows: np.ndarray, donors: np.ndarray, k: int) -> np.ndarray:
 
     Distance is Euclidean over the columns both sides have, scaled up for the absent ones.
     Ties go to the smaller donor value, so the result depends on the data alone. A row without
-    any comparable donor gets the column mean.
+    any comparable donor gets the column mean. Rows that miss the same columns share their
+    candidate donors and are worked on in blocks.
     """
     out = rows.copy()
-    width = donors.shape[1]
+    absent = np.isnan(rows)
     donor_has = ~np.isnan(donors)
-    donor_zero = np.where(donor_has, donors, 0.0)
     step = max(1, BLOCK_CELLS // max(1, len(donors)))
-    gaps = np.flatnonzero(np.isnan(rows).any(axis=1))
-    for start in range(0, len(gaps), step):
-        at = gaps[start:start + step]
-        block = rows[at]
-        has = ~np.isnan(block)
-        squares = np.zeros((len(at), len(donors)))
-        shared = np.zeros((len(at), len(donors)))
-        for j in range(width):
-            both = has[:, j, None] & donor_has[None, :, j]
-            diff = np.where(has[:, j], block[:, j], 0.0)[:, None] - donor_zero[None, :, j]
-            squares += np.where(both, diff * diff, 0.0)
-            shared += both
-        with np.errstate(divide="ignore", invalid="ignore"):
-            distance = np.sqrt(np.where(shared > 0, width / shared * squares, np.nan))
-        for j in range(width):
-            need = np.flatnonzero(~has[:, j])
-            usable = np.flatnonzero(donor_has[:, j])
-            if not len(need) or not len(usable):
+    for pattern in np.unique(absent[absent.any(axis=1)], axis=0):
+        members = np.flatnonzero((absent == pattern).all(axis=1))
+        have = np.flatnonzero(~pattern)
+        shared = donor_has[:, have].sum(axis=1)
+        for j in np.flatnonzero(pattern):
+            owners = np.flatnonzero(donor_has[:, j])
+            if not len(owners):
                 continue
-            order = usable[np.argsort(donors[usable, j], kind="stable")]  # ties by value
-            values = donors[order, j]
-            for i in need:
-                d = distance[i, order]
-                known = np.flatnonzero(~np.isnan(d))
-                if not len(known):
-                    out[at[i], j] = values.mean()
-                    continue
-                if len(known) > k:
-                    limit = np.partition(d[known], k - 1)[k - 1]
-                    nearer = np.flatnonzero(d < limit)
-                    level = np.flatnonzero(d == limit)[:k - len(nearer)]
-                    known = np.concatenate([nearer, level])
-                out[at[i], j] = values[known].mean()
+            owners = owners[np.argsort(donors[owners, j], kind="stable")]  # ties by value
+            near = owners[shared[owners] > 0]
+            if not len(near):
+                out[members, j] = donors[owners, j].mean()
+                continue
+            for start in range(0, len(members), step):
+                at = members[start:start + step]
+                distance = _distances(rows[np.ix_(at, have)], donors[np.ix_(near, have)], shared[near], rows.shape[1])
+                out[at, j] = _mean_of_nearest(distance, donors[near, j], k)
     return out
 
 
+def _distances(points: np.ndarray, donors: np.ndarray, shared: np.ndarray, width: int) -> np.ndarray:
+    squares = np.zeros((len(points), len(donors)))
+    for j in range(points.shape[1]):
+        part = points[:, j, None] - donors[None, :, j]
+        part *= part
+        part[:, np.isnan(donors[:, j])] = 0.0
+        squares += part
+    return np.sqrt(width / shared * squares)
+
+
+def _mean_of_nearest(distance: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+    if distance.shape[1] <= k:
+        return np.full(len(distance), values.mean())
+    limit = np.partition(distance, k - 1, axis=1)[:, k - 1, None]
+    nearer = distance < limit
+    level = distance == limit
+    spare = k - nearer.sum(axis=1, keepdims=True)
+    taken = nearer | (level & (np.cumsum(level, axis=1) <= spare))
+    # Exactly k donors per row, in donor order.
+    return values[np.nonzero(taken)[1]].reshape(len(distance), k).mean(axis=1)
+
+
 def apply_numeric_fill(df: DataFrame, fit: NumericFit) -> DataFrame:
     """Fill the gaps, then round whole-number columns and hold them in their observed range."""
     cols = fit.columns

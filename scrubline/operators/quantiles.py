@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from scrubline.columns import agg_row, chunks
 
-MAX_DISTINCT = 500_000
+# Distinct values of one column that ``percentile`` may hold, and of all columns of one scan.
+MAX_DISTINCT = 200_000
+MAX_DISTINCT_TOGETHER = 1_000_000
+# Values left around a rank that are read as a list, and the accuracy of the sketches.
 MAX_LIST = 10_000
 SKETCH = 10_000
 
@@ -56,25 +59,47 @@ def exact_quantiles(
         (n, kind): f(v) for n, v in values.items()
         for kind, f in (("count", F.count), ("distinct", F.approx_count_distinct))
     })
-    small = [n for n in values if sizes[n, "distinct"] <= max_distinct]
     out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in values}
-    if small:
-        row = agg_row(df, {n: F.percentile(values[n], F.array(*map(F.lit, probs))) for n in small})
-        out.update({n: list(row[n]) for n in small if row[n] is not None})
-    for n in values:
-        if n not in small:
-            out[n] = _interpolated(df, values[n], sizes[n, "count"], probs, max_list, sketch)
+    small = [n for n in values if sizes[n, "distinct"] <= max_distinct]
+    for part in _together(small, {n: sizes[n, "distinct"] for n in small}):
+        row = agg_row(df, {n: F.percentile(values[n], F.array(*map(F.lit, probs))) for n in part})
+        out.update({n: list(row[n]) for n in part if row[n] is not None})
+    large = {n: (v, sizes[n, "count"]) for n, v in values.items() if n not in small}
+    out.update(_interpolated(df, large, probs, max_list, sketch))
     return out
 
 
-def _interpolated(df, values, total, probs, max_list, sketch) -> list[float]:
-    places = [p * (total - 1) for p in probs]
-    ranks = {k: _Rank(values, k, total) for x in places for k in (math.floor(x), math.ceil(x))}
+def _together(names: list[str], distinct: dict[str, int]) -> list[list[str]]:
+    """Groups of columns whose value lists fit one task side by side."""
+    groups: list[list[str]] = []
+    room = 0
+    for n in names:
+        if not groups or distinct[n] > room:
+            groups.append([])
+            room = MAX_DISTINCT_TOGETHER
+        groups[-1].append(n)
+        room -= distinct[n]
+    return groups
+
+
+def _interpolated(
+    df: DataFrame, columns: dict, probs: list[float], max_list: int, sketch: int
+) -> dict[object, list[float]]:
+    """Quantiles of (expression, number of values) pairs; all columns share every scan."""
+    ranks: dict = {}
+    for name, (values, total) in columns.items():
+        for p in probs:
+            x = p * (total - 1)
+            for k in (math.floor(x), math.ceil(x)):
+                ranks.setdefault((name, k), _Rank(values, k, total))
     _close_in(df, list(ranks.values()), max_list, sketch)
-    out = []
-    for x in places:
-        low, high = ranks[math.floor(x)].found, ranks[math.ceil(x)].found
-        out.append(low + (high - low) * (x - math.floor(x)))
+    out = {}
+    for name, (_, total) in columns.items():
+        out[name] = []
+        for p in probs:
+            x = p * (total - 1)
+            low, high = ranks[name, math.floor(x)].found, ranks[name, math.ceil(x)].found
+            out[name].append(low + (high - low) * (x - math.floor(x)))
     return out
 
 
@@ -150,9 +175,12 @@ def grouped_quantiles(
         pairs.where(~is_large).groupBy("key")
         .agg(F.count("v").alias("n"), F.percentile("v", F.array(*map(F.lit, probs))).alias("q"))
     )
-    for r in large:
-        group = F.when(F.col("key").eqNullSafe(F.lit(r["key"])), F.col("v"))
-        q = _interpolated(pairs, group, r["n"], probs, limits.get("max_list", MAX_LIST),
-                          limits.get("sketch", SKETCH))
-        out = out.unionByName(spark.createDataFrame([(r["key"], r["n"], q)], out.schema))
-    return out
+    columns = {
+        i: (F.when(F.col("key").eqNullSafe(F.lit(r["key"])), F.col("v")), r["n"])
+        for i, r in enumerate(large)
+    }
+    found = _interpolated(
+        pairs, columns, probs, limits.get("max_list", MAX_LIST), limits.get("sketch", SKETCH)
+    )
+    rows = [(r["key"], r["n"], found[i]) for i, r in enumerate(large)]
+    return out.unionByName(spark.createDataFrame(rows, out.schema)) if rows else out

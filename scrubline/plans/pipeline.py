@@ -24,6 +24,7 @@ from scrubline.operators.mapping import BATCH, Mapper, run_mapping
 from scrubline.operators.profile import Profile, profile_dataset
 from scrubline.operators.report import cleaning_report
 from scrubline.operators.rules import RuleFit, apply_rules, fit_rules
+from scrubline.storage import write_table
 
 
 @dataclass(frozen=True)
@@ -101,6 +102,8 @@ def fit_learned(
         exclude_ids=config.exclude_ids_from_imputation,
     )
     df = apply_numeric_fill(df, fill)
+    if fill.donors is not None and fill.columns:
+        df = write_table(df, "filled")  # the neighbour search is done once
     df, forest = fit_and_flag(df, contamination=config.contamination, seed=config.seed)
 
     columns = present(df, fuzzy_columns or ())

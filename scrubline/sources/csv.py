@@ -61,10 +61,8 @@ def read_csv(
     stay text and keep their leading zeros. Spark's own inference is not used: it would turn date
     text into dates before the cleaning rules see it.
     """
-    reader = spark.read.options(
-        header=True, inferSchema=False, quote='"', escape='"', multiLine=False, **options
-    )
-    raw = reader.csv(path)
+    given = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', **options}
+    raw = spark.read.options(**given).csv(path)
     tokens = tuple(na_tokens)
     text = raw.select(*[F.when(~col(c).isin(*tokens), col(c)).alias(c) for c in raw.columns])
     types = infer_types(text, force_text_hints)
