@@ -21,6 +21,8 @@ MONTH_NAME = (
     r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
     r"(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?\b\.?"
 )
+# The common case, three numbers, is rewritten in fewer steps than the rest.
+THREE_NUMBERS = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$"
 # What any readable date starts with; everything else is turned away by this one test.
 START = r"(?i)^\s*(?:\d{1,4}\s*[-/.,\sT]|\d{4}\s*$|\d{8}\s*(?:$|[T ])|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b)"
 ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?: \d{1,2}:\d{2}(?::\d{2})?)?$"
@@ -32,17 +34,17 @@ _NAMED = r"m(\d{1,2})"
 # .. "m12" and whose time, if any, follows an "@"; with what each group is. The first match counts:
 # month before day, day before month only where the first number can not be a month.
 SHAPES = (
-    (rf"{_YEAR}[-.]{_DAY}[-.]{_DAY}", "ymd"),
+    (rf"{_YEAR}[-/.]{_DAY}[-/.]{_DAY}", "ymd"),
     (rf"{_YEAR}(\d\d)(\d\d)", "ymd"),
     (rf"{_YEAR}-{_NAMED}-{_DAY}", "ymd"),
     (rf"{_DAY}-{_NAMED}-{_YEAR}", "dmy"),
     (rf"{_DAY}-{_NAMED}-{_SHORT_YEAR}", "dmy"),
     (rf"{_NAMED}-{_DAY}-{_YEAR}", "mdy"),
     (rf"{_NAMED}-{_YEAR}", "my"),
-    (rf"{_MONTH}[-.]{_DAY}[-.]{_YEAR}", "mdy"),
-    (rf"{_DAY}[-.]{_MONTH}[-.]{_YEAR}", "dmy"),
-    (rf"{_MONTH}[-.]{_DAY}[-.]{_SHORT_YEAR}", "mdy"),
-    (rf"{_DAY}[-.]{_MONTH}[-.]{_SHORT_YEAR}", "dmy"),
+    (rf"{_MONTH}[-/.]{_DAY}[-/.]{_YEAR}", "mdy"),
+    (rf"{_DAY}[-/.]{_MONTH}[-/.]{_YEAR}", "dmy"),
+    (rf"{_MONTH}[-/.]{_DAY}[-/.]{_SHORT_YEAR}", "mdy"),
+    (rf"{_DAY}[-/.]{_MONTH}[-/.]{_SHORT_YEAR}", "dmy"),
     (rf"{_YEAR}-{_DAY}", "ym"),
     (_YEAR, "y"),
 )
@@ -59,6 +61,12 @@ def _one_pattern() -> tuple[str, str]:
     return "^(?:" + "|".join(shape for shape, _ in SHAPES) + ")(?=@|$)", "-".join(ordered)
 
 
+def _year_first(text: Column) -> Column:
+    text = F.regexp_replace(text, *_one_pattern())
+    text = F.regexp_replace(text, r"^([0-5]\d|6[0-8])-", "20$1-")
+    return F.regexp_replace(text, r"^(\d\d)-", "19$1-")
+
+
 def _iso_text(c: Column) -> Column:
     text = F.lower(squeeze_spaces(c))
     name = F.regexp_extract(F.lower(c), MONTH_NAME, 1)
@@ -71,9 +79,7 @@ def _iso_text(c: Column) -> Column:
     text = F.regexp_replace(text, r"([t ])12(:\d{2}(?::\d{2})?) ?([ap]m)$", "$10$2$3")
     text = F.regexp_replace(text, CLOCK, "@$1$2")
     text = F.regexp_replace(text, r"[\s,/-]+", "-")
-    text = F.regexp_replace(text, *_one_pattern())
-    text = F.regexp_replace(text, r"^([0-5]\d|6[0-8])-", "20$1-")
-    text = F.regexp_replace(text, r"^(\d\d)-", "19$1-")
+    text = _year_first(text)
     text = F.regexp_replace(text, r"-(?=[-@]|$)", "-1")  # absent month or day
     text = F.regexp_replace(text, r"@((?:0?\d|1[01]):.*)[ap]m$", "@$1")
     return F.replace(text, F.lit("@"), F.lit(" "))
@@ -84,9 +90,11 @@ def parse_datetime(c: Column) -> Column:
     iso = F.regexp_extract(_iso_text(c), ISO, 0)  # empty, hence NULL, for any other text
     moment = F.when(c.rlike(START) & c.rlike(r"\d{2}"), iso.try_cast("timestamp_ntz"))
     afternoon = F.when(c.rlike(r"(?i)\dpm\s*$|\d pm\s*$"), F.expr("interval 12 hours"))
-    return F.when(
-        c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("timestamp_ntz")
-    ).otherwise(moment + F.coalesce(afternoon, F.expr("interval 0 hours")))
+    return (
+        F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("timestamp_ntz"))
+        .when(c.rlike(THREE_NUMBERS), F.regexp_extract(_year_first(c), ISO, 0).try_cast("timestamp_ntz"))
+        .otherwise(moment + F.coalesce(afternoon, F.expr("interval 0 hours")))
+    )
 
 
 def parse_date(c: Column) -> Column:
@@ -94,7 +102,7 @@ def parse_date(c: Column) -> Column:
 
 
 def has_time_of_day(moment: Column) -> Column:
-    return F.date_format(moment, "HH:mm:ss") != "00:00:00"
+    return ~F.endswith(moment.cast("string"), F.lit("00:00:00"))
 
 
 def looks_like_date(c: Column) -> Column:
@@ -103,4 +111,6 @@ def looks_like_date(c: Column) -> Column:
 
 def date_text(c: Column, with_time: bool) -> Column:
     """Canonical text: ``yyyy-MM-dd``, or ``yyyy-MM-dd HH:mm:ss`` for columns that carry times."""
-    return F.date_format(parse_datetime(c), "yyyy-MM-dd HH:mm:ss" if with_time else "yyyy-MM-dd")
+    # Casts of timestamp_ntz use no time zone, unlike date_format.
+    moment = parse_datetime(c)
+    return moment.cast("string") if with_time else moment.cast("date").cast("string")

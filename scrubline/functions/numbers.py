@@ -19,6 +19,9 @@ CURRENCY_NOISE = r"rs\.?|pkr|usd|inr|eur|gbp|[$€£,]|(?U:\s)"
 MARKS = {"usd": r"\$|\busd\b", "eur": r"€|\beur\b", "gbp": r"£|\bgbp\b"}
 # ---- end of fixed values -------------------------------------------------------------------
 
+# Text with any of these can not be a quantity: a word longer than all that may stand beside a
+# number, or a character that is neither removed nor part of a number. One pass, left at the first hit.
+NO_QUANTITY = r"(?U)[A-Za-z]{9}|[^0-9A-Za-z\s$€£,./-]"
 FLOAT_TEXT = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
@@ -44,15 +47,16 @@ def parse_numeric(
 ) -> Column:
     """The quantity written in ``c`` as double; NULL when any other text is left over."""
     text = F.lower(strip(c))
-    amount_text = F.regexp_replace(text, PERIOD, "")
+    # Every payment period has one of these letters; most amounts have none.
+    amount_text = F.when(c.rlike("[mwyMWY]"), F.regexp_replace(text, PERIOD, "")).otherwise(text)
     digits = F.regexp_replace(amount_text, CURRENCY_NOISE, "")
-    amount = F.when(digits.rlike(PLAIN_NUMBER), digits.try_cast("double"))
+    amount = F.regexp_extract(digits, PLAIN_NUMBER, 0).try_cast("double")  # "" is NULL
     if convert_currency:
         amount = amount * F.coalesce(currency_rate(amount_text, rates), F.lit(1.0))
-    # Bare numbers, and text without any digit, skip the pattern work.
+    # Bare numbers, and text that can not be a number, skip the pattern work.
     return (
         F.when(c.rlike(PLAIN_NUMBER), c.try_cast("double"))
-        .when(c.rlike(r"\d"), amount)
+        .when(c.rlike(r"\d") & ~c.rlike(NO_QUANTITY), amount)
         .otherwise(word_number(text))
     )
 

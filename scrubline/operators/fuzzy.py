@@ -215,19 +215,21 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
     Alternating large-star and small-star contraction: a logarithmic number of rounds, each with
     at most as many edges as before, whatever the shape of the groups.
     """
-    def stored(e: DataFrame) -> DataFrame:
+    def stored(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """The stored edges, with their number and a checksum."""
         e = write_table(e, "edges")
-        return e.coalesce(1) if e.count() <= SHORT_VOCABULARY else e
-
-    edges = stored(pairs.select("column", F.col("stem_b").alias("u"), F.col("stem_a").alias("v")))
+        check = F.sum(F.xxhash64("column", "u", "v").cast("decimal(38,0)"))
+        state = tuple(e.agg(F.count(F.lit(1)), check).first())
+        return (e.coalesce(1) if state[0] <= SHORT_VOCABULARY else e), state
 
     def star(both: DataFrame, keep_larger: bool) -> DataFrame:
         lowest = both.groupBy("column", "u").agg(F.min("v").alias("m"))
         lowest = lowest.withColumn("m", F.least("u", "m"))
         linked = both.join(lowest, ["column", "u"])
-        if keep_larger:  # larger neighbours to the lowest one
-            return linked.where(F.col("v") > F.col("u")).select("column", F.col("v").alias("u"), F.col("m").alias("v"))
         moved = linked.select("column", F.col("v").alias("u"), F.col("m").alias("v"))
+        if keep_larger:  # only larger neighbours go to the lowest one
+            larger = linked.where(F.col("v") > F.col("u"))
+            return larger.select("column", F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionByName(lowest.select("column", "u", F.col("m").alias("v")))
 
     def ordered(e: DataFrame) -> DataFrame:
@@ -235,16 +237,15 @@ def connected_groups(pairs: DataFrame) -> DataFrame:
             "column", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
         ).distinct()
 
-    def state(e: DataFrame):
-        row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("column", "u", "v").cast("decimal(38,0)"))).first()
-        return row[0], row[1]
-
-    before = state(edges)
+    edges, before = stored(
+        pairs.select("column", F.col("stem_b").alias("u"), F.col("stem_a").alias("v"))
+    )
     while before[0]:
-        mirrored = edges.unionByName(edges.select("column", F.col("v").alias("u"), F.col("u").alias("v")))
+        mirrored = edges.unionByName(
+            edges.select("column", F.col("v").alias("u"), F.col("u").alias("v"))
+        )
         large = ordered(star(mirrored, True))
-        edges = stored(ordered(star(large, False)))
-        after = state(edges)
+        edges, after = stored(ordered(star(large, False)))
         if after == before:
             break
         before = after
