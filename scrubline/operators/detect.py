@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.columns import agg_row, col, has_hint, text_columns
+from scrubline.columns import col, has_hint, text_columns
 from scrubline.functions import vocab
 from scrubline.functions.dates import has_time_of_day, looks_like_date, parse_datetime
 from scrubline.functions.numbers import has_currency_mark, parse_numeric
@@ -25,45 +25,64 @@ def is_gender_name(name: str) -> bool:
     return "gender" in name.lower() or name.lower() == "sex"
 
 
-def _test(kind: str, name: str, c: Column, moment: Column | None) -> Column | None:
-    """The count behind one detector, or None where the column name rules it out."""
-    if kind == "numeric":
-        if not has_hint(name, vocab.IDENTIFIER_HINTS):
-            return F.count(parse_numeric(c))
-    elif kind == "currency_code":
-        return F.count_if(F.lower(strip(c)).isin(*vocab.CURRENCY_CODES))
-    elif kind == "currency_mark":
-        return F.count_if(has_currency_mark(c))
-    elif kind == "date_look":
-        return F.count_if(looks_like_date(c))
-    elif kind == "date":
-        return F.count(moment)
-    elif kind == "time":
-        return F.count_if(has_time_of_day(moment))
-    elif kind == "boolean":
-        if not is_gender_name(name):
-            return F.count_if(is_boolean_word(c))
-    elif kind == "study_year":
-        if "year" in name.lower():
-            return F.count(study_year(c))
-    elif kind == "at_sign":
-        return F.count_if(F.contains(c, F.lit("@")))
-    return None
+# What each detector counts among the values of a column.
+TESTS = {
+    "numeric": lambda v, moment: F.count(parse_numeric(v)),
+    "currency_code": lambda v, moment: F.count_if(F.lower(strip(v)).isin(*vocab.CURRENCY_CODES)),
+    "currency_mark": lambda v, moment: F.count_if(has_currency_mark(v)),
+    "date_look": lambda v, moment: F.count_if(looks_like_date(v)),
+    "date": lambda v, moment: F.count(moment),
+    "time": lambda v, moment: F.count_if(has_time_of_day(moment)),
+    "boolean": lambda v, moment: F.count_if(is_boolean_word(v)),
+    "study_year": lambda v, moment: F.count(study_year(v)),
+    "at_sign": lambda v, moment: F.count_if(F.contains(v, F.lit("@"))),
+}
+# Columns that a detector leaves out because of their name.
+NAME_RULES = {
+    "numeric": lambda name: not has_hint(name, vocab.IDENTIFIER_HINTS),
+    "boolean": lambda name: not is_gender_name(name),
+    "study_year": lambda name: "year" in name.lower(),
+}
+
+
+def _eligible(kind: str, name: str) -> bool:
+    return NAME_RULES.get(kind, lambda _: True)(name)
+
+
+def text_values(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, value) rows of the given text columns.
+
+    Aggregates over this form are written, compiled and run once whatever the number of columns;
+    each task folds its rows to one per column before anything is exchanged.
+    """
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in names
+    ])))
 
 
 class Shares:
     """Counts per (column, test), with ``share`` relative to the non-NULL values."""
 
     def __init__(self, df: DataFrame, kinds: list[str], cols: Iterable[str] | None = None):
-        self.columns = [c for c in text_columns(df) if cols is None or c in set(cols)]
-        aggs = {(c, "values"): F.count(col(c)) for c in self.columns}
-        for c in self.columns:
-            moment = parse_datetime(col(c)) if {"date", "time"} & set(kinds) else None
+        wanted = None if cols is None else set(cols)
+        self.columns = [c for c in text_columns(df) if wanted is None or c in wanted]
+        self.counts = {(c, "values"): 0 for c in self.columns}
+        if not self.columns:
+            return
+        aggs = [F.count("value").alias("values")]
+        for kind in kinds:
+            names = [c for c in self.columns if _eligible(kind, c)]
+            value = F.col("value")
+            if len(names) < len(self.columns):
+                value = F.when(F.col("column").isin(*names), value) if names else F.lit(None).cast("string")
+            moment = parse_datetime(value) if kind in ("date", "time") else None
+            aggs.append(TESTS[kind](value, moment).alias(kind))
+        counted = text_values(df, self.columns).groupBy("column").agg(*aggs)
+        for row in counted.collect():  # one row per column
+            self.counts[row["column"], "values"] = row["values"]
             for kind in kinds:
-                test = _test(kind, c, col(c), moment)
-                if test is not None:
-                    aggs[c, kind] = test
-        self.counts = agg_row(df, aggs) if aggs else {}
+                if _eligible(kind, row["column"]):
+                    self.counts[row["column"], kind] = row[kind]
 
     def values(self, c: str) -> int:
         return self.counts[c, "values"]
@@ -78,7 +97,7 @@ class Shares:
     # The rules, one per role.
 
     def numeric(self, min_parse_ratio: float = 0.7) -> list[str]:
-        return [c for c in self.columns if self.values(c) and (c, "numeric") in self.counts
+        return [c for c in self.columns if (c, "numeric") in self.counts and self.values(c)
                 and self.share(c, "numeric") >= min_parse_ratio]
 
     def multi_currency(self) -> list[str]:
@@ -215,7 +234,7 @@ def detect_categorical(
     """Text columns with a small vocabulary of short values (no e-mails, dates, gender, study year).
 
     A first scan rules out columns by length, ``@`` and an estimate of the vocabulary. Only
-    columns whose vocabulary is small are then counted exactly, as sets that the estimate bounds.
+    columns whose vocabulary is small are then counted exactly, their values folded per task.
     """
     names = [
         c for c in text_columns(df)
@@ -223,32 +242,34 @@ def detect_categorical(
     ]
     if not names:
         return []
-    aggs: dict = {}
-    for c in names:
-        aggs[c, "values"] = F.count(col(c))
-        aggs[c, "at"] = F.count_if(F.contains(col(c), F.lit("@")))
-        aggs[c, "length"] = F.avg(F.length(col(c)))
-        aggs[c, "distinct"] = F.approx_count_distinct(col(c))
-        if "year" in c.lower():
-            aggs[c, "year"] = F.count(study_year(col(c)))
-    seen = agg_row(df, aggs)
-
-    def possible(c: str) -> bool:
-        n = seen[c, "values"]
+    years = [c for c in names if _eligible("study_year", c)]
+    value = F.col("value")
+    year = study_year(F.when(F.col("column").isin(*years), value)) if years else F.lit(None)
+    seen = {
+        r["column"]: r for r in text_values(df, names).groupBy("column").agg(
+            F.count(value).alias("n"),
+            F.count_if(F.contains(value, F.lit("@"))).alias("at"),
+            F.avg(F.length(value)).alias("length"),
+            F.approx_count_distinct(value).alias("distinct"),
+            F.count(year).alias("years"),
+        ).collect()
+    }
+
+    def possible(r) -> bool:
         return (
-            n > 0
-            and seen[c, "at"] / n < 0.3
-            and seen[c, "length"] <= max_avg_length
-            and seen.get((c, "year"), 0) / n < 0.5
-            and seen[c, "distinct"] <= 1.5 * max_unique + 10
+            r["n"] > 0
+            and r["at"] / r["n"] < 0.3
+            and r["length"] <= max_avg_length
+            and r["years"] / r["n"] < 0.5
+            and r["distinct"] <= 1.5 * max_unique + 10
         )
 
-    left = [c for c in names if possible(c)]
+    left = [c for c in names if c in seen and possible(seen[c])]
     if not left:
         return []
-    sizes = agg_row(df, {c: F.size(F.collect_set(col(c))) for c in left})
+    vocabularies = text_values(df, left).where(value.isNotNull()).distinct()
+    sizes = {r["column"]: r["count"] for r in vocabularies.groupBy("column").count().collect()}
     return [
         c for c in left
-        if min_unique <= sizes[c] <= max_unique
-        and sizes[c] / seen[c, "values"] <= max_unique_ratio
+        if min_unique <= sizes[c] <= max_unique and sizes[c] / seen[c]["n"] <= max_unique_ratio
     ]
