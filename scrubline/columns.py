@@ -14,7 +14,7 @@ ID_NAME = r"(^|_)(id|no|num|number|code)$"
 
 
 def col(name: str) -> Column:
-    """Reference a column by its literal name, dots and backticks included."""
+    """The column of this literal name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
