@@ -32,6 +32,7 @@ KEY_WORDS = 10
 # Replacements up to this number are written into the projection; more go through a join.
 MAX_LITERALS = 200
 SHORT_VOCABULARY = 5_000
+STEM_LETTERS = " 0123456789abcdefghijklmnopqrstuvwxyz"
 
 
 def vocabulary(df: DataFrame, cols: Iterable[str]) -> DataFrame:
@@ -69,6 +70,14 @@ def _pairs(left: DataFrame, right: DataFrame, keys: list[str], condition: Column
     )
 
 
+def _letter_set(stem: str) -> Column:
+    """One bit for each of the 37 characters a stem can have."""
+    places = F.transform(F.split(stem, ""), lambda x: F.instr(F.lit(STEM_LETTERS), x))
+    return F.aggregate(places, F.lit(0).cast("long"), lambda seen, i: seen.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    ))
+
+
 def _ratio_pairs(stems: DataFrame, threshold: float) -> DataFrame:
     """Pairs with ``indel_ratio >= threshold``.
 
@@ -88,7 +97,8 @@ def _ratio_pairs(stems: DataFrame, threshold: float) -> DataFrame:
         p, F.lit("#"), F.size(F.filter(F.slice(parts, F.lit(1), i), lambda q: q == p)).cast("string")
     ))
     tokens = stems.where(length >= size + 1 if size > 1 else length >= 1).select(
-        "column", "stem", length.alias("len"), F.explode(numbered).alias("token")
+        "column", "stem", length.alias("len"), _letter_set("stem").alias("letters"),
+        F.explode(numbered).alias("token"),
     )
     frequency = tokens.groupBy("column", "token").agg(F.count(F.lit(1)).alias("seen"))
     lacking = (2.0 * size) * F.col("len") * (1.0 - t) / (2.0 - t)
@@ -98,15 +108,22 @@ def _ratio_pairs(stems: DataFrame, threshold: float) -> DataFrame:
         .withColumn("rank", rank)
         .where(F.col("rank") <= F.floor(lacking + 1e-9) + 1)
     )
-    shorter = first.select("column", "token", F.col("len").alias("other"), F.col("stem").alias("a"))
+    shorter = first.select(
+        "column", "token", F.col("len").alias("other"), F.col("stem").alias("a"),
+        F.col("letters").alias("letters_a"),
+    )
     # The longer stem names the lengths its partner may have: blocks are (token, length).
     longer = first.select(
-        "column", "token", F.col("stem").alias("b"), F.col("len").alias("len_b"),
+        "column", "token", F.col("stem").alias("b"), F.col("len").alias("len_b"), "letters",
         F.explode(F.sequence(F.ceil(F.col("len") * t / (2.0 - t) - 1e-9), F.col("len"))).alias("other"),
     )
     once = (F.col("other") < F.col("len_b")) | (F.col("a") < F.col("b"))
-    candidates = _pairs(shorter, longer, ["column", "token", "other"], once).distinct()
-    return candidates.where(ratio_at_least(F.col("stem_a"), F.col("stem_b"), threshold))
+    # Each letter that only one side has costs an insertion or a deletion.
+    edits = F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_a")))
+    near = edits <= (F.col("other") + F.col("len_b")) * (1.0 - t) + 1e-9
+    candidates = _pairs(shorter, longer, ["column", "token", "other"], once & near)
+    # Checked where they are joined: only true pairs go on to the exchange that drops repeats.
+    return candidates.where(ratio_at_least(F.col("stem_a"), F.col("stem_b"), threshold)).distinct()
 
 
 def _prefix_pairs(stems: DataFrame) -> DataFrame:
