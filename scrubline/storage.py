@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session.
+    """The shared folder of this session: ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only for a local master without the setting, as in tests:
-    on a cluster the executors could not see it.
+    Where it is unset, as in tests, a folder in the SQL warehouse serves, which driver and
+    executors share as well. A machine-local temporary folder is never used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="scrubline-")
-    return _local_dirs[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
