@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat, pii
+from scrubline.llm import chat, mixing, pii, sharding
 
 QUERIES = {}
 SQL = {}
@@ -20,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix_documents(docs).groupBy("doc_id").agg(
+        F.first("size").alias("size"), F.first("source_size").alias("source_size"),
+        F.first("target").alias("target"), F.sum("words").alias("taken"),
+        F.count("slot").alias("pieces"), F.min("slot").alias("first_slot"),
+    )
+
+
 @query
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that holds the template's own marks, formatted and read back."""
@@ -86,3 +97,16 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.span_list(every).alias("spans"),
         F.round(F.coalesce(F.array_max(F.transform(every, lambda s: s["score"])), F.lit(0.0)), 3).alias("top_score"),
     )
+
+
+@query
+def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sixteen shards of near equal bytes, from twelve by the hash of the text."""
+    done = sharding.reshard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    body = F.coalesce(F.col("text"), F.lit(""))
+    return done.select(
+        "doc_id", sharding.text_bytes(F.col("text")).alias("size"),
+        F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        F.col("old_shard").cast("int").alias("old_shard"),
+    )
