@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat, mixing, pii, sharding
+from scrubline.llm import chat, decontaminate, mixing, pii, sharding
 
 QUERIES = {}
 SQL = {}
@@ -20,6 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, pair by pair."""
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
+
+
+#: Words in lower case (A-Z only) as a list, and their distinct five-word shingles.
+SHINGLES = r"""
+  SELECT {id}, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM (SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM {table})
+"""
+
+SQL["op1_decontaminate"] = f"""
+WITH d AS ({SHINGLES.format(id="doc_id", table="documents")}), i AS ({SHINGLES.format(id="item_id", table="benchmark")}),
+held AS (SELECT doc_id, unnest(s) AS h FROM d), sought AS (SELECT item_id, len(s) AS n_item, unnest(s) AS h FROM i),
+both_of AS (SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM held JOIN sought USING (h) GROUP BY ALL)
+SELECT doc_id, item_id, n_item, n_shared, round(n_shared / n_item, 6) AS containment
+FROM both_of WHERE n_shared * 5 >= n_item * 4
+"""
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
