@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat, decontaminate, mixing, pii, sharding
+from scrubline.llm import chat, decontaminate, mixing, pii, sharding, warc
 
 QUERIES = {}
 SQL = {}
@@ -45,6 +45,30 @@ FROM both_of WHERE n_shared * 5 >= n_item * 4
 """
 
 
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, written to archives and read back."""
+    folder, files = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, folder, files, payloads=False).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+SQL["op4_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex FROM p),
+b AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS top,
+  list_aggregate([lpad(bin(instr('0123456789abcdef', hex[i]) - 1), 4, '0') FOR i IN range(1, 41)], 'string_agg', '') AS bits FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  list_aggregate(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    list_sum([(bits[5 * j + k] = '1')::INT * (1 << (5 - k)) FOR k IN range(1, 6)])::INT + 1
+  ] FOR j IN range(0, 32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM b
+"""
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
