@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat, decontaminate, mixing, pii, sharding, warc
+from scrubline.llm import chat, decontaminate, mixing, pii, sharding, toxicity, warc
+from scrubline.llm.common import held_out
 
 QUERIES = {}
 SQL = {}
@@ -45,6 +46,17 @@ FROM both_of WHERE n_shared * 5 >= n_item * 4
 """
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from the labelled rows outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5))
+    return toxicity.score_toxicity(docs, labels).select(
+        "doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, written to archives and read back."""

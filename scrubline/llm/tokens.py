@@ -85,17 +85,28 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(begin), np.flatnonzero(last) + 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z as a-z, and the position in them where each document starts."""
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, ...]:
+    """Hashes of all words, A-Z as a-z, and the position in them where each document starts.
+
+    For each length of ``prefixes`` a further array holds the hash of the first so many bytes of
+    every word; a shorter word has the hash of itself, marked as a prefix.
+    """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.uint64)
+        return none, np.zeros(len(offsets), np.int64), *[none for _ in prefixes]
     starts, ends = word_bounds(data, offsets)
     up, down = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * up, dtype=np.uint64, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h = mix(h + (ends - starts).astype(np.uint64) * _STEP)
-    return h, np.searchsorted(starts, offsets)
+
+    def hashed(stops: np.ndarray, salt: int) -> np.ndarray:
+        h = (sums[stops] - sums[starts]) * down[starts]
+        return mix(h + ((stops - starts).astype(np.uint64) + np.uint64(salt)) * _STEP)
+
+    first = np.searchsorted(starts, offsets)
+    return hashed(ends, 0), first, *[hashed(np.minimum(ends, starts + n), n << 32) for n in prefixes]
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
