@@ -68,16 +68,22 @@ def document_terms(column, at: np.ndarray | None = None) -> Iterator[tuple[int,
 
 def fit_machine(
     terms: list[np.ndarray], labels: np.ndarray, factors: int = 8, epochs: int = 12, rate: float = 0.05,
-    decay: float = 2e-4, min_documents: int = 8, batch: int = 256, seed: int = 7,
+    decay: float = 2e-4, min_documents: int = 5, max_terms: int = 4096, batch: int = 256, seed: int = 7,
 ) -> Machine:
     """Logistic loss, minimized by AdaGrad in shuffled batches.
 
-    Terms in fewer than ``min_documents`` documents are not used. Without documents of both labels
-    the machine is its bias alone.
+    Of the terms in at least ``min_documents`` documents the ``max_terms`` that depend most on the
+    label by the chi-square test are used, so that chance words do not drown the others. Without
+    documents of both labels the machine is its bias alone.
     """
-    counts = np.bincount(np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << TERM_BITS)
-    known = np.flatnonzero(counts >= min_documents)
+    flat = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
+    counts = np.bincount(flat, minlength=1 << TERM_BITS)
+    marked = np.bincount(flat, np.repeat(labels, [len(t) for t in terms]), minlength=1 << TERM_BITS)
     share = (labels.sum() + 0.5) / (len(labels) + 1.0)
+    spread = counts * share * (1 - share) * (1 - counts / (len(labels) + 1.0)) + 1e-9
+    chi = np.where(counts >= min_documents, (marked - counts * share) ** 2 / spread, 0.0)
+    known = np.sort(np.argsort(-chi, kind="stable")[:max_terms])
+    known = known[chi[known] > 6.6]  # the 1 % point of the test
     bias = float(np.log(share / (1 - share)))
     if not len(known) or labels.min(initial=1) == labels.max(initial=0):
         return Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
