@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat, decontaminate, mixing, pii, sharding, toxicity, warc
+from scrubline.llm import chat, decontaminate, mixing, pii, ppm, sharding, toxicity, warc
 from scrubline.llm.common import held_out
 
 QUERIES = {}
@@ -146,6 +146,15 @@ FROM grouped
 """
 
 
+@query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the rows outside fold 0 of 10."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", held_out(F.col("doc_id"), 10).alias("held_out"), "text"
+    )
+    return ppm.score_texts(docs, ~F.col("held_out"))
+
+
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text."""
