@@ -14,7 +14,7 @@ from scrubline.llm.tokens import _LOWER, mix, text_chunks, word_hashes
 from scrubline.storage import write_table
 
 #: Length of the longest context in bytes.
-ORDER = 4
+ORDER = 5
 #: Most strings the trie holds of each length; the rarest beyond it are left to shorter contexts.
 MAX_STRINGS = 1 << 21
 #: Marks the end of a text and stands for what is before its start; no UTF-8 text holds it.
@@ -115,7 +115,11 @@ class Level:
 
 
 class Trie:
-    """A byte-context trie, for scoring with escape method C and symbol exclusion."""
+    """A byte-context trie, for scoring with escape method D and symbol exclusion.
+
+    Among the symbols not excluded, one seen c times of n has the probability (2 c - 1) / 2 n and
+    the escape k / 2 n if there are k of them; so they sum to 1.
+   """
 
     def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
         """``tables``: for each length of context from 0 on, sorted strings and their counts.
@@ -138,7 +142,7 @@ class Trie:
         """Build what scoring needs; done in the task, not sent to it."""
         top = self.levels[-1]
         self.places = Places(top.keys)
-        self.direct = np.log10(top.counts / (top.total + top.kinds)[top.context]) if len(top.keys) else np.zeros(0)
+        self.direct = np.log10((top.counts - 0.5) / top.total[top.context]) if len(top.keys) else np.zeros(0)
 
     def log10(self, packed: np.ndarray) -> np.ndarray:
         """log10 of the probability of each symbol after its context."""
@@ -157,9 +161,9 @@ class Trie:
             options = np.where(there, level.kinds[context] - kinds, 0) if len(level.total) else np.zeros(len(rest))
             at = _index(level.keys, text)
             seen = at >= 0
-            out[rest[seen]] += np.log10(level.counts[at[seen]] / (total + options)[seen])
+            out[rest[seen]] += np.log10((level.counts[at[seen]] - 0.5) / total[seen])
             escaped = there & ~seen & (options > 0)
-            out[rest[escaped]] += np.log10(options[escaped] / (total + options)[escaped])
+            out[rest[escaped]] += np.log10(options[escaped] / (2 * total[escaped]))
             covered = np.where(there, level.covered[context], covered) if len(level.total) else covered
             kinds = np.where(there, level.kinds[context], kinds) if len(level.total) else kinds
             left = ~seen
