@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat, decontaminate, mixing, pii, ppm, sharding, toxicity, warc
+from scrubline.llm import chat, decontaminate, mixing, ngram_join, pii, ppm, sharding, toxicity, warc
 from scrubline.llm.common import held_out
 
 QUERIES = {}
@@ -46,6 +46,22 @@ FROM both_of WHERE n_shared * 5 >= n_item * 4
 """
 
 
+@query
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: the group of each."""
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
+SQL["op2_ngram_join"] = f"""
+WITH RECURSIVE d AS ({SHINGLES.format(id="doc_id", table="documents")}),
+held AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM d),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b USING (h) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT p.a, r.c FROM reach r JOIN pairs p ON p.b = r.doc_id)
+SELECT doc_id, len(s) AS n_shingles, (SELECT min(c) FROM reach WHERE reach.doc_id = d.doc_id) AS component_id FROM d
+"""
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learned from the labelled rows outside fold 0 of 5."""
