@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat, decontaminate, mixing, ngram_join, pii, ppm, sharding, toxicity, warc
+from scrubline.llm import chat, decontaminate, mixing, multi_index, ngram_join, pii, ppm, sharding, toxicity, warc
 from scrubline.llm.common import held_out
 
 QUERIES = {}
@@ -97,6 +97,24 @@ FROM b
 """
 
 
+@query
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all embeddings, whatever their labels."""
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op5_near_vectors"] = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN embedding IF x <> 0]) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT p.a, r.c FROM reach r JOIN pairs p ON p.b = r.vec_id),
+named AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM named
+"""
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
