@@ -24,7 +24,9 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: Rows, bytes of each, and bytes of the dictionary that compression is tuned on.
-SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 1 << 16, 1 << 15
+SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 1 << 14, 1 << 15
+#: A frame is fed to its decoder in pieces of so many bytes.
+PIECE = 1 << 13
 #: A file is closed once it has so many compressed bytes.
 FILE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -82,12 +84,14 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
     reader = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     view = memoryview(data)
     while at < len(data):
-        frame = reader.decompressobj()
-        content = frame.decompress(view[at:])
+        frame, start, content = reader.decompressobj(), at, []
+        while not frame.eof and at < len(data):
+            content.append(frame.decompress(view[at:at + PIECE]))
+            at += PIECE
         if not frame.eof:
-            raise ValueError(f"the frame at {at} is cut off")
-        yield at, content
-        at = len(data) - len(frame.unused_data)
+            raise ValueError(f"the frame at {start} is cut off")
+        yield start, b"".join(content)
+        at = min(at, len(data)) - len(frame.unused_data)
 
 
 def parse_record(content: bytes) -> tuple:
