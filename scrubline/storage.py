@@ -19,8 +19,40 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
+_open_scratches: list[Scratch] = []
+
+
+class Scratch:
+    """Notes the paths made while it is open, so that they can be deleted once nothing reads them.
+
+        with Scratch() as scratch:
+            result = clean(raw)
+        result.df.write.parquet(target)
+        scratch.release(spark)
+    """
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        _open_scratches.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _open_scratches.remove(self)
+
+    def release(self, spark: SparkSession) -> None:
+        """Delete what was stored; tables that still read it fail from then on."""
+        while self.paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for scratch in _open_scratches:
+        scratch.paths.append(path)
+    return path
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
