@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrubline.llm.common import fresh
 from scrubline.llm.tokens import shingle_sets, shingle_texts
 from scrubline.storage import write_table
 
@@ -146,5 +147,6 @@ def contaminated(
 
 def without_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is not found to hold an item."""
-    bad = contaminated(docs, items, doc_id, text).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(write_table(bad, "contaminated"), F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    name = fresh(docs, "_bad")
+    bad = contaminated(docs, items, doc_id, text).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(write_table(bad, "contaminated"), F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")

@@ -184,13 +184,13 @@ def whole_documents(docs: DataFrame, **options) -> DataFrame:
         F.countDistinct(F.when(F.col("words") > 0, F.col("epoch"))).alias("_copies")
     )
     source = options.get("source", "source")
-    sized = docs.withColumn("_size", word_count(F.col(text)))
-    t = taken.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n"), "_copies"
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"),
+        F.col(source).alias("from"), word_count(F.col(text)).alias("words"),
     )
-    joined = sized.join(t, F.col(doc_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source"))
-                        & (F.col("_size") == F.col("_n")), "left")
-    copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.coalesce("_copies", F.lit(0)).cast("int"))
-    return joined.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
+    joined = rows.join(
+        taken, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source"))
+        & (F.col("words") == F.col("size")), "left",
     )
+    copies = F.when(F.col("words") == 0, F.lit(1)).otherwise(F.coalesce("_copies", F.lit(0)).cast("int"))
+    return joined.where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies))).select("row.*")

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import components
+from scrubline.llm.common import WORD, components, fresh
 from scrubline.llm.tokens import mix, shingle_sets
 from scrubline.storage import write_table
 
@@ -328,14 +328,14 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Rows without a set stay, and so do rows without an id whose group has no id.
     """
     groups = near_copies(docs, doc_id, text)
-    losers = groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(losers, F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
-    counted = groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    if not counted.limit(1).count():
+    name, nth = fresh(docs, "_loser"), fresh(docs, "_nth")
+    losers = groups.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    left = docs.join(losers, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")
+    repeated = groups.where("n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.limit(1).count():
         return left
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.xxhash64(text), F.col(text)))
-    return left.withColumn("_nth", nth).where(
-        (F.col("_nth") == 1) | F.col(doc_id).isNull() | (F.trim(F.coalesce(F.col(text), F.lit(""))) == "")
-    ).drop("_nth")
+    has_words = F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    window = Window.partitionBy(doc_id, has_words).orderBy(F.xxhash64(text), F.col(text))
+    return left.withColumn(nth, F.row_number().over(window)).where(
+        (F.col(nth) == 1) | F.col(doc_id).isNull() | ~has_words
+    ).drop(nth)

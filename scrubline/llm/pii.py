@@ -144,14 +144,14 @@ def find_pii(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS)
     other columns stay (those named ``pii_<kind>`` are replaced). Account numbers (``iban``) overlap
     no span of the other kinds that was found first. Column expressions only, no shuffle.
     """
-    found = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    found = found.withColumns({f"pii_{k.name}": spans_of(F.col("_text"), k) for k in kinds})
+    body = F.coalesce(F.col(text), F.lit(""))
+    found = df.withColumns({f"pii_{k.name}": spans_of(body, k) for k in kinds})
     names = [k.name for k in kinds]
     if "iban" in names and len(names) > 1:
         others = F.concat(*[F.col(f"pii_{n}") for n in names if n != "iban"])
         found = found.withColumn("pii_iban", F.filter("pii_iban", lambda s: ~F.exists(
             others, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))))
-    return found.drop("_text")
+    return found
 
 
 def span_list(*arrays: Column) -> Column:

@@ -264,13 +264,16 @@ def score_texts(
     """
     spark = docs.sparkSession
     results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    source = docs.withColumn("_train", F.coalesce(train, F.lit(False)))
-    kept = [f for f in docs.schema if f.name not in (*results, text)]
-    counts = write_table(count_strings_and_words(source, "_train", text, order), "counts")
+    kept = [c for c in docs.columns if c not in (*results, text)]
+    source = docs.select(
+        F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"),
+        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"),
+    )
+    counts = write_table(count_strings_and_words(source, "train", "text", order), "counts")
     words = counts.where("kind = 'w'").select("key", "n")
     in_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     texts, others = source.agg(
-        F.coalesce(F.sum(F.col("_train").cast("int")), F.lit(0)), F.count(F.lit(1))
+        F.coalesce(F.sum(F.col("train").cast("int")), F.lit(0)), F.count(F.lit(1))
     ).first()
     total, kinds = in_words + texts, distinct + (1 if texts else 0)
     norm = total + 0.1 * (kinds + 1)
@@ -289,10 +292,9 @@ def score_texts(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, hot, hot_counts = shared.value
         trie.prepare()
-        names = ["_key", "tokens", "known", "base", "score", "segment", "keys", "counts", "words"]
+        names = ["key", "tokens", "known", "base", "score", "segment", "keys", "counts", "words", "row"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(),
                  pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-        own = [f.name for f in kept]
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for start, end, data, offsets in text_chunks(batch.column(1)):
@@ -309,8 +311,8 @@ def score_texts(
                     pa.array(ids[start:end]), pa.array(np.diff(first) + 1),
                     pa.array((n_known + (texts > 0)).astype(np.int64)), pa.array(base), pa.array(score),
                     *[pa.nulls(end - start, t) for t in types[5:]],
-                    *[c.slice(start, end - start) for c in batch.columns[2:]],
-                ], names + own)
+                    batch.column(2).slice(start, end - start),
+                ], names)
                 h, owner = h[~known], owner[~known]
                 segment = ((h >> np.uint64(40)) * np.uint64(segments) >> np.uint64(24)).astype(np.int32)
                 order_of = np.lexsort((owner, segment))
@@ -326,17 +328,14 @@ def score_texts(
                     yield pa.RecordBatch.from_arrays([
                         *[pa.nulls(len(rows), t) for t in types[:5]],
                         *[pa.array([r[i] for r in rows], types[5 + i]) for i in range(4)],
-                        *[pa.nulls(len(rows), c.type) for c in batch.columns[2:]],
-                    ], names + own)
+                        pa.nulls(len(rows), batch.column(2).type),
+                    ], names)
 
     # The table is stored, so the keys hold although a task may be repeated.
-    keyed = source.select(
-        F.monotonically_increasing_id().alias("_key"), F.col(f"`{text}`"), *[F.col(f"`{f.name}`") for f in kept]
-    )
-    stored = write_table(keyed.mapInArrow(read, ", ".join([
-        "_key long, tokens long, known long, base double, score double, segment int, keys array<long>, "
-        "counts array<int>, words binary", *[f"`{f.name}` {f.dataType.simpleString()}" for f in kept],
-    ])), "scores")
+    keyed = source.select(F.monotonically_increasing_id().alias("key"), "text", "row")
+    stored = write_table(keyed.mapInArrow(
+        read, "key long, tokens long, known long, base double, score double, segment int, keys array<long>, "
+        f"counts array<int>, words binary, row {dict(keyed.dtypes)['row']}"), "scores")
     vocabulary = words.where(F.col("n") * COMMON < in_words).select(
         F.shiftright(
             F.shiftrightunsigned("key", 40).cast("long") * F.lit(segments).cast("long"), 24
@@ -366,9 +365,9 @@ def score_texts(
         vocabulary.groupBy("segment")
     ).applyInArrow(look_up, "key long, base double, known long")
     rare = rare.groupBy("key").agg(F.sum("base").alias("_base"), F.sum("known").alias("_known"))
-    scores = stored.where("segment is null").join(rare, F.col("_key") == F.col("key"), "left")
+    scores = stored.where("segment is null").join(rare, "key", "left")
     return scores.select(
-        *[F.col(f"`{f.name}`") for f in kept], F.col("tokens").alias("n_tokens"),
+        *[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("tokens").alias("n_tokens"),
         (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score",

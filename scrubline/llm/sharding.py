@@ -124,42 +124,34 @@ def plan_transfers(
     return Resharding(moves, [], flow, shards), sorted(set(too_large))
 
 
-def plan_resharding(
-    df: DataFrame, text: str, old_shard: Column, old_shards: int = OLD_SHARDS, shards: int = NEW_SHARDS
-) -> Resharding:
-    """Sum up the blocks of ``df`` and plan their transfers.
+def plan_resharding(rows: DataFrame, old_shards: int = OLD_SHARDS, shards: int = NEW_SHARDS) -> Resharding:
+    """Sum up the blocks of ``rows`` (size, old, block, hash) and plan their transfers.
 
     A block is a range of text hashes of an old shard, so equal texts move together. What the driver
     holds is bounded by the number of blocks, old_shards * BLOCKS, whatever the data. A block that
     fits nowhere, such as one text with a third of all rows, is summed up again in SUB_BLOCKS parts by
     the hash of its rows; at most shards / SLACK blocks are large enough for that.
     """
-    keyed = with_blocks(df, text, old_shard, [])
-    counted = keyed.groupBy("_old", "_block").agg(F.sum("_size").alias("n")).collect()
-    whole = {(r["_old"], r["_block"], 0): r["n"] for r in counted}
+    counted = rows.groupBy("old", "block").agg(F.sum("size").alias("n")).collect()
+    whole = {(r["old"], r["block"], 0): r["n"] for r in counted}
     plan, cut = plan_transfers(whole, old_shards, shards)
     if cut:
-        parts = with_blocks(df, text, old_shard, cut).where("_part > 0")
-        found = parts.groupBy("_old", "_block", "_part").agg(F.sum("_size").alias("n")).collect()
+        parts = with_parts(rows, cut).where("part > 0")
+        found = parts.groupBy("old", "block", "part").agg(F.sum("size").alias("n")).collect()
         pieces = {k: n for k, n in whole.items() if k[:2] not in set(cut)}
-        pieces.update({(r["_old"], r["_block"], r["_part"]): r["n"] for r in found})
+        pieces.update({(r["old"], r["block"], r["part"]): r["n"] for r in found})
         plan, _ = plan_transfers(pieces, old_shards, shards)
         plan.cut = cut
     return plan
 
 
-def with_blocks(df: DataFrame, text: str, old_shard: Column, cut: list[tuple[int, int]]) -> DataFrame:
-    """``df`` with _size, _old, _block, and _part, which is 0 but for the blocks to be cut."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def with_parts(rows: DataFrame, cut: list[tuple[int, int]]) -> DataFrame:
+    """``rows`` with the part of their block, which is 0 but for the blocks to be cut."""
     part = F.lit(0)
     if cut:
-        is_cut = F.struct("_old", "_block").isin([F.struct(F.lit(a), F.lit(b)) for a, b in cut])
-        rows = F.xxhash64(F.lit(7), *[c for c, t in df.dtypes if not t.startswith("map")])
-        part = F.when(is_cut, 1 + F.pmod(rows, F.lit(SUB_BLOCKS)).cast("int")).otherwise(0)
-    return df.withColumns({
-        "_size": text_bytes(F.col(text)), "_old": old_shard.cast("int"),
-        "_block": F.pmod(F.shiftright(F.xxhash64(F.lit(3), body), 8), F.lit(BLOCKS)).cast("int"),
-    }).withColumn("_part", part)
+        is_cut = F.struct("old", "block").isin([F.struct(F.lit(a), F.lit(b)) for a, b in cut])
+        part = F.when(is_cut, 1 + F.pmod(F.shiftright("hash", 20), F.lit(SUB_BLOCKS)).cast("int")).otherwise(0)
+    return rows.withColumn("part", part)
 
 
 def by_text(text: str, shards: int = OLD_SHARDS) -> Column:
@@ -169,7 +161,7 @@ def by_text(text: str, shards: int = OLD_SHARDS) -> Column:
 
 def reshard(
     df: DataFrame, text: str = "text", old_shard: Column | None = None,
-    old_shards: int = OLD_SHARDS, shards: int = NEW_SHARDS, part_bytes: int = 8 << 20,
+    old_shards: int = OLD_SHARDS, shards: int = NEW_SHARDS, piece_bytes: int = 4 << 20,
 ) -> DataFrame:
     """``df`` in new shards: its columns and ``shard``, ``old_shard``, ``slot``.
 
@@ -180,39 +172,41 @@ def reshard(
 
     Equal texts stay together unless they fit in no shard. Null and empty texts count 1 byte; equal
     rows are rows of their own. An empty table gives no rows. Columns of ``df`` named shard, old_shard
-    or slot are replaced. Rows are numbered in parts of about ``part_bytes``, so no shard is ever
+    or slot are replaced. Rows are numbered in pieces of about ``piece_bytes``, so no shard is ever
     gathered in one task.
     """
     spark = df.sparkSession
     old_shard = by_text(text, old_shards) if old_shard is None else old_shard
-    df = df.withColumn("_was", old_shard).drop("shard", "old_shard", "slot").withColumnRenamed("_was", "old_shard")
-    old = F.col("old_shard")
-    columns = [f"`{c}`" for c in df.columns]
-    plan = plan_resharding(df, text, old, old_shards, shards)
+    kept = [c for c in df.columns if c not in ("shard", "old_shard", "slot")]
+    body = F.coalesce(F.col(text), F.lit(""))
+    plain = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text_bytes(F.col(text)).alias("size"),
+        old_shard.cast("int").alias("old"),
+        F.pmod(F.shiftright(F.xxhash64(F.lit(3), body), 8), F.lit(BLOCKS)).cast("int").alias("block"),
+        F.xxhash64(*plain).alias("hash"),
+    )
+    plan = plan_resharding(rows, old_shards, shards)
     moves = spark.createDataFrame(
-        [(*k, j) for k, j in sorted(plan.moves.items())], "_old int, _block int, _part int, shard int"
+        [(*k, j) for k, j in sorted(plan.moves.items())], "old int, block int, part int, shard int"
     )
     # One row a block: the number of blocks is fixed, so the map is small whatever the data.
-    placed = with_blocks(df, text, old, plan.cut).join(F.broadcast(moves), ["_old", "_block", "_part"])
+    placed = with_parts(rows, plan.cut).join(F.broadcast(moves), ["old", "block", "part"])
     mean = sum(plan.flow.values()) / shards
-    parts = max(1, int(-(-mean // part_bytes)))
-    keyed = placed.withColumn("_piece", F.pmod(
-        F.xxhash64(F.lit(11), *[c for c, t in placed.dtypes if not t.startswith("map")]), F.lit(parts)
-    ).cast("int"))
-    inside = Window.partitionBy("shard", "_piece").orderBy("_block", "_part", F.xxhash64(text), "_size")
-    numbered = keyed.withColumn("_row", F.row_number().over(inside) - 1).select(
-        *columns, "shard", "_piece", "_row"
-    )
+    pieces = max(1, int(-(-mean // piece_bytes)))
+    placed = placed.withColumn("piece", F.pmod("hash", F.lit(pieces)).cast("int"))
+    inside = Window.partitionBy("shard", "piece").orderBy("block", "part", "hash")
+    numbered = placed.withColumn("at", F.row_number().over(inside) - 1).select("row", "old", "piece", "at", "shard")
     touched = sorted(plan.affected)
     path = new_path(spark, "shards")
     (numbered.where(F.col("shard").isin(touched)) if touched else numbered.limit(0)).write.partitionBy("shard").parquet(path)
     stored = spark.read.schema(numbered.schema).parquet(path).select(numbered.columns)
     if len(touched) < shards:
         stored = stored.unionByName(numbered.where(~F.col("shard").isin(touched)))
-    counts = stored.groupBy("shard", "_piece").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select("shard", "_piece", F.coalesce(F.sum("_n").over(
-        Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    ), F.lit(0)).alias("_start"))
-    return stored.join(starts, ["shard", "_piece"]).select(
-        *columns, "shard", (F.col("_start") + F.col("_row")).alias("slot")
+    counts = stored.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("shard", "piece", F.coalesce(F.sum("n").over(
+        Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    ), F.lit(0)).alias("start"))
+    return stored.join(starts, ["shard", "piece"]).select(
+        "row.*", F.col("old").alias("old_shard"), "shard", (F.col("start") + F.col("at")).alias("slot")
     )

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrubline.llm.common import fresh
 from scrubline.llm.tokens import text_chunks, word_hashes
 
 #: Terms are hashed into 2**TERM_BITS places.
@@ -175,8 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str
 def score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 in column ``to``, from whole texts; null is empty."""
     kept = [c for c in docs.columns if c != to]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != to]
-    at_text = kept.index(text)
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in kept if c != text]).alias("row")
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most 2**TERM_BITS terms
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,12 +184,16 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", to: str = "scor
         at = m.lookup()
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for start, rows, starts in document_terms(batch.column(at_text), at):
+            for start, rows, starts in document_terms(batch.column(0), at):
                 logit = m.logits(rows, starts)
                 scores[start:start + len(logit)] = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*kept, to])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], ["text", "row", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(apply, ", ".join([*fields, f"`{to}` double"]))
+    rows = docs.select(F.col(f"`{text}`").alias("text"), rest)
+    scored = rows.mapInArrow(apply, f"text string, row {dict(rows.dtypes)['row']}, score double")
+    return scored.select(
+        *[F.col("text" if c == text else f"row.`{c}`").alias(c) for c in kept], F.col("score").alias(to)
+    )
 
 
 def score_toxicity(
@@ -210,5 +214,6 @@ def score_toxicity(
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``."""
-    scored = score_toxicity(docs, labels, to="_toxicity", **options)
-    return scored.where(F.col("_toxicity") < threshold).drop("_toxicity")
+    to = fresh(docs, "_toxicity")
+    scored = score_toxicity(docs, labels, to=to, **options)
+    return scored.where(F.col(to) < threshold).drop(to)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubline.storage import new_path, write_table
@@ -191,8 +191,6 @@ def write_archives(
     repeated = rows.where(eligible & F.col("record_id").isNotNull()).groupBy("_digest", "record_id").agg(
         F.count(F.lit(1)).alias("_same")).where("_same > 1")
     if repeated.limit(1).count():
-        from pyspark.sql import Window
-
         nth = F.row_number().over(Window.partitionBy("_first", "record_id").orderBy("url"))
         top = joined.where(F.col("record_id") == F.col("_first")).withColumn("_nth", nth)
         rest = joined.where(F.col("_first").isNull() | F.col("record_id").isNull() | (F.col("record_id") != F.col("_first")))
