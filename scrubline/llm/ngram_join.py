@@ -23,6 +23,8 @@ PARTS = 8
 PIVOT_ROUNDS = 3
 #: A fragment's shingles are told apart by so many bytes, so all are by 40 bits and the fragment.
 BYTES = 5
+#: Words of 64 bits in the sign of a set.
+WORDS = 4
 _LOW = np.uint64((1 << 40) - 1)
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -163,10 +165,12 @@ def _shared(segments: DataFrame, buckets: int) -> DataFrame:
 
 
 def _survivors(shared: DataFrame, fragments: int) -> DataFrame:
-    """(key, n, part, tokens, prefix): the sets with enough shared shingles to link to any other.
+    """(key, n, lone, part, tokens, prefix, bits): sets with enough shared shingles to link to others.
 
-    ``tokens`` are their shared shingles of a part; ``prefix`` is the start of their global order,
-    rarest first, in which a set must meet each set it links to; it stands in one row of a set.
+    ``lone`` is the number of shingles no other set has; ``tokens`` are the shared ones of a part; ``prefix`` is the start of their global order,
+    rarest first, in which a set must meet each set it links to; ``bits`` says of each of WORDS * 64
+    hash values whether the set has an odd number of shared shingles with it. Both stand in one row of
+    a set.
     """
     def run(table: pa.Table) -> pa.Table:
         keys, sizes = _joined(table, "keys", np.int64), _joined(table, "sizes", np.int32).astype(np.int64)
@@ -190,18 +194,22 @@ def _survivors(shared: DataFrame, fragments: int) -> DataFrame:
         ends = np.concatenate([starts[1:], [len(token)]]).astype(int)
         rare = np.lexsort((token, sets, owner))
         first = np.searchsorted(owner[rare], np.arange(len(own)))
+        place = (mix(token) >> np.uint64(58)).astype(np.int64) + 64 * (token % np.uint64(WORDS)).astype(np.int64)
+        odd = np.bincount(owner * WORDS * 64 + place, minlength=len(own) * WORDS * 64) % 2
+        bits = np.packbits(odd.astype(np.uint8)).view("<i8").reshape(len(own), WORDS)
         rows, last = [], -1
         for a, z in zip(starts, ends):
             d = owner[order[a]]
             prefix = token[rare[first[d]:first[d] + length[d]]].view(np.int64) if d != last else []
+            sign = bits[d] if d != last else []
             last = d
-            rows.append((own[d], n[d], by_place[a] % PARTS, packed_long(token[order[a:z]]), prefix))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+            rows.append((own[d], n[d], n[d] - held[d], by_place[a] % PARTS, packed_long(token[order[a:z]]), prefix, sign))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 2]
         return pa.table({c: pa.array([r[i] for r in rows], kinds[i]) for i, c in enumerate(
-            ("key", "n", "part", "tokens", "prefix"))})
+            ("key", "n", "lone", "part", "tokens", "prefix", "bits"))})
 
     return shared.groupBy("bucket").applyInArrow(
-        run, "key long, n long, part int, tokens binary, prefix array<long>"
+        run, "key long, n long, lone long, part int, tokens binary, prefix array<long>, bits array<long>"
     )
 
 
@@ -241,45 +249,52 @@ def linked_sets(tokens: DataFrame) -> DataFrame:
     """(node, root): the sets of ``tokens`` that link to others, and a root for each component.
 
     Sets with a common prefix shingle may link. First each shingle's sets are compared with one of
-    them, chosen alike for all shingles; what links becomes one component, and shingles whose sets
-    are all in one are done. After a few such rounds what is left in different components is compared
-    in full. A group of copies, however large, is thus compared a few times its size, while no pair
-    that could join two components is left out.
+    them, the one with the fewest shingles of its own, which is the nearest to what the others are
+    copies of. What links becomes one component, and shingles whose sets are all in one are done. After
+    a few such rounds what is left in different components is compared in full. A group of copies,
+    however large, is thus compared a few times its size, while no pair that could join two components
+    is left out.
     """
     spark = tokens.sparkSession
     postings = write_table(tokens.where(F.size("prefix") > 0).select(
-        F.explode("prefix").alias("token"), "key", "n"), "postings")
-    similar = (
-        (F.col("n_a") * DENOMINATOR >= F.col("n_b") * NUMERATOR)
-        & (F.col("n_b") * DENOMINATOR >= F.col("n_a") * NUMERATOR)
-    )
+        F.explode("prefix").alias("token"), "key", "n", "lone"), "postings")
+    # The overlap is at most what either set shares with any other.
+    most = F.least(F.col("n_a") - F.col("lone_a"), F.col("n_b") - F.col("lone_b"))
+    possible = most * (NUMERATOR + DENOMINATOR) >= (F.col("n_a") + F.col("n_b")) * NUMERATOR
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("key", "n", "lone", "root")]
     tested, links, roots = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
         placed = postings.withColumn("root", F.col("key")) if roots is None else postings.join(
             roots, F.col("key") == F.col("node"), "left"
-        ).select("token", "key", "n", F.coalesce("root", F.col("key")).alias("root"))
-        rank = [F.xxhash64("root", F.lit(turn)), F.xxhash64("key", F.lit(turn))]
+        ).select("token", "key", "n", "lone", F.coalesce("root", F.col("key")).alias("root"))
+        # Later rounds try others of the sets with few shingles of their own.
+        rank = F.col("lone") * (64 + turn * F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(64)))
         lists = placed.groupBy("token").agg(
-            F.min(F.struct(rank[0].alias("r"), rank[1].alias("s"), "key", "n", "root")).alias("p"),
-            F.min("root").alias("_low"), F.max("root").alias("_high"),
-        ).where("_low <> _high")
+            F.min(F.struct(rank.alias("r"), F.xxhash64("key").alias("s"), "key", "n", "lone", "root")).alias("p"),
+            F.min("root").alias("low"), F.max("root").alias("high"),
+        ).where("low <> high")
+        right = placed.select("token", *side("b"))
         if turn < PIVOT_ROUNDS:
-            pairs = placed.join(lists.select("token", "p"), "token").where(F.col("root") != F.col("p.root")).select(
-                F.col("p.key").alias("a"), F.col("key").alias("b"), F.col("p.n").alias("n_a"), F.col("n").alias("n_b"))
+            left = lists.select("token", "p.*").select("token", *side("a"))
+            pairs = left.join(right, "token").where(F.col("root_a") != F.col("root_b"))
         else:
-            open_lists = write_table(placed.join(lists.select("token"), "token", "left_semi"), "open")
-            left = open_lists.select("token", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("_ra"))
-            right = open_lists.select("token", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("_rb"))
-            pairs = left.join(right, "token").where("a < b and _ra <> _rb")
-        pairs = pairs.where(similar).select("a", "b", "n_a", "n_b").distinct()
+            # Each bit in which two sets differ is a shingle that only one of them has.
+            bits = tokens.where(F.size("bits") > 0).select("key", *[F.col("bits")[i].alias(f"bit{i}") for i in range(WORDS)])
+            still = write_table(placed.join(lists.select("token"), "token", "left_semi").join(bits, "key"), "open")
+            both = [still.select("token", *side(k), *[F.col(f"bit{i}").alias(f"bit{i}_{k}") for i in range(WORDS)]) for k in "ab"]
+            differ = F.col("lone_a") + F.col("lone_b")
+            for i in range(WORDS):
+                differ = differ + F.bit_count(F.col(f"bit{i}_a").bitwiseXOR(F.col(f"bit{i}_b")))
+            pairs = both[0].join(both[1], "token").where("key_a < key_b and root_a <> root_b").where(
+                differ * (NUMERATOR + DENOMINATOR) <= (F.col("n_a") + F.col("n_b")) * (DENOMINATOR - NUMERATOR))
+        pairs = pairs.where(possible).select(
+            F.col("key_a").alias("a"), F.col("key_b").alias("b"), "n_a", "n_b").distinct()
         if tested is not None:
             known = tested.select(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y"))
             pairs = pairs.join(
                 known, (F.least("a", "b") == F.col("_x")) & (F.greatest("a", "b") == F.col("_y")), "left_anti")
         pairs = write_table(pairs, "pairs")
         if not pairs.limit(1).count():
-            if turn < PIVOT_ROUNDS - 1 and turn >= 0 and tested is None:
-                break
             continue
         found = write_table(_links(pairs, tokens), "links")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))

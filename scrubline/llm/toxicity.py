@@ -69,7 +69,7 @@ def document_terms(column, at: np.ndarray | None = None) -> Iterator[tuple[int,
 
 def fit_machine(
     terms: list[np.ndarray], labels: np.ndarray, factors: int = 8, epochs: int = 12, rate: float = 0.05,
-    decay: float = 2e-4, min_documents: int = 5, max_terms: int = 4096, batch: int = 256, seed: int = 7,
+    decay: float = 2e-4, min_documents: int = 2, max_terms: int = 4096, seed: int = 7,
 ) -> Machine:
     """Logistic loss, minimized by AdaGrad in shuffled batches.
 
@@ -89,6 +89,7 @@ def fit_machine(
     if not len(known) or labels.min(initial=1) == labels.max(initial=0):
         return Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
     rng = np.random.Generator(np.random.PCG64(seed))
+    batch = int(np.clip(len(labels) // 64, 4, 256))  # small samples take as many steps
     w, v = np.zeros(len(known)), rng.normal(0, 0.01, (len(known), factors))
     gw, gv, gb = np.full(len(known), 1e-3), np.full(v.shape, 1e-3), 1e-3
     at = np.full(1 << TERM_BITS, -1, dtype=np.int64)
@@ -112,7 +113,7 @@ def fit_machine(
             dw = np.bincount(inverse, e, len(used)) + decay * w[used]
             pull = e[:, None] * (sums[owner] - vr)
             dv = np.stack([np.bincount(inverse, pull[:, f], len(used)) for f in range(v.shape[1])], 1)
-            dv += decay * v[used]
+            dv = dv + decay * v[used]
             gw[used] += dw * dw
             gv[used] += dv * dv
             w[used] -= rate * dw / np.sqrt(gw[used])
