@@ -292,9 +292,8 @@ def score_texts(
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, hot, hot_counts = shared.value
         trie.prepare()
-        names = ["key", "tokens", "known", "base", "score", "segment", "keys", "counts", "words", "row"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(),
-                 pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+        names = ["chunk", "tokens", "known", "base", "score", "segment", "docs", "counts", "words", "row"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), *[pa.binary()] * 3]
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for start, end, data, offsets in text_chunks(batch.column(1)):
@@ -308,9 +307,9 @@ def score_texts(
                 base = np.bincount(owner[known], logs(hot_counts[where[known]]), end - start)
                 base = base + logs(np.float64(texts))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[start:end]), pa.array(np.diff(first) + 1),
+                    pa.array(np.full(end - start, ids[start])), pa.array(np.diff(first) + 1),
                     pa.array((n_known + (texts > 0)).astype(np.int64)), pa.array(base), pa.array(score),
-                    *[pa.nulls(end - start, t) for t in types[5:]],
+                    pa.array(np.arange(end - start, dtype=np.int32)), *[pa.nulls(end - start, t) for t in types[6:]],
                     batch.column(2).slice(start, end - start),
                 ], names)
                 h, owner = h[~known], owner[~known]
@@ -323,19 +322,20 @@ def score_texts(
                     a, b = edges[s], edges[s + 1]
                     if a < b:
                         who, n = np.unique(owner[a:b], return_counts=True)
-                        rows.append((s, ids[start + who], n.astype(np.int32), h[a:b].tobytes()))
+                        rows.append((s, who.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), h[a:b].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([
-                        *[pa.nulls(len(rows), t) for t in types[:5]],
+                        pa.array([ids[start]] * len(rows), pa.int64()), *[pa.nulls(len(rows), t) for t in types[1:5]],
                         *[pa.array([r[i] for r in rows], types[5 + i]) for i in range(4)],
                         pa.nulls(len(rows), batch.column(2).type),
                     ], names)
 
-    # The table is stored, so the keys hold although a task may be repeated.
+    # A chunk is a run of texts, named by a number of its first; the table is stored, so the names
+    # hold although a task may be repeated.
     keyed = source.select(F.monotonically_increasing_id().alias("key"), "text", "row")
     stored = write_table(keyed.mapInArrow(
-        read, "key long, tokens long, known long, base double, score double, segment int, keys array<long>, "
-        f"counts array<int>, words binary, row {dict(keyed.dtypes)['row']}"), "scores")
+        read, "chunk long, tokens long, known long, base double, score double, segment int, docs binary, "
+        f"counts binary, words binary, row {dict(keyed.dtypes)['row']}"), "scores")
     vocabulary = words.where(F.col("n") * COMMON < in_words).select(
         F.shiftright(
             F.shiftrightunsigned("key", 40).cast("long") * F.lit(segments).cast("long"), 24
@@ -346,29 +346,41 @@ def score_texts(
         h = right.column("word").to_numpy().view(np.uint64)
         by = np.argsort(h)
         h, n = h[by], right.column("n").to_numpy()[by]
-        keys, sums, known = [], [], []
-        for who, counts, body in zip(left.column("keys"), left.column("counts"), left.column("words")):
+        sums, known = [], []
+        for counts, body in zip(left.column("counts"), left.column("words")):
             at = _index(h, np.frombuffer(body.as_buffer(), np.uint64))
             c = np.where(at >= 0, n[at], 0) if len(n) else np.zeros(len(at))
-            starts = np.concatenate([[0], np.cumsum(counts.values.to_numpy())[:-1]])
-            keys.append(who.values.to_numpy())
-            sums.append(np.add.reduceat(logs(c), starts))
-            known.append(np.add.reduceat((c > 0).astype(np.int64), starts))
-        none = not keys
+            starts = np.concatenate([[0], np.cumsum(np.frombuffer(counts.as_buffer(), np.int32))[:-1]])
+            sums.append(np.add.reduceat(logs(c), starts).tobytes())
+            known.append(np.add.reduceat((c > 0).astype(np.int32), starts).astype(np.int32).tobytes())
         return pa.table({
-            "key": pa.array([] if none else np.concatenate(keys), pa.int64()),
-            "base": pa.array([] if none else np.concatenate(sums), pa.float64()),
-            "known": pa.array([] if none else np.concatenate(known), pa.int64()),
+            "chunk": left.column("chunk"), "docs": left.column("docs"),
+            "base": pa.array(sums, pa.binary()), "known": pa.array(known, pa.binary()),
         })
 
-    rare = stored.where("segment is not null").select("segment", "keys", "counts", "words").groupBy("segment").cogroup(
-        vocabulary.groupBy("segment")
-    ).applyInArrow(look_up, "key long, base double, known long")
-    rare = rare.groupBy("key").agg(F.sum("base").alias("_base"), F.sum("known").alias("_known"))
-    scores = stored.where("segment is null").join(rare, "key", "left")
+    def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The rows of a chunk with what its rare words add, from all segments."""
+        base = left.column("base").to_numpy().copy()
+        known = left.column("known").to_numpy().copy()
+        at = left.column("segment").to_numpy()  # the place in the chunk
+        back = np.empty(len(at), np.int64)
+        back[at] = np.arange(len(at))
+        for docs, sums, n in zip(right.column("docs"), right.column("base"), right.column("known")):
+            who = back[np.frombuffer(docs.as_buffer(), np.int32)]
+            base[who] += np.frombuffer(sums.as_buffer(), np.float64)
+            known[who] += np.frombuffer(n.as_buffer(), np.int32)
+        return pa.table({
+            "tokens": left.column("tokens"), "known": pa.array(known), "base": pa.array(base),
+            "score": left.column("score"), "row": left.column("row"),
+        })
+
+    rare = stored.where("words is not null").select("segment", "chunk", "docs", "counts", "words")
+    looked_up = rare.groupBy("segment").cogroup(vocabulary.groupBy("segment")).applyInArrow(
+        look_up, "chunk long, docs binary, base binary, known binary")
+    texts_of = stored.where("words is null").select("chunk", "segment", "tokens", "known", "base", "score", "row")
+    scores = texts_of.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(
+        add_up, f"tokens long, known long, base double, score double, row {dict(keyed.dtypes)['row']}")
     return scores.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("tokens").alias("n_tokens"),
-        (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score",
+        *[F.col(f"row.`{c}`").alias(c) for c in kept], F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )
