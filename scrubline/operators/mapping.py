@@ -126,10 +126,11 @@ def suggest_missing(
     context_cols: Iterable[str],
     suggester: Suggester | None,
     row_key: str,
-    max_rows: int = 30,
+    max_rows: int | None = None,
 ) -> DataFrame:
-    """Ask for a value for the first ``max_rows`` rows (by ``row_key``) that miss ``column``.
+    """Ask for a value for every row that misses ``column``, in batches through the tasks.
 
+    With a budget only the first ``max_rows`` of them, by ``row_key``, are asked for.
     ``row_key`` must identify a row. Rows for which the suggester fails stay missing.
     """
     if suggester is None:
@@ -138,8 +139,9 @@ def suggest_missing(
     first = (
         df.where(col(column).isNull())
         .select(col(row_key).alias("__row__"), *[col(c) for c in context])
-        .orderBy("__row__").limit(max_rows)
     )
+    if max_rows is not None:
+        first = first.orderBy("__row__").limit(max_rows)
     key_type = df.schema[row_key].dataType.simpleString()
 
     def ask(batches):
@@ -157,9 +159,8 @@ def suggest_missing(
         first.mapInPandas(ask, f"__row__ {key_type}, __suggested__ string"), "suggestions"
     )
     filled = F.coalesce(col(column), F.col("__suggested__").try_cast(df.schema[column].dataType))
-    # At most max_rows rows: safe to send to every task.
     return (
-        df.join(F.broadcast(found), col(row_key) == F.col("__row__"), "left")
+        df.join(found, col(row_key) == F.col("__row__"), "left")
         .withColumn(column, filled).drop("__row__", "__suggested__")
     )
 

@@ -59,7 +59,8 @@ def _far_counts(df: DataFrame, names: list[str], moments: dict, z_thresh: float)
     aggs = []
     for i, c in enumerate(names):
         mean, std = moments[c, "mean"], moments[c, "std"]
-        far = F.abs((as_double(df, c) - mean) / std) > z_thresh if std else F.lit(False)
+        away = F.abs((as_double(df, c) - mean) / std) if std else F.lit(0.0)
+        far = ~F.isnan(away) & (away > z_thresh)  # with infinities there is no deviation
         aggs.append(F.count_if(far).alias(f"c{i}"))
     counted = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
     return rows_to_long(counted, [

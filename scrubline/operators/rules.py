@@ -13,7 +13,7 @@ from scrubline.columns import as_double, col, measure_columns, nan_to_null
 from scrubline.operators.quantiles import exact_quantiles
 from scrubline.operators.text import standardize_missing, trim_whitespace
 from scrubline.operators.typed import (
-    TypeFit, apply_casing, apply_types, cast_columns, fit_types, standardize_dates,
+    TypeFit, apply_casing, apply_casts, apply_types, fit_casts, fit_types, standardize_dates,
 )
 from scrubline.storage import write_table
 
@@ -73,7 +73,7 @@ def cap_outliers_iqr(
 class RuleFit:
     types: TypeFit
     date_columns: list[str] = field(default_factory=list)
-    type_map: dict[str, str] = field(default_factory=dict)
+    casts: dict[str, str] = field(default_factory=dict)
     caps: dict[str, tuple[float, float]] = field(default_factory=dict)
 
 
@@ -89,7 +89,7 @@ def _before_caps(df: DataFrame, fit: RuleFit) -> DataFrame:
 def apply_rules(df: DataFrame, fit: RuleFit) -> DataFrame:
     """Repeat a fitted rule layer on another table of the same columns."""
     df = _before_caps(df, fit)
-    return apply_caps(cast_columns(df, fit.type_map), fit.caps)
+    return apply_caps(apply_casts(df, fit.casts), fit.caps)
 
 
 def fit_rules(
@@ -105,8 +105,10 @@ def fit_rules(
     in the shared folder, so that no later step repeats the shuffle.
     """
     types = fit_types(standardize_missing(trim_whitespace(nan_to_null(df))), convert_currency)
-    fit = RuleFit(types, list(date_columns or ()), dict(type_map or {}))
-    df = cast_columns(_before_caps(df, fit), fit.type_map)
+    fit = RuleFit(types, list(date_columns or ()))
+    df = _before_caps(df, fit)
+    fit.casts = fit_casts(df, dict(type_map or {}))
+    df = apply_casts(df, fit.casts)
     if write:
         df = write_table(df, "deduplicated")
     fit.caps = fit_caps(df, protect=types.protected)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from scrubline.columns import agg_row, col, has_hint, numeric_columns, present
 from scrubline.functions import vocab
@@ -54,18 +57,46 @@ def standardize_dates(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.withColumns({c: date_text(col(c).cast("string"), False) for c in present(df, cols)})
 
 
-TYPE_NAMES = {"int": "bigint", "float": "double", "str": "string", "bool": "boolean"}
+TYPE_NAMES = {
+    "int": "bigint", "int64": "bigint", "int32": "int", "int16": "smallint", "int8": "tinyint",
+    "float": "double", "float64": "double", "float32": "float", "str": "string", "object": "string",
+    "category": "string", "bool": "boolean", "boolean": "boolean", "datetime": "timestamp_ntz",
+    "datetime64": "timestamp_ntz", "datetime64[ns]": "timestamp_ntz", "datetime64[us]": "timestamp_ntz",
+}
 
 
-def cast_columns(df: DataFrame, type_map: dict[str, str]) -> DataFrame:
-    """Force types; a column with any value that does not fit is left as it is."""
-    wanted = {c: TYPE_NAMES.get(t, t) for c, t in type_map.items() if c in df.columns}
-    if not wanted:
-        return df
+def fit_casts(df: DataFrame, type_map: dict[str, str]) -> dict[str, str]:
+    """The casts that all values of their column survive; the others are warned about.
+
+    Besides Spark's names of types those of TYPE_NAMES are known, in any case.
+    """
+    wanted = {}
+    for c, t in type_map.items():
+        name = TYPE_NAMES.get(t.lower(), t)
+        try:
+            DataType.fromDDL(name)
+        except ParseException:
+            warnings.warn(f"column {c!r} stays as it is: {t!r} is not a type", stacklevel=2)
+            continue
+        if c in df.columns:
+            wanted[c] = name
     bad = agg_row(df, {
         c: F.count_if(col(c).isNotNull() & col(c).try_cast(t).isNull()) for c, t in wanted.items()
-    })
-    return df.withColumns({c: col(c).try_cast(t) for c, t in wanted.items() if bad[c] == 0})
+    }) if wanted else {}
+    for c in wanted:
+        if bad[c]:
+            warnings.warn(f"column {c!r} stays as it is: {bad[c]} values are no {wanted[c]}", stacklevel=2)
+    return {c: t for c, t in wanted.items() if not bad[c]}
+
+
+def apply_casts(df: DataFrame, casts: dict[str, str]) -> DataFrame:
+    """Apply fitted casts to the columns that are there; values that do not fit become NULL."""
+    return df.withColumns({c: col(c).try_cast(t) for c, t in casts.items() if c in df.columns})
+
+
+def cast_columns(df: DataFrame, type_map: dict[str, str]) -> DataFrame:
+    """Force types; a column with any value that does not fit, or an unknown type, is left as it is."""
+    return apply_casts(df, fit_casts(df, type_map))
 
 
 def standardize_boolean(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:

@@ -47,6 +47,19 @@ def infer_types(
     return types
 
 
+def torn_lines(spark: SparkSession, path: str, options: dict) -> int:
+    """Number of lines with an open quote: an odd number of quotes that are not escaped."""
+    quote, escape = options["quote"], options["escape"]
+    if not quote:
+        return 0
+    line = F.col("value")
+    if escape and escape != quote:
+        line = F.replace(F.replace(line, F.lit(escape * 2), F.lit("")), F.lit(escape + quote), F.lit(""))
+    quotes = F.length(line) - F.length(F.replace(line, F.lit(quote), F.lit("")))
+    kept = {k: v for k, v in options.items() if k in ("lineSep", "pathGlobFilter", "recursiveFileLookup")}
+    return spark.read.options(**kept).text(path).agg(F.count_if(quotes / len(quote) % 2 == 1)).first()[0]
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -60,8 +73,16 @@ def read_csv(
     value is a number or a logical word are cast. Names with an identifier hint (phone, zip, ...)
     stay text and keep their leading zeros. Spark's own inference is not used: it would turn date
     text into dates before the cleaning rules see it.
+
+    Files are split at line breaks, so that a large one is read by many tasks. A line break inside
+    quotes would tear a record apart: if there is one, reading fails with the advice to pass
+    ``multiLine=True``, which reads such files whole.
     """
     given = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', **options}
+    if str(given.get("multiLine", False)).lower() != "true":
+        torn = torn_lines(spark, path, given)
+        if torn:
+            raise ValueError(f"{torn} lines of {path} end inside quotes: pass multiLine=True")
     raw = spark.read.options(**given).csv(path)
     tokens = tuple(na_tokens)
     text = raw.select(*[F.when(~col(c).isin(*tokens), col(c)).alias(c) for c in raw.columns])

@@ -221,3 +221,42 @@ def test_forest_without_measures(spark):
     assert column(sl.flag_outliers_isolation_forest(df), OUTLIER_FLAG) == [False]
     nulls = spark.createDataFrame([(None,)], "a double")
     assert column(sl.flag_outliers_isolation_forest(nulls), OUTLIER_FLAG) == [False]
+
+
+def test_infinities_are_no_outliers(spark):
+    df = spark.createDataFrame([(float("inf"), 1.0), (float("-inf"), 2.0), (1.0, 3.0), (2.0, 4.0)], "a double, b double")
+    assert {r["column"]: r["outlier_count"] for r in sl.profile_outliers(df).collect()} == {"a": 0, "b": 0}
+
+
+def test_casts_know_other_names_and_leave_what_does_not_fit(spark):
+    df = spark.createDataFrame([("1", "2.5", "2024-01-02", "x")], "a string, b string, c string, d string")
+    with pytest.warns(UserWarning) as said:
+        out = sl.cast_columns(df, {"a": "int64", "b": "float64", "c": "datetime64[ns]", "d": "int64", "e": "object", "b ": "nonsense"})
+    assert dict(out.dtypes) == {"a": "bigint", "b": "double", "c": "timestamp_ntz", "d": "string"}
+    assert len([w for w in said if "stays as it is" in str(w.message)]) == 2
+
+
+def test_fitted_casts_do_not_depend_on_the_next_table(spark):
+    from scrubline.operators.rules import apply_rules, fit_rules
+
+    first = spark.createDataFrame([("x1", "1"), ("x2", "2")], "note string, amount_code string")
+    later = spark.createDataFrame([("x3", "no number"), ("x4", "4")], "note string, amount_code string")
+    _, fit = fit_rules(first, type_map={"amount_code": "int64"}, write=False)
+    out = apply_rules(later, fit)
+    assert fit.casts == {"amount_code": "bigint"} and dict(out.dtypes)["amount_code"] == "bigint"
+    assert apply_rules(later.select("note"), fit).columns == ["note"]
+
+
+def test_line_breaks_in_quotes_are_not_torn(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('id,note\n1,"line one\nline two"\n2,"with ""quotes"""\n')
+    with pytest.raises(ValueError, match="multiLine=True"):
+        sl.read_csv(spark, str(path))
+    got = sl.read_csv(spark, str(path), multiLine=True).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "line one\nline two"), (2, 'with "quotes"')]
+
+
+def test_suggestions_cover_all_gaps(spark):
+    df = spark.range(200).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'x' END AS s", "id * 10 AS n")
+    out = sl.suggest_missing(df, "s", ["n"], lambda c, row: f"n{row['n']}", "id")
+    assert out.where("s IS NULL").count() == 0

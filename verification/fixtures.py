@@ -82,9 +82,7 @@ def sql_view(name: str) -> str:
 
 
 def read_table(spark, sf_dir: str, table: str):
-    """One file is one task here; a table of some size is spread over the cores, as files would be."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return df.repartition(spark.sparkContext.defaultParallelism) if df.count() > 50_000 else df
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def spark_view(spark, sf_dir: str, name: str):

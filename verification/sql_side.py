@@ -449,8 +449,8 @@ bad AS (SELECT batch FROM placed WHERE segment = 'BUILDING')""", body="""
 SELECT customer_id, CASE WHEN batch IN (SELECT batch FROM bad) THEN segment ELSE lower(trim(segment)) END AS segment, 'partial' AS status
 FROM messy_customer JOIN placed USING (segment)""")
 SQL["suggest_missing"] = with_views("messy_events", body="""
-SELECT event_id, CASE WHEN amount IS NULL AND place <= 30 AND NOT starts_with(lower(trim(event_type)), 'error') THEN user_id / 2.0::DOUBLE ELSE amount END AS amount
-FROM (SELECT *, row_number() OVER (PARTITION BY amount IS NULL ORDER BY event_id) AS place FROM messy_events)""")
+SELECT event_id, CASE WHEN amount IS NULL AND NOT starts_with(lower(trim(event_type)), 'error') THEN user_id / 2.0::DOUBLE ELSE amount END AS amount
+FROM messy_events""")
 SQL["run_mapping"] = project("messy_customer", account_status="lower(account_status)", major="lower(major)")
 
 # Everything together
