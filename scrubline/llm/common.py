@@ -50,7 +50,7 @@ def block_of(order: Column, blocks: int) -> Column:
 
 def with_running_total(
     df: DataFrame, group: str, order: str, ties: list[str], value: Column, name: str,
-    rows_per_block: int = 1 << 15,
+    rows_per_block: int = 1 << 12,
 ) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the earlier rows of the same group.
 
