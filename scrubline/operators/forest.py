@@ -1,8 +1,9 @@
 """Isolation forest: rows that random cuts separate quickly are flagged.
 
-Trees need only a few hundred rows each, so training works on a bounded random sample, one Spark
-task per group of trees. Scoring is a vectorised UDF over all rows and ships the trees, whose size
-is bounded by trees x sample, not by the table.
+Trees need only a few hundred rows each. Which ones is decided by hashes of the rows, so the draw is
+the same however the table is partitioned; each tree grows in a task of its own. Scoring is a
+vectorised UDF over all rows and ships the trees, whose size is bounded by trees x sample, not by the
+table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from scrubline.columns import OUTLIER_FLAG, as_double, measure_columns
 from scrubline.operators.quantiles import exact_quantiles
 from scrubline.storage import write_table
 
-POOL_TREES = 100  # the pool holds this many samples
+COPIES = 4096  # equal rows are numbered in runs of this many
 _EULER = 0.5772156649015329
 
 
@@ -95,47 +96,59 @@ def fit_forest(
     seed: int = 42,
     n_trees: int = 100,
     max_samples: int = 256,
-) -> tuple[ForestFit | None, DataFrame | None]:
-    """The trees and threshold, and the scored table they were fitted on."""
+) -> ForestFit | None:
+    """The trees and the threshold; none for a table without complete rows or measures."""
     names = measure_columns(df, cols)
     if not names:
-        return None, None
+        return None
     points = df.where(_complete(df, names)).select(
         *[as_double(df, c).alias(f"c{i}") for i, c in enumerate(names)]
     )
     n = points.count()
     if n == 0:
-        return None, None
-    # A uniform sample first: only then is it small enough to be put in one order and cut.
-    pool_size = POOL_TREES * max_samples
-    drawn = points.withColumn("__r__", F.rand(seed))
-    if n > pool_size:
-        share = (pool_size + 10.0 * math.sqrt(pool_size)) / n
-        drawn = drawn.where(F.col("__r__") < share)
-    pool = drawn.orderBy("__r__", *points.columns).limit(pool_size).drop("__r__").toPandas().to_numpy("float64")
-
-    sample = min(max_samples, len(pool))
+        return None
+    sample = min(max_samples, n)
     depth = math.ceil(math.log2(max(sample, 2)))
+    drawn = draw_samples(points, n, n_trees, max_samples, seed)
+    order = ["__hash__", *points.columns, "__copy__"]
 
-    def grow(batches):
-        for ids in batches:
-            grown = []
-            for t in ids["id"]:
-                rng = np.random.default_rng([seed, int(t)])
-                rows = rng.choice(len(pool), sample, replace=False)
-                grown.append(grow_tree(pool[rows], rng, depth).ravel())
-            yield pd.DataFrame({"tree": ids["id"], "nodes": grown})
-
-    spark = df.sparkSession
-    tasks = min(n_trees, spark.sparkContext.defaultParallelism)
-    grown = spark.range(0, n_trees, 1, tasks).mapInPandas(grow, "tree long, nodes array<double>")
+    def grow(key, pdf):
+        rng = np.random.default_rng([seed, int(key[0])])
+        rows = pdf.sort_values(order)[points_columns].to_numpy("float64")[:sample]
+        return pd.DataFrame({"tree": [key[0]], "nodes": [grow_tree(rows, rng, depth).ravel()]})
+
+    points_columns = points.columns
+    grown = drawn.groupBy("tree").applyInPandas(grow, "tree long, nodes array<double>")
+    # As many nodes as trees x sample at most.
     trees = [np.array(r["nodes"]).reshape(-1, 5) for r in sorted(grown.collect(), key=lambda r: r["tree"])]
     fit = ForestFit(names, trees, sample, depth)
-    # The threshold needs every score and the flag needs it again: score once and store.
-    scored = write_table(score_rows(df, fit), "forest-scores")
+    # The threshold needs every score, but only the scores: the table itself is not stored again.
+    scored = write_table(score_rows(df, fit).select("__score__"), "forest-scores")
     [threshold] = exact_quantiles(scored, {"s": F.col("__score__")}, [1.0 - contamination])["s"]
     fit.threshold = threshold
-    return fit, scored
+    return fit
+
+
+def draw_samples(points: DataFrame, n: int, n_trees: int, max_samples: int, seed: int) -> DataFrame:
+    """(tree, __hash__, columns of ``points``, __copy__): the rows each tree may grow from.
+
+    A row goes to the trees for which its hash is small; somewhat more than ``max_samples`` rows do, and
+    a tree takes those with the smallest. Equal rows are numbered to have hashes of their own: they are
+    counted first and dealt out in runs, so that no task holds all copies of a common row.
+    """
+    share = (max_samples + 10.0 * math.sqrt(max_samples)) / n
+    limit = min(int(share * 2.0**64), 2**64 - 1) - 2**63
+    counted = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("__n__"))
+    runs = counted.withColumn("__run__", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("__n__") - 1) / COPIES)
+    ))).repartition(*points.columns, "__run__")
+    first = F.col("__run__") * COPIES
+    numbered = runs.withColumn("__copy__", F.explode(F.sequence(first, F.least(first + COPIES, "__n__") - 1)))
+    chance = lambda t: F.xxhash64(F.lit(seed), t, *points.columns, "__copy__")
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: chance(t) <= F.lit(limit))
+    return numbered.withColumn("tree", F.explode(trees)).select(
+        F.col("tree").cast("long").alias("tree"), chance(F.col("tree")).alias("__hash__"), *points.columns, "__copy__"
+    )
 
 
 def score_rows(df: DataFrame, fit: ForestFit) -> DataFrame:
@@ -160,18 +173,14 @@ def apply_forest(df: DataFrame, fit: ForestFit | None) -> DataFrame:
     """Flag rows of another table by fitted trees and threshold."""
     if fit is None:
         return df.withColumn(OUTLIER_FLAG, F.lit(False))
-    return _flagged(score_rows(df, fit), fit)
-
-
-def _flagged(scored: DataFrame, fit: ForestFit) -> DataFrame:
     flag = F.coalesce(F.col("__score__") > fit.threshold, F.lit(False))
-    return scored.withColumn(OUTLIER_FLAG, flag).drop("__score__")
+    return score_rows(df, fit).withColumn(OUTLIER_FLAG, flag).drop("__score__")
 
 
 def fit_and_flag(df: DataFrame, cols=None, **params) -> tuple[DataFrame, ForestFit | None]:
     df = df.drop(OUTLIER_FLAG)
-    fit, scored = fit_forest(df, cols, **params)
-    return (apply_forest(df, None) if fit is None else _flagged(scored, fit)), fit
+    fit = fit_forest(df, cols, **params)
+    return apply_forest(df, fit), fit
 
 
 def flag_outliers_isolation_forest(
@@ -184,8 +193,8 @@ def flag_outliers_isolation_forest(
 ) -> DataFrame:
     """Add ``__is_outlier__``: the given share of complete rows that are easiest to isolate.
 
-    Incomplete rows, and all rows of a table without measures, are not flagged. The draw is
-    reproducible for the same seed and the same partitions of the input.
+    Incomplete rows, and all rows of a table without measures, are not flagged. The same seed flags
+    the same rows, however they are partitioned or ordered.
     """
     return fit_and_flag(
         df, cols, contamination=contamination, seed=seed, n_trees=n_trees, max_samples=max_samples

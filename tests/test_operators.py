@@ -259,3 +259,15 @@ def test_suggestions_cover_all_gaps(spark):
     df = spark.range(200).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'x' END AS s", "id * 10 AS n")
     out = sl.suggest_missing(df, "s", ["n"], lambda c, row: f"n{row['n']}", "id")
     assert out.where("s IS NULL").count() == 0
+
+
+def test_forest_flags_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(3000, 2)).round(1))]
+    df = spark.createDataFrame(rows + [(3000, 50.0, 50.0), (3001, None, 1.0)], "k int, a double, b double")
+    flagged = [
+        {r["k"] for r in sl.flag_outliers_isolation_forest(d, ["a", "b"], n_trees=30).where("__is_outlier__").collect()}
+        for d in (df, df.repartition(7), df.orderBy("b"))
+    ]
+    assert flagged[0] == flagged[1] == flagged[2]
+    assert 3000 in flagged[0] and 3001 not in flagged[0] and 20 < len(flagged[0]) <= 60
