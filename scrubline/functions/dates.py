@@ -50,6 +50,25 @@ SHAPES = (
 )
 
 
+# Forms that are first rewritten into one of the shapes; everything else skips that.
+UNUSUAL = (
+    r"(?i)^\s*(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\b|\d(?:st|nd|rd|th)\b|:\d{2}(?:\.\d+)?\s*(?:z|utc|gmt|[+-]\d{2}:?(?:\d{2})?)\s*$"
+    r"|^\s*\d{8}T\d{4}|^\s*(?:0?[1-9]|1[0-2])[-/]\d{4}\s*$|^\s*\d{1,2}:\d{2}|\sat\s|^\s*\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}\s*$"
+)
+REWRITES = (
+    (r"(?i)^\s*(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\b[.,]?\s*", ""),  # weekday
+    (r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b,?", "$1"),
+    (r"(?i)\s+at\s+", " "),
+    (r"(?i)(:\d{2}(?:\.\d+)?)\s*(?:z|utc|gmt|[+-]\d{2}:?(?:\d{2})?)\s*$", "$1"),  # offset: the clock stays
+    (r"(?i)^\s*(\d{8})T(\d{2})(\d{2})(\d{2})?$", "$1 $2:$3:0$4"),
+    (r":0(\d{2})$", ":$1"),
+    (r":0$", ":00"),
+    (r"^\s*(0?[1-9]|1[0-2])[-/](\d{4})\s*$", "$2-$1"),
+    (r"(?i)^\s*(\d{1,2}:\d{2}(?::\d{2})?(?: ?[ap]m)?)[\s,]+(\S.*)$", "$2 $1"),  # time first
+    (r"^\s*(\d{4}-\d{1,2}-\d{1,2})[ T](\d{1,2})\s*$", "$1 $2:00"),
+)
+
+
 def _one_pattern() -> tuple[str, str]:
     """All shapes as alternatives of one pattern. Groups of the shapes that did not match are
     empty, so writing all year groups, all month groups and all day groups gives y-m-d.
@@ -85,8 +104,23 @@ def _iso_text(c: Column) -> Column:
     return F.replace(text, F.lit("@"), F.lit(" "))
 
 
+def _rewritten(c: Column) -> Column:
+    for pattern, to in REWRITES:
+        c = F.regexp_replace(c, pattern, to)
+    return c
+
+
 def parse_datetime(c: Column) -> Column:
-    """The moment written in ``c`` (``timestamp_ntz``), NULL when unreadable."""
+    """The moment written in ``c`` (``timestamp_ntz``), NULL when unreadable.
+
+    With an offset from UTC the moment is what the clock showed: the offset is left out.
+    """
+    # The lambda holds the rewritten text, which is thus made once.
+    unusual = F.transform(F.array(_rewritten(c)), _parse_plain)[0]
+    return F.when(c.rlike(UNUSUAL), unusual).otherwise(_parse_plain(c))
+
+
+def _parse_plain(c: Column) -> Column:
     iso = F.regexp_extract(_iso_text(c), ISO, 0)  # empty, hence NULL, for any other text
     moment = F.when(c.rlike(START) & c.rlike(r"\d{2}"), iso.try_cast("timestamp_ntz"))
     afternoon = F.when(c.rlike(r"(?i)\dpm\s*$|\d pm\s*$"), F.expr("interval 12 hours"))

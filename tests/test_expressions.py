@@ -46,6 +46,20 @@ def test_times(run):
         "2023-01-05 10:30:00", "2023-01-02 22:30:00", "2023-01-02 00:05:00", None, "2023-01-05 00:00:00"]
 
 
+def test_unusual_dates(run):
+    cases = {
+        "2023-01-15T10:30:00+05:00": "2023-01-15 10:30:00", "2023-01-15 10:30:00+00:00": "2023-01-15 10:30:00",
+        "2023-01-15 10:30:00.123-0800": "2023-01-15 10:30:00", "2023-01-15T10:30Z": "2023-01-15 10:30:00",
+        "Mon, 15 Jan 2023": "2023-01-15 00:00:00", "Monday, January 16, 2023": "2023-01-16 00:00:00",
+        "5th January 2023": "2023-01-05 00:00:00", "Jan 5th, 2023": "2023-01-05 00:00:00",
+        "20230105T103000": "2023-01-05 10:30:00", "20230105T1030": "2023-01-05 10:30:00", "01/2023": "2023-01-01 00:00:00",
+        "12:15 AM 01/02/2023": "2023-01-02 00:15:00", "10:05 pm, 01/02/2023": "2023-01-02 22:05:00",
+        "5 Jan 2023 at 10:30": "2023-01-05 10:30:00", "2023-01-15 10": "2023-01-15 10:00:00",
+        "Sunday": None, "meet at 10:30": None, "10:30": None, "21st": None, "Monday at noon": None, "13/2023": None,
+    }
+    assert run(lambda c: dates.date_text(c, True), list(cases)) == list(cases.values())
+
+
 def test_title_case_is_after_every_non_letter(run):
     values = ["o'neil", "3rd", "drop-out", "hello  WORLD", "élan vital", "a1b", "", None, "x"]
     assert run(text.title_case, values) == [v.title() if v is not None else None for v in values]
