@@ -91,5 +91,4 @@ CSV_NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-KNN_ROW_LIMIT = 20_000
 # ---- end of fixed values -------------------------------------------------------------------

@@ -5,20 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.columns import agg_row, as_double, col, drop_id_like, has_hint, numeric_columns, present
 from scrubline.functions import vocab
 from scrubline.operators.detect import detect_categorical
+from scrubline.operators.neighbours import Donors, fit_donors, nearest_means
 from scrubline.operators.quantiles import exact_quantiles
 
 WHOLE_SHARE = 0.98
 WHOLE_TOLERANCE = 1e-8
-# Cells of one distance block inside a task (rows of a batch x donors).
-BLOCK_CELLS = 250_000
 
 
 @dataclass
@@ -28,8 +25,7 @@ class NumericFit:
     columns: list[str]
     whole_range: dict[str, tuple[float, float]] = field(default_factory=dict)
     medians: dict[str, float] | None = None
-    donors: np.ndarray | None = None  # rows x columns, NaN where missing
-    neighbours: int = 5
+    donors: Donors | None = None
 
 
 def _target_stats(df: DataFrame, cols: Iterable[str] | None, exclude_ids: bool) -> tuple[list[str], dict, int]:
@@ -70,77 +66,19 @@ def _with_medians(df: DataFrame, fit: NumericFit) -> NumericFit:
     return fit
 
 
-def fit_imputer(
-    df: DataFrame,
-    cols: Iterable[str] | None = None,
-    k: int = 5,
-    row_limit: int = vocab.KNN_ROW_LIMIT,
-    exclude_ids: bool = False,
+def fit_knn(
+    df: DataFrame, cols: Iterable[str] | None = None, k: int = 5, exclude_ids: bool = False
 ) -> NumericFit:
-    """Nearest neighbours up to ``row_limit`` rows, medians above."""
-    fit, rows = _fit_base(df, cols, exclude_ids)
-    if rows > row_limit:
-        return _with_medians(df, fit)
-    fit.neighbours = k
+    """Nearest neighbours, whatever the size of the table; the donors are stored."""
+    fit, _ = _fit_base(df, cols, exclude_ids)
     if fit.columns:
-        # At most row_limit rows of a few doubles: this size is what the limit is for.
-        found = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(fit.columns)])
-        fit.donors = found.toPandas().to_numpy(dtype="float64")
+        fit.donors = fit_donors(_values(df, fit.columns), k)
     return fit
 
 
-def nearest_means(rows: np.ndarray, donors: np.ndarray, k: int) -> np.ndarray:
-    """Fill the NaN cells of ``rows`` from the k nearest donors that have the value.
-
-    Distance is Euclidean over the columns both sides have, scaled up for the absent ones.
-    Ties go to the smaller donor value, so the result depends on the data alone. A row without
-    any comparable donor gets the column mean. Rows that miss the same columns share their
-    candidate donors and are worked on in blocks.
-    """
-    out = rows.copy()
-    absent = np.isnan(rows)
-    donor_has = ~np.isnan(donors)
-    step = max(1, BLOCK_CELLS // max(1, len(donors)))
-    for pattern in np.unique(absent[absent.any(axis=1)], axis=0):
-        members = np.flatnonzero((absent == pattern).all(axis=1))
-        have = np.flatnonzero(~pattern)
-        shared = donor_has[:, have].sum(axis=1)
-        for j in np.flatnonzero(pattern):
-            owners = np.flatnonzero(donor_has[:, j])
-            if not len(owners):
-                continue
-            owners = owners[np.argsort(donors[owners, j], kind="stable")]  # ties by value
-            near = owners[shared[owners] > 0]
-            if not len(near):
-                out[members, j] = donors[owners, j].mean()
-                continue
-            for start in range(0, len(members), step):
-                at = members[start:start + step]
-                distance = _distances(rows[np.ix_(at, have)], donors[np.ix_(near, have)], shared[near], rows.shape[1])
-                out[at, j] = _mean_of_nearest(distance, donors[near, j], k)
-    return out
-
-
-def _distances(points: np.ndarray, donors: np.ndarray, shared: np.ndarray, width: int) -> np.ndarray:
-    squares = np.zeros((len(points), len(donors)))
-    for j in range(points.shape[1]):
-        part = points[:, j, None] - donors[None, :, j]
-        part *= part
-        part[:, np.isnan(donors[:, j])] = 0.0
-        squares += part
-    return np.sqrt(width / shared * squares)
-
-
-def _mean_of_nearest(distance: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
-    if distance.shape[1] <= k:
-        return np.full(len(distance), values.mean())
-    limit = np.partition(distance, k - 1, axis=1)[:, k - 1, None]
-    nearer = distance < limit
-    level = distance == limit
-    spare = k - nearer.sum(axis=1, keepdims=True)
-    taken = nearer | (level & (np.cumsum(level, axis=1) <= spare))
-    # Exactly k donors per row, in donor order.
-    return values[np.nonzero(taken)[1]].reshape(len(distance), k).mean(axis=1)
+def _values(df: DataFrame, columns: list[str]) -> DataFrame:
+    # Zero has one form, so that equal rows have equal hashes.
+    return df.select(*[(as_double(df, c) + 0.0).alias(f"v{i}") for i, c in enumerate(columns)])
 
 
 def apply_numeric_fill(df: DataFrame, fit: NumericFit) -> DataFrame:
@@ -151,18 +89,15 @@ def apply_numeric_fill(df: DataFrame, fit: NumericFit) -> DataFrame:
     if fit.medians is not None:
         filled = {c: F.coalesce(as_double(df, c), F.lit(fit.medians[c])) for c in cols}
     else:
-        donors, k = fit.donors, fit.neighbours
-
-        @F.pandas_udf("array<double>")
-        def neighbours(*series: pd.Series) -> pd.Series:
-            rows = np.column_stack([s.to_numpy(dtype="float64", na_value=np.nan) for s in series])
-            return pd.Series(list(nearest_means(rows, donors, k)))
-
-        # Only the numeric columns travel to Python; all others stay where they are. There are
-        # few rows and much work per row, so they are spread over all cores.
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-        df = df.withColumn("__filled__", neighbours(*[as_double(df, c) for c in cols]))
-        filled = {c: F.col("__filled__")[i] for i, c in enumerate(cols)}
+        found = nearest_means(_values(df, cols), fit.donors)
+        keys = [f"__v{i}__" for i in range(len(cols))]
+        found = found.select(*[F.col(f"v{i}").alias(k) for i, k in enumerate(keys)], F.col("filled").alias("__filled__"))
+        # Rows with equal values are filled alike: one row of ``found`` for all of them.
+        same = F.lit(True)
+        for c, k in zip(cols, keys):
+            same = same & (as_double(df, c) + 0.0).eqNullSafe(F.col(k))
+        df = df.join(found, same, "left").drop(*keys)
+        filled = {c: F.coalesce(as_double(df, c), F.col("__filled__")[i]) for i, c in enumerate(cols)}
     df = df.withColumns(filled).drop("__filled__")
     return round_integer_like(df, fit.whole_range)
 
@@ -177,14 +112,10 @@ def round_integer_like(df: DataFrame, fitted: dict[str, tuple[float, float]]) ->
 
 
 def impute_knn(
-    df: DataFrame,
-    cols: Iterable[str] | None = None,
-    k: int = 5,
-    row_limit: int = vocab.KNN_ROW_LIMIT,
-    exclude_ids: bool = False,
+    df: DataFrame, cols: Iterable[str] | None = None, k: int = 5, exclude_ids: bool = False
 ) -> DataFrame:
-    """Fill numeric gaps from similar rows; tables above ``row_limit`` rows use the median."""
-    return apply_numeric_fill(df, fit_imputer(df, cols, k, row_limit, exclude_ids))
+    """Fill numeric gaps from the ``k`` nearest rows; ``impute_median`` is the cheap way."""
+    return apply_numeric_fill(df, fit_knn(df, cols, k, exclude_ids))
 
 
 def impute_median(

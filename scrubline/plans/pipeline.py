@@ -18,7 +18,7 @@ from scrubline.operators.detect import detect_categorical
 from scrubline.operators.forest import ForestFit, apply_forest, fit_and_flag
 from scrubline.operators.fuzzy import apply_fuzzy, fit_fuzzy
 from scrubline.operators.impute import (
-    NumericFit, apply_modes, apply_numeric_fill, fit_imputer, fit_modes,
+    NumericFit, apply_modes, apply_numeric_fill, fit_knn, fit_median, fit_modes,
 )
 from scrubline.operators.mapping import BATCH, Mapper, run_mapping
 from scrubline.operators.profile import Profile, profile_dataset
@@ -37,7 +37,7 @@ class CleaningConfig:
     fuzzy_threshold: float = 85
     fill_categorical_missing: bool = False
     neighbours: int = 5
-    knn_row_limit: int = vocab.KNN_ROW_LIMIT
+    numeric_fill: str = "knn"  # or "median"
     exclude_ids_from_imputation: bool = False
     contamination: float = 0.02
     seed: int = 42
@@ -97,10 +97,12 @@ def fit_learned(
     config: CleaningConfig = CleaningConfig(),
 ) -> tuple[DataFrame, LearnedFit]:
     """Fill numeric gaps, flag outliers, merge spellings and, if asked, fill category gaps."""
-    fill = fit_imputer(
-        df, k=config.neighbours, row_limit=config.knn_row_limit,
-        exclude_ids=config.exclude_ids_from_imputation,
-    )
+    if config.numeric_fill == "median":
+        fill = fit_median(df, exclude_ids=config.exclude_ids_from_imputation)
+    elif config.numeric_fill == "knn":
+        fill = fit_knn(df, k=config.neighbours, exclude_ids=config.exclude_ids_from_imputation)
+    else:
+        raise ValueError(f"numeric_fill is 'knn' or 'median', not {config.numeric_fill!r}")
     df = apply_numeric_fill(df, fill)
     if fill.donors is not None and fill.columns:
         df = write_table(df, "filled")  # the neighbour search is done once

@@ -1,6 +1,7 @@
 """Operators on small frames, including empty, all-NULL and skewed columns."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,9 +187,34 @@ def test_knn_matches_brute_force(spark):
     assert got == pytest.approx(brute_knn(rows, 5))
 
 
-def test_large_tables_use_the_median_and_whole_columns_stay_whole(spark):
+def test_knn_of_a_large_table_is_still_knn(spark):
+    """Beyond 20,000 rows, with a very common value, against brute force on some of the gaps."""
+    rng = np.random.default_rng(4)
+    rows = np.column_stack([rng.normal(0, 1000, 24_000), rng.integers(0, 5, 24_000), rng.normal(0, 1, 24_000)]).round(2)
+    rows[:8000, :2] = (100.0, 2.0)
+    rows[np.arange(0, 24_000, 400), rng.integers(0, 3, 60)] = np.nan
+    rows[1] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(24_000), "a": rows[:, 0], "b": rows[:, 1], "c": rows[:, 2]}))
+    df = df.select("k", *[F.nanvl(c, F.lit(None)).alias(c) for c in "abc"])
+    got = np.array([tuple(r)[1:] for r in sorted(sl.impute_knn(df, ["a", "b", "c"]).where("k % 400 = 0 or k = 1").collect())], dtype=float)
+    ids = [0, 1, *range(400, 24_000, 400)]
+    want = rows[ids].copy()
+    for at, i in enumerate(ids):
+        for j in np.flatnonzero(np.isnan(rows[i])):
+            both = ~np.isnan(rows[i]) & ~np.isnan(rows)
+            n, known = both.sum(1), ~np.isnan(rows[:, j])
+            d = np.sqrt(3 / np.maximum(n, 1) * np.where(both, (rows[i] - rows) ** 2, 0).sum(1))
+            near = np.flatnonzero(known & (n > 0))
+            near = near[np.lexsort((rows[near, j], d[near]))[:5]]
+            want[at, j] = rows[near, j].mean() if len(near) else rows[known, j].mean()
+    whole = np.isnan(rows[ids][:, 1])
+    want[whole, 1] = np.rint(want[whole, 1])
+    assert got == pytest.approx(want)
+
+
+def test_medians_and_whole_columns_stay_whole(spark):
     df = spark.createDataFrame([(1, None), (2, None), (4, None), (None, None)], "x int, y double")
-    out = sl.impute_knn(df, row_limit=3)
+    out = sl.impute_median(df)
     assert sorted(column(out, "x")) == [1.0, 2.0, 2.0, 4.0]
     assert column(out, "y") == [None] * 4  # nothing to learn from
     half = spark.createDataFrame([(0.5,), (1.5,), (2.5,), (9.0,)], "x double")

@@ -344,14 +344,14 @@ SQL["run_rule_cleaning"] = with_views("messy_customer", ctes=RULED_CUSTOMER, bod
 
 # Learned layer
 
-def knn(rel, cols, k=5, limit=20000):
-    """CTEs ending in ``filled``: rid plus the filled columns; medians above the row limit."""
+def knn(rel, cols, k=5):
+    """CTEs ending in ``filled``: rid plus the filled columns."""
     p = len(cols)
     shared = " + ".join(f"(n.{c} IS NOT NULL AND d.{c} IS NOT NULL)::INT" for c in cols)
     squares = " + ".join(f"coalesce((n.{c} - d.{c}) * (n.{c} - d.{c}), 0.0)" for c in cols)
     ctes = [
         f"r AS (SELECT row_number() OVER () AS rid, * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in cols)}) FROM {rel})",
-        f"need AS (SELECT * FROM r WHERE ({' OR '.join(f'{c} IS NULL' for c in cols)}) AND (SELECT count(*) FROM r) <= {limit})",
+        f"need AS (SELECT * FROM r WHERE ({' OR '.join(f'{c} IS NULL' for c in cols)}))",
         f"pairs AS (SELECT n.rid, {', '.join(f'n.{c} IS NULL AS need_{c}, d.{c} AS {c}' for c in cols)}, "
         f"CASE WHEN {shared} > 0 THEN sqrt({p}.0::DOUBLE / ({shared}) * ({squares})) END AS dist FROM need n, r d)",
     ]
@@ -361,7 +361,7 @@ def knn(rel, cols, k=5, limit=20000):
             f"k_{c} AS (SELECT rid, avg({c}) AS v FROM (SELECT rid, {c}, row_number() OVER (PARTITION BY rid ORDER BY dist, {c}) AS place "
             f"FROM pairs WHERE need_{c} AND {c} IS NOT NULL AND dist IS NOT NULL) WHERE place <= {k} GROUP BY rid)")
         ctes.append(
-            f"s_{c} AS (SELECT CASE WHEN count(*) > {limit} THEN median({c}) ELSE avg({c}) END AS spare, min({c}) AS low, max({c}) AS high, "
+            f"s_{c} AS (SELECT avg({c}) AS spare, min({c}) AS low, max({c}) AS high, "
             f"count(*) FILTER ({c} - floor({c}) <= 1e-8) / count({c}) >= 0.98 AS whole FROM r)")
         value = f"coalesce(r.{c}, k_{c}.v, s_{c}.spare)"
         fills.append(f"CASE WHEN s_{c}.whole THEN least(greatest(round_even({value}, 0), s_{c}.low), s_{c}.high) ELSE {value} END AS {c}")
