@@ -35,6 +35,9 @@ class CleaningConfig:
     # None: find the category columns; an empty tuple: no spelling merge at all.
     fuzzy_columns: tuple[str, ...] | None = None
     fuzzy_threshold: float = 85
+    # What counts as a category column when they are found.
+    max_unique: int = 200
+    max_avg_length: int = 40
     fill_categorical_missing: bool = False
     neighbours: int = 5
     numeric_fill: str = "knn"  # or "median"
@@ -110,7 +113,9 @@ def fit_learned(
 
     columns = present(df, fuzzy_columns or ())
     if not columns and auto_detect_fuzzy:
-        columns = detect_categorical(df)
+        columns = detect_categorical(
+            df, max_unique=config.max_unique, max_avg_length=config.max_avg_length
+        )
     spellings = None
     if columns:
         spellings = fit_fuzzy(df, columns, config.fuzzy_threshold)
