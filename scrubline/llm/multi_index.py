@@ -17,6 +17,10 @@ from scrubline.storage import write_table
 SAMPLE_VECTORS, MAX_CENTROIDS = 16_384, 1024
 #: Vectors that are compared with all rows to find how many cells a search has to visit.
 QUERIES, TARGET_RECALL, LEAST_VISITS = 512, 0.995, 4
+#: Cells a vector may visit; a grid that needs more gives way to one with a quarter of the centroids.
+MOST_VISITS = 256
+#: Queries with more links than this are judged apart, so that they do not outvote the others.
+MANY_LINKS = 64
 #: Rows of one side of a cell that are compared in one block.
 BLOCK_ROWS = 1024
 #: Rows of a task of the search.
@@ -69,6 +73,21 @@ def k_means(points: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.n
     return centers
 
 
+def thinned(unit: np.ndarray, threshold: float) -> np.ndarray:
+    """The rows without those that link with an earlier one that stays: a crowd leaves few."""
+    kept = unit[:0]
+    for at in range(0, len(unit), 512):
+        part = unit[at:at + 512]
+        if len(kept):
+            part = part[(part @ kept.T < threshold).all(1)]
+        linked, stays = part @ part.T >= threshold, np.ones(len(part), bool)
+        for i in range(len(part)):
+            if stays[i]:
+                stays[i + 1:] &= ~linked[i, i + 1:]
+        kept = np.concatenate([kept, part[stays]])
+    return kept
+
+
 def _matrix(column) -> np.ndarray:
     """Vectors of a binary column of doubles."""
     if not len(column):
@@ -100,15 +119,18 @@ def unit_vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
         run, f"vec_id {id_type}, dim int, unit binary")
 
 
-def fit_codebooks(vectors: DataFrame, n: int) -> Codebooks:
-    """Codebooks for ``n`` vectors from at most SAMPLE_VECTORS of them, the first by their key."""
+def fit_codebooks(vectors: DataFrame, k: int, threshold: float) -> Codebooks:
+    """Codebooks of at most ``k`` centroids from at most SAMPLE_VECTORS vectors, the first by their key.
+
+    Of sampled vectors that link with each other few are learned from, so that a crowd of near copies
+    does not draw centroids to itself and lies in few cells.
+    """
     sample = vectors.select("key", "unit").orderBy(F.xxhash64("key"), "key").limit(SAMPLE_VECTORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = [(k.as_py(), np.frombuffer(v.as_buffer(), np.float64)) for b in batches for k, v in zip(b.column(0), b.column(1))]
         if points:
-            x = np.stack([p[1] for p in sorted(points, key=lambda p: p[0])])
-            k = int(min(MAX_CENTROIDS, max(1, round(np.sqrt(n)))))
+            x = thinned(np.stack([p[1] for p in sorted(points, key=lambda p: p[0])]), threshold)
             half = x.shape[1] // 2
             books = [k_means(x[:, :half], k), k_means(x[:, half:], k)]
             yield pa.RecordBatch.from_arrays(
@@ -119,44 +141,55 @@ def fit_codebooks(vectors: DataFrame, n: int) -> Codebooks:
     return Codebooks(np.frombuffer(row["l"]).reshape(row["nl"], -1), np.frombuffer(row["r"]).reshape(row["nr"], -1))
 
 
-def find_visits(vectors: DataFrame, books: Codebooks, threshold: float, target: float) -> int:
+def find_visits(vectors: DataFrame, books: Codebooks, threshold: float, target: float) -> int | None:
     """How many cells to visit so that ``target`` of the links of a sample of queries are found.
 
     At most QUERIES vectors are compared with all rows in blocks. Of each link it is noted at which
-    visit one of its ends meets the cell of the other.
+    visit one of its ends meets the cell of the other. The target has to hold for queries with many
+    links and for the others; None if MOST_VISITS are too few for that, which they never are for a grid of
+    no more cells.
     """
     queries = vectors.orderBy(F.xxhash64("key", F.lit(1)), "key").limit(QUERIES).select("key", "unit").toArrow()
     q = _matrix(queries.column("unit").combine_chunks())
     names = queries.column("key").to_numpy()
-    most = int(min(len(books.left) * len(books.right), 256))
+    most = int(min(len(books.left) * len(books.right), MOST_VISITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = books.traverse(q, most)
         for batch in batches:
-            x = _matrix(batch.column(1))
-            if not len(x):
-                continue
-            a, b = np.nonzero(q @ x.T >= threshold)
-            other = names[a] != batch.column(0).to_numpy()[b]
-            a, b = a[other], b[other]
-            met = np.full(len(a), most, np.int64)
-            if len(a):
-                back = books.traverse(x[np.unique(b)], most)
-                b = np.searchsorted(np.unique(b), b)
-                for cells, own in ((seen[a], back[b, 0]), (back[b], seen[a, 0])):
-                    hit = cells == own[:, None]
-                    met = np.minimum(met, np.where(hit.any(1), hit.argmax(1), most))
-            rank, n = np.unique(met, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(rank + 1), pa.array(n)], ["visits", "n"])
-
-    found = vectors.select("key", "unit").mapInArrow(run, "visits long, n long").groupBy("visits").agg(
-        F.sum("n").alias("n")).orderBy("visits").collect()  # at most 257 rows
-    total, so_far = sum(r["n"] for r in found), 0
-    for r in found:
-        so_far += r["n"]
-        if so_far >= target * total:
-            return max(LEAST_VISITS, min(r["visits"], most))
-    return LEAST_VISITS
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = _matrix(part.column(1))
+                a, b = np.nonzero(q @ x.T >= threshold)
+                other = names[a] != part.column(0).to_numpy()[b]
+                a, b = a[other], b[other]
+                if not len(a):
+                    continue
+                ends, b = np.unique(b, return_inverse=True)
+                back = books.traverse(x[ends], most)
+                met = np.full(len(a), most, np.int64)
+                for i in range(0, len(a), 1 << 14):  # as many links at once as fit in memory
+                    some = slice(i, i + (1 << 14))
+                    for cells, own in ((seen[a[some]], back[b[some], 0]), (back[b[some]], seen[a[some], 0])):
+                        hit = cells == own[:, None]
+                        met[some] = np.minimum(met[some], np.where(hit.any(1), hit.argmax(1), most))
+                place, n = np.unique(a * (most + 1) + met, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(place // (most + 1)), pa.array(place % (most + 1) + 1), pa.array(n)], ["query", "visits", "n"])
+
+    # At most 257 rows for each of the queries.
+    found = vectors.select("key", "unit").mapInArrow(run, "query long, visits long, n long").groupBy(
+        "query", "visits").agg(F.sum("n").alias("n")).toArrow()
+    query, at, n = (found.column(c).to_numpy() for c in ("query", "visits", "n"))
+    many = np.bincount(query, n, len(q))[query] > MANY_LINKS
+    needed = LEAST_VISITS
+    for judged in (many, ~many):
+        reached = np.cumsum(np.bincount(at[judged], n[judged], most + 2))
+        least = int(np.argmax(reached >= target * reached[-1])) if judged.any() else 0
+        if least > most:
+            return None
+        needed = max(needed, least)
+    return needed
 
 
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +233,8 @@ def near_vectors(
 
     Equal vectors are one with a weight. The halves of the unit vectors have a codebook each, learned
     from a bounded sample; every vector is filed in its cell of the product grid and visits the cells
-    nearest to it, as many as a sample of queries needs for ``target`` of its links. Both ends of a link
+    nearest to it, as many as a sample of queries needs for ``target`` of its links. If that takes too many
+    visits the grid is made coarser, down to a single cell, which compares all pairs. Both ends of a link
     may find it. Cells with many rows are compared in blocks, of which only sums and a spanning forest
     go on, never the pairs.
     """
@@ -213,8 +247,13 @@ def near_vectors(
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.lit(True).alias("kept"))
-    books = fit_codebooks(vectors, n)
-    visits = find_visits(vectors, books, threshold, target)
+    k = int(min(MAX_CENTROIDS, max(1, round(np.sqrt(n)))))
+    while True:
+        books = fit_codebooks(vectors, k, threshold)
+        visits = find_visits(vectors, books, threshold, target)
+        if visits is not None:
+            break
+        k = max(1, k // 4)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,8 +272,11 @@ def near_vectors(
     sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).join(
         probes.groupBy("cell").agg(F.count(F.lit(1)).alias("p")), "cell")
     large = write_table(sizes.where((F.col("m") > BLOCK_ROWS) | (F.col("p") > BLOCK_ROWS)).select(
-        "cell", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("mb"), F.ceil(F.col("p") / BLOCK_ROWS).cast("int").alias("pb")
-    ), "large-cells")
+        "cell", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("mb"), F.ceil(F.col("p") / BLOCK_ROWS).cast("int").alias("pb"),
+        "m", "p"), "large-cells")
+    # Rows that large cells deal out again, once for each block of the other side.
+    again = large.agg(F.coalesce(F.sum(F.col("m") * (F.col("pb") - 1) + F.col("p") * (F.col("mb") - 1)), F.lit(0))).first()[0]
+    large = large.drop("m", "p")
 
     def dealt(side: DataFrame, own: str, other: str, role: int) -> DataFrame:
         """Rows with their block and each block of the other side."""
@@ -247,7 +289,7 @@ def near_vectors(
     # Probes of cells without members meet nothing.
     probes = probes.join(members.select("cell").distinct(), "cell", "left_semi")
     both = dealt(members, "mb", "pb", 0).unionByName(dealt(probes, "pb", "mb", 1))
-    tasks = max(1, -(-n * (visits + 1) // TASK_ROWS))
+    tasks = max(1, -(-(n * (visits + 1) + again) // TASK_ROWS))
     both = both.withColumn("task", F.pmod(F.xxhash64("cell", "mb", "pb"), F.lit(tasks)).cast("int"))
 
     def search(table: pa.Table) -> pa.Table:

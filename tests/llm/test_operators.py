@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,37 @@ def test_near_vectors(spark, monkeypatch):
     assert multi_index.near_vectors(df.where("vec_id >= 271")).count() == len(odd)
 
 
+def links_by_hand(x, threshold=.95):
+    """Number of links of each row."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.concatenate([(x[i:i + 1000] @ x.T >= threshold).sum(1) - 1 for i in range(0, len(x), 1000)])
+
+
+def test_near_vectors_finds_the_links_of_many_distinct_near_copies(spark):
+    rng = np.random.Generator(np.random.PCG64(5))
+    center = rng.normal(size=64)
+    center /= np.linalg.norm(center)
+    copies = center + rng.normal(size=(6667, 64)) * .2 / 8  # cosine to the centre about 0.98
+    pairs = rng.normal(size=(1000, 64))
+    x = np.concatenate([copies, pairs, pairs + rng.normal(size=(1000, 64)) * .15, rng.normal(size=(11333, 64))])
+    want = links_by_hand(x)
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(x.tolist())}))
+    got = np.array([r.n_links for r in multi_index.near_vectors(df).orderBy("vec_id").collect()])
+    assert (got <= want).all()
+    assert got[:6667].sum() >= .99 * want[:6667].sum()
+    assert got[6667:].sum() >= .98 * want[6667:].sum() > 0
+
+
+def test_a_grid_that_needs_too_many_visits_becomes_coarser(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "MOST_VISITS", 1)
+    monkeypatch.setattr(multi_index, "BLOCK_ROWS", 64)
+    rng = np.random.Generator(np.random.PCG64(6))
+    x = np.repeat(rng.normal(size=(100, 8)), 4, axis=0) + rng.normal(size=(400, 8)) * .15
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = [r.n_links for r in multi_index.near_vectors(df, target=1.0).orderBy("vec_id").collect()]
+    assert got == links_by_hand(x).tolist()
+
+
 def test_traversal_visits_nearest_cells_first():
     rng = np.random.Generator(np.random.PCG64(3))
     books = multi_index.Codebooks(rng.normal(size=(7, 2)), rng.normal(size=(5, 2)))
