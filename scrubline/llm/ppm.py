@@ -15,8 +15,12 @@ from scrubline.storage import write_table
 
 #: Length of the longest context in bytes.
 ORDER = 5
-#: Most strings the trie holds of each length; the rarest beyond it are left to shorter contexts.
+#: Most strings of a length that are sent to all tasks; a larger trie stays where its counts are.
 MAX_STRINGS = 1 << 21
+#: Strings of a part of a distributed trie, and most strings looked up there in one task.
+SEGMENT_STRINGS, LOOKED_UP = 2 << 20, 4 << 20
+#: Lengths of context sent to all tasks in any case: up to 1 byte, at most 65,792 strings.
+BASE_LEVELS = 2
 #: Marks the end of a text and stands for what is before its start; no UTF-8 text holds it.
 END = 255
 #: A word is common if it makes up one in COMMON of all tokens, so there are no more than COMMON.
@@ -217,12 +221,8 @@ def count_strings_and_words(docs: DataFrame, train: str, text: str, order: int)
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def fit_trie(counts: DataFrame, order: int, max_strings: int) -> Trie:
-    """A trie from the counted strings of the longest kind, the shorter ones being sums of them.
-
-    Strings are held from the smallest power of two on with which no length has more than
-    ``max_strings`` of them, so what the driver receives and sends out is bounded.
-    """
+def count_levels(counts: DataFrame, order: int) -> DataFrame:
+    """(key, n, k): the counted strings of every length of context, the shorter being sums of the longest."""
     grams = counts.where("kind = 's'").select("key", "n")
     lengths = []
     for k in range(order + 1):
@@ -231,18 +231,50 @@ def fit_trie(counts: DataFrame, order: int, max_strings: int) -> Trie:
     every = lengths[0]
     for more in lengths[1:]:
         every = every.unionByName(more)
-    every = write_table(every, "strings")
-    sizes: dict[int, list[int]] = {}
-    for r in every.groupBy("k", F.floor(F.log2(F.col("n").cast("double"))).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect():
-        sizes.setdefault(r["k"], [0] * 64)[r["b"]] += r["c"]
-    least = next(b for b in range(64) if all(sum(c[b:]) <= max_strings for c in sizes.values()))
-    tables = []
-    for k in range(order + 1):
-        t = every.where((F.col("k") == k) & (F.col("n") >= 1 << least)).select("key", "n").toArrow()
-        keys, n = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()
-        by = np.argsort(keys)
-        tables.append((keys[by], n[by]))
-    return Trie(tables)
+    return write_table(every, "strings")
+
+
+def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    by = np.argsort(keys)
+    return keys[by], n[by]
+
+
+def fit_trie(every: DataFrame, levels: int) -> Trie:
+    """A trie of the lengths of context below ``levels``."""
+    return Trie([_sorted(every.where(F.col("k") == k).select("key", "n").toArrow()) for k in range(levels)])
+
+
+@dataclass
+class Frequent:
+    """The strings seen most in the longest context, with the log10 of their probability there."""
+
+    keys: np.ndarray
+    direct: np.ndarray
+
+    def prepare(self) -> None:
+        self.places = Places(self.keys)
+
+
+def fit_frequent(every: DataFrame, order: int, max_strings: int) -> Frequent:
+    """Strings seen from the smallest power of two on with which there are at most ``max_strings``."""
+    top = every.where(F.col("k") == order).select("key", "n")
+    sizes = [0] * 64
+    for r in top.groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect():
+        sizes[r["b"]] = r["c"]
+    least = next((b for b in range(63) if sum(sizes[b:]) <= max_strings), 63)
+    context = F.shiftright("key", 8)
+    totals = top.groupBy(context.alias("context")).agg(F.sum("n").alias("total"))
+    found = top.where(F.log2(F.col("n").cast("double")) >= least).withColumn("context", context).join(
+        totals, "context").select("key", "n", "total").toArrow()
+    keys, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    return Frequent(keys, np.log10((n - 0.5) / found.column("total").to_numpy()))
+
+
+def trie_part(packed: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a distributed trie that has all of a string's contexts of two bytes and more."""
+    context = (packed >> np.uint64(8)).astype(np.int64) & 0xFFFF
+    return ((context * 40503 & 0xFFFF) * parts >> 16).astype(np.int32)
 
 
 def score_texts(
@@ -260,7 +292,9 @@ def score_texts(
     empty table gives no rows; without training rows all counts are 0. Columns with the names of
     results are replaced. Word counts stay distributed: only words that make up one in COMMON of all
     tokens, hence at most COMMON, are sent to all tasks; the others are looked up where the counts
-    are, by ranges of their hash.
+    are, by ranges of their hash. So are strings, with the same scores, if the trie has more than
+    ``max_strings`` of a length: only the most frequent and the shortest are sent out then, the others are
+    looked up in parts of the trie that hold all strings with the same last bytes of context.
     """
     spark = docs.sparkSession
     results = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -281,8 +315,14 @@ def score_texts(
     hot = common.column(0).to_numpy().view(np.uint64) if common else np.zeros(0, np.uint64)
     by = np.argsort(hot)
     hot, hot_counts = hot[by], (common.column(1).to_numpy()[by] if common else np.zeros(0))
+    every = count_levels(counts, order)
+    sizes = {r["k"]: r["c"] for r in every.groupBy("k").agg(F.count(F.lit(1)).alias("c")).collect()}
+    whole = max(sizes.values(), default=0) <= max_strings
+    parts = max(1, -(-sum(c for k, c in sizes.items() if k >= BASE_LEVELS) // SEGMENT_STRINGS))
     # At most max_strings strings of each length, and COMMON words.
-    shared = spark.sparkContext.broadcast((fit_trie(counts, order, max_strings), hot, hot_counts))
+    model = fit_trie(every, order + 1) if whole else fit_frequent(every, order, max_strings)
+    shared = spark.sparkContext.broadcast((model, hot, hot_counts))
+    base_levels = None if whole else spark.sparkContext.broadcast(fit_trie(every, min(order + 1, BASE_LEVELS)))
     rare_share = 1 - (hot_counts.sum() / in_words if in_words else 0)
     segments = max(1, -(-int(in_words * rare_share * max(1, others) / max(1, texts)) // SEGMENT_WORDS))
 
@@ -290,15 +330,43 @@ def score_texts(
         return np.log10((c + 0.1) / norm)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hot, hot_counts = shared.value
-        trie.prepare()
+        model, hot, hot_counts = shared.value
+        model.prepare()
+
+        def requests(chunk, segment, owner, keys, row_type) -> Iterator[pa.RecordBatch]:
+            """The keys to look up in each segment, with the texts that hold them."""
+            by = np.lexsort((owner, segment))
+            keys, owner, segment = keys[by], owner[by], segment[by]
+            names_of, starts = np.unique(segment, return_index=True)
+            rows = []
+            for s, a, b in zip(names_of, starts, [*starts[1:], len(keys)]):
+                who, n = np.unique(owner[a:b], return_counts=True)
+                rows.append((s, who.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), keys[a:b].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([chunk] * len(rows), pa.int64()), *[pa.nulls(len(rows), t) for t in types[1:5]],
+                    *[pa.array([r[i] for r in rows], types[5 + i]) for i in range(4)],
+                    pa.nulls(len(rows), row_type),
+                ], names)
+
         names = ["chunk", "tokens", "known", "base", "score", "segment", "docs", "counts", "words", "row"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), *[pa.binary()] * 3]
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for start, end, data, offsets in text_chunks(batch.column(1)):
                 packed, at = strings(data, offsets, order)
-                score = np.add.reduceat(trie.log10(packed), at)
+                if whole:
+                    score = np.add.reduceat(model.log10(packed), at)
+                else:
+                    place = model.places.find(packed)
+                    here = place >= 0
+                    value = np.zeros(len(packed))
+                    value[here] = model.direct[place[here]]
+                    score = np.add.reduceat(value, at)
+                    holder = np.repeat(np.arange(end - start), np.diff(np.append(at, len(packed))))[~here]
+                    asked = packed[~here]
+                    # Segments of the trie are below 0, those of the words are not.
+                    yield from requests(ids[start], -1 - trie_part(asked, parts), holder, asked, batch.column(2).type)
                 h, first = word_hashes(data, offsets)
                 owner = np.repeat(np.arange(end - start), np.diff(first))
                 where = _index(hot, h)
@@ -314,21 +382,7 @@ def score_texts(
                 ], names)
                 h, owner = h[~known], owner[~known]
                 segment = ((h >> np.uint64(40)) * np.uint64(segments) >> np.uint64(24)).astype(np.int32)
-                order_of = np.lexsort((owner, segment))
-                h, owner, segment = h[order_of], owner[order_of], segment[order_of]
-                edges = np.searchsorted(segment, np.arange(segments + 1))
-                rows = []
-                for s in range(segments):
-                    a, b = edges[s], edges[s + 1]
-                    if a < b:
-                        who, n = np.unique(owner[a:b], return_counts=True)
-                        rows.append((s, who.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), h[a:b].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([ids[start]] * len(rows), pa.int64()), *[pa.nulls(len(rows), t) for t in types[1:5]],
-                        *[pa.array([r[i] for r in rows], types[5 + i]) for i in range(4)],
-                        pa.nulls(len(rows), batch.column(2).type),
-                    ], names)
+                yield from requests(ids[start], segment, owner, h, batch.column(2).type)
 
     # A chunk is a run of texts, named by a number of its first; the table is stored, so the names
     # hold although a task may be repeated.
@@ -356,27 +410,61 @@ def score_texts(
         return pa.table({
             "chunk": left.column("chunk"), "docs": left.column("docs"),
             "base": pa.array(sums, pa.binary()), "known": pa.array(known, pa.binary()),
+            "score": pa.nulls(len(sums), pa.binary()),
+        })
+
+    def look_up_strings(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables = [(level.keys, level.counts) for level in base_levels.value.levels]
+        k = right.column("k").to_numpy()
+        for length in range(BASE_LEVELS, order + 1):
+            tables.append(_sorted(right.filter(pa.array(k == length))))
+        trie = Trie(tables)
+        trie.prepare()
+        sums = []
+        for counts, body in zip(left.column("counts"), left.column("words")):
+            starts = np.concatenate([[0], np.cumsum(np.frombuffer(counts.as_buffer(), np.int32))[:-1]])
+            sums.append(np.add.reduceat(trie.log10(np.frombuffer(body.as_buffer(), np.uint64)), starts).tobytes())
+        return pa.table({
+            "chunk": left.column("chunk"), "docs": left.column("docs"),
+            "base": pa.nulls(len(sums), pa.binary()), "known": pa.nulls(len(sums), pa.binary()),
+            "score": pa.array(sums, pa.binary()),
         })
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The rows of a chunk with what its rare words add, from all segments."""
+        """The rows of a chunk with what its rare words and strings add, from all segments."""
         base = left.column("base").to_numpy().copy()
         known = left.column("known").to_numpy().copy()
+        score = left.column("score").to_numpy().copy()
         at = left.column("segment").to_numpy()  # the place in the chunk
         back = np.empty(len(at), np.int64)
         back[at] = np.arange(len(at))
-        for docs, sums, n in zip(right.column("docs"), right.column("base"), right.column("known")):
+        for docs, sums, n, more in zip(*(right.column(c) for c in ("docs", "base", "known", "score"))):
             who = back[np.frombuffer(docs.as_buffer(), np.int32)]
+            if more.is_valid:
+                score[who] += np.frombuffer(more.as_buffer(), np.float64)
+                continue
             base[who] += np.frombuffer(sums.as_buffer(), np.float64)
             known[who] += np.frombuffer(n.as_buffer(), np.int32)
         return pa.table({
             "tokens": left.column("tokens"), "known": pa.array(known), "base": pa.array(base),
-            "score": left.column("score"), "row": left.column("row"),
+            "score": pa.array(score), "row": left.column("row"),
         })
 
     rare = stored.where("words is not null").select("segment", "chunk", "docs", "counts", "words")
-    looked_up = rare.groupBy("segment").cogroup(vocabulary.groupBy("segment")).applyInArrow(
-        look_up, "chunk long, docs binary, base binary, known binary")
+    answer = "chunk long, docs binary, base binary, known binary, score binary"
+    looked_up = rare.where("segment >= 0").groupBy("segment").cogroup(vocabulary.groupBy("segment")).applyInArrow(look_up, answer)
+    if not whole:
+        asked = rare.where("segment < 0")
+        # Parts of the trie that many ask are copied, so that no task looks up too much.
+        copies = asked.groupBy("segment").agg(
+            F.ceil(F.sum(F.length("words")) / (8 * LOOKED_UP)).cast("int").alias("copies"))
+        asked = asked.join(copies, "segment").withColumn("copy", F.pmod(F.xxhash64("chunk"), "copies").cast("int")).drop("copies")
+        context = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+        part = F.shiftright((context * 40503).bitwiseAND(F.lit(0xFFFF)) * parts, 16)
+        trie = every.where(F.col("k") >= BASE_LEVELS).withColumn("segment", (-1 - part).cast("int")).join(
+            copies, "segment").select("segment", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "k", "key", "n")
+        looked_up = looked_up.unionByName(asked.groupBy("segment", "copy").cogroup(
+            trie.groupBy("segment", "copy")).applyInArrow(look_up_strings, answer))
     texts_of = stored.where("words is null").select("chunk", "segment", "tokens", "known", "base", "score", "row")
     scores = texts_of.groupBy("chunk").cogroup(looked_up.groupBy("chunk")).applyInArrow(
         add_up, f"tokens long, known long, base double, score double, row {dict(keyed.dtypes)['row']}")

@@ -391,6 +391,19 @@ def test_language_model(spark, docs, no_docs):
     assert untaught[next(r[4] for r in rows if r[0] == 71)] == pytest.approx(-math.log10(256))
 
 
+@pytest.mark.parametrize("order, most", [(5, 200), (5, 0), (1, 20)])
+def test_scores_do_not_depend_on_what_is_sent_to_all_tasks(docs, monkeypatch, order, most):
+    monkeypatch.setattr(ppm, "SEGMENT_STRINGS", 5000)
+    monkeypatch.setattr(ppm, "LOOKED_UP", 1000)
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 0
+    want = {r.row: r for r in ppm.score_texts(docs, train, order=order).collect()}
+    got = {r.row: r for r in ppm.score_texts(docs, train, order=order, max_strings=most).collect()}
+    assert got.keys() == want.keys()
+    for row, r in want.items():
+        assert got[row].score == pytest.approx(r.score, rel=1e-9)
+        assert got[row].base_score == pytest.approx(r.base_score) and got[row].n_known == r.n_known
+
+
 def test_ppm_equals_a_plain_trie():
     texts = ["abracadabra", "abra abra", "", "cadabra!"]
     order, tables = 3, []
