@@ -58,7 +58,9 @@ class Kind:
 
     ``pattern`` proposes spans, without backtracking over long runs; it is tried on texts that
     ``hint`` matches. ``confirm`` decides. ``weight`` is the score of a confirmed span, to which
-    ``bonus`` is added if one of the words of ``context`` stands within the window before it.
+    ``bonus`` is added if one of the words of ``context`` stands within the window before it. If
+    ``ahead``, the pattern takes one character and captures the span from there on, so that a proposal
+    that fails hides no later one; of confirmed spans that overlap the first is kept.
     """
 
     name: str
@@ -68,6 +70,29 @@ class Kind:
     weight: float
     context: str
     bonus: float = 0.2
+    ahead: bool = False
+
+
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """The country's length if it fits, whatever follows after a blank; else in one piece, else all
+    that follows, else in groups of four.
+    """
+    fixed = [f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:[ -]?[A-Z0-9]){{{n - 4}}}+{{end}}" for n, codes in IBAN_LENGTHS.items()]
+    head = "[A-Z]{2}[0-9]{2}"
+    others = [head + "[A-Z0-9]{11,30}+{end}", head + "(?:[ -]?[A-Z0-9]){11,30}+{end}",
+              head + "(?:[ -][A-Z0-9]{4}){2,7}(?:[ -][A-Z0-9]{1,3})?{end}"]
+    forms = "|".join([*fixed, *others]).replace("{end}", "(?![A-Za-z0-9])")
+    return f"(?<![A-Za-z0-9])(?={head})(?=({forms}))[A-Z]"
 
 
 # A proposal starts where its run of characters starts or where the previous proposal ended: from
@@ -87,8 +112,8 @@ KINDS = (
     Kind("phone", "+", r"\+[0-9][ ().0-9-]+[0-9]", digit_count(9, 15), 0.7,
          r"(?i)\b(?:phone|tel|telephone|call|mobile|fax|cell)\b"),
     Kind("iban", "",
-         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", mod_97, 0.9,
-         r"(?i)\b(?:iban|account|bank|transfer|konto|compte|cuenta)\b"),
+         iban_pattern(), mod_97, 0.9,
+         r"(?i)\b(?:iban|account|bank|transfer|konto|compte|cuenta)\b", ahead=True),
 )
 BASE = ("email", "ip", "card", "phone")
 
@@ -98,14 +123,14 @@ def proposals(text: Column, kind: Kind) -> Column:
 
     Splitting by the pattern gives the texts between the matches, whose lengths place them.
     """
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), 0)
+    matches = F.regexp_extract_all(text, F.lit(kind.pattern), 1 if kind.ahead else 0)
     gaps = F.split(text, kind.pattern, -1)
     placed = F.aggregate(
         F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g")),
         F.struct(F.lit(0).alias("at"), F.array().cast(
             "array<struct<start:int,end:int,match:string>>").alias("found")),
         lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
+            (acc["at"] + F.length(x["g"]) + (F.lit(1) if kind.ahead else F.length(x["m"]))).alias("at"),
             F.concat(acc["found"], F.array(F.struct(
                 (acc["at"] + F.length(x["g"])).alias("start"),
                 (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"),
@@ -127,6 +152,12 @@ def spans_of(text: Column, kind: Kind, window: int = 40) -> Column:
     characters before the span.
     """
     kept = F.filter(proposals(text, kind), lambda s: kind.confirm(s["match"]))
+    if kind.ahead:
+        kept = F.aggregate(
+            kept, F.array().cast("array<struct<start:int,end:int,match:string>>"),
+            lambda acc, s: F.when(
+                (F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))["end"] <= s["start"]), F.concat(acc, F.array(s))
+            ).otherwise(acc))
     return F.transform(kept, lambda s: F.struct(
         F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         (F.lit(kind.weight) + F.when(
