@@ -141,7 +141,7 @@ def _token_prefix_pairs(stems: DataFrame) -> DataFrame:
     """Pairs of equally many words (two or more), each word beginning its counterpart.
 
     A word's shortened forms are its prefixes that exist as words at the same place. A stem yields
-    one form per choice, with a bit for every place kept in full. Two stems match exactly if a
+    one form per choice, with a mark for every place kept in full. Two stems match exactly if a
     form is common to both and every place is full in one of them.
     """
     least = vocab.MIN_TOKEN_PREFIX_LENGTH
@@ -168,29 +168,32 @@ def _token_prefix_pairs(stems: DataFrame) -> DataFrame:
         .groupBy("column", "stem", "size")
         .agg(F.sort_array(F.collect_list(F.struct("place", "forms"))).alias("places"))
     )
-    start = F.expr("array(named_struct('form', '', 'mask', 0L))")
+    start = F.expr("array(named_struct('form', '', 'kept', cast(array() as array<boolean>)))")
     forms = F.aggregate("places", start, lambda done, here: F.flatten(F.transform(
         done, lambda d: F.transform(here["forms"], lambda f: F.struct(
             F.concat(d["form"], F.lit(" "), f["form"]).alias("form"),
-            (d["mask"] + F.when(f["kept"], F.call_function("shiftleft", F.lit(1).cast("long"), here["place"])).otherwise(F.lit(0).cast("long"))).alias("mask"),
+            F.concat(d["kept"], F.array(f["kept"])).alias("kept"),
         ))
     )))
-    entries = choices.select("column", "stem", "size", F.inline(forms))
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("size")) - 1
+    entries = choices.select("column", "stem", "size", F.inline(forms)).withColumn(
+        # Bits of the first KEY_WORDS places; all places are checked after the join.
+        "mask", F.aggregate(F.transform(F.slice("kept", 1, KEY_WORDS), lambda k, i: F.when(
+            k, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
+            F.lit(0).cast("long"), lambda seen, bit: seen + bit))
     low = F.call_function("shiftleft", F.lit(1).cast("long"), F.least("size", F.lit(KEY_WORDS))) - 1
-    asking = entries.where("mask <> 0").select(
-        "column", "size", "form", F.col("stem").alias("a"), F.col("mask").alias("mask_a"),
-        (F.bitwise_not("mask").bitwiseAND(low)).alias("need"), full.alias("full"),
+    asking = entries.where(F.exists("kept", lambda k: k)).select(
+        "column", "size", "form", F.col("stem").alias("a"), F.col("kept").alias("kept_a"),
+        (F.bitwise_not("mask").bitwiseAND(low)).alias("need"),
     )
     # Every subset of the places this side keeps in full can serve a need.
     offering = entries.select(
-        "column", "size", "form", F.col("stem").alias("b"), F.col("mask").alias("mask_b"),
+        "column", "size", "form", F.col("stem").alias("b"), F.col("kept").alias("kept_b"),
         F.explode(F.filter(
             F.sequence(F.lit(0).cast("long"), low),
             lambda s: s.bitwiseAND(F.col("mask")) == s,
         )).alias("need"),
     )
-    covered = F.col("mask_a").bitwiseOR(F.col("mask_b")) == F.col("full")
+    covered = F.forall(F.zip_with("kept_a", "kept_b", lambda x, y: x | y), lambda k: k)
     return _pairs(asking, offering, ["column", "size", "form", "need"], covered)
 
 

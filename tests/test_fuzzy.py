@@ -81,6 +81,23 @@ def test_pairs_and_groups_match_all_pairs(spark, monkeypatch, threshold, short):
     assert {v: groups.get(v, v) for v in values} == {v: root(v) for v in values}
 
 
+@pytest.mark.parametrize("size", [10, 11, 62, 63, 64, 100])
+def test_stems_of_many_words_match_word_by_word(spark, size):
+    words = [f"w{i:03d}" for i in range(size)]
+
+    def stem(**changed):
+        return " ".join(changed.get(f"at{i}", w) for i, w in enumerate(words))
+
+    last = f"at{size - 1}"
+    values = [stem(at0="w000" + "x" * 900), stem(**{last: words[-1] + "y" * 900}), stem(at3="w0"),
+              stem(**{last: words[-1] + "z" * 900}), stem(at3="w0z")]
+    want = {tuple(sorted(p)) for p in itertools.combinations(values, 2) if all(
+        x.startswith(y) or y.startswith(x) for x, y in zip(p[0].split(" "), p[1].split(" ")))}
+    df = spark.createDataFrame([("c", v) for v in values], "column string, stem string").coalesce(1)
+    got = {(r.stem_a, r.stem_b) for r in fuzzy._token_prefix_pairs(df).collect()}
+    assert 0 < len(want) < 10 and got == want
+
+
 def test_long_chain_is_one_group(spark):
     links = [("c", f"n{i:03d}", f"n{i + 1:03d}") for i in range(150)]
     pairs = spark.createDataFrame(links, "column string, stem_a string, stem_b string").coalesce(2)
