@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import chat, decontaminate, mixing, multi_index, ngram_join, pii, ppm, sharding, toxicity, warc
+from scrubline.llm import (
+    alignment, chat, decontaminate, merkle, mixing, multi_index, ngram_join, pii, ppm, sharding, sketches, toxicity,
+    warc,
+)
 from scrubline.llm.common import held_out
 
 QUERIES = {}
@@ -214,3 +217,88 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
         F.col("old_shard").cast("int").alias("old_shard"),
     )
+
+
+#: Where the public tokenizers' files lie on driver and executors.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of a byte-level and a sentence-piece vocabulary, aligned on all documents."""
+    return alignment.align_with_counts(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model",
+    ).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle manifest of all documents; every seventh leaf or so is tampered with, and found out."""
+    docs = table(spark, sf_dir, "documents")
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+
+    def leaf(n_chars: Column) -> Column:
+        return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    manifest = merkle.build(
+        docs, leaf(F.col("n_chars")), F.col("lang"), ["doc_id"], {"tampered": F.when(touched, leaf(more))}
+    )
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return merkle.proofs(manifest).select(
+        "doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: A field of a leaf.
+FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+LEAF = "sha256(" + " || ".join(FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+SQL["op12_merkle"] = f"""
+WITH RECURSIVE bits AS (SELECT i AS byte, list_reduce(range(0, 8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS crc FROM range(0, 256) t(i)),
+crcs AS (SELECT list(crc::BIGINT ORDER BY byte) AS t FROM bits),
+leaves AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, {LEAF.format(n="n_chars")} AS leaf,
+    {LEAF.format(n="(n_chars + 1)")} AS other,
+    xor(list_reduce([ascii(c) FOR c IN string_split(doc_id::VARCHAR, '')], lambda s, c:
+      xor(s >> 8, crcs.t[(xor(s, c) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 7 = 0 AS touched
+  FROM documents, crcs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+  count(*) OVER (PARTITION BY g) AS n FROM leaves),
+lower_nodes(g, lvl, n, place, h) AS (SELECT g, 0, n, place, leaf FROM placed
+  UNION ALL SELECT g, lvl + 1, (n + 1) // 2, place // 2, sha256(string_agg(h, '' ORDER BY place)) FROM lower_nodes
+  WHERE n > 1 GROUP BY g, lvl, n, place // 2),
+tops AS (SELECT g, h, lvl AS height, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS n FROM lower_nodes WHERE n = 1),
+upper_nodes(lvl, n, place, h) AS (SELECT 0, n, place, h FROM tops
+  UNION ALL SELECT lvl + 1, (n + 1) // 2, place // 2, sha256(string_agg(h, '' ORDER BY place)) FROM upper_nodes
+  WHERE n > 1 GROUP BY lvl, n, place // 2),
+steps AS (
+  SELECT p.g, p.place AS leaf_place, a.lvl, a.place % 2 AS slot, b.h FROM placed p
+    JOIN lower_nodes a ON a.g = p.g AND a.n > 1 AND a.place = p.place >> a.lvl
+    LEFT JOIN lower_nodes b ON b.g = a.g AND b.lvl = a.lvl AND b.place = xor(a.place, 1)
+  UNION ALL
+  SELECT p.g, p.place, 1000 + a.lvl, a.place % 2, b.h FROM placed p JOIN tops t ON t.g = p.g
+    JOIN upper_nodes a ON a.n > 1 AND a.place = t.place >> a.lvl
+    LEFT JOIN upper_nodes b ON b.lvl = a.lvl AND b.place = xor(a.place, 1)
+),
+ways AS (SELECT g, leaf_place, string_agg(h, '' ORDER BY lvl) AS beside,
+  list({{'slot': slot, 'h': coalesce(h, ''), 'at': ''}} ORDER BY lvl) AS way FROM steps GROUP BY ALL),
+folded AS (SELECT p.*, t.h AS subroot, (SELECT h FROM upper_nodes WHERE n = 1) AS root,
+  sha256(coalesce(w.beside, '')) AS proof_sha256,
+  list_reduce(list_prepend({{'slot': 0::BIGINT, 'h': '', 'at': CASE WHEN touched THEN other ELSE leaf END}}, coalesce(w.way, [])),
+    lambda x, s: {{'slot': 0::BIGINT, 'h': '', 'at': sha256(CASE WHEN s.slot = 0 THEN x.at || s.h ELSE s.h || x.at END)}}).at AS folded_root
+  FROM placed p JOIN tops t USING (g) LEFT JOIN ways w ON w.g = p.g AND w.leaf_place = p.place)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+@query
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold-scaled fingerprints of all documents, against an edited text and the next document."""
+    done = sketches.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n_chars", "edited_sha256", sketches.fingerprint(F.col("sketch")).alias("fingerprint"),
+        sketches.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
