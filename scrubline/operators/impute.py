@@ -89,14 +89,11 @@ def apply_numeric_fill(df: DataFrame, fit: NumericFit) -> DataFrame:
     if fit.medians is not None:
         filled = {c: F.coalesce(as_double(df, c), F.lit(fit.medians[c])) for c in cols}
     else:
-        found = nearest_means(_values(df, cols), fit.donors)
-        keys = [f"__v{i}__" for i in range(len(cols))]
-        found = found.select(*[F.col(f"v{i}").alias(k) for i, k in enumerate(keys)], F.col("filled").alias("__filled__"))
+        found = nearest_means(_values(df, cols), fit.donors).select(
+            F.col("x").alias("__x__"), F.col("filled").alias("__filled__"))
         # Rows with equal values are filled alike: one row of ``found`` for all of them.
-        same = F.lit(True)
-        for c, k in zip(cols, keys):
-            same = same & (as_double(df, c) + 0.0).eqNullSafe(F.col(k))
-        df = df.join(found, same, "left").drop(*keys)
+        own = F.array(*[as_double(df, c) + 0.0 for c in cols])
+        df = df.withColumn("__own__", own).join(found, F.col("__own__") == F.col("__x__"), "left").drop("__own__", "__x__")
         filled = {c: F.coalesce(as_double(df, c), F.col("__filled__")[i]) for i, c in enumerate(cols)}
     df = df.withColumns(filled).drop("__filled__")
     return round_integer_like(df, fit.whole_range)

@@ -1,10 +1,12 @@
-"""Exact nearest neighbours among rows with gaps, without pairing up rows or sending them around.
+"""Exact nearest neighbours among rows with gaps, whatever columns each of them has.
 
 Distances are Euclidean over the columns that both rows have, scaled up for the absent ones. Donors
-are kept by pattern, that is by the columns they have, and in the order of each of their columns cut
-into cells. A row looks for donors of one pattern along the most spread of the columns it shares with
-them: first in the cell it lies in, then in the cells that can hold a donor nearer than the k-th so
-far.
+are cut into cells by a tree of cuts along the most spread columns, in which rows without the column
+go a way of their own; a cell knows its limits in each column and which columns all or some of its
+rows have. A column that a row lacks matches anything, so the least distance from a row to a cell is
+bounded by the columns that the cell's rows are sure to have. Rows are searched in groups of
+neighbouring cells: first in their own, then in those with a cell that can hold a donor nearer than
+the k-th so far. No pattern of gaps is ever listed: any number of columns and patterns costs the same.
 """
 
 from __future__ import annotations
@@ -13,212 +15,438 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.storage import write_table
 
 CELL_ROWS = 2048
-#: Cells of one pattern along one column at most; then they get larger instead.
-MAX_CELLS = 1024
-TASK_ROWS = 20_000
+#: Cells at most; of larger tables they get larger, and are searched in parts.
+MAX_CELLS = 4096
+#: Donors, and rows with gaps, that meet in one task.
+GROUP_ROWS = 16_384
+#: Donors that the cuts are chosen from. They decide how fast the search is, never what it finds.
+SAMPLE_ROWS = 1 << 16
+BLOCK_ROWS = 512
+
+
+class Tree:
+    """Cuts that lead each row to its cell."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.nodes: list[tuple] = []
+        self.size = 0
+        if len(sample):
+            self._grow(sample, max(2, 2 * len(sample) // max(cells, 1)))
+        else:
+            self._leaf()
+
+    def _leaf(self) -> int:
+        self.nodes.append((-1, 0.0, self.size, 0, 0))
+        self.size += 1
+        return len(self.nodes) - 1
+
+    def _grow(self, rows: np.ndarray, least: int) -> int:
+        """A node over ``rows``; cells are numbered from left to right, so neighbours are alike."""
+        if len(rows) < least:
+            return self._leaf()
+        there = ~np.isnan(rows)
+        n = there.sum(0)
+        filled = np.where(there, rows, 0.0)
+        centre = filled.sum(0) / np.maximum(n, 1)
+        spread = np.where(there, (filled - centre) ** 2, 0.0).sum(0)
+        axis = int(np.argmax(spread))
+        have = there[:, axis]
+        if not spread[axis] > 0:
+            # All that is there is equal: only what is absent can tell rows apart.
+            axis = int(np.argmax(np.where(n < len(rows), n, -1)))
+            have, cut = there[:, axis], -np.inf
+            if n[axis] in (0, len(rows)):
+                return self._leaf()
+        else:
+            values = rows[have, axis]
+            cut = float(np.median(values))
+            if not (values < cut).any():
+                cut = float(values[values > cut].min())
+        at = len(self.nodes)
+        self.nodes.append(())
+        below = have & (np.where(have, rows[:, axis], np.inf) < cut)
+        parts = [~have, below, have & ~below]
+        ways = [self._grow(rows[p], least) if p.any() else -1 for p in parts]
+        spare = next(w for w in reversed(ways) if w >= 0)
+        self.nodes[at] = (axis, cut, *[w if w >= 0 else spare for w in ways])
+        return at
+
+    def cells(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows), dtype=np.int32)
+        todo = [(0, np.arange(len(rows)))]
+        while todo:
+            at, who = todo.pop()
+            axis, cut, absent, low, high = self.nodes[at]
+            if axis < 0:
+                out[who] = absent
+                continue
+            x = rows[who, axis]
+            gone = np.isnan(x)
+            below = x < cut
+            for way, part in ((absent, gone), (low, below), (high, ~gone & ~below)):
+                if part.any():
+                    todo.append((way, who[part]))
+        return out
+
+
+@dataclass
+class Boxes:
+    """For each cell and column: limits, whether all rows have the column, whether some do."""
+
+    low: np.ndarray
+    high: np.ndarray
+    full: np.ndarray
+    some: np.ndarray
+
+    @classmethod
+    def around(cls, rows: np.ndarray, starts: np.ndarray) -> Boxes:
+        """Of the runs of ``rows`` that begin at ``starts``."""
+        there = ~np.isnan(rows)
+        counts = np.add.reduceat(there, starts, axis=0, dtype=np.int64)
+        sizes = np.diff(np.append(starts, len(rows)))[:, None]
+        return cls(
+            np.minimum.reduceat(np.where(there, rows, np.inf), starts, axis=0),
+            np.maximum.reduceat(np.where(there, rows, -np.inf), starts, axis=0), counts == sizes, counts > 0,
+        )
+
+    def least_distances(self, rows: np.ndarray) -> np.ndarray:
+        """(rows, cells): no row of the cell is nearer; infinite if none shares a column.
+
+        A mean over the shared columns is not below the smallest of them, nor below what the columns
+        that are sure to be shared add to a mean over all that may be.
+        """
+        there = ~np.isnan(rows)
+        x = np.where(there, rows, 0.0)
+        out = np.empty((len(rows), len(self.low)))
+        for c in range(len(self.low)):
+            may = there & self.some[c]
+            off = np.maximum(np.maximum(self.low[c] - x, x - self.high[c]), 0.0)
+            off *= off
+            sure = np.where(there & self.full[c], off, 0.0).sum(1) / np.maximum(may.sum(1), 1)
+            out[:, c] = np.maximum(sure, np.where(may, off, np.inf).min(1))
+        return np.sqrt(rows.shape[1] * out) * (1 - 1e-9)
+
+
+@dataclass
+class Deal:
+    """Which group each cell's rows belong to: ``parts`` groups from ``first`` on."""
+
+    first: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, rows: int) -> Deal:
+        first, parts = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+        group, held = 0, 0
+        for cell, n in enumerate(sizes):
+            if held and held + n > rows:
+                group, held = group + 1, 0
+            first[cell], parts[cell] = group, max(1, -(-int(n) // (2 * rows)))
+            group, held = (group + parts[cell], 0) if parts[cell] > 1 else (group, held + n)
+        return cls(first, parts)
+
+    @property
+    def groups(self) -> int:
+        return int((self.first + self.parts).max(initial=1))
+
+    def group_of(self, cells: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        return self.first[cells] + chance % self.parts[cells]
 
 
 @dataclass
 class Donors:
-    """The stored donors: distinct rows with their number, and what is known of their cells.
+    """The stored donors ``table`` (x, n, cell, group): distinct rows and their number, at most k.
 
-    ``table`` has (pattern, axis, cell, part, n, v0, v1, ...). ``cells`` lists (pattern, axis, cell,
-    low, high, parts), at most MAX_CELLS for each pattern and axis. ``spread`` ranks the columns.
+    What the driver holds of them, ``tree``, ``boxes`` and ``deal``, is bounded by MAX_CELLS.
     """
 
     width: int
     k: int
     table: DataFrame
-    cells: pd.DataFrame
-    spread: list[float]
     means: list[float]
+    tree: Tree | None = None
+    boxes: Boxes | None = None
+    deal: Deal | None = None
+
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of an Arrow column of arrays; null is NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
-def _pattern(values: list[Column]) -> Column:
-    """A bit for each column with a value."""
-    return sum((F.when(v.isNotNull(), 1 << i).otherwise(0) for i, v in enumerate(values)), F.lit(0))
+
+def _finite(rows: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(rows), rows, np.nan)
+
+
+def _celled(rows: DataFrame, tree: Tree, width: int, extra: str) -> DataFrame:
+    """``rows`` with the cell of their ``x``."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = tree.cells(_finite(_matrix(batch.column("x"), width)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], [*names, "cell"])
+
+    return rows.mapInArrow(run, f"{extra}, cell int")
+
+
+def _dealt(rows: DataFrame, deal: Deal, to: str) -> DataFrame:
+    """``rows`` with the group of their cell."""
+    listed = rows.sparkSession.createDataFrame(
+        [(c, int(f), int(p)) for c, (f, p) in enumerate(zip(deal.first, deal.parts))], "cell int, first_ long, parts_ long")
+    # At most MAX_CELLS cells.
+    return rows.join(F.broadcast(listed), "cell").withColumn(
+        to, F.col("first_") + F.pmod(F.xxhash64("x"), F.col("parts_"))).drop("first_", "parts_")
 
 
 def fit_donors(values: DataFrame, k: int) -> Donors:
-    """Store the rows of ``values`` (v0, v1, ... doubles) as donors.
+    """Store the rows of ``values`` (v0, v1, ... doubles) as donors; infinite values count as absent.
 
-    Of equal rows the first k count: more can not be among the nearest k of a row. Driver and tasks
-    get the limits of the cells, whose number does not grow with the table.
+    Of equal rows the first k count: more can not be among the nearest k of a row.
     """
     names = values.columns
-    stats = values.agg(*[F.stddev_pop(c) for c in names], *[F.avg(c) for c in names]).first()
-    spread = [float(x or 0.0) if x == x else 0.0 for x in stats[:len(names)]]
-    rows = values.groupBy(*names).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n")).withColumn(
-        "pattern", _pattern([F.col(c) for c in names])
-    ).where("pattern > 0")
-    axes = F.filter(F.array(*[
-        F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("axis"), F.col(c).alias("at"))) for i, c in enumerate(names)
-    ]), lambda a: a.isNotNull())
-    placed = write_table(rows.withColumn("a", F.explode(axes)).select(
-        "pattern", "a.axis", "a.at", "n", *names), "donors")
-    sizes = placed.groupBy("pattern", "axis").agg(F.count(F.lit(1)).alias("rows"))
-    # Cells may be cut anywhere; these cuts make them about equally large.
-    cuts = placed.groupBy("pattern", "axis").agg(
-        F.percentile_approx("at", [i / MAX_CELLS for i in range(1, MAX_CELLS)], 10 * MAX_CELLS).alias("cuts"))
-    wanted = sizes.join(cuts, ["pattern", "axis"]).withColumn(
-        "step", F.greatest(F.lit(1), F.floor(F.lit(MAX_CELLS) / F.ceil(F.col("rows") / CELL_ROWS))).cast("int")
-    ).withColumn("cuts", F.array_distinct(F.filter("cuts", lambda x, i: (i + 1) % F.col("step") == 0)))
-    limits = wanted.select("pattern", "axis", "cuts").toPandas()
-    by_place = {(r.pattern, r.axis): np.asarray(r.cuts, dtype=float) for r in limits.itertuples()}
-
-    @F.pandas_udf("int")
-    def cell_of(pattern: pd.Series, axis: pd.Series, at: pd.Series) -> pd.Series:
-        out = np.zeros(len(at), dtype=np.int32)
-        for place, group in pd.DataFrame({"p": pattern, "a": axis}).groupby(["p", "a"]).indices.items():
-            out[group] = np.searchsorted(by_place[place], at.to_numpy()[group], side="right")
-        return pd.Series(out)
-
-    celled = placed.withColumn("cell", cell_of("pattern", "axis", "at"))
-    cells = celled.groupBy("pattern", "axis", "cell").agg(
-        F.min("at").alias("low"), F.max("at").alias("high"),
-        F.ceil(F.count(F.lit(1)) / (2 * CELL_ROWS)).cast("int").alias("parts"),
-    ).toPandas().sort_values(["pattern", "axis", "cell"])
-    # Values that are very common make large cells, which are dealt out in parts.
-    most = cells.groupby(["pattern", "axis", "cell"]).parts.first().to_dict() if len(cells) else {}
-
-    @F.pandas_udf("int")
-    def part_of(pattern: pd.Series, axis: pd.Series, cell: pd.Series, chance: pd.Series) -> pd.Series:
-        parts = np.array([most[key] for key in zip(pattern, axis, cell)], dtype=np.int64)
-        return pd.Series((chance.to_numpy() % np.maximum(parts, 1)).astype(np.int32))
-
-    chance = F.shiftrightunsigned(F.xxhash64(*names), 1)
-    table = write_table(celled.withColumn("part", part_of("pattern", "axis", "cell", chance)).drop("at"), "donor-cells")
-    means = [float(x) if x is not None else float("nan") for x in stats[len(names):]]
-    return Donors(len(names), k, table, cells, spread, means)
+    width = len(names)
+    finite = [F.when(F.abs(c) < float("inf"), F.col(c)).alias(c) for c in names]
+    known = values.select(*finite)
+    rows = write_table(known.groupBy(F.array(*names).alias("x")).agg(
+        F.least(F.count(F.lit(1)), F.lit(k)).alias("n"),
+        # Sums weighted by all copies, for the columns' means.
+        F.count(F.lit(1)).alias("copies"),
+    ).where(F.exists("x", lambda v: v.isNotNull())), "donor-rows")
+    stats = rows.agg(
+        F.count(F.lit(1)), *[F.sum(F.col("x")[i] * F.col("copies")) / F.sum(
+            F.when(F.col("x")[i].isNotNull(), F.col("copies"))) for i in range(width)],
+    ).first()
+    n, means = stats[0], [float(m) if m is not None else float("nan") for m in stats[1:]]
+    rows = rows.drop("copies")
+    if n <= GROUP_ROWS:
+        zero = F.lit(0).cast("long")
+        return Donors(width, k, rows.withColumns({"cell": zero.cast("int"), "group": zero}), means)
+    # About SAMPLE_ROWS rows, by their hashes.
+    bound = (2**63 - 1) * min(SAMPLE_ROWS, n) // n
+    drawn = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(9), "x"), 1) <= bound).select("x").limit(2 * SAMPLE_ROWS).toArrow()
+    tree = Tree(_matrix(drawn["x"].combine_chunks(), width), min(MAX_CELLS, -(-n // CELL_ROWS)))
+    celled = write_table(_celled(rows, tree, width, "x array<double>, n long"), "donor-cells")
+    x = [F.col("x")[i] for i in range(width)]
+    found = celled.groupBy("cell").agg(
+        F.count(F.lit(1)), *[F.min(c) for c in x], *[F.max(c) for c in x], *[F.count(c) for c in x]).collect()
+    sizes = np.zeros(tree.size, np.int64)
+    boxes = Boxes(np.full((tree.size, width), np.inf), np.full((tree.size, width), -np.inf), *np.zeros((2, tree.size, width), bool))
+    for r in found:
+        c, sizes[r[0]] = r[0], r[1]
+        low, high, count = (np.array(r[2 + i * width:2 + (i + 1) * width], dtype=float) for i in range(3))
+        boxes.some[c], boxes.full[c] = count > 0, count == r[1]
+        boxes.low[c], boxes.high[c] = np.where(count > 0, low, np.inf), np.where(count > 0, high, -np.inf)
+    deal = Deal.of(sizes, GROUP_ROWS)
+    return Donors(width, k, _dealt(celled, deal, "group"), means, tree, boxes, deal)
 
 
 def nearest_means(values: DataFrame, donors: Donors) -> DataFrame:
-    """(v0, v1, ..., filled): the distinct rows of ``values`` with gaps, and their filled columns.
+    """(x, filled): the distinct rows of ``values`` with gaps as arrays, and their filled columns.
 
     A gap gets the mean of the k nearest donors that have the column, ties going to the smaller
     value; of all if there are fewer, and the column's mean if no donor shares a column.
     """
-    names, k = values.columns, donors.k
-    gaps = values.withColumn("pattern_of", _pattern([F.col(c) for c in names])).where(
-        F.col("pattern_of") < (1 << donors.width) - 1
-    ).distinct()
-    gaps = write_table(gaps.withColumn("id", F.xxhash64(*names, "pattern_of")), "gaps")
-    first = _visit(gaps.withColumn("bound", F.lit(None).cast("double")), donors, own=True)
-    near = write_table(_nearest(_search(first, donors), k), "near")
-    bounds = near.groupBy("id", "axis_of").agg(
-        F.when(F.size(F.first("best")) >= k, F.element_at(F.first("best"), -1)["d"]).otherwise(float("inf")).alias("d"))
-    # A row goes on as far as its gap with the farthest k-th neighbour needs; gaps found no donor
-    # for have no bound at all.
-    targets = F.bit_count(F.lit((1 << donors.width) - 1) - F.col("pattern_of"))
-    reach = gaps.join(bounds.groupBy("id").agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("c")), "id", "left").select(
-        *gaps.columns, F.when(F.col("c") == targets, F.col("d")).otherwise(float("inf")).alias("bound"))
-    more = _search(_visit(reach, donors, own=False), donors)
-    every = near.select("id", "axis_of", F.explode("best").alias("b")).select("id", "axis_of", "b.d", "b.v")
-    best = _nearest(every.unionByName(more), k)
-    mean = F.aggregate("best", F.lit(0.0), lambda a, b: a + b["v"]) / F.size("best")
-    per_row = best.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("axis_of", mean.alias("m")))).alias("found"))
-    filled = F.array(*[
-        F.coalesce(F.col(c), F.try_element_at("found", F.lit(i)), F.lit(None if m != m else m)) for i, (c, m) in enumerate(zip(names, donors.means))
-    ])
-    return gaps.join(per_row, "id", "left").select(*names, filled.alias("filled"))
-
-
-def _nearest(found: DataFrame, k: int) -> DataFrame:
-    """(id, axis_of, best): the k nearest (d, v) of each row and gap."""
-    kept = F.slice(F.sort_array(F.collect_list(F.struct("d", "v"))), 1, k)
-    return found.groupBy("id", "axis_of").agg(kept.alias("best"))
-
-
-def _visit(rows: DataFrame, donors: Donors, own: bool) -> DataFrame:
-    """``rows`` once for each part of a cell they have to look into, with the cell.
-
-    With ``own`` that is the cell they lie in, else the others up to their bound.
+    names, k, width, means = values.columns, donors.k, donors.width, donors.means
+    gaps = values.where(" or ".join(f"{c} is null" for c in names)).groupBy(F.array(*names).alias("x")).agg(F.lit(1)).select("x")
+    gaps = gaps.withColumn("id", F.monotonically_increasing_id())
+    schema = "x array<double>, id long"
+    if donors.tree is not None:
+        gaps = _celled(gaps, donors.tree, width, schema)
+    else:
+        gaps = gaps.withColumn("cell", F.lit(0))
+    gaps = write_table(gaps, "gaps")
+    cells = donors.tree.size if donors.tree is not None else 1
+    sizes = np.zeros(cells, np.int64)
+    for r in gaps.groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]
+    gaps = _dealt(gaps, Deal.of(sizes, GROUP_ROWS), "chunk")
+    home = _dealt(gaps, donors.deal, "group") if donors.deal else gaps.withColumn("group", F.lit(0).cast("long"))
+    near = _search(home.withColumn("bound", F.lit(None).cast("array<double>")), donors)
+    if donors.deal is not None and donors.deal.groups > 1:
+        near = write_table(near, "near")
+        near = near.unionByName(_search(_further(home.join(near.select("id", "d"), "id"), donors), donors))
+    merged = near.groupBy("id").agg(F.collect_list(F.struct("d", "v")).alias("found"))
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare = np.array(means)
+        for batch in batches:
+            rows = _matrix(batch.column("x"), width)
+            row, axis = np.nonzero(np.isnan(rows))
+            slots = np.bincount(row, minlength=len(rows))
+            found = batch.column("found")
+            times = np.diff(found.offsets.to_numpy()) if len(found) else np.zeros(0, np.int64)
+            parts = found.flatten()
+            # Each list has k places for every gap of its row.
+            of = np.repeat(np.arange(len(rows)), times)
+            first = np.cumsum(slots) - slots
+            places = slots[of]
+            before = np.cumsum(places) - places
+            slot = np.repeat(np.arange(places.sum()) - np.repeat(before, places) + np.repeat(first[of], places), k)
+            d, v = (parts.field(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+            best_d, best_v = np.full((len(row), k), np.inf), np.zeros((len(row), k))
+            use = np.isfinite(d)
+            _keep_best(best_d, best_v, slot[use], d[use], v[use], k)
+            n = np.isfinite(best_d).sum(1)
+            total = np.where(np.isfinite(best_d), best_v, 0.0).sum(1)
+            rows[row, axis] = np.where(n > 0, total / np.maximum(n, 1), spare[axis])
+            filled = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(rows.ravel(), from_pandas=True))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), filled], ["x", "filled"])
+
+    return gaps.select("x", "id").join(merged, "id").select("x", "found").mapInArrow(
+        mean, "x array<double>, filled array<double>")
+
+
+def _keep_best(best_d: np.ndarray, best_v: np.ndarray, slot: np.ndarray, d: np.ndarray, v: np.ndarray, k: int) -> None:
+    """Merge new (slot, distance, value) into the k best of each slot, nearest first, in place."""
+    if not len(slot):
+        return
+    touched = np.unique(slot)
+    slot = np.concatenate([np.repeat(touched, k), slot])
+    d = np.concatenate([best_d[touched].ravel(), d])
+    v = np.concatenate([best_v[touched].ravel(), v])
+    order = np.lexsort((v, d, slot))
+    slot, d, v = slot[order], d[order], v[order]
+    starts = np.searchsorted(slot, touched)
+    place = np.arange(len(slot)) - np.repeat(starts, np.diff(np.append(starts, len(slot))))
+    kept = place < k
+    best_d[touched], best_v[touched] = d[kept].reshape(-1, k), v[kept].reshape(-1, k)
+
+
+def _further(home: DataFrame, donors: Donors) -> DataFrame:
+    """Rows once for each other group with a cell that can hold a donor nearer than their k-th so far.
+
+    ``d`` has the k distances of each gap, infinite where there were fewer.
     """
-    cells, spread, width = donors.cells, donors.spread, donors.width
-    names = [f"v{i}" for i in range(width)]
-    places = {key: (g.cell.to_numpy(), g.low.to_numpy(), g.high.to_numpy(), g.parts.to_numpy())
-              for key, g in cells.groupby(["pattern", "axis"])}
-    patterns = sorted({p for p, _ in places})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for have, group in pdf.groupby("pattern_of"):
-                for pattern in patterns:
-                    shared = [i for i in range(width) if have & pattern & (1 << i)]
-                    if not shared or not pattern & ~have:
-                        continue
-                    axis = max(shared, key=lambda i: (spread[i], -i))
-                    cell, low, high, parts = places[pattern, axis]
-                    at = group[names[axis]].to_numpy(dtype=float)
-                    home = np.minimum(np.searchsorted(high, at), len(cell) - 1)
-                    if own:
-                        row, hit = np.arange(len(group)), home
-                    else:
-                        # Only this far along the axis can a donor be as near as the bound.
-                        far = group["bound"].to_numpy() * np.sqrt(len(shared) / width) * (1 + 1e-9)
-                        start = np.searchsorted(high, at - far, side="left")
-                        end = np.searchsorted(low, at + far, side="right")
-                        n = np.maximum(end - start, 0)
-                        row = np.repeat(np.arange(len(group)), n)
-                        hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-                        other = hit != home[row]
-                        row, hit = row[other], hit[other]
-                    times = parts[hit]
-                    row, hit = np.repeat(row, times), np.repeat(hit, times)
-                    part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                    for i in range(0, len(row), 10_000):
-                        s = slice(i, i + 10_000)
-                        yield group.iloc[row[s]][["id", "pattern_of", *names]].assign(
-                            pattern=pattern, axis=axis, cell=cell[hit[s]], part=part[s])
-
-    columns = ", ".join(["id long", "pattern_of int", *[f"{c} double" for c in names], "pattern int", "axis int", "cell int", "part int"])
-    return rows.mapInPandas(run, columns)
+    width, k, boxes, deal = donors.width, donors.k, donors.boxes, donors.deal
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                rows = _finite(_matrix(part.column("x"), width))
+                d = part.column("d")
+                ends = d.offsets.to_numpy()[:-1] - d.offsets.to_numpy()[0]
+                farthest = np.maximum.reduceat(d.flatten().to_numpy(zero_copy_only=False), ends)
+                reach = boxes.least_distances(rows)
+                row, cell = np.nonzero((reach <= farthest[:, None]) & np.isfinite(reach))
+                times = deal.parts[cell]
+                group = np.repeat(deal.first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                both = np.unique(np.repeat(row, times) * deal.groups + group)
+                row, group = both // deal.groups, both % deal.groups
+                other = group != part.column("group").to_numpy()[row]
+                row, group = row[other], group[other]
+                for start in range(0, len(row), 10_000):
+                    who = pa.array(row[start:start + 10_000])
+                    yield pa.RecordBatch.from_arrays(
+                        [*[part.column(c).take(who) for c in ("x", "id", "cell", "chunk")],
+                         pa.array(group[start:start + 10_000]), d.take(who)],
+                        ["x", "id", "cell", "chunk", "group", "bound"])
+
+    return home.select("x", "id", "cell", "chunk", "group", "d").mapInArrow(
+        run, "x array<double>, id long, cell int, chunk long, group long, bound array<double>")
 
 
 def _search(visits: DataFrame, donors: Donors) -> DataFrame:
-    """(id, axis_of, d, v): the k nearest donors of each visit, for each of its gaps."""
+    """(id, d, v): for each row and visited group the k nearest donors of each gap in it.
+
+    Both arrays have k places for each gap of the row, columns ascending; unused ones are infinitely
+    far. ``bound`` has the distances found before, or is null.
+    """
     width, k = donors.width, donors.k
-    names = [f"v{i}" for i in range(width)]
-    place = ["pattern", "axis", "cell", "part"]
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        groups = {key: g for key, g in right.groupby(place)}
-        for key, rows in left.groupby([*place, "pattern_of"]):
-            there = groups.get(key[:4])
-            if there is None:
-                continue
-            have, pattern = key[4], key[0]
-            shared = [i for i in range(width) if have & pattern & (1 << i)]
-            x = rows[[names[i] for i in shared]].to_numpy()
-            y = there[[names[i] for i in shared]].to_numpy()
-            for j in (i for i in range(width) if pattern & ~have & (1 << i)):
-                value = there[names[j]].to_numpy()
-                order = np.argsort(value, kind="stable")
-                for start in range(0, len(x), 256):
-                    part = x[start:start + 256]
-                    square = np.zeros((len(part), len(y)))
-                    for c in range(len(shared)):
-                        square += (part[:, c, None] - y[None, order, c]) ** 2
-                    distance = np.sqrt(width / len(shared) * square)
-                    near = np.argsort(distance, axis=1, kind="stable")[:, :k]
-                    ids = np.repeat(rows["id"].to_numpy()[start:start + 256], near.shape[1])
-                    times = there["n"].to_numpy()[order][near].ravel()
-                    out.append(pd.DataFrame({
-                        "id": np.repeat(ids, times), "axis_of": j,
-                        "d": np.repeat(np.take_along_axis(distance, near, 1).ravel(), times),
-                        "v": np.repeat(value[order][near].ravel(), times),
-                    }))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "axis_of": [], "d": [], "v": []})
-
-    tasks = max(1, -(-donors.table.count() // TASK_ROWS))
-    dealt = lambda df: df.withColumn("task", F.pmod(F.xxhash64(*place), F.lit(tasks)))
-    return dealt(visits).groupBy("task").cogroup(dealt(donors.table).groupBy("task")).applyInPandas(
-        run, "id long, axis_of int, d double, v double")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "d": pa.array([], pa.list_(pa.float64())), "v": pa.array([], pa.list_(pa.float64()))})
+        left = left.take(np.argsort(left["cell"].to_numpy(), kind="stable"))
+        raw = _matrix(left["x"].combine_chunks(), width)
+        gap = np.isnan(raw)
+        slots = gap.sum(1)
+        first = np.cumsum(slots) - slots
+        bound = np.full(int(slots.sum()), np.inf)
+        if left["bound"].null_count == 0:
+            bound = left["bound"].combine_chunks().flatten().to_numpy().reshape(-1, k)[:, -1].copy()
+        best_d, best_v = np.full((len(bound), k), np.inf), np.zeros((len(bound), k))
+        if right.num_rows:
+            _scan(_finite(raw), gap, first, bound, best_d, best_v, right, width, k)
+        ends = pa.array((np.append(first, len(bound)) * k).astype(np.int32))
+        return pa.table({"id": left["id"], "d": pa.ListArray.from_arrays(ends, pa.array(best_d.ravel())),
+                         "v": pa.ListArray.from_arrays(ends, pa.array(best_v.ravel()))})
+
+    wanted = visits.select(F.col("chunk").alias("chunk_"), F.col("group").alias("group_")).distinct()
+    sent = donors.table.join(wanted, F.col("group") == F.col("group_")).select("chunk_", "group_", "cell", "x", "n")
+    return visits.groupBy("chunk", "group").cogroup(sent.groupBy("chunk_", "group_")).applyInArrow(
+        run, "id long, d array<double>, v array<double>")
+
+
+def _scan(x, gap, first, bound, best_d, best_v, donors: pa.Table, width: int, k: int) -> None:
+    """Search all donors of a group for all rows, cell by cell, nearest cells first."""
+    donors = donors.take(np.argsort(donors["cell"].to_numpy(), kind="stable"))
+    y, n = _matrix(donors["x"].combine_chunks(), width), donors["n"].to_numpy()
+    cell = donors["cell"].to_numpy()
+    starts = np.flatnonzero(np.diff(cell, prepend=-1))
+    ends = np.append(starts[1:], len(y))
+    boxes = Boxes.around(y, starts)
+    slot_of = first[:, None] + np.cumsum(gap, 1) - 1
+    for at in range(0, len(x), BLOCK_ROWS):
+        block = np.arange(at, min(at + BLOCK_ROWS, len(x)))
+        slots = np.where(gap[block], slot_of[block], -1)
+        reach = boxes.least_distances(x[block])
+        for c in np.argsort(np.where(np.isfinite(reach), reach, 1e300).mean(0)):
+            start, step = starts[c], 64
+            while start < ends[c]:
+                limits = np.where(slots >= 0, bound[slots], -1.0)
+                live = np.flatnonzero(np.isfinite(reach[:, c]) & (reach[:, c] <= limits.max(1)))
+                if not len(live):
+                    break
+                if np.isfinite(limits[live]).all():
+                    step = CELL_ROWS  # all rows have a bound: the rest of the cell at once
+                stop = min(start + step, ends[c])
+                row, donor, d = _candidates(x[block[live]], limits[live], y[start:stop])
+                pair, axis = np.nonzero(
+                    (slots[live[row]] >= 0) & ~np.isnan(y[start + donor]) & (d[:, None] <= limits[live[row]]))
+                touched = slots[live[row[pair]], axis]
+                times = n[start + donor[pair]]
+                _keep_best(best_d, best_v, np.repeat(touched, times), np.repeat(d[pair], times),
+                           np.repeat(y[start + donor[pair], axis], times), k)
+                touched = np.unique(touched)
+                bound[touched] = np.minimum(bound[touched], best_d[touched, -1])
+                start, step = stop, 2 * step
+
+
+def _candidates(x: np.ndarray, limits: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, donor, distance) of the pairs that may be among the nearest of one of the row's gaps.
+
+    Matrix products give all distances but for rounding; those within it of a limit are computed
+    again, column by column. Where a gap has no limit yet, all donors with its column are.
+    """
+    width = x.shape[1]
+    there_x, there_y = ~np.isnan(x), ~np.isnan(y)
+    centre = np.where(there_y, y, 0.0).sum(0) / np.maximum(there_y.sum(0), 1)
+    x0, y0 = np.where(there_x, x - centre, 0.0), np.where(there_y, y - centre, 0.0)
+    mx, my = there_x.astype(float), there_y.astype(float)
+    shared = mx @ my.T
+    square = np.hstack([x0 * x0, mx, -2 * x0]) @ np.hstack([my, y0 * y0, y0]).T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        square = np.where(shared > 0, width / shared * square, np.inf)
+    farthest = np.where(np.isfinite(limits), limits, -1.0).max(1)
+    slack = 1e-14 * width * (4 + width) * ((x0 * x0).sum(1) + (y0 * y0).sum(1).max())
+    near = square <= (np.where(farthest >= 0, farthest * farthest * (1 + 1e-12), -np.inf) + slack)[:, None]
+    for axis in np.flatnonzero(np.isinf(limits).any(0)):
+        near[np.ix_(np.isinf(limits[:, axis]), there_y[:, axis])] = True
+    row, donor = np.nonzero(near & (shared > 0))
+    total, common = np.zeros(len(row)), np.zeros(len(row))
+    for axis in range(width):
+        off = x[row, axis] - y[donor, axis]
+        both = ~np.isnan(off)
+        total += np.where(both, off * off, 0.0)
+        common += both
+    return row, donor, np.sqrt(width / common * total)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import scrubline as sl
+from scrubline.operators import neighbours
 from scrubline.columns import OUTLIER_FLAG
 from scrubline.operators import detect
 from scrubline.operators.quantiles import exact_quantiles, grouped_quantiles
@@ -187,6 +188,65 @@ def test_knn_matches_brute_force(spark):
     assert got == pytest.approx(brute_knn(rows, 5))
 
 
+def gappy(n, width, seed):
+    """Columns that depend on each other, a tenth of the cells absent, every row another pattern."""
+    rng = np.random.default_rng(seed)
+    rows = rng.normal(0, 1, (n, 3)) @ rng.normal(0, 1, (3, width)) * np.linspace(1, 30, width)
+    rows = rows.round(1) + 0.05
+    rows[rng.random(rows.shape) < 0.1] = np.nan
+    rows[0, :] = rows[1, 1:] = np.nan  # a row without values, and one with a single value
+    rows[np.arange(2, 2 + width) % n, np.arange(width)] = np.nan
+    rows[n // 2:n // 2 + 7] = rows[n // 2]  # equal rows
+    return rows
+
+
+def filled_by_knn(spark, rows):
+    names = [f"c{i}" for i in range(rows.shape[1])]
+    pdf = pd.DataFrame(rows, columns=names)
+    pdf.insert(0, "k", np.arange(len(rows)))
+    df = spark.createDataFrame(pdf).select("k", *[F.nanvl(c, F.lit(None)).alias(c) for c in names])
+    return sl.impute_knn(df, names).orderBy("k").toPandas()[names].to_numpy(float)
+
+
+@pytest.mark.parametrize("width", [33, 64, 100])
+def test_knn_over_many_columns(spark, width):
+    rows = gappy(90, width, width)
+    assert filled_by_knn(spark, rows) == pytest.approx(brute_knn(rows, 5))
+
+
+def test_knn_over_many_cells(spark, monkeypatch):
+    """Cuts, limits and groups, with cells small enough to need them."""
+    for name, n in (("CELL_ROWS", 16), ("GROUP_ROWS", 64), ("SAMPLE_ROWS", 300), ("MAX_CELLS", 24)):
+        monkeypatch.setattr(neighbours, name, n)
+    rows = gappy(900, 9, 1)
+    rows[:200, 2:] = rows[300, 2:]  # very common values
+    assert filled_by_knn(spark, rows) == pytest.approx(brute_knn(rows, 5))
+
+
+def test_infinite_values_are_no_neighbours(spark):
+    rows = [(0, 1.0, None), (1, float("inf"), 9.0), (2, 1.5, 4.0), (3, 2.0, float("-inf")), (4, float("inf"), None), (5, None, 6.0)]
+    df = spark.createDataFrame(rows, "k int, a double, b double")
+    got = {r.k: (r.a, r.b) for r in sl.impute_knn(df, ["a", "b"], k=1).collect()}
+    assert got[0] == (1.0, 4.0) and got[5][0] == 1.5
+    assert got[4][1] == pytest.approx(19 / 3)  # shares no column with any donor: the mean
+
+
+def test_least_distances_hold():
+    rng = np.random.default_rng(6)
+    rows = rng.normal(0, 5, (400, 6))
+    rows[rng.random(rows.shape) < .3] = np.nan
+    tree = neighbours.Tree(rows, 12)
+    cells = tree.cells(rows)
+    order = np.argsort(cells, kind="stable")
+    rows, cells = rows[order], cells[order]
+    starts = np.flatnonzero(np.diff(cells, prepend=-1))
+    low = neighbours.Boxes.around(rows, starts).least_distances(rows)
+    assert len(starts) > 6
+    for c, (s, e) in enumerate(zip(starts, np.append(starts[1:], len(rows)))):
+        row, donor, d = neighbours._candidates(rows, np.full(rows.shape, np.inf), rows[s:e])
+        assert (d >= low[row, c]).all()
+
+
 def test_knn_of_a_large_table_is_still_knn(spark):
     """Beyond 20,000 rows, with a very common value, against brute force on some of the gaps."""
     rng = np.random.default_rng(4)

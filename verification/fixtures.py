@@ -47,7 +47,23 @@ SELECT event_id, user_id, ts AS event_ts,
 FROM {events}
 """
 
+#: Measures of which every row lacks others.
+MIXED_GAPS = """
+SELECT c_custkey AS customer_id,
+  CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_acctbal AS DOUBLE) END AS balance,
+  CASE WHEN c_custkey % 5 <> 1 THEN CAST(c_nationkey AS DOUBLE) * 10.5 END AS region_score,
+  CASE WHEN c_custkey % 11 <> 3 THEN CAST(c_custkey % 140 AS INT) END AS age,
+  CASE WHEN c_custkey % 6 <> 2 THEN CAST(c_acctbal AS DOUBLE) / (17 + c_custkey % 9) / 7 END AS spent,
+  CASE WHEN c_custkey % 4 <> 3 THEN CAST((c_custkey * 37) % 500 AS DOUBLE) + 0.25 END AS visits,
+  CASE WHEN c_custkey % 9 < 4 THEN CAST((c_custkey % 13) * c_nationkey AS DOUBLE) / 7 END AS rating,
+  CASE WHEN c_custkey % 50 <> 0 THEN CAST(c_custkey % 8 AS DOUBLE) / 8 END AS share
+FROM {customer}
+"""
+
+MIXED = ["balance", "region_score", "age", "spent", "visits", "rating", "share"]
+
 VIEWS = {
+    "mixed_gaps": ("customer", MIXED_GAPS),
     "messy_customer": ("customer", MESSY_CUSTOMER),
     "messy_orders": ("orders", MESSY_ORDERS),
     "messy_events": ("events", MESSY_EVENTS),

@@ -11,7 +11,7 @@ from scrubline.functions import categories, numbers
 from scrubline.functions.text import title_case, trimmed
 from scrubline.operators.detect import Shares
 from scrubline.storage import new_path
-from verification.fixtures import read_table, spark_view
+from verification.fixtures import MIXED, read_table, spark_view
 
 QUERIES = {}
 
@@ -345,6 +345,11 @@ def impute_knn(spark, d):
     return rounded(sl.impute_knn(df, ["age", "salary"]))
 
 
+@query
+def impute_knn_mixed_gaps(spark, d):
+    return rounded(sl.impute_knn(spark_view(spark, d, "mixed_gaps"), MIXED))
+
+
 @query
 def impute_median(spark, d):
     return rounded(sl.impute_median(events(spark, d)).select("event_id", "amount"))

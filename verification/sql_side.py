@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scrubline.functions import vocab
-from verification.fixtures import COLUMNS, NUMBERS, TEXT, TYPES, sql_view
+from verification.fixtures import COLUMNS, MIXED, NUMBERS, TEXT, TYPES, sql_view
 
 SQL = {}
 
@@ -372,6 +372,8 @@ def knn(rel, cols, k=5):
 
 SQL["impute_knn"] = with_views("messy_customer", ctes=knn("messy_customer", ["age", "salary"]), body=(
     "SELECT customer_id, round(age, 4) AS age, round(salary, 4) AS salary FROM filled"))
+SQL["impute_knn_mixed_gaps"] = with_views("mixed_gaps", ctes=knn("mixed_gaps", MIXED), body=(
+    "SELECT customer_id, " + ", ".join(f"round({c}, 4) AS {c}" for c in MIXED) + " FROM filled"))
 SQL["impute_median"] = with_views("messy_events", body=(
     "SELECT event_id, round(coalesce(amount, (SELECT median(amount) FROM messy_events)), 4) AS amount FROM messy_events"))
 SQL["round_integer_like"] = with_views("messy_customer", body=(
