@@ -41,6 +41,17 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def smallest(df: DataFrame, order: Column, ties: list[str], k: int, n: int) -> DataFrame:
+    """The ``k`` rows of ``df`` with the smallest 64-bit hashes ``order``, of about ``n`` rows.
+
+    Hashes far above the wanted ones are turned away by a bound first, so that what is put in order does
+    not grow with the number of rows or tasks.
+    """
+    if n > 2 * k:
+        df = df.where(order <= (1 << 65) * k // n - (1 << 63))
+    return df.orderBy(order, *ties).limit(k)
+
+
 def block_of(order: Column, blocks: int) -> Column:
     """The hash range, of ``blocks`` equal ones, that a 64-bit hash lies in."""
     return F.shiftrightunsigned(

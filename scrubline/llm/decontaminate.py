@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import fresh
-from scrubline.llm.tokens import shingle_sets, shingle_texts
+from scrubline.llm.common import fresh, word_count
+from scrubline.llm.tokens import SHINGLE, shingle_sets, shingle_texts
 from scrubline.storage import write_table
 
 #: An item is found in a document that holds at least NUMERATOR / DENOMINATOR of its shingles.
@@ -58,7 +58,8 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared): documents that hold at least 4/5 of an item's shingles.
 
-    Shingles are five words; an item or document of fewer has its whole sequence as one. Items are
+    Shingles are five words; an item or document of fewer has its whole sequence as one. If there are
+    items of fewer words, documents are searched for runs of so many as well. Items are
     partitioned by size. For each partition the driver knows one number, the largest value in its
     sketches: a document's sketch for the partition are its hashes up to that value, if the document
     is long enough to hold an item of the partition. Matching hashes give candidates, which are
@@ -73,6 +74,9 @@ def contaminated(
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text"))
+    # At most four lengths, of items that are shorter than a shingle.
+    n_words = word_count(F.col("item_text"))
+    widths = sorted(r[0] for r in items.select(n_words.alias("n")).where(f"n > 0 and n < {SHINGLE}").distinct().collect())
     sketches = write_table(item_sketches(items, "item_id", "item_text"), "item-sketches")
     top = F.array_max(F.transform("sketch", lambda h: h.bitwiseXOR(F.lit(-(1 << 63)))))
     # One row a partition, of which there are at most 63.
@@ -93,7 +97,7 @@ def contaminated(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_filter = np.unpackbits(filled).astype(bool)
         for batch in batches:
-            for start, sets in shingle_sets(batch.column(1)):
+            for start, sets in shingle_sets(batch.column(1), widths):
                 rows, found = [], []
                 for i, s in enumerate(sets):
                     tops = [top for least, top in bounds if least <= len(s)]
@@ -125,7 +129,7 @@ def contaminated(
             for i in range(batch.num_rows):
                 body, item = batch.column(1)[i].as_py(), shingle_texts(batch.column(3)[i].as_py())
                 if body != last:
-                    last, held = body, shingle_texts(body)
+                    last, held = body, shingle_texts(body, widths)
                 both = len(item & held)
                 if item and both >= needed(len(item)):
                     keep.append(i)

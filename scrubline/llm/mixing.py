@@ -105,7 +105,7 @@ def slot_table(needs: DataFrame, spare: float = 1.1) -> DataFrame:
 def mix_documents(
     docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
     weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_repeats: float = MAX_REPEATS,
-    block_words: int = BLOCK_WORDS, seed: int = 42,
+    block_words: int = BLOCK_WORDS, seed: int = 42, number_rows: bool = False,
 ) -> DataFrame:
     """Pieces of the mix: (slot, doc_id, source, size, source_size, target, from_word, words, epoch).
 
@@ -117,7 +117,8 @@ def mix_documents(
     of which the mix takes nothing, empty ones among them, have one row without a slot and 0 words.
 
     A null source is a source of its own, the last; null texts have no words. Rows with equal id and
-    text are ordered by a hash of both and count each for itself; reruns on the same rows agree.
+    text are ordered by a hash of both and count each for itself; with ``number_rows`` pieces
+    also have ``row_no``, a number of their row in this run; reruns on the same rows agree.
     An empty table gives no rows; further columns are ignored. Documents are ordered in hash ranges,
     so that a source with most of the rows is dealt out over many tasks.
     """
@@ -125,6 +126,7 @@ def mix_documents(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"),
         F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("_order"),
+        F.monotonically_increasing_id().alias("row_no"),
     ), "mix-sizes")
     targets = write_table(source_targets(sizes, weights, share, max_repeats), "mix-targets")
     needs = targets.select("source", F.ceil(F.col("target") / block_words).alias("blocks"))
@@ -150,7 +152,7 @@ def mix_documents(
     })
     s = slots.select(F.col("source").alias("_source"), F.col("rank").alias("_rank"), "slot")
     joined = pieces.join(s, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_rank")), "left")
-    columns = ["doc_id", "source", "size", "source_size", "target"]
+    columns = [*(["row_no"] if number_rows else []), "doc_id", "source", "size", "source_size", "target"]
     used = joined.select(
         # Blocks beyond the drawn slots, if any, follow at the end in the order of their rank.
         F.coalesce("slot", F.lit(1 << 60) + F.col("_block")).alias("slot"), *columns,

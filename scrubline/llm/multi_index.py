@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import components
+from scrubline.llm.common import components, smallest
 from scrubline.storage import write_table
 
 #: Vectors the codebooks are learned from, and centroids of each at most.
@@ -125,7 +125,7 @@ def fit_codebooks(vectors: DataFrame, k: int, threshold: float) -> Codebooks:
     Of sampled vectors that link with each other few are learned from, so that a crowd of near copies
     does not draw centroids to itself and lies in few cells.
     """
-    sample = vectors.select("key", "unit").orderBy(F.xxhash64("key"), "key").limit(SAMPLE_VECTORS)
+    sample = smallest(vectors.select("key", "unit"), F.xxhash64("key"), ["key"], SAMPLE_VECTORS, vectors.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = [(k.as_py(), np.frombuffer(v.as_buffer(), np.float64)) for b in batches for k, v in zip(b.column(0), b.column(1))]
@@ -149,7 +149,8 @@ def find_visits(vectors: DataFrame, books: Codebooks, threshold: float, target:
     links and for the others; None if MOST_VISITS are too few for that, which they never are for a grid of
     no more cells.
     """
-    queries = vectors.orderBy(F.xxhash64("key", F.lit(1)), "key").limit(QUERIES).select("key", "unit").toArrow()
+    queries = smallest(
+        vectors.select("key", "unit"), F.xxhash64("key", F.lit(1)), ["key"], QUERIES, vectors.count()).toArrow()
     q = _matrix(queries.column("unit").combine_chunks())
     names = queries.column("key").to_numpy()
     most = int(min(len(books.left) * len(books.right), MOST_VISITS))
@@ -226,9 +227,8 @@ def near_vectors(
     Vectors link if their cosine, in double precision, is at least ``threshold``; ``n_links`` counts
     the other rows found to link with a row, ``component_id`` is the smallest id that links reach, its
     own included, and ``kept`` marks the rows that are their component's id. Vectors that are null,
-    empty or zero or hold null or non-finite components link with nothing, and so do those that have
-    another number of components than most. Rows with equal vectors link; rows that share an id are
-    counted each. A null id is kept if no row with an id is in its component. An empty table gives no
+    empty or zero or hold null or non-finite components link with nothing, others only with those of as
+    many components. Rows with equal vectors link; rows that share an id are counted each. A null id is kept if no row with an id is in its component. An empty table gives no
     rows; further columns are ignored.
 
     Equal vectors are one with a weight. The halves of the unit vectors have a codebook each, learned
@@ -236,17 +236,63 @@ def near_vectors(
     nearest to it, as many as a sample of queries needs for ``target`` of its links. If that takes too many
     visits the grid is made coarser, down to a single cell, which compares all pairs. Both ends of a link
     may find it. Cells with many rows are compared in blocks, of which only sums and a spanning forest
-    go on, never the pairs.
+    go on, never the pairs. Each number of components has an index of its own; but for the commonest, those
+    of at most BLOCK_ROWS vectors are one block.
     """
     units = write_table(unit_vectors(df, vec_id, embedding), "vectors")
-    common = units.where("dim is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    rows = units.withColumn("key", F.when(F.col("dim") == (common["dim"] if common else -1), F.xxhash64("unit")))
+    rows = units.withColumn("key", F.when(F.col("unit").isNotNull(), F.xxhash64("unit")))
     vectors = write_table(rows.where("key is not null").groupBy("key").agg(
-        F.first("unit").alias("unit"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("first")), "distinct-vectors")
-    n = vectors.count()
-    if not n:
+        F.first("unit").alias("unit"), F.first("dim").alias("dim"), F.count(F.lit(1)).alias("weight"),
+        F.min("vec_id").alias("first")), "distinct-vectors")
+    # As many rows as there are numbers of components; few have many vectors.
+    dims = vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    common = [tuple(r) for r in dims.where(F.col("n") > BLOCK_ROWS).collect()] or [
+        tuple(r) for r in dims.orderBy(F.desc("n"), "dim").limit(1).collect()]
+    if not common:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.lit(True).alias("kept"))
+    rare = vectors.where(~F.col("dim").isin([d for d, _ in common]))
+    found = write_table(rare.groupBy("dim").applyInArrow(_compare_all(threshold), LINKS), "vector-links")
+    for dim, n in common:
+        found = found.unionByName(_indexed_links(vectors.where(F.col("dim") == dim), n, threshold, target))
+    counts = found.where("u = v").groupBy("u").agg(F.sum("n").alias("n"))
+    roots = write_table(components(found.where("u <> v").select("u", "v").distinct()), "vector-roots")
+    placed = vectors.select("key", "first", "weight").join(roots, F.col("key") == F.col("node"), "left").select(
+        "key", "first", "weight", F.coalesce("root", F.col("key")).alias("root"))
+    names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_key = placed.join(names, "root").join(counts, F.col("key") == F.col("u"), "left").select(
+        F.col("key").alias("_key"), "component_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    done = rows.join(of_key, F.col("key") == F.col("_key"), "left")
+    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return done.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+#: Sums of links (u = v) and edges of a spanning forest.
+LINKS = "u long, v long, n long"
+
+
+def _links_table(us: list, vs: list, ns: list) -> pa.Table:
+    join = lambda parts: np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)
+    return pa.table({"u": pa.array(join(us)), "v": pa.array(join(vs)), "n": pa.array(join(ns))})
+
+
+def _compare_all(threshold: float):
+    """Links among the at most BLOCK_ROWS vectors of a group, compared in whole."""
+    def run(table: pa.Table) -> pa.Table:
+        key, weight = table.column("key").to_numpy(), table.column("weight").to_numpy()
+        unit = _matrix(table.column("unit").combine_chunks())
+        linked = unit @ unit.T >= threshold
+        np.fill_diagonal(linked, False)
+        x, y = forest(linked) if linked.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return _links_table([key, key[x]], [key, key[y]], [linked @ weight, np.zeros(len(x), np.int64)])
+
+    return run
+
+
+def _indexed_links(vectors: DataFrame, n: int, threshold: float, target: float) -> DataFrame:
+    """Links among the ``n`` distinct vectors of one number of components, by the index."""
     k = int(min(MAX_CENTROIDS, max(1, round(np.sqrt(n)))))
     while True:
         books = fit_codebooks(vectors, k, threshold)
@@ -325,19 +371,6 @@ def near_vectors(
                 us.append(key[p][x])
                 vs.append(key[m][y])
                 ns.append(np.zeros(len(x), np.int64))
-        join = lambda parts: np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64)
-        return pa.table({"u": pa.array(join(us)), "v": pa.array(join(vs)), "n": pa.array(join(ns))})
+        return _links_table(us, vs, ns)
 
-    found = write_table(both.groupBy("task").applyInArrow(search, "u long, v long, n long"), "vector-links")
-    counts = found.where("u = v").groupBy("u").agg(F.sum("n").alias("n"))
-    roots = write_table(components(found.where("u <> v").select("u", "v").distinct()), "vector-roots")
-    placed = vectors.select("key", "first", "weight").join(roots, F.col("key") == F.col("node"), "left").select(
-        "key", "first", "weight", F.coalesce("root", F.col("key")).alias("root"))
-    names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_key = placed.join(names, "root").join(counts, F.col("key") == F.col("u"), "left").select(
-        F.col("key").alias("_key"), "component_id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    done = rows.join(of_key, F.col("key") == F.col("_key"), "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return done.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return write_table(both.groupBy("task").applyInArrow(search, LINKS), "vector-links")

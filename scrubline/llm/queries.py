@@ -34,7 +34,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words in lower case (A-Z only) as a list, and their distinct five-word shingles.
 SHINGLES = r"""
-  SELECT {id}, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+  SELECT {id}, w, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
     ELSE list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] FOR i IN range(1, len(w) - 3)]) END AS s
   FROM (SELECT {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') AS w FROM {table})
@@ -42,7 +42,9 @@ SHINGLES = r"""
 
 SQL["op1_decontaminate"] = f"""
 WITH d AS ({SHINGLES.format(id="doc_id", table="documents")}), i AS ({SHINGLES.format(id="item_id", table="benchmark")}),
-held AS (SELECT doc_id, unnest(s) AS h FROM d), sought AS (SELECT item_id, len(s) AS n_item, unnest(s) AS h FROM i),
+short AS (SELECT coalesce(list(DISTINCT len(w)) FILTER (len(w) BETWEEN 1 AND 4), []) AS widths FROM i),
+held AS (SELECT DISTINCT doc_id, unnest(list_concat(s, flatten([
+  [list_aggregate(w[k:k + n - 1], 'string_agg', ' ') FOR k IN range(1, len(w) - n + 2)] FOR n IN short.widths]))) AS h FROM d, short), sought AS (SELECT item_id, len(s) AS n_item, unnest(s) AS h FROM i),
 both_of AS (SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM held JOIN sought USING (h) GROUP BY ALL)
 SELECT doc_id, item_id, n_item, n_shared, round(n_shared / n_item, 6) AS containment
 FROM both_of WHERE n_shared * 5 >= n_item * 4
@@ -122,11 +124,11 @@ SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id) AS n_links, compone
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix_documents(docs).groupBy("doc_id").agg(
-        F.first("size").alias("size"), F.first("source_size").alias("source_size"),
+    return mixing.mix_documents(docs, number_rows=True).groupBy("row_no").agg(
+        F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"),
         F.first("target").alias("target"), F.sum("words").alias("taken"),
         F.count("slot").alias("pieces"), F.min("slot").alias("first_slot"),
-    )
+    ).drop("row_no")
 
 
 @query

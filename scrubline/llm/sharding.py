@@ -16,6 +16,10 @@ BLOCKS = 1024
 SUB_BLOCKS = 256
 #: How far a shard may go beyond its capacity before a block is cut, as a part of the capacity.
 SLACK = 1 / 64
+#: Rows that stand in a table more than so often in this many, by bytes, have their copies numbered.
+COMMON_ROWS = 4096
+#: Copies of such a row that are given out together.
+COPIES_A_PIECE = 1 << 12
 
 
 def text_bytes(text: Column) -> Column:
@@ -71,23 +75,27 @@ def min_cost_flow(supply: list[int], demand: list[int], cost) -> dict[tuple[int,
 
 @dataclass
 class Resharding:
-    """Where each block goes: ``moves`` maps (old shard, block, part) to the new shard."""
+    """Where each block goes: ``moves`` maps (old shard, block, part, bit) to the new shard.
 
-    moves: dict[tuple[int, int, int], int]
+    ``cut`` are the blocks that went in parts, ``cut_again`` the parts that went in bits.
+    """
+
+    moves: dict[tuple[int, int, int, int], int]
     cut: list[tuple[int, int]]
+    cut_again: list[tuple[int, int, int]]
     flow: dict[tuple[int, int], int]
     shards: int
 
     @property
     def affected(self) -> set[int]:
         """Shards that give or take a block; the files of the others stay as they are."""
-        return {s for (old, _, _), new in self.moves.items() if old != new for s in (old, new)}
+        return {s for (old, *_), new in self.moves.items() if old != new for s in (old, new)}
 
 
 def plan_transfers(
-    blocks: dict[tuple[int, int, int], int], old_shards: int, shards: int
-) -> tuple[Resharding, list[tuple[int, int]]]:
-    """Destinations of blocks {(old, block, part): bytes}, and the blocks that fit nowhere whole.
+    blocks: dict[tuple[int, int, int, int], int], old_shards: int, shards: int
+) -> tuple[Resharding, list[tuple[int, int, int, int]]]:
+    """Destinations of blocks {(old, block, part, bit): bytes}, and those that fit nowhere whole.
 
     The flow says how many bytes go from each old shard to each new one. A shard's blocks, largest
     first, fill the largest amount still open, its own before others; what a shard's blocks leave
@@ -117,11 +125,11 @@ def plan_transfers(
         for size, key in sorted(by_old[i], key=lambda b: (-b[0], b[1])):
             j = max(want, key=lambda j: (want[j], j == i, -j))
             if size > want[j] + slack:
-                too_large.append(key[:2])
+                too_large.append(key)
             want[j] -= size
             room[j] -= size
             moves[key] = j
-    return Resharding(moves, [], flow, shards), sorted(set(too_large))
+    return Resharding(moves, [], [], flow, shards), sorted(too_large)
 
 
 def plan_resharding(rows: DataFrame, old_shards: int = OLD_SHARDS, shards: int = NEW_SHARDS) -> Resharding:
@@ -129,29 +137,61 @@ def plan_resharding(rows: DataFrame, old_shards: int = OLD_SHARDS, shards: int =
 
     A block is a range of text hashes of an old shard, so equal texts move together. What the driver
     holds is bounded by the number of blocks, old_shards * BLOCKS, whatever the data. A block that
-    fits nowhere, such as one text with a third of all rows, is summed up again in SUB_BLOCKS parts by
-    the hash of its rows; at most shards / SLACK blocks are large enough for that.
+    fits nowhere is summed up again in SUB_BLOCKS parts by another hash of its texts, and a part that
+    still fits nowhere, such as one text with a third of all rows, in bits by the hash of its rows; at
+    most shards / SLACK blocks or parts are large enough for that.
     """
-    counted = rows.groupBy("old", "block").agg(F.sum("size").alias("n")).collect()
-    whole = {(r["old"], r["block"], 0): r["n"] for r in counted}
-    plan, cut = plan_transfers(whole, old_shards, shards)
+    def summed(some: DataFrame) -> dict:
+        found = some.groupBy("old", "block", "part", "bit").agg(F.sum("size").alias("n")).collect()
+        return {(r["old"], r["block"], r["part"], r["bit"]): r["n"] for r in found}
+
+    pieces = summed(with_parts(rows, [], []))
+    plan, large = plan_transfers(pieces, old_shards, shards)
+    cut, again = [k[:2] for k in large], []
     if cut:
-        parts = with_parts(rows, cut).where("part > 0")
-        found = parts.groupBy("old", "block", "part").agg(F.sum("size").alias("n")).collect()
-        pieces = {k: n for k, n in whole.items() if k[:2] not in set(cut)}
-        pieces.update({(r["old"], r["block"], r["part"]): r["n"] for r in found})
+        parts = summed(with_parts(rows, cut, []).where("part > 0"))
+        pieces = {k: n for k, n in pieces.items() if k[:2] not in set(cut)} | parts
+        plan, large = plan_transfers(pieces, old_shards, shards)
+        again = [k[:3] for k in large if k[2] > 0]
+    if again:
+        bits = summed(with_parts(rows, cut, again).where("bit > 0"))
+        pieces = {k: n for k, n in pieces.items() if k[:3] not in set(again)} | bits
         plan, _ = plan_transfers(pieces, old_shards, shards)
-        plan.cut = cut
+    plan.cut, plan.cut_again = cut, again
     return plan
 
 
-def with_parts(rows: DataFrame, cut: list[tuple[int, int]]) -> DataFrame:
-    """``rows`` with the part of their block, which is 0 but for the blocks to be cut."""
-    part = F.lit(0)
-    if cut:
-        is_cut = F.struct("old", "block").isin([F.struct(F.lit(a), F.lit(b)) for a, b in cut])
-        part = F.when(is_cut, 1 + F.pmod(F.shiftright("hash", 20), F.lit(SUB_BLOCKS)).cast("int")).otherwise(0)
-    return rows.withColumn("part", part)
+def with_parts(rows: DataFrame, cut: list[tuple[int, int]], again: list[tuple[int, int, int]]) -> DataFrame:
+    """``rows`` with the part of their block and the bit of it, which are 0 but where those are cut."""
+    def listed(names: list[str], keys: list[tuple]) -> Column:
+        return F.struct(*names).isin([F.struct(*[F.lit(x) for x in k]) for k in keys]) if keys else F.lit(False)
+
+    def share(of: str) -> Column:
+        return 1 + F.pmod(F.shiftright(of, 20), F.lit(SUB_BLOCKS)).cast("int")
+
+    rows = rows.withColumn("part", F.when(listed(["old", "block"], cut), share("text_hash")).otherwise(0))
+    return rows.withColumn("bit", F.when(listed(["old", "block", "part"], again), share("hash")).otherwise(0))
+
+
+def with_copies_apart(rows: DataFrame, total: int, piece_bytes: int) -> DataFrame:
+    """``rows`` (row, size, ..., hash) with hashes of their own for the copies of very common rows.
+
+    Rows with one hash that have more bytes than a few pieces are folded into one row each, which is given
+    out again with numbered copies; there are fewer than COMMON_ROWS such hashes.
+    """
+    bound = max(4 * piece_bytes, total // COMMON_ROWS)
+    common = [r["hash"] for r in rows.groupBy("hash").agg(F.sum("size").alias("n")).where(F.col("n") > bound).collect()]
+    if not common:
+        return rows
+    is_common = F.col("hash").isin(common)
+    copies = F.lit(COPIES_A_PIECE).cast("long")
+    runs = rows.where(is_common).groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n_")).withColumn(
+        "run_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_") - 1) / copies).cast("long")))
+    ).repartition("hash", "run_")
+    numbered = runs.withColumn("copy_", F.explode(F.sequence(
+        F.col("run_") * copies, F.least(F.col("n_"), (F.col("run_") + 1) * copies) - 1)))
+    numbered = numbered.withColumn("hash", F.xxhash64("hash", "copy_")).select(rows.columns)
+    return rows.where(~is_common).unionByName(numbered)
 
 
 def by_text(text: str, shards: int = OLD_SHARDS) -> Column:
@@ -170,7 +210,8 @@ def reshard(
     shard, for the shards that give or take blocks; rows of the others are taken as they are.
     ``slot`` numbers the rows of a shard from 0 without gaps.
 
-    Equal texts stay together unless they fit in no shard. Null and empty texts count 1 byte; equal
+    Equal texts stay together unless they fit in no shard; a text too large for that, even if all its
+    rows are equal, is dealt out by its rows. Null and empty texts count 1 byte; equal
     rows are rows of their own. An empty table gives no rows. Columns of ``df`` named shard, old_shard
     or slot are replaced. Rows are numbered in pieces of about ``piece_bytes``, so no shard is ever
     gathered in one task.
@@ -180,22 +221,25 @@ def reshard(
     kept = [c for c in df.columns if c not in ("shard", "old_shard", "slot")]
     body = F.coalesce(F.col(text), F.lit(""))
     plain = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    text_hash = F.xxhash64(F.lit(3), body)
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text_bytes(F.col(text)).alias("size"),
         old_shard.cast("int").alias("old"),
-        F.pmod(F.shiftright(F.xxhash64(F.lit(3), body), 8), F.lit(BLOCKS)).cast("int").alias("block"),
+        F.pmod(F.shiftright(text_hash, 8), F.lit(BLOCKS)).cast("int").alias("block"), text_hash.alias("text_hash"),
         F.xxhash64(*plain).alias("hash"),
     )
+    if len(plain) == len(df.columns):  # rows with maps or variants can not be compared
+        rows = with_copies_apart(rows, rows.agg(F.sum("size")).first()[0] or 0, piece_bytes)
     plan = plan_resharding(rows, old_shards, shards)
     moves = spark.createDataFrame(
-        [(*k, j) for k, j in sorted(plan.moves.items())], "old int, block int, part int, shard int"
+        [(*k, j) for k, j in sorted(plan.moves.items())], "old int, block int, part int, bit int, shard int"
     )
     # One row a block: the number of blocks is fixed, so the map is small whatever the data.
-    placed = with_parts(rows, plan.cut).join(F.broadcast(moves), ["old", "block", "part"])
+    placed = with_parts(rows, plan.cut, plan.cut_again).join(F.broadcast(moves), ["old", "block", "part", "bit"])
     mean = sum(plan.flow.values()) / shards
     pieces = max(1, int(-(-mean // piece_bytes)))
     placed = placed.withColumn("piece", F.pmod("hash", F.lit(pieces)).cast("int"))
-    inside = Window.partitionBy("shard", "piece").orderBy("block", "part", "hash")
+    inside = Window.partitionBy("shard", "piece").orderBy("block", "part", "bit", "hash")
     numbered = placed.withColumn("at", F.row_number().over(inside) - 1).select("row", "old", "piece", "at", "shard")
     touched = sorted(plan.affected)
     path = new_path(spark, "shards")

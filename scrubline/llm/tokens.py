@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -130,15 +130,34 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np
     return mix(h + np.minimum(whole, SHINGLE).astype(np.uint64) * _PLACE[SHINGLE]), starts
 
 
-def shingle_sets(column) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first row, sorted distinct shingle hashes of each row) for runs of rows of a text column."""
+def window_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``width`` words, fewer than five, as of texts that are no longer."""
+    counts = np.diff(first)
+    n = np.maximum(counts - width + 1, 0)
+    starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    at = np.arange(starts[-1]) - np.repeat(starts[:-1], n) + np.repeat(first[:-1], n)
+    h = np.zeros(starts[-1], dtype=np.uint64)
+    for j in range(width):
+        h += mix(words[at + j] + _PLACE[j])
+    return mix(h + np.uint64(width) * _PLACE[SHINGLE]), starts
+
+
+def shingle_sets(column, widths: Iterable[int] = ()) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, sorted distinct shingle hashes of each row) for runs of rows of a text column.
+
+    Runs of so many words as ``widths`` has, fewer than five, count as well.
+    """
     for start, _, data, offsets in text_chunks(column):
         words, first = word_hashes(data, offsets)
         shingles, at = shingle_hashes(words, first)
-        yield start, [np.unique(shingles[a:b]) for a, b in zip(at[:-1], at[1:])]
+        sets = [shingles[a:b] for a, b in zip(at[:-1], at[1:])]
+        for width in widths:
+            more, at = window_hashes(words, first, width)
+            sets = [np.concatenate([s, more[a:b]]) for s, a, b in zip(sets, at[:-1], at[1:])]
+        yield start, [np.unique(s) for s in sets]
 
 
-def shingle_texts(text: str | None) -> set[tuple[str, ...]]:
+def shingle_texts(text: str | None, widths: Iterable[int] = ()) -> set[tuple[str, ...]]:
     """The shingles themselves: the plain form of what ``shingle_sets`` hashes."""
     data = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
@@ -146,6 +165,7 @@ def shingle_texts(text: str | None) -> set[tuple[str, ...]]:
     words = [w for w in data.split(" ") if w]
     if not words:
         return set()
+    short = {tuple(words[i:i + w]) for w in widths for i in range(len(words) - w + 1)}
     if len(words) < SHINGLE:
-        return {tuple(words)}
-    return {tuple(words[i:i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+        return {tuple(words)} | short
+    return {tuple(words[i:i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)} | short

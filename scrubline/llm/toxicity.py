@@ -10,13 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import fresh
+from scrubline.llm.common import fresh, smallest
 from scrubline.llm.tokens import text_chunks, word_hashes
 
 #: Terms are hashed into 2**TERM_BITS places.
 TERM_BITS = 18
 #: Terms are words and their beginnings of so many bytes, which inflected forms share.
 PREFIXES = (4, 6)
+#: Terms of the sample that are tested in pairs, and documents that a pair must be in.
+PAIR_TERMS = 1024
+MIN_PAIRED = 8
 
 
 @dataclass(frozen=True)
@@ -67,14 +70,49 @@ def document_terms(column, at: np.ndarray | None = None) -> Iterator[tuple[int,
         yield start, both & ((1 << TERM_BITS) - 1), starts
 
 
+def paired_terms(
+    terms: list[np.ndarray], labels: np.ndarray, counts: np.ndarray, marked: np.ndarray, min_documents: int,
+) -> np.ndarray:
+    """Terms that say something about the label together with another, though perhaps nothing alone.
+
+    A pair counts if documents with both differ in label from those with either beyond the chance of the
+    most extreme of all pairs tested. Tested are the PAIR_TERMS most common terms of the sample that are
+    not in most of its documents; each of its words stands there once, by itself.
+    """
+    usual = (counts >= max(min_documents, MIN_PAIRED)) & (2 * counts <= len(labels))
+    chosen = np.argsort(np.where(usual, -counts, 1), kind="stable")[:min(PAIR_TERMS, int(usual.sum()))]
+    if len(chosen) < 2:
+        return np.zeros(0, np.int64)
+    at = np.full(1 << TERM_BITS, -1, dtype=np.int64)
+    at[chosen] = np.arange(len(chosen))
+    both, bad = np.zeros((2, len(chosen), len(chosen)))
+    for start in range(0, len(terms), 1024):
+        rows = [r[r >= 0] for r in (at[t] for t in terms[start:start + 1024])]
+        seen = np.zeros((len(rows), len(chosen)), np.float32)
+        seen[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)] = 1
+        both += seen.T @ seen
+        bad += seen.T @ (seen * labels[start:start + 1024, None].astype(np.float32))
+    # Smoothed shares of label 1 among the documents with a term.
+    rate = (marked[chosen] + labels.mean()) / (counts[chosen] + 1.0)
+    high, low = np.maximum(rate[:, None], rate), np.minimum(rate[:, None], rate)
+    more, less = bad - both * high, both * low - bad
+    chi = np.maximum(
+        np.where(more > 0, more ** 2 / (both * high * (1 - high) + 1e-9), 0),
+        np.where(less > 0, less ** 2 / (both * low * (1 - low) + 1e-9), 0))
+    # Terms that go together always are one, such as a word and its beginning.
+    apart = both < 0.9 * np.minimum(counts[chosen][:, None], counts[chosen])
+    found = (both >= MIN_PAIRED) & apart & (chi > 4 * np.log(len(chosen)) + 8)
+    return chosen[found.any(1)]
+
+
 def fit_machine(
     terms: list[np.ndarray], labels: np.ndarray, factors: int = 8, epochs: int = 12, rate: float = 0.05,
-    decay: float = 2e-4, min_documents: int = 2, max_terms: int = 4096, seed: int = 7,
+    decay: float = 2e-4, min_documents: int = 2, seed: int = 7,
 ) -> Machine:
     """Logistic loss, minimized by AdaGrad in shuffled batches.
 
-    Of the terms in at least ``min_documents`` documents the ``max_terms`` that depend most on the
-    label by the chi-square test are used, so that chance words do not drown the others. Without
+    Of the terms in at least ``min_documents`` documents those are used that depend on the label by the
+    chi-square test, alone or as one of a pair, so that chance words do not drown the others. Without
     documents of both labels the machine is its bias alone.
     """
     flat = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
@@ -83,10 +121,12 @@ def fit_machine(
     share = (labels.sum() + 0.5) / (len(labels) + 1.0)
     spread = counts * share * (1 - share) * (1 - counts / (len(labels) + 1.0)) + 1e-9
     chi = np.where(counts >= min_documents, (marked - counts * share) ** 2 / spread, 0.0)
-    known = np.sort(np.argsort(-chi, kind="stable")[:max_terms])
-    known = known[chi[known] > 6.6]  # the 1 % point of the test
     bias = float(np.log(share / (1 - share)))
-    if not len(known) or labels.min(initial=1) == labels.max(initial=0):
+    known = np.zeros(0, np.int64)
+    if labels.min(initial=1) < labels.max(initial=0):
+        alone = np.flatnonzero(chi > 7.88)  # the 0.5 % point of the test
+        known = np.union1d(alone, paired_terms(terms, labels, counts, marked, min_documents))
+    if not len(known):
         return Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)))
     rng = np.random.Generator(np.random.PCG64(seed))
     batch = int(np.clip(len(labels) // 64, 4, 256))  # small samples take as many steps
@@ -129,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str
     spark = docs.sparkSession
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(
         F.max(F.col(label)).cast("double").alias("_label")
-    ).orderBy(F.xxhash64("_id"), "_id").limit(max_documents)
+    )
+    ids = smallest(ids, F.xxhash64("_id"), ["_id"], max_documents, ids.count())
     # At most max_documents ids.
     chosen = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id")
 
@@ -169,8 +210,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str
         return Machine(0.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 8)))
     row = row[0]
     known = np.frombuffer(row["terms"], np.int64)
+    factors = np.frombuffer(row["factors"])
     return Machine(
-        row["bias"], known, np.frombuffer(row["weights"]), np.frombuffer(row["factors"]).reshape(len(known), -1)
+        row["bias"], known, np.frombuffer(row["weights"]), factors.reshape(len(known), len(factors) // max(1, len(known)))
     )
 
 

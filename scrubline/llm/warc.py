@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrubline.llm.common import smallest
 from scrubline.storage import new_path, write_table
 
 # Fixed values of the formats.
@@ -146,9 +147,8 @@ def train_dictionary(pages: DataFrame, payload: str) -> bytes:
     fixed header bytes.
     """
     text = F.col(payload)
-    sample = pages.where(text.isNotNull()).select(F.substring(text, 1, SAMPLE_BYTES // 4).alias("t")).orderBy(
-        F.xxhash64("t"), "t"
-    ).limit(SAMPLE_ROWS).collect()
+    texts = pages.where(text.isNotNull()).select(F.substring(text, 1, SAMPLE_BYTES // 4).alias("t"))
+    sample = smallest(texts, F.xxhash64("t"), ["t"], SAMPLE_ROWS, texts.count()).collect()
     bodies = [record_bytes(i, "http://example.com/", r["t"].encode()) for i, r in enumerate(sample)]
     while bodies and len(bodies) < 64:
         bodies += bodies
