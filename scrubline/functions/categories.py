@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrubline.functions import vocab
 from scrubline.functions.words import lookup
@@ -65,28 +68,39 @@ def is_token_prefix_variant(a: Column, b: Column) -> Column:
     return F.when((F.size(left) == F.size(right)) & (F.size(left) >= 2), related).otherwise(False)
 
 
-def common_subsequence_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, one dynamic-programming row per letter of ``a``.
+def longest_common(a: str, b: str, least: int = 0) -> int:
+    """Length of the longest common subsequence; anything below ``least`` once it can not be reached.
 
-    ``state`` is the previous row; the inner fold builds the next one left to right.
+    A letter of ``b`` updates all places of ``a`` at once: they are the bits of one number, in which a
+    cleared bit marks a place where the length grows.
     """
-    letters_a, letters_b = F.split(a, ""), F.split(b, "")
-    first = F.array_repeat(F.lit(0), F.length(b) + 1)
+    start = 0
+    while start < len(a) and start < len(b) and a[start] == b[start]:
+        start += 1
+    a, b = a[start:], b[start:]
+    if start + min(len(a), len(b)) < least:
+        return 0
+    where: dict[str, int] = {}
+    for i, letter in enumerate(a):
+        where[letter] = where.get(letter, 0) | 1 << i
+    full = flat = (1 << len(a)) - 1
+    for i, letter in enumerate(b):
+        hit = flat & where.get(letter, 0)
+        if hit:
+            flat = (flat + hit | flat - hit) & full
+        if i % 64 == 63 and start + len(a) - flat.bit_count() + len(b) - i - 1 < least:
+            return 0
+    return start + len(a) - flat.bit_count()
+
+
+@F.pandas_udf(T.LongType())
+def _common_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else longest_common(x, y) for x, y in zip(a, b)], dtype="Int64")
 
-    def next_row(row: Column, letter: Column) -> Column:
-        steps = F.zip_with(
-            F.zip_with(letters_b, F.slice(row, 1, F.length(b)), lambda y, diag: F.when(y == letter, diag + 1).otherwise(0)),
-            F.slice(row, 2, F.length(b)),
-            lambda hit, above: F.greatest(hit, above),
-        )
-        # The running maximum of the steps is the row: cells never decrease to the right.
-        return F.aggregate(
-            steps, F.array(F.lit(0)),
-            lambda acc, s: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), s))),
-        )
 
-    table = F.aggregate(letters_a, first, next_row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.element_at(table, -1))
+def common_subsequence_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts."""
+    return _common_length(a, b)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
@@ -99,16 +113,17 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
 
 def ratio_at_least(a: Column, b: Column, threshold: float) -> Column:
-    """``indel_ratio(a, b) >= threshold``, deciding most pairs by the built-in edit distance.
-
-    With L the Levenshtein distance, L <= indel distance <= 2 L.
-    """
-    total = F.length(a) + F.length(b)
-    allowed = total * (100.0 - threshold) / 100.0 + 1e-9
-    edits = F.levenshtein(a, b)
-    return (
-        F.when(a == b, True)
-        .when(edits > allowed, False)
-        .when(edits * 2 <= allowed, True)
-        .otherwise(indel_ratio(a, b) >= threshold - 1e-9)
-    )
+    """``indel_ratio(a, b) >= threshold``, given up as soon as too few letters are left to reach it."""
+
+    @F.pandas_udf(T.BooleanType())
+    def reached(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            least = math.ceil((threshold - 1e-9) * (len(x) + len(y)) / 200)
+            out.append(x == y or (len(x) + len(y) > 0 and longest_common(x, y, least) >= least))
+        return pd.Series(out, dtype="boolean")
+
+    return reached(a, b)

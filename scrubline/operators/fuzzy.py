@@ -5,8 +5,8 @@ equi-joins on keys chosen so that no similar pair is lost and no block is paired
 
 * similarity ratio: prefix filtering on letter pairs, rarest first (as in set-similarity joins);
 * one value begins the other: every prefix of a stem is looked up among the stems;
-* word by word prefixes: the shortened forms of a stem, made only of words that exist, are looked
-  up with the positions the other side must supply;
+* word by word prefixes: stems are matched by the first letters of all their words; where many share
+  these, the trees of their words are walked in step, place by place;
 * equal but for spaces: each stem is tied to one representative, not to its whole group.
 
 Groups are the connected components, found by star contraction with one stored table per round.
@@ -16,19 +16,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrubline.columns import col, present
 from scrubline.functions import vocab
 from scrubline.functions.categories import (
-    expand_and_stem, indel_ratio, is_negation_pair, ratio_at_least,
+    expand_and_stem, indel_ratio, is_negation_pair, is_token_prefix_variant, ratio_at_least,
 )
 from scrubline.storage import write_table
 
-# Word positions that take part in the exact key; longer stems check the rest after the join.
-KEY_WORDS = 10
+# Stems with the same first letters of all words that are compared with each other at once.
+FEW_STEMS = 64
 # Replacements up to this number are written into the projection; more go through a join.
 MAX_LITERALS = 200
 SHORT_VOCABULARY = 5_000
@@ -89,16 +91,19 @@ def _ratio_pairs(stems: DataFrame, threshold: float) -> DataFrame:
     t = threshold / 100.0
     size = 2 if threshold >= 85 else 1
     length = F.length("stem")
-    parts = F.transform(
-        F.sequence(F.lit(1), length - (size - 1)), lambda i: F.substr("stem", i, F.lit(size))
-    )
-    # The second "an" of "banana" is another token than the first.
-    numbered = F.transform(parts, lambda p, i: F.concat(
-        p, F.lit("#"), F.size(F.filter(F.slice(parts, F.lit(1), i), lambda q: q == p)).cast("string")
-    ))
-    tokens = stems.where(length >= size + 1 if size > 1 else length >= 1).select(
-        "column", "stem", length.alias("len"), _letter_set("stem").alias("letters"),
-        F.explode(numbered).alias("token"),
+    # Only lengths that occur are paired, so a very long stem without any of like length costs nothing.
+    lengths = stems.where(length >= (size + 1 if size > 1 else 1)).groupBy(
+        "column", length.alias("len")).agg(F.count(F.lit(1)).alias("n"))
+    reach = lengths.select("column", F.col("len").alias("len_b"), "n", F.explode(F.sequence(
+        F.ceil(F.col("len") * t / (2.0 - t) - 1e-9).cast("int"), "len")).alias("other"))
+    matched = write_table(reach.join(
+        lengths.select("column", F.col("len").alias("other")), ["column", "other"]
+    ).where("other < len_b or n > 1").select("column", "len_b", "other"), "lengths")
+    compared = matched.select("column", F.col("len_b").alias("len")).unionByName(
+        matched.select("column", F.col("other").alias("len"))).distinct()
+    tokens = stems.withColumn("len", length).join(compared, ["column", "len"], "left_semi").select(
+        "column", "stem", "len", _letter_set("stem").alias("letters"),
+        F.explode(_numbered_parts(F.col("stem"), F.lit(size))).alias("token"),
     )
     frequency = tokens.groupBy("column", "token").agg(F.count(F.lit(1)).alias("seen"))
     lacking = (2.0 * size) * F.col("len") * (1.0 - t) / (2.0 - t)
@@ -114,9 +119,8 @@ def _ratio_pairs(stems: DataFrame, threshold: float) -> DataFrame:
     )
     # The longer stem names the lengths its partner may have: blocks are (token, length).
     longer = first.select(
-        "column", "token", F.col("stem").alias("b"), F.col("len").alias("len_b"), "letters",
-        F.explode(F.sequence(F.ceil(F.col("len") * t / (2.0 - t) - 1e-9), F.col("len"))).alias("other"),
-    )
+        "column", "token", F.col("stem").alias("b"), F.col("len").alias("len_b"), "letters"
+    ).join(matched, ["column", "len_b"])
     once = (F.col("other") < F.col("len_b")) | (F.col("a") < F.col("b"))
     # Each letter that only one side has costs an insertion or a deletion.
     edits = F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_a")))
@@ -126,75 +130,108 @@ def _ratio_pairs(stems: DataFrame, threshold: float) -> DataFrame:
     return candidates.where(ratio_at_least(F.col("stem_a"), F.col("stem_b"), threshold)).distinct()
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _numbered_parts(stem: pd.Series, size: pd.Series) -> pd.Series:
+    """Runs of ``size`` letters; the second "an" of "banana" is another token than the first."""
+    out = []
+    for text, n in zip(stem, size):
+        seen: dict[str, int] = {}
+        parts = []
+        for i in range(len(text) - n + 1):
+            part = text[i:i + n]
+            seen[part] = times = seen.get(part, -1) + 1
+            parts.append(f"{part}#{times}")
+        out.append(parts)
+    return pd.Series(out)
+
+
+def _beginnings(texts: DataFrame, keys: list[str], text: str, least: int) -> DataFrame:
+    """(keys, text, form): beginnings of each text, of the lengths that other texts of its keys have."""
+    lengths = texts.groupBy(*keys).agg(F.collect_set(F.length(text)).alias("lengths"))
+    return texts.join(lengths, keys).select(*keys, text, F.explode(F.filter(
+        "lengths", lambda n: (n >= least) & (n < F.length(text)))).alias("n")).select(
+            *keys, text, F.left(F.col(text), F.col("n")).alias("form"))
+
+
 def _prefix_pairs(stems: DataFrame) -> DataFrame:
-    least = vocab.MIN_PREFIX_LENGTH
-    beginnings = stems.where(F.length("stem") > least).select(
-        "column", F.col("stem").alias("b"),
-        F.explode(F.transform(
-            F.sequence(F.lit(least), F.length("stem") - 1), lambda n: F.left(F.col("stem"), n)
-        )).alias("a"),
-    )
-    return _pairs(stems.select("column", F.col("stem").alias("a")), beginnings, ["column", "a"])
+    beginnings = _beginnings(stems.select("column", F.col("stem").alias("b")), ["column"], "b", vocab.MIN_PREFIX_LENGTH)
+    return _pairs(
+        stems.select("column", F.col("stem").alias("a")), beginnings.withColumnRenamed("form", "a"), ["column", "a"])
 
 
 def _token_prefix_pairs(stems: DataFrame) -> DataFrame:
-    """Pairs of equally many words (two or more), each word beginning its counterpart.
+    """Pairs of equally many words (two or more), each word beginning its counterpart or the other way round.
 
-    A word's shortened forms are its prefixes that exist as words at the same place. A stem yields
-    one form per choice, with a mark for every place kept in full. Two stems match exactly if a
-    form is common to both and every place is full in one of them.
+    Such words have their first letters in common, so stems are brought together by the first letters
+    of all their words. The few that share these are compared; where many do, the trees of their words
+    are walked.
     """
     least = vocab.MIN_TOKEN_PREFIX_LENGTH
     words = F.split(F.col("stem"), " ")
-    long_enough = stems.withColumn("words", words).where(
+    opened = stems.select("column", "stem", words.alias("words")).where(
         (F.size("words") >= 2) & F.forall("words", lambda w: F.length(w) >= least)
-    )
-    placed = long_enough.select(
-        "column", "stem", F.size("words").alias("size"), F.posexplode("words").alias("place", "word")
-    )
-    where = ["column", "size", "place"]
-    known = placed.select(*where, "word").distinct()
-    shortened = known.select(
-        *where, F.col("word").alias("full"),
-        F.explode(F.transform(
-            F.sequence(F.lit(least), F.length("word")), lambda n: F.left(F.col("word"), n)
-        )).alias("word"),
-    ).join(known, [*where, "word"]).groupBy(*where, "full").agg(
-        # As many entries as the word has letters at most.
-        F.collect_list(F.struct(F.col("word").alias("form"), (F.col("word") == F.col("full")).alias("kept"))).alias("forms")
-    )
-    choices = (
-        placed.withColumnRenamed("word", "full").join(shortened, [*where, "full"])
-        .groupBy("column", "stem", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "forms"))).alias("places"))
-    )
-    start = F.expr("array(named_struct('form', '', 'kept', cast(array() as array<boolean>)))")
-    forms = F.aggregate("places", start, lambda done, here: F.flatten(F.transform(
-        done, lambda d: F.transform(here["forms"], lambda f: F.struct(
-            F.concat(d["form"], F.lit(" "), f["form"]).alias("form"),
-            F.concat(d["kept"], F.array(f["kept"])).alias("kept"),
-        ))
-    )))
-    entries = choices.select("column", "stem", "size", F.inline(forms)).withColumn(
-        # Bits of the first KEY_WORDS places; all places are checked after the join.
-        "mask", F.aggregate(F.transform(F.slice("kept", 1, KEY_WORDS), lambda k, i: F.when(
-            k, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
-            F.lit(0).cast("long"), lambda seen, bit: seen + bit))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.least("size", F.lit(KEY_WORDS))) - 1
-    asking = entries.where(F.exists("kept", lambda k: k)).select(
-        "column", "size", "form", F.col("stem").alias("a"), F.col("kept").alias("kept_a"),
-        (F.bitwise_not("mask").bitwiseAND(low)).alias("need"),
-    )
-    # Every subset of the places this side keeps in full can serve a need.
-    offering = entries.select(
-        "column", "size", "form", F.col("stem").alias("b"), F.col("kept").alias("kept_b"),
-        F.explode(F.filter(
-            F.sequence(F.lit(0).cast("long"), low),
-            lambda s: s.bitwiseAND(F.col("mask")) == s,
-        )).alias("need"),
-    )
-    covered = F.forall(F.zip_with("kept_a", "kept_b", lambda x, y: x | y), lambda k: k)
-    return _pairs(asking, offering, ["column", "size", "form", "need"], covered)
+    ).select("column", "stem", "words", F.array_join(F.transform("words", lambda w: F.left(w, F.lit(least))), " ").alias("opening"))
+    keys = ["column", "opening"]
+    sizes = opened.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = write_table(opened.join(sizes, keys), "openings")
+    few = shared.where(F.col("n") <= FEW_STEMS)
+    found = _pairs(
+        few.select(*keys, F.col("stem").alias("a")), few.select(*keys, F.col("stem").alias("b")), keys,
+        (F.col("a") < F.col("b")) & is_token_prefix_variant(F.col("a"), F.col("b")))
+    many = shared.where(F.col("n") > FEW_STEMS).select(*keys, "stem", "words")
+    return found if many.isEmpty() else found.unionByName(_walked_pairs(many, keys))
+
+
+def _walked_pairs(stems: DataFrame, keys: list[str]) -> DataFrame:
+    """The word-by-word pairs among (keys, stem, words), found by walking the words of each group as a tree.
+
+    A node is what a stem has at the first places; two nodes stay together as long as their words are
+    related at every place. From a pair of nodes the next words are joined through the beginnings
+    that exist among the words of the place, in either direction. Places at which a group has
+    one word only are left out. One stored table a place; its rows are pairs of beginnings that are alike.
+    """
+    least = vocab.MIN_TOKEN_PREFIX_LENGTH
+    placed = stems.select(*keys, "stem", F.posexplode("words").alias("place", "word"))
+    places = placed.groupBy(*keys, "place").agg(F.min("word").alias("low"), F.max("word").alias("high")).where("low <> high")
+    step = F.row_number().over(W.partitionBy(*keys).orderBy("place"))
+    last = F.count(F.lit(1)).over(W.partitionBy(*keys))
+    places = places.select(*keys, "place", step.alias("step"), last.alias("last"))
+    lists = placed.join(places, [*keys, "place"]).groupBy(*keys, "stem", "last").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("step", "word"))), lambda s: s["word"]).alias("words"))
+    nodes = F.aggregate("words", F.array(F.lit("")), lambda done, w: F.concat(
+        done, F.array(F.md5(F.concat(F.element_at(done, -1), F.lit(" "), w)))))
+    tree = write_table(lists.select(*keys, "stem", "last", "words", nodes.alias("nodes")).select(
+        *keys, "last", F.col("stem"), F.element_at("nodes", -1).alias("leaf"), F.explode(F.arrays_zip(
+            F.sequence(F.lit(1), F.col("last").cast("int")).alias("step"), F.slice("nodes", F.lit(1), F.col("last").cast("int")).alias("parent"),
+            F.slice("nodes", F.lit(2), F.col("last").cast("int")).alias("node"), F.col("words").alias("word"))).alias("at"),
+    ).select(*keys, "last", "stem", "leaf", "at.*"), "word-tree")
+    known = tree.select(*keys, "step", "word").distinct()
+    shorter = write_table(_beginnings(known, [*keys, "step"], "word", least).join(
+        known.withColumnRenamed("word", "form"), [*keys, "step", "form"]), "beginnings")
+    pairs = tree.select(*keys, "last", F.lit("").alias("a"), F.lit("").alias("b")).distinct()
+    done = None
+    for at in range(1, (tree.agg(F.max("last")).first()[0] or 0) + 1):
+        branch = tree.where(F.col("step") == at).select(*keys, "parent", "node", "word").distinct()
+        forms = shorter.where(F.col("step") == at).select(*keys, "word", "form")
+        either = forms.unionByName(branch.select(*keys, "word", F.col("word").alias("form")).distinct())
+
+        def extended(pairs: DataFrame, left: str, right: str, forms: DataFrame) -> DataFrame:
+            """The left node goes on with a word and the right one with a form of it."""
+            on = pairs.join(branch.withColumnsRenamed({"parent": left, "node": "x"}), [*keys, left]).join(forms, [*keys, "word"])
+            on = on.select(*keys, "last", right, "x", "form")
+            other = branch.withColumnsRenamed({"parent": right, "node": "y", "word": "form"})
+            return on.join(other, [*keys, right, "form"]).select(
+                *keys, "last", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+        pairs = write_table(extended(pairs, "a", "b", either).unionByName(
+            extended(pairs.where("a <> b"), "b", "a", forms)).distinct(), "word-pairs")
+        ended = pairs.where((F.col("last") == at) & (F.col("a") != F.col("b"))).select(*keys, "a", "b")
+        done = ended if done is None else done.unionByName(ended)
+        pairs = pairs.where(F.col("last") > at)
+    leaves = tree.select(*keys, "leaf", "stem").distinct()
+    named = done.join(leaves.withColumnsRenamed({"leaf": "a", "stem": "stem_x"}), [*keys, "a"]).join(
+        leaves.withColumnsRenamed({"leaf": "b", "stem": "stem_y"}), [*keys, "b"])
+    return named.select("column", F.least("stem_x", "stem_y").alias("stem_a"), F.greatest("stem_x", "stem_y").alias("stem_b"))
 
 
 def _spacing_pairs(stems: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 import scrubline as sl
 from scrubline.functions import vocab
+from scrubline.functions.categories import longest_common
 from scrubline.operators import fuzzy
 from tests.test_expressions import lcs
 
@@ -98,6 +99,53 @@ def test_stems_of_many_words_match_word_by_word(spark, size):
     assert 0 < len(want) < 10 and got == want
 
 
+@pytest.mark.parametrize("size", [12, 18, 64, 100])
+def test_stems_whose_words_are_all_shortened(spark, size):
+    values = [" ".join(f"word{i}xyz"[:n] for i in range(size)) for n in (5, 6, 8, 20)]
+    values += [" ".join(f"word{i}xyz"[:5 + (i + k) % 3] for i in range(size)) for k in range(3)]
+    values += [" ".join(["other"] * (size - 1) + [f"end{k}"]) for k in range(3)]
+    df = spark.createDataFrame([("c", v) for v in values], "column string, stem string").coalesce(1)
+    got = {(r.stem_a, r.stem_b) for r in fuzzy._token_prefix_pairs(df).collect()}
+    want = {tuple(sorted(p)) for p in itertools.combinations(values, 2) if all(
+        x.startswith(y) or y.startswith(x) for x, y in zip(p[0].split(" "), p[1].split(" ")))}
+    assert got == want and len(want) >= 6
+
+
+def test_walk_matches_all_pairs(spark, monkeypatch):
+    """Groups that are walked place by place instead of compared, several columns and lengths at once."""
+    monkeypatch.setattr(fuzzy, "FEW_STEMS", 2)
+    rnd = random.Random(8)
+    values = {" ".join("ab" + "".join(rnd.choices("xy", k=rnd.randint(0, 3))) for _ in range(n)) for n in (2, 3, 4) for _ in range(60)}
+    values |= {"ab same " + "".join(["cd", *rnd.choices("xy", k=rnd.randint(0, 4))]) for _ in range(30)}
+    df = spark.createDataFrame([(c, v) for v in values for c in ("c", "d")], "column string, stem string").coalesce(2)
+    rows = [tuple(r) for r in fuzzy._token_prefix_pairs(df).collect()]
+    want = {tuple(sorted(p)) for p in itertools.combinations(values, 2) if len(p[0].split(" ")) == len(p[1].split(" ")) and all(
+        x.startswith(y) or y.startswith(x) for x, y in zip(p[0].split(" "), p[1].split(" ")))}
+    assert {r[1:] for r in rows if r[0] == "c"} == want == {r[1:] for r in rows if r[0] == "d"}
+    assert len(rows) == len(set(rows)) > 100
+
+
+def test_a_very_long_value_among_short_ones(spark):
+    rnd = random.Random(2)
+    long = "".join(rnd.choices("abcdefgh ", k=100_000))
+    values = [f"value {i} {chr(97 + i % 26) * 3}" for i in range(200)] + [long, long[:20] + "," + long[20:]]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {r.v for r in sl.fuzzy_standardize(df.where("length(v) < 1000 or v not like '%,%'"), "v").collect()}
+    assert long in got
+    assert sl.similar_pairs(df, "v").where("length(stem_a) > 1000").count() <= 1
+
+
+def test_longest_common_stops_early_only_below():
+    rnd = random.Random(1)
+    for _ in range(400):
+        a, b = ("".join(rnd.choices("abc", k=rnd.randint(0, 150))) for _ in range(2))
+        want = lcs(a, b)
+        assert longest_common(a, b) == want
+        least = rnd.randint(0, 150)
+        got = longest_common(a, b, least)
+        assert got == want if want >= least else got < least
+
+
 def test_long_chain_is_one_group(spark):
     links = [("c", f"n{i:03d}", f"n{i + 1:03d}") for i in range(150)]
     pairs = spark.createDataFrame(links, "column string, stem_a string, stem_b string").coalesce(2)
