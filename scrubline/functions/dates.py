@@ -24,8 +24,11 @@ MONTH_NAME = (
 # The common case, three numbers, is rewritten in fewer steps than the rest.
 THREE_NUMBERS = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$"
 # What any readable date starts with; everything else is turned away by this one test.
-START = r"(?i)^\s*(?:\d{1,4}\s*[-/.,\sT]|\d{4}\s*$|\d{8}\s*(?:$|[T ])|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b)"
+# A plain number with a fraction is none.
+START = r"(?i)^(?!\s*[\d,]+\.\d+\s*$)\s*(?:\d{1,4}\s*[-/.,\sT]|\d{4}\s*$|\d{8}\s*(?:$|[T ])|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b)"
 ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?: \d{1,2}:\d{2}(?::\d{2})?)?$"
+# At the end, or behind a time that comes first.
+AFTERNOON = r"(?i)\d ?pm\s*$|^\s*\d{1,2}:\d{2}(?::\d{2})? ?pm\b"
 CLOCK = r"[t ](\d{1,2}:\d{2}(?::\d{2})?)(?:\.\d+)?(?: ?([ap]m))?z?$"
 _YEAR, _SHORT_YEAR, _MONTH, _DAY = r"(\d{4})", r"(\d{2})", r"(0?[1-9]|1[0-2])", r"(\d{1,2})"
 _NAMED = r"m(\d{1,2})"
@@ -87,7 +90,9 @@ def _year_first(text: Column) -> Column:
 
 
 def _iso_text(c: Column) -> Column:
-    text = F.lower(squeeze_spaces(c))
+    # Unusual forms are rewritten first; weekdays and the like never look like a month.
+    text = F.when(c.rlike(UNUSUAL), _rewritten(c)).otherwise(c)
+    text = F.lower(squeeze_spaces(text))
     name = F.regexp_extract(F.lower(c), MONTH_NAME, 1)
     number = (F.instr(F.lit(MONTHS), name) + 2) / 3
     text = F.when(
@@ -115,15 +120,9 @@ def parse_datetime(c: Column) -> Column:
 
     With an offset from UTC the moment is what the clock showed: the offset is left out.
     """
-    # The lambda holds the rewritten text, which is thus made once.
-    unusual = F.transform(F.array(_rewritten(c)), _parse_plain)[0]
-    return F.when(c.rlike(UNUSUAL), unusual).otherwise(_parse_plain(c))
-
-
-def _parse_plain(c: Column) -> Column:
     iso = F.regexp_extract(_iso_text(c), ISO, 0)  # empty, hence NULL, for any other text
-    moment = F.when(c.rlike(START) & c.rlike(r"\d{2}"), iso.try_cast("timestamp_ntz"))
-    afternoon = F.when(c.rlike(r"(?i)\dpm\s*$|\d pm\s*$"), F.expr("interval 12 hours"))
+    moment = F.when(c.rlike(f"{START}|{UNUSUAL}") & c.rlike(r"\d{2}"), iso.try_cast("timestamp_ntz"))
+    afternoon = F.when(c.rlike(AFTERNOON), F.expr("interval 12 hours"))
     return (
         F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), c.try_cast("timestamp_ntz"))
         .when(c.rlike(THREE_NUMBERS), F.regexp_extract(_year_first(c), ISO, 0).try_cast("timestamp_ntz"))

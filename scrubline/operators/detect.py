@@ -75,9 +75,14 @@ class Shares:
             value = F.col("value")
             if len(names) < len(self.columns):
                 value = F.when(F.col("column").isin(*names), value) if names else F.lit(None).cast("string")
-            moment = parse_datetime(value) if kind in ("date", "time") else None
+            moment = F.when(value.isNotNull(), F.col("moment")) if kind in ("date", "time") else None
             aggs.append(TESTS[kind](value, moment).alias(kind))
-        counted = text_values(df, self.columns).groupBy("column").agg(*aggs)
+        values = text_values(df, self.columns)
+        if {"date", "time"} & set(kinds):
+            names = [c for c in self.columns if any(_eligible(k, c) for k in ("date", "time") if k in kinds)]
+            # Read once, in a projection of its own, for all the tests that need it.
+            values = values.withColumn("moment", parse_datetime(F.when(F.col("column").isin(*names), F.col("value"))))
+        counted = values.groupBy("column").agg(*aggs)
         for row in counted.collect():  # one row per column
             self.counts[row["column"], "values"] = row["values"]
             for kind in kinds:
