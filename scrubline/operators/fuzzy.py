@@ -9,11 +9,15 @@ equi-joins on keys chosen so that no similar pair is lost and no block is paired
   these, the trees of their words are walked in step, place by place;
 * equal but for spaces: each stem is tied to one representative, not to its whole group.
 
-Groups are the connected components, found by star contraction with one stored table per round.
+Groups are the connected components, found by star contraction with one stored table per round. A
+long vocabulary is linked in two steps, so that crowds of alike values, such as numbered names, are not
+paired with each other: what cheap links connect is one group already, and by ratio only stems of
+different groups are compared, in blocks that hold more than one group.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 
 import pandas as pd
@@ -33,7 +37,11 @@ from scrubline.storage import write_table
 FEW_STEMS = 64
 # Replacements up to this number are written into the projection; more go through a join.
 MAX_LITERALS = 200
-SHORT_VOCABULARY = 5_000
+# Tables up to this many rows stand in one partition, where their joins and groupings need no exchange;
+# at most half a million pairs can come of them.
+SHORT_VOCABULARY = 1_000
+# How many of the values before it in sorted order a stem is compared with first.
+NEIGHBOURS = 2
 STEM_LETTERS = " 0123456789abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,7 +89,7 @@ def _letter_set(stem: str) -> Column:
 
 
 def _ratio_pairs(stems: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with ``indel_ratio >= threshold``.
+    """Pairs with ``indel_ratio >= threshold``; with a column ``root``, those of different roots.
 
     Deleting a letter of ``a`` breaks at most two of its letter pairs and inserting one breaks at
     most one. The threshold limits both, hence how many letter pairs of a stem the other may
@@ -101,10 +109,14 @@ def _ratio_pairs(stems: DataFrame, threshold: float) -> DataFrame:
     ).where("other < len_b or n > 1").select("column", "len_b", "other"), "lengths")
     compared = matched.select("column", F.col("len_b").alias("len")).unionByName(
         matched.select("column", F.col("other").alias("len"))).distinct()
-    tokens = stems.withColumn("len", length).join(compared, ["column", "len"], "left_semi").select(
-        "column", "stem", "len", _letter_set("stem").alias("letters"),
-        F.explode(_numbered_parts(F.col("stem"), F.lit(size))).alias("token"),
+    rooted = "root" in stems.columns
+    parted = stems.withColumn("len", length).join(compared, ["column", "len"], "left_semi").select(
+        "column", "stem", F.col("root") if rooted else F.lit("").alias("root"), "len",
+        _letter_set("stem").alias("letters"), _numbered_parts(F.col("stem"), F.lit(size)).alias("of"),
     )
+    tokens = parted.select(
+        "column", "stem", "root", "len", "letters", F.col("of.marks").alias("marks"),
+        F.explode("of.parts").alias("token"))
     frequency = tokens.groupBy("column", "token").agg(F.count(F.lit(1)).alias("seen"))
     lacking = (2.0 * size) * F.col("len") * (1.0 - t) / (2.0 - t)
     rank = F.row_number().over(W.partitionBy("column", "stem").orderBy("seen", "token"))
@@ -113,36 +125,51 @@ def _ratio_pairs(stems: DataFrame, threshold: float) -> DataFrame:
         .withColumn("rank", rank)
         .where(F.col("rank") <= F.floor(lacking + 1e-9) + 1)
     )
+    if rooted:  # blocks of one group have nothing left to link
+        first = write_table(first, "blocks")
+        mixed = first.groupBy("column", "token").agg(
+            F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        first = first.join(mixed.select("column", "token"), ["column", "token"], "left_semi")
     shorter = first.select(
         "column", "token", F.col("len").alias("other"), F.col("stem").alias("a"),
-        F.col("letters").alias("letters_a"),
+        F.col("root").alias("root_a"), F.col("letters").alias("letters_a"), F.col("marks").alias("marks_a"),
     )
     # The longer stem names the lengths its partner may have: blocks are (token, length).
     longer = first.select(
-        "column", "token", F.col("stem").alias("b"), F.col("len").alias("len_b"), "letters"
+        "column", "token", F.col("stem").alias("b"), F.col("root").alias("root_b"), F.col("len").alias("len_b"),
+        "letters", "marks",
     ).join(matched, ["column", "len_b"])
     once = (F.col("other") < F.col("len_b")) | (F.col("a") < F.col("b"))
-    # Each letter that only one side has costs an insertion or a deletion.
-    edits = F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_a")))
-    near = edits <= (F.col("other") + F.col("len_b")) * (1.0 - t) + 1e-9
+    # Each letter that only one side has costs an insertion or a deletion, and one of these changes at most
+    # three letter pairs (one letter).
+    edits = (F.col("other") + F.col("len_b")) * (1.0 - t) + 1e-9
+    near = F.bit_count(F.col("letters").bitwiseXOR(F.col("letters_a"))) <= edits
+    near &= F.bit_count(F.col("marks").bitwiseXOR(F.col("marks_a"))) <= (2 * size - 1) * edits
+    if rooted:
+        once &= F.col("root_a") != F.col("root_b")
     candidates = _pairs(shorter, longer, ["column", "token", "other"], once & near)
     # Checked where they are joined: only true pairs go on to the exchange that drops repeats.
     return candidates.where(ratio_at_least(F.col("stem_a"), F.col("stem_b"), threshold)).distinct()
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _numbered_parts(stem: pd.Series, size: pd.Series) -> pd.Series:
-    """Runs of ``size`` letters; the second "an" of "banana" is another token than the first."""
+@F.pandas_udf(T.StructType().add("parts", T.ArrayType(T.StringType())).add("marks", T.LongType()))
+def _numbered_parts(stem: pd.Series, size: pd.Series) -> pd.DataFrame:
+    """Runs of ``size`` letters; the second "an" of "banana" is another token than the first.
+
+    ``marks`` has a bit for the hash of each of them.
+    """
     out = []
     for text, n in zip(stem, size):
         seen: dict[str, int] = {}
         parts = []
+        marks = 0
         for i in range(len(text) - n + 1):
             part = text[i:i + n]
             seen[part] = times = seen.get(part, -1) + 1
             parts.append(f"{part}#{times}")
-        out.append(parts)
-    return pd.Series(out)
+            marks |= 1 << zlib.crc32(parts[-1].encode()) % 63
+        out.append((parts, marks))
+    return pd.DataFrame(out, columns=["parts", "marks"])
 
 
 def _beginnings(texts: DataFrame, keys: list[str], text: str, least: int) -> DataFrame:
@@ -255,6 +282,51 @@ def stem_pairs(stems: DataFrame, threshold: float = 85) -> DataFrame:
     return found.where(~is_negation_pair(F.col("stem_a"), F.col("stem_b"))).distinct()
 
 
+def _sorted_pairs(stems: DataFrame, threshold: float) -> DataFrame:
+    """Alike pairs among stems that are close in sorted order, read forwards or backwards.
+
+    Only some of the pairs, and as many as stems at most per order and distance. The order is that of
+    ranges of values, each in a task of its own; the ends of two ranges are not compared.
+    """
+    found = None
+    for order in (F.col("stem"), F.reverse("stem")):
+        ranges = stems.select("column", "stem", order.alias("order")).repartitionByRange("column", "order")
+        line = W.partitionBy("part").orderBy("column", "order")
+        before = ranges.withColumn("part", F.spark_partition_id()).select(
+            F.col("column"), F.col("stem").alias("b"), F.array(*[
+                F.struct(F.lag("column", i).over(line).alias("of"), F.lag("stem", i).over(line).alias("a"))
+                for i in range(1, NEIGHBOURS + 1)]).alias("last")
+        ).select("column", "b", F.explode("last").alias("before"))
+        pairs = before.where(F.col("before.of") == F.col("column")).select(
+            "column", F.least("b", "before.a").alias("stem_a"), F.greatest("b", "before.a").alias("stem_b"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.where(ratio_at_least(F.col("stem_a"), F.col("stem_b"), threshold))
+
+
+def linked_groups(stems: DataFrame, threshold: float = 85) -> DataFrame:
+    """(column, stem, root): the groups of ``stem_pairs`` without listing its pairs.
+
+    Stems that begin one another, differ in spaces only or are neighbours in sorted order are linked
+    first. Pairs by ratio are then sought between different groups alone, so numbered names cost what
+    their number does, not its square. Stems of no pair may be missing.
+    """
+    stems = write_table(stems, "stems")
+    opposite = is_negation_pair(F.col("stem_a"), F.col("stem_b"))
+    linked = _prefix_pairs(stems).unionByName(_token_prefix_pairs(stems)).unionByName(
+        _spacing_pairs(stems)).unionByName(_sorted_pairs(stems, threshold))
+    groups = connected_groups(linked.where(~opposite).distinct())
+    rooted = write_table(stems.join(groups, ["column", "stem"], "left").select(
+        "column", "stem", F.coalesce("root", "stem").alias("root")), "linked")
+    names = rooted.select("column", "stem", "root")
+    across = _ratio_pairs(rooted, threshold).where(~opposite)
+    across = across.join(names.withColumnsRenamed({"stem": "stem_a", "root": "root_a"}), ["column", "stem_a"]).join(
+        names.withColumnsRenamed({"stem": "stem_b", "root": "root_b"}), ["column", "stem_b"]
+    ).select("column", F.least("root_a", "root_b").alias("stem_a"), F.greatest("root_a", "root_b").alias("stem_b"))
+    joined = connected_groups(across.distinct()).select("column", F.col("stem").alias("root"), F.col("root").alias("last"))
+    return rooted.join(joined, ["column", "root"], "left").select(
+        "column", "stem", F.coalesce("last", "root").alias("root"))
+
+
 def similar_pairs(df: DataFrame, column: str, threshold: float = 85) -> DataFrame:
     """(stem_a, stem_b, ratio) of the alike values of a column.
 
@@ -321,7 +393,10 @@ def fit_fuzzy(df: DataFrame, cols: Iterable[str], threshold: float = 85) -> Data
         return df.sparkSession.createDataFrame([], "column string, value string, canonical string")
     words = _stored_vocabulary(df, names)
     stems = _stems(words)
-    groups = connected_groups(stem_pairs(stems, threshold))
+    if stems.count() <= SHORT_VOCABULARY:  # as few pairs as a task can list
+        groups = connected_groups(stem_pairs(stems, threshold))
+    else:
+        groups = linked_groups(stems, threshold)
     rooted = words.join(groups, ["column", "stem"], "left").withColumn(
         "root",
         # A value without a stem is a group of its own; no stem contains the mark.

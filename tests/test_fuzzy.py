@@ -53,10 +53,10 @@ def stems(seed):
     return sorted(made - {""})
 
 
-@pytest.mark.parametrize("threshold, short", [(85, 5000), (70, 5000), (85, 0)])
+@pytest.mark.parametrize("threshold, short", [(85, 5000), (70, 5000), (85, 0), (70, 0)])
 def test_pairs_and_groups_match_all_pairs(spark, monkeypatch, threshold, short):
     monkeypatch.setattr(fuzzy, "SHORT_VOCABULARY", short)
-    values = stems(threshold + short)
+    values = sorted(stems(threshold + short) + [f"long numbered name {i}" for i in range(40)])
     df = spark.createDataFrame([("c", v) for v in values], "column string, stem string").coalesce(2)
     found = fuzzy.stem_pairs(df, threshold)
     got = {(r.stem_a, r.stem_b) for r in found.collect()}
@@ -80,6 +80,9 @@ def test_pairs_and_groups_match_all_pairs(spark, monkeypatch, threshold, short):
         parent[high] = low
     groups = {r.stem: r.root for r in fuzzy.connected_groups(found).collect()}
     assert {v: groups.get(v, v) for v in values} == {v: root(v) for v in values}
+    if not short:  # the way of long vocabularies, which lists no pairs inside a group
+        linked = {r.stem: r.root for r in fuzzy.linked_groups(df, threshold).collect()}
+        assert {v: linked.get(v, v) for v in values} == {v: root(v) for v in values}
 
 
 @pytest.mark.parametrize("size", [10, 11, 62, 63, 64, 100])
@@ -166,3 +169,22 @@ def test_most_frequent_spelling_wins_through_the_join_too(spark, monkeypatch):
     monkeypatch.setattr(fuzzy, "MAX_LITERALS", 0)
     assert sorted(r["v"] or "" for r in sl.fuzzy_standardize(df, "v").collect()) == want
     assert sl.fuzzy_standardize(df, "absent").count() == 5
+
+
+def test_numbered_names_are_one_group_without_their_pairs(spark, monkeypatch):
+    """Every name is alike to hundreds of others; the list of pairs by ratio stays short."""
+    df = spark.createDataFrame(
+        [("c", f"numbered customer name {i:05d}") for i in range(3000)]
+        + [("d", f"numbered customer name {i:05d}") for i in range(0, 3000, 2)], "column string, stem string")
+    listed = []
+    find = fuzzy._ratio_pairs
+
+    def counted(stems, threshold):
+        pairs = find(stems, threshold)
+        listed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(fuzzy, "_ratio_pairs", counted)
+    groups = fuzzy.linked_groups(df).collect()
+    assert {(r["column"], r["root"]) for r in groups} == {(c, "numbered customer name 00000") for c in "cd"}
+    assert len(groups) == 4500 and sum(listed) < 50_000
