@@ -131,7 +131,8 @@ def suggest_missing(
     """Ask for a value for every row that misses ``column``, in batches through the tasks.
 
     With a budget only the first ``max_rows`` of them, by ``row_key``, are asked for.
-    ``row_key`` must identify a row. Rows for which the suggester fails stay missing.
+    Rows that share a ``row_key`` get one suggestion, the smallest of theirs; rows without a key and
+    rows for which the suggester fails stay missing. There are as many rows as before.
     """
     if suggester is None:
         return df
@@ -156,7 +157,8 @@ def suggest_missing(
             yield pd.DataFrame(rows, columns=["__row__", "__suggested__"])
 
     found = write_table(
-        first.mapInPandas(ask, f"__row__ {key_type}, __suggested__ string"), "suggestions"
+        first.mapInPandas(ask, f"__row__ {key_type}, __suggested__ string")
+        .groupBy("__row__").agg(F.min("__suggested__").alias("__suggested__")), "suggestions"
     )
     filled = F.coalesce(col(column), F.col("__suggested__").try_cast(df.schema[column].dataType))
     return (
