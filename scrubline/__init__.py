@@ -34,9 +34,10 @@ from scrubline.operators.typed import (
 from scrubline.plans.pipeline import (
     CleaningConfig, CleaningPlan, CleaningResult, clean, run_ml_cleaning,
 )
+from scrubline.plans.store import load_plan, save_plan
 from scrubline.sources.csv import read_csv
 from scrubline.sources.tables import (
-    JdbcPartitioning, load, preview, read_jdbc, union_with_source, write_clean,
+    JdbcPartitioning, load, load_files, preview, read_jdbc, union_with_source, write_clean,
 )
 
 __all__ = [name for name in dir() if not name.startswith("_")]

