@@ -1,5 +1,7 @@
 """Registered queries against their SQL or brute force on the smallest tables."""
 
+import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -94,3 +96,51 @@ def test_pipeline_stage_by_stage(spark, texts):
         results.append(len(now))
     whole = corpus_pipeline.run(spark, SF_SMALL)
     assert [r.doc_id for r in whole.orderBy("doc_id").collect()] == sorted(ids)
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def base_spans(text):
+    """The contracted kinds by plain regular expressions: all matches, then those that pass."""
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(re.sub("[^0-9]", "", s)) <= 19 and luhn(re.sub("[^0-9]", "", s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15),
+    }
+    return [(k, m.start(), m.end()) for k, (p, ok) in kinds.items() for m in re.finditer(p, text) if ok(m.group())]
+
+
+def test_personal_data_of_all_documents(spark, texts):
+    got = {r.doc_id: r for r in QUERIES["op9_pii"](spark, SF_SMALL).collect()}
+    assert set(got) == set(texts)
+    seen = Counter()
+    for i, text in texts.items():
+        want = base_spans(text)
+        listed = [f"{k}:{a}:{b}" for k, a, b in want]
+        counts = Counter(k for k, _, _ in want)
+        seen += counts
+        row = got[i]
+        assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == tuple(counts[k] for k in ("email", "ip", "card", "phone"))
+        assert row.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        spans = row.spans.split(",") if row.spans else []
+        assert [s for s in spans if not s.startswith("iban:")] == listed
+    assert sum(seen.values()) > 0
+
+
+def test_base_scores_of_all_documents(spark, texts):
+    lower = {c: c + 32 for c in range(65, 91)}
+    words = {i: [*re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower)), None] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    counts = Counter(w for i in texts if not held[i] for w in words[i])
+    total = sum(counts.values())
+    got = {r.doc_id: r for r in QUERIES["op8_lm_score"](spark, SF_SMALL).collect()}
+    assert set(got) == set(texts)
+    for i, tokens_of in words.items():
+        row = got[i]
+        assert (row.held_out, row.n_tokens, row.train_tokens) == (held[i], len(tokens_of), total)
+        assert row.n_known == sum(counts[w] > 0 for w in tokens_of)
+        want = sum(math.log10((counts[w] + .1) / (total + .1 * (len(counts) + 1))) for w in tokens_of)
+        assert math.isclose(row.base_score, want, rel_tol=1e-9) and row.score < 0
