@@ -23,7 +23,7 @@ from scrubline.operators.rules import (
     cap_outliers_iqr, remove_exact_duplicates, run_rule_cleaning,
 )
 from scrubline.operators.text import (
-    detect_name_columns, standardize_casing, standardize_category_casing, standardize_missing,
+    Conversions, detect_name_columns, normalize_text, standardize_casing, standardize_category_casing, standardize_missing,
     standardize_name_casing, trim_whitespace,
 )
 from scrubline.operators.typed import (

@@ -53,10 +53,10 @@ GENDER_WORDS = {
 }
 
 STUDY_YEAR_NAMES = {
-    "1st Year": ("1st year", "1st", "first year", "year 1", "fy", "yr1"),
-    "2nd Year": ("2nd year", "2nd", "second year", "year 2", "sy", "yr2"),
-    "3rd Year": ("3rd year", "3rd", "third year", "year 3", "jr", "yr3"),
-    "4th Year": ("4th year", "4th", "fourth year", "year 4", "sr", "yr4"),
+    "1st year": "1st Year", "1st": "1st Year", "first year": "1st Year", "year 1": "1st Year", "fy": "1st Year", "yr1": "1st Year",
+    "2nd year": "2nd Year", "2nd": "2nd Year", "second year": "2nd Year", "year 2": "2nd Year", "sy": "2nd Year", "yr2": "2nd Year",
+    "3rd year": "3rd Year", "3rd": "3rd Year", "third year": "3rd Year", "year 3": "3rd Year", "jr": "3rd Year", "yr3": "3rd Year",
+    "4th year": "4th Year", "4th": "4th Year", "fourth year": "4th Year", "year 4": "4th Year", "sr": "4th Year", "yr4": "4th Year",
 }
 # A value of three letters or more that starts one of these words also matches.
 STUDY_YEAR_WORDS = {

@@ -41,8 +41,7 @@ def study_year(c: Column) -> Column:
         for other in starts[1:]:
             matched = matched | other
         year = F.coalesce(year, F.when((F.length(plain) >= 3) & matched, label))
-    exact = {name: label for label, names in vocab.STUDY_YEAR_NAMES.items() for name in names}
-    return F.coalesce(lookup(exact)[plain], year)
+    return F.coalesce(lookup(vocab.STUDY_YEAR_NAMES)[plain], year)
 
 
 def standard_study_year(c: Column) -> Column:

@@ -143,16 +143,24 @@ class Profile:
         )
 
 
-def profile_dataset(df: DataFrame, z_thresh: float = 3.0) -> Profile:
-    """All figures, evaluated now: one scan for counts and moments, one for the outliers (numeric
-    columns only) and one shuffle for the duplicates.
+def profile_aggregates(df: DataFrame) -> dict:
+    """What ``profile_dataset`` needs of a first scan, for callers that read the table anyway."""
+    return {
+        "rows": F.count(F.lit(1)), **{(c, "n"): F.count(col(c)) for c in df.columns},
+        **_moments(df, numeric_columns(df)),
+    }
+
+
+def profile_dataset(df: DataFrame, z_thresh: float = 3.0, seen: dict | None = None) -> Profile:
+    """All figures, evaluated now: one scan for counts and moments (left out if ``seen`` has the
+    values of ``profile_aggregates``), one for the outliers (numeric columns only) and one shuffle for
+    the duplicates.
     """
     df = nan_to_null(df)
     spark = df.sparkSession
     names = numeric_columns(df)
-    seen = agg_row(df, {
-        "rows": F.count(F.lit(1)), **{(c, "n"): F.count(col(c)) for c in df.columns}, **_moments(df, names),
-    })
+    if seen is None:
+        seen = agg_row(df, profile_aggregates(df))
     rows = seen["rows"]
     missing = [
         (f.name, rows - seen[f.name, "n"],

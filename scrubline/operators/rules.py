@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 
 from scrubline.columns import as_double, col, measure_columns, nan_to_null
 from scrubline.operators.quantiles import exact_quantiles
-from scrubline.operators.text import standardize_missing, trim_whitespace
+from scrubline.operators.text import Conversions, normalize_text, standardize_missing, trim_whitespace
 from scrubline.operators.typed import (
     TypeFit, apply_casing, apply_casts, apply_types, fit_casts, fit_types, standardize_dates,
 )
-from scrubline.storage import write_table
+from scrubline.storage import spread, write_table
 
 FENCE = 1.5
 
@@ -77,8 +77,12 @@ class RuleFit:
     caps: dict[str, tuple[float, float]] = field(default_factory=dict)
 
 
+def _normalized(df: DataFrame) -> DataFrame:
+    return standardize_missing(trim_whitespace(nan_to_null(df)))
+
+
 def _before_caps(df: DataFrame, fit: RuleFit) -> DataFrame:
-    df = standardize_missing(trim_whitespace(nan_to_null(df)))
+    """``df`` is normalised already."""
     df = apply_casing(apply_types(df, fit.types), fit.types)
     df = remove_exact_duplicates(df)
     if fit.date_columns:
@@ -88,7 +92,7 @@ def _before_caps(df: DataFrame, fit: RuleFit) -> DataFrame:
 
 def apply_rules(df: DataFrame, fit: RuleFit) -> DataFrame:
     """Repeat a fitted rule layer on another table of the same columns."""
-    df = _before_caps(df, fit)
+    df = _before_caps(_normalized(df), fit)
     return apply_caps(apply_casts(df, fit.casts), fit.caps)
 
 
@@ -102,14 +106,31 @@ def fit_rules(
     """Learn and apply the rule layer.
 
     The table without duplicates comes out of the one full shuffle; with ``write`` it is stored
-    in the shared folder, so that no later step repeats the shuffle.
+    in the shared folder, so that no later step repeats the shuffle, and so is the normalised table,
+    so that ``df`` is read once.
     """
-    types = fit_types(standardize_missing(trim_whitespace(nan_to_null(df))), convert_currency)
+    if write:
+        df, conversions, _ = normalize_text(nan_to_null(df))
+        return fit_normalized(df, conversions, date_columns, type_map, convert_currency)
+    return fit_normalized(_normalized(df), None, date_columns, type_map, convert_currency)
+
+
+def fit_normalized(
+    df: DataFrame,
+    conversions: Conversions | None,
+    date_columns: Iterable[str] | None = None,
+    type_map: dict[str, str] | None = None,
+    convert_currency: bool = False,
+) -> tuple[DataFrame, RuleFit]:
+    """``fit_rules`` of a table that ``normalize_text`` stored; without its counts nothing is stored."""
+    if conversions is not None:
+        df = spread(df, conversions.rows)
+    types = fit_types(df, convert_currency)
     fit = RuleFit(types, list(date_columns or ()))
     df = _before_caps(df, fit)
     fit.casts = fit_casts(df, dict(type_map or {}))
     df = apply_casts(df, fit.casts)
-    if write:
+    if conversions is not None:
         df = write_table(df, "deduplicated")
     fit.caps = fit_caps(df, protect=types.protected)
     return apply_caps(df, fit.caps), fit

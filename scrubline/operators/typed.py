@@ -21,8 +21,9 @@ from scrubline.functions.words import (
 from scrubline.operators import detect
 from scrubline.operators.currency import CurrencyFit, apply_currency, fit_currency
 from scrubline.operators.text import (
-    detect_name_columns, standardize_category_casing, standardize_missing, standardize_name_casing,
+    detect_name_columns, normalize_text, standardize_category_casing, standardize_name_casing,
 )
+from scrubline.storage import spread
 
 
 def _mapped(df: DataFrame, cols: Iterable[str], change) -> DataFrame:
@@ -201,7 +202,11 @@ def apply_casing(df: DataFrame, fit: TypeFit) -> DataFrame:
 
 
 def run_type_cleaning(df: DataFrame, convert_currency: bool = False) -> tuple[DataFrame, list[str]]:
-    """Placeholders, typed columns, bounds and casing; also the columns to protect from capping."""
-    df = standardize_missing(df)
+    """Placeholders, typed columns, bounds and casing; also the columns to protect from capping.
+
+    The table without placeholders is stored, as the detectors read it several times.
+    """
+    df, conversions, _ = normalize_text(df, trim=False)
+    df = spread(df, conversions.rows)
     fit = fit_types(df, convert_currency)
     return apply_casing(apply_types(df, fit), fit), fit.protected

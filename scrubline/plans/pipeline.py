@@ -21,9 +21,10 @@ from scrubline.operators.impute import (
     NumericFit, apply_modes, apply_numeric_fill, fit_knn, fit_median, fit_modes,
 )
 from scrubline.operators.mapping import BATCH, Mapper, run_mapping
-from scrubline.operators.profile import Profile, profile_dataset
+from scrubline.operators.profile import Profile, profile_aggregates, profile_dataset
 from scrubline.operators.report import cleaning_report
-from scrubline.operators.rules import RuleFit, apply_rules, fit_rules
+from scrubline.operators.rules import RuleFit, apply_rules, fit_normalized
+from scrubline.operators.text import Conversions, normalize_text
 from scrubline.storage import Scratch, write_table
 
 
@@ -83,6 +84,7 @@ class CleaningResult:
     report: DataFrame
     plan: CleaningPlan
     messages: list[str]
+    conversions: Conversions = field(default_factory=Conversions)
     scratch: Scratch = field(default_factory=Scratch)
 
     def release(self) -> None:
@@ -158,8 +160,11 @@ def clean(df: DataFrame, config: CleaningConfig = CleaningConfig()) -> CleaningR
 
 def _clean(df: DataFrame, config: CleaningConfig) -> CleaningResult:
     df = nan_to_null(df)
-    before = profile_dataset(df)
-    ruled, rules = fit_rules(df, config.date_columns, config.type_map, config.convert_currency)
+    # The first scan stores the normalised table and counts for the profile; the profile needs two more.
+    normalized, conversions, seen = normalize_text(df, also=profile_aggregates(df))
+    before = profile_dataset(df, seen=seen)
+    ruled, rules = fit_normalized(
+        normalized, conversions, config.date_columns, config.type_map, config.convert_currency)
     out, learned = fit_learned(
         ruled, config.fuzzy_columns, config.fuzzy_columns is None,
         config.fill_categorical_missing, config,
@@ -171,4 +176,5 @@ def _clean(df: DataFrame, config: CleaningConfig) -> CleaningResult:
             out, learned.category_columns if columns is None else columns,
             config.mapper, config.mapper_batch,
         )
-    return CleaningResult(out, before, cleaning_report(before, out), CleaningPlan(rules, learned), messages)
+    return CleaningResult(
+        out, before, cleaning_report(before, out), CleaningPlan(rules, learned), messages, conversions)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,3 +64,29 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_and_observe(df: DataFrame, name: str, aggs: dict, columns: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """Store ``columns`` of ``df`` and give back the aggregates ``aggs`` of ``df`` from the same pass.
+
+    Each task folds its rows into one row of counters, as in an aggregation without keys.
+    """
+    seen = Observation()
+    watched = df.observe(seen, *[agg.alias(f"a{i}") for i, agg in enumerate(aggs.values())])
+    stored = write_table(watched.select(*[c.alias(n) for n, c in columns.items()]), name)
+    found = seen.get
+    return stored, {key: found[f"a{i}"] for i, key in enumerate(aggs)}
+
+
+#: Tables of at most so many rows are dealt out to all cores before heavy work on every value.
+SPREAD_ROWS = 1 << 20
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows, over all cores if it is small: a small file is read by a single task.
+
+    Larger tables have partitions enough and are left as they are, so no large table is moved.
+    """
+    if rows > SPREAD_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

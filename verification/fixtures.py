@@ -47,6 +47,24 @@ SELECT event_id, user_id, ts AS event_ts,
 FROM {events}
 """
 
+_MONTH = "trim(substr('January  February March    April    May      June     July     August   SeptemberOctober  November December ', 9 * CAST(month(d) AS INT) - 8, 9))"
+_D, _M, _Y = (f"CAST({part}(d) AS STRING)" for part in ("day", "month", "year"))
+_ISO = f"{_Y} || '-' || lpad({_M},2,'0') || '-' || lpad({_D},2,'0')"
+
+#: One date column in thirteen forms, and text that is none.
+MIXED_DATES = f"""
+WITH b AS (SELECT o_orderkey AS k, o_orderdate AS d FROM {{orders}})
+SELECT k AS order_id,
+  CASE k % 14 WHEN 0 THEN {_ISO} WHEN 1 THEN {_M} || '/' || {_D} || '/' || {_Y} WHEN 2 THEN {_Y} || '/' || {_M} || '/' || {_D}
+    WHEN 3 THEN substr({_MONTH}, 1, 3) || ' ' || {_D} || ', ' || {_Y} WHEN 4 THEN {_D} || ' ' || {_MONTH} || ' ' || {_Y}
+    WHEN 5 THEN {_D} || '-' || upper(substr({_MONTH}, 1, 3)) || '-' || {_Y} WHEN 6 THEN {_Y} || lpad({_M},2,'0') || lpad({_D},2,'0')
+    WHEN 7 THEN 'Mon, ' || {_D} || ' ' || substr({_MONTH}, 1, 3) || ' ' || {_Y} WHEN 8 THEN {_MONTH} || ' ' || {_D} || 'th, ' || {_Y}
+    WHEN 9 THEN {_M} || '.' || {_D} || '.' || {_Y} WHEN 10 THEN {_ISO} || 'T14:05:09Z'
+    WHEN 11 THEN '2:05 PM ' || {_M} || '/' || {_D} || '/' || {_Y} WHEN 12 THEN {_MONTH} || ' ' || {_Y} ELSE 'soon, 99 or so' END AS order_date,
+  CASE k % 14 WHEN 13 THEN {_ISO} ELSE 'lot ' || CAST(k AS STRING) END AS note
+FROM b
+"""
+
 #: Measures of which every row lacks others.
 MIXED_GAPS = """
 SELECT c_custkey AS customer_id,
@@ -63,6 +81,7 @@ FROM {customer}
 MIXED = ["balance", "region_score", "age", "spent", "visits", "rating", "share"]
 
 VIEWS = {
+    "mixed_dates": ("orders", MIXED_DATES),
     "mixed_gaps": ("customer", MIXED_GAPS),
     "messy_customer": ("customer", MESSY_CUSTOMER),
     "messy_orders": ("orders", MESSY_ORDERS),
@@ -70,6 +89,7 @@ VIEWS = {
 }
 
 TEXT = {
+    "mixed_dates": ["order_date", "note"],
     "messy_customer": ["full_name", "email", "gender", "is_active", "segment", "account_status",
                        "major", "phone", "gpa", "study_year"],
     "messy_orders": ["total_price", "fee_amount", "currency", "order_date", "order_status", "priority"],

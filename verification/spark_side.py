@@ -153,6 +153,12 @@ def standardize_missing(spark, d):
     )
 
 
+@query
+def normalize_text_conversions(spark, d):
+    _, conversions, _ = sl.normalize_text(customers(spark, d))
+    return conversions.as_frame(spark).withColumn("n_rows", F.lit(conversions.rows).cast("long"))
+
+
 @query
 def standardize_casing(spark, d):
     df = customers(spark, d).select("customer_id", "full_name", "segment", "major", "email")
@@ -262,6 +268,22 @@ def standardize_dates(spark, d):
     return sl.standardize_dates(df, ["event_ts"])
 
 
+@query
+def detect_date_columns_mixed(spark, d):
+    df = spark_view(spark, d, "mixed_dates")
+    return found(df, sl.detect_date_columns(df))
+
+
+@query
+def standardize_dates_auto_mixed(spark, d):
+    return sl.standardize_dates_auto(spark_view(spark, d, "mixed_dates"))
+
+
+@query
+def standardize_dates_mixed(spark, d):
+    return sl.standardize_dates(spark_view(spark, d, "mixed_dates"), ["order_date", "note"])
+
+
 @query
 def cast_columns(spark, d):
     df = orders(spark, d).select("order_id", "total_price", "fee_amount")

@@ -74,7 +74,7 @@ def gender(x):
 
 def study_year(x):
     w = f"trim(regexp_replace(lower({x}), '[._-]', '', 'g'))"
-    exact = {name: label for label, names in vocab.STUDY_YEAR_NAMES.items() for name in names}
+    exact = vocab.STUDY_YEAR_NAMES
     starts = " ".join(
         f"WHEN length({w}) >= 3 AND starts_with('{word}', {w}) THEN '{label}'"
         for label, words in vocab.STUDY_YEAR_WORDS.items() for word in words
@@ -193,6 +193,9 @@ def project(view, **cols):
 SQL["trim_whitespace"] = project("messy_customer", **{c: trim(c) for c in ("full_name", "email", "segment")})
 SQL["standardize_missing"] = project("messy_customer", **{
     c: missing(c, c) for c in ("email", "gender", "is_active", "account_status", "major", "gpa", "study_year")})
+SQL["normalize_text_conversions"] = with_views("messy_customer", body=" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NOT NULL AND {missing(trim(c), c)} IS NULL) AS made_missing, "
+    f"count(*) FILTER ({missing(trim(c), c)} <> {c}) AS squeezed, count(*) AS n_rows FROM messy_customer" for c in TEXT["messy_customer"]))
 SQL["standardize_casing"] = project(
     "messy_customer", full_name=title_words("full_name"), segment=title_words("segment"),
     major="upper(major)", email="lower(email)")
@@ -272,6 +275,21 @@ def date_test(c):
 SQL["detect_date_columns"] = detection("messy_orders", "", date_test)
 SQL["standardize_dates_auto"] = project("messy_orders", order_date=f"strftime({date('order_date')}, '%Y-%m-%d')")
 SQL["standardize_dates"] = with_views("messy_events", body="SELECT event_id, strftime(event_ts, '%Y-%m-%d') AS event_ts FROM messy_events")
+
+
+def any_date(x):
+    """The moment in any of the forms of ``mixed_dates``."""
+    forms = ("%Y-%m-%d", "%m/%d/%Y", "%Y/%m/%d", "%b %d, %Y", "%d %B %Y", "%d-%b-%Y", "%Y%m%d", "%a, %d %b %Y", "%B %d, %Y",
+             "%m.%d.%Y", "%Y-%m-%dT%H:%M:%SZ", "%I:%M %p %m/%d/%Y", "%B %Y")
+    return f"try_strptime(replace({x}, 'th, ', ', '), [{quoted(forms)}])"
+
+
+SQL["detect_date_columns_mixed"] = with_views("mixed_dates", body=" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({any_date(c)}) / count({c}) >= 0.5 AS detected FROM mixed_dates" for c in TEXT["mixed_dates"]))
+SQL["standardize_dates_auto_mixed"] = with_views("mixed_dates", body=(
+    f"SELECT order_id, strftime({any_date('order_date')}, '%Y-%m-%d %H:%M:%S') AS order_date, note FROM mixed_dates"))
+SQL["standardize_dates_mixed"] = with_views("mixed_dates", body="SELECT order_id, " + ", ".join(
+    f"strftime({any_date(c)}, '%Y-%m-%d') AS {c}" for c in TEXT["mixed_dates"]) + " FROM mixed_dates")
 SQL["cast_columns"] = with_views("messy_orders", body=(
     "SELECT CAST(order_id AS VARCHAR) AS order_id, total_price, CAST(fee_amount AS DOUBLE) AS fee_amount FROM messy_orders"))
 _bool_words = quoted(vocab.TRUE_WORDS + vocab.FALSE_WORDS)
