@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -22,6 +23,7 @@ SKIPPABLE_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 DICTIONARY_MAGIC = 0xEC30A437
 VERSION = "WARC/1.1"
+RECORD_TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: Rows, bytes of each, and bytes of the dictionary that compression is tuned on.
@@ -31,7 +33,7 @@ PIECE = 1 << 13
 #: A file is closed once it has so many compressed bytes.
 FILE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
-RECORD = "record_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+RECORD = "record_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_uri string, payload binary"
 
 
 def digest_of(payload: bytes) -> str:
@@ -95,8 +97,24 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
         at = min(at, len(data)) - len(frame.unused_data)
 
 
+def _page_of(uri: str | None) -> str | None:
+    """The digits in an id that ``record_bytes`` wrote, empty for a page without id; None for other ids."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]+|none)>", uri or "")
+    return found and found[1].replace("none", "")
+
+
+def _check_digest(stated: str | None, content: bytes, what: str) -> None:
+    """Base 32 SHA-1 is compared; other algorithms and spellings are taken as they are."""
+    if stated and re.fullmatch("sha1:[A-Z2-7]{32}", stated) and stated != f"sha1:{digest_of(content)}":
+        raise ValueError(f"the {what} digest differs")
+
+
 def parse_record(content: bytes) -> tuple:
-    """A row of RECORD from the bytes of one frame, after checking headers, lengths and digests."""
+    """A row of RECORD from the bytes of one frame, after checking headers, lengths and digests.
+
+    All eight types of records are taken. ``record_id`` and ``refers_to`` are null for ids of other
+    writers, which ``record_uri`` has as they stand.
+    """
     head, mark, rest = content.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not mark or lines[0] not in ("WARC/1.0", "WARC/1.1"):
@@ -114,30 +132,38 @@ def parse_record(content: bytes) -> tuple:
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise ValueError(f"Content-Length {length} does not fit a block of {len(rest) - 4} bytes")
     block = rest[:length]
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{digest_of(block)}":
-        raise ValueError("the block digest differs")
-    http, mark, payload = block.partition(b"\r\n\r\n")
-    if not mark or not http.startswith(b"HTTP/"):
-        raise ValueError("no HTTP headers")
-    inner = dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])
-    size, kind = int(inner["Content-Length"]), fields["warc-type"]
-    named = lambda v: None if v in (None, "<urn:page:none>") else int(v.removeprefix("<urn:page:").removesuffix(">"))
-    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-    if kind == "response":
-        if len(payload) != size:
-            raise ValueError(f"the payload has {len(payload)} bytes, its header says {size}")
-        if digest_of(payload) != digest:
-            raise ValueError("the payload digest differs")
-    elif kind == "revisit":
-        if payload or "warc-refers-to" not in fields:
-            raise ValueError("a revisit holds a payload or refers to nothing")
-    else:
+    _check_digest(fields.get("warc-block-digest"), block, "block")
+    kind, inner, payload = fields["warc-type"], {}, block
+    if kind not in RECORD_TYPES:
         raise ValueError(f"unknown record type {kind}")
+    # Of a message of HTTP the payload is its body; other blocks are payloads as they are.
+    if fields.get("content-type", "").lower().replace(" ", "").startswith("application/http") and block:
+        http, mark, payload = block.partition(b"\r\n\r\n")
+        if not mark:
+            raise ValueError("no HTTP headers")
+        for line in http.decode("latin-1").split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            inner[name.strip().lower()] = value.strip()
+    digest, size = fields.get("warc-payload-digest"), len(payload)
+    encoded = "transfer-encoding" in inner  # its body is not yet the payload that lengths and digests mean
+    if "content-length" in inner and not encoded:
+        size = int(inner["content-length"])
+    if kind == "revisit":
+        if payload or not fields.keys() & {"warc-refers-to", "warc-refers-to-target-uri"}:
+            raise ValueError("a revisit holds a payload or refers to nothing")
+    elif len(payload) != size:
+        raise ValueError(f"the payload has {len(payload)} bytes, its header says {size}")
+    elif not encoded:
+        _check_digest(digest, payload, "payload")
+    own = _page_of(fields["warc-record-id"])
     url = fields.get("warc-target-uri")
-    if url is not None:
+    if url is not None and own is not None:  # the escapes of ``record_bytes``
         url = url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
-    return (named(fields["warc-record-id"]), url, kind, named(fields.get("warc-refers-to")), size, digest,
-            payload if kind == "response" else None)
+    if digest is None and kind != "revisit":
+        digest = digest_of(payload)
+    target = _page_of(fields.get("warc-refers-to"))
+    return (int(own) if own else None, url, kind, int(target) if target else None, size,
+            digest and digest.removeprefix("sha1:"), fields["warc-record-id"], None if kind == "revisit" else payload)
 
 
 def train_dictionary(pages: DataFrame, payload: str) -> bytes:
@@ -237,7 +263,8 @@ def write_archives(
 
 
 def read_archives(spark, folder: str, files: DataFrame | None = None, payloads: bool = True) -> DataFrame:
-    """(record_id, url, record_type, refers_to, payload_bytes, payload_digest, payload) of all records.
+    """(record_id, url, record_type, refers_to, payload_bytes, payload_digest, record_uri, payload) of all
+    records, also of other writers and types.
 
     ``folder`` holds ``.warc.zst`` files; ``files`` (file) names those to read, else all are. Each
     file is decoded in one task, frame by frame; a record that fails a check fails the job, naming
@@ -249,7 +276,7 @@ def read_archives(spark, folder: str, files: DataFrame | None = None, payloads:
     if files is not None:
         found = found.join(files.select("file"), "file", "left_semi")
     columns = [f.split()[0] for f in RECORD.split(", ")]
-    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
     kept = columns if payloads else columns[:-1]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

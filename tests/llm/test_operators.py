@@ -229,6 +229,47 @@ def test_broken_archives_are_named():
             warc.parse_record(bad)
 
 
+def foreign(kind: str, block: bytes, *headers: str) -> bytes:
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:8f1c>", "WARC-Date: 2020-02-02T00:00:00Z",
+             *headers, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    import zstandard
+
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\ncontent-length:4\r\nServer\r\n\r\nbody"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nbody\r\n0\r\n\r\n"
+    message = "Content-Type: application/http; msgtype=response"
+    records = [
+        (foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), b"software: x\r\n"),
+        (foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http;msgtype=request"), b""),
+        (foreign("metadata", b"", "WARC-Concurrent-To: <urn:uuid:1>"), b""),
+        (foreign("resource", b"\x00\xff", "WARC-Target-URI: http://a/%25"), b"\x00\xff"),
+        (foreign("response", http, message, f"WARC-Payload-Digest: {sha(b'body')}"), b"body"),
+        (foreign("response", chunked, message, f"WARC-Payload-Digest: {sha(b'body')}"), chunked.partition(b"\r\n\r\n")[2]),
+        (foreign("response", b"20200202\na. 60 IN A 1.2.3.4\n", "Content-Type: text/dns"), b"20200202\na. 60 IN A 1.2.3.4\n"),
+        (foreign("revisit", b"", "WARC-Refers-To-Target-URI: http://a", "WARC-Payload-Digest: md5:12"), None),
+        (foreign("conversion", b"text", "WARC-Payload-Digest: sha256:00"), b"text"),
+    ]
+    folder = tmp_path / "archives"
+    folder.mkdir()
+    packer = zstandard.ZstdCompressor()
+    own = warc.record_bytes(0, "http://a/%25", b"zero")
+    (folder / "a.warc.zst").write_bytes(b"".join(packer.compress(r) for r, _ in [*records, (own, b"")]))
+    got = warc.read_archives(spark, str(folder)).collect()
+    assert [None if r.payload is None else bytes(r.payload) for r in got[:-1]] == [payload for _, payload in records]
+    assert [r.record_type for r in got[:4]] == ["warcinfo", "request", "metadata", "resource"]
+    assert {(r.record_id, r.refers_to, r.record_uri) for r in got[:-1]} == {(None, None, "<urn:uuid:8f1c>")}
+    assert got[3].url == "http://a/%25" and got[7].payload_digest == "md5:12" and got[2].payload_digest == sha(b"")[5:]
+    assert (got[-1].record_id, got[-1].url, got[-1].payload_bytes) == (0, "http://a/%25", 4)
+    for bad in (foreign("letter", b""), foreign("revisit", b""), foreign("response", http[:-1], message),
+                foreign("resource", b"x", f"WARC-Block-Digest: {sha(b'y')}"), foreign("response", b"HTTP/1.1 200 OK\r\n", message)):
+        with pytest.raises(ValueError):
+            warc.parse_record(bad)
+
+
 def test_near_vectors(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "BLOCK_ROWS", 16)
     rng = np.random.Generator(np.random.PCG64(2))
