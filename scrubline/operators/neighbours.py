@@ -31,17 +31,28 @@ SAMPLE_ROWS = 1 << 16
 BLOCK_ROWS = 512
 
 
+@dataclass(init=False)
 class Tree:
     """Cuts that lead each row to its cell."""
 
+    nodes: list[tuple]
+    size: int
+
     def __init__(self, sample: np.ndarray, cells: int):
-        self.nodes: list[tuple] = []
+        self.nodes = []
         self.size = 0
         if len(sample):
             self._grow(sample, max(2, 2 * len(sample) // max(cells, 1)))
         else:
             self._leaf()
 
+    @classmethod
+    def of(cls, nodes: list[tuple], size: int) -> Tree:
+        """The tree of cuts that were found before."""
+        tree = cls.__new__(cls)
+        tree.nodes, tree.size = nodes, size
+        return tree
+
     def _leaf(self) -> int:
         self.nodes.append((-1, 0.0, self.size, 0, 0))
         self.size += 1

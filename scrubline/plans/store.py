@@ -25,6 +25,8 @@ VERSION = 1
 KINDS = {k.__name__: k for k in (
     CleaningPlan, RuleFit, TypeFit, TypeRoles, CurrencyFit, LearnedFit, NumericFit, ForestFit, Donors, Tree, Boxes, Deal,
 )}
+#: What builds a kind from its fields.
+MAKERS = {**KINDS, "Tree": Tree.of}
 
 
 def save_plan(plan: CleaningPlan, spark: SparkSession, path: str) -> None:
@@ -84,6 +86,6 @@ def load_plan(spark: SparkSession, path: str) -> CleaningPlan:
             return tuple(built(v) for v in value["tuple"])
         if "pairs" in value:
             return {built(k): built(v) for k, v in value["pairs"]}
-        return KINDS[value["kind"]](**{k: built(v) for k, v in value["fields"].items()})
+        return MAKERS[value["kind"]](**{k: built(v) for k, v in value["fields"].items()})
 
     return built(document["plan"])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import scrubline as sl
-from scrubline.operators import profile
+from scrubline.operators import neighbours, profile
 from scrubline.sources.csv import whole_line
 from scrubline.storage import new_path
 from tests.test_jobs import write_text
@@ -92,6 +92,20 @@ def test_a_saved_plan_does_what_the_fitted_one_does(spark, messy, fill):
     assert all((x == y).all() for x, y in zip(again.learned.forest.trees, result.plan.learned.forest.trees))
 
 
+def test_a_saved_plan_keeps_the_cells_of_many_donors(spark, messy, monkeypatch):
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 64)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 16)
+    result = sl.clean(messy, sl.CleaningConfig(fuzzy_columns=()))
+    assert result.plan.learned.fill.donors.tree.size > 4
+    want = sorted(map(str, result.plan.apply(messy).collect()))
+    path = new_path(spark, "plan")
+    sl.save_plan(result.plan, spark, path)
+    result.release()
+    again = sl.load_plan(spark.newSession(), path)
+    assert again.learned.fill.donors.tree == result.plan.learned.fill.donors.tree
+    assert sorted(map(str, again.apply(messy).collect())) == want
+
+
 def test_a_plan_of_another_version_is_refused(spark):
     path = new_path(spark, "plan")
     spark.createDataFrame([('{"version": 0, "plan": null}',)], "value string").write.text(f"{path}/plan")
