@@ -26,7 +26,7 @@ END = 255
 #: A word is common if it makes up one in COMMON of all tokens, so there are no more than COMMON.
 COMMON = 1 << 14
 #: Rare words of a task of the second pass.
-SEGMENT_WORDS = 4 << 20
+SEGMENT_WORDS = 1 << 20
 
 
 def strings(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +106,13 @@ class Level:
     """The trie at one depth: strings with counts, and their contexts.
 
     Per context: ``total`` of the counts, number of symbols ``kinds``, and ``covered``: what those
-    symbols count in the next shorter context, from where they are excluded.
+    symbols count in the next shorter context, from where they are excluded. Every task holds all
+    of this, so counts have the narrowest type and ``context`` is kept of the longest strings alone.
     """
 
     keys: np.ndarray
     counts: np.ndarray
-    context: np.ndarray
+    context: np.ndarray | None
     contexts: np.ndarray
     total: np.ndarray
     kinds: np.ndarray
@@ -133,14 +134,16 @@ class Trie:
         self.levels: list[Level] = []
         for k, (keys, counts) in enumerate(tables):
             contexts, context, kinds = np.unique(keys >> np.uint64(8), return_inverse=True, return_counts=True)
-            counts = counts.astype(np.float64)
+            counts = narrow(counts)
             total = np.bincount(context, counts, len(contexts))
             covered = np.zeros(len(contexts))
             if k:
                 below = self.levels[k - 1]
                 shorter = below.counts[_index(below.keys, keys & _low(k))]
                 covered = np.bincount(context, shorter, len(contexts))
-            self.levels.append(Level(keys, counts, context, contexts, total, kinds.astype(np.float64), covered))
+            if k:
+                self.levels[-1].context = None
+            self.levels.append(Level(keys, counts, narrow(context), contexts, total, narrow(kinds), covered))
 
     def prepare(self) -> None:
         """Build what scoring needs; done in the task, not sent to it."""
@@ -169,13 +172,18 @@ class Trie:
             escaped = there & ~seen & (options > 0)
             out[rest[escaped]] += np.log10(options[escaped] / (2 * total[escaped]))
             covered = np.where(there, level.covered[context], covered) if len(level.total) else covered
-            kinds = np.where(there, level.kinds[context], kinds) if len(level.total) else kinds
+            kinds = np.where(there, level.kinds[context].astype(np.float64), kinds) if len(level.total) else kinds
             left = ~seen
             rest, covered, kinds = rest[left], covered[left], kinds[left]
         out[rest] -= np.log10(np.maximum(256 - kinds, 1))
         return out
 
 
+def narrow(numbers: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the narrowest type that holds them all."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
 def _low(n: int) -> np.uint64:
     """Mask of the low ``n`` bytes."""
     return np.uint64((1 << (8 * n)) - 1)
@@ -390,6 +398,7 @@ def score_texts(
     stored = write_table(keyed.mapInArrow(
         read, "chunk long, tokens long, known long, base double, score double, segment int, docs binary, "
         f"counts binary, words binary, row {dict(keyed.dtypes)['row']}"), "scores")
+    shared.destroy()  # what follows reads the stored scores, so no task needs room for the model any more
     vocabulary = words.where(F.col("n") * COMMON < in_words).select(
         F.shiftright(
             F.shiftrightunsigned("key", 40).cast("long") * F.lit(segments).cast("long"), 24

@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import math
+import os
+import pickle
 import random
 import re
 import zlib
@@ -445,6 +447,20 @@ def test_scores_do_not_depend_on_what_is_sent_to_all_tasks(docs, monkeypatch, or
         assert got[row].base_score == pytest.approx(r.base_score) and got[row].n_known == r.n_known
 
 
+def test_the_model_is_small_and_not_kept(spark, docs, monkeypatch):
+    sent = []
+    send = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value: sent.append(send(sc, value)) or sent[-1])
+    scored = ppm.score_texts(docs, F.lit(True))
+    assert len(sent) == 1 and not os.path.exists(sent[0]._path)  # destroyed once the scores are stored
+    assert scored.count() == docs.count()
+    data = np.random.default_rng(3).choice(np.frombuffer(b"the lazy dogs ", np.uint8), 100_000)
+    packed, _ = ppm.strings(data, np.array([0, len(data)]))
+    tables = [ppm.counted(packed & ppm._low(k + 1)) for k in range(ppm.ORDER + 1)]
+    assert len(pickle.dumps(ppm.Trie(tables))) < 30 * sum(len(keys) for keys, _ in tables)
+    assert ppm.narrow(np.array([70_000, 1])).dtype == np.uint32
+
+
 def test_ppm_equals_a_plain_trie():
     texts = ["abracadabra", "abra abra", "", "cadabra!"]
     order, tables = 3, []
