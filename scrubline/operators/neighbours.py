@@ -5,8 +5,8 @@ are cut into cells by a tree of cuts along the most spread columns, in which row
 go a way of their own; a cell knows its limits in each column and which columns all or some of its
 rows have. A column that a row lacks matches anything, so the least distance from a row to a cell is
 bounded by the columns that the cell's rows are sure to have. Rows are searched in groups of
-neighbouring cells: first in their own, then in those with a cell that can hold a donor nearer than
-the k-th so far. No pattern of gaps is ever listed: any number of columns and patterns costs the same.
+neighbouring cells: first where the most promising cell of each gap is, then in those with a cell that can
+hold a donor before the k-th so far, a few first. Each visited group is cut finer. No pattern of gaps is ever listed: any number of columns and patterns costs the same.
 """
 
 from __future__ import annotations
@@ -21,14 +21,20 @@ from pyspark.sql import functions as F
 
 from scrubline.storage import write_table
 
-CELL_ROWS = 2048
+CELL_ROWS = 1024
 #: Cells at most; of larger tables they get larger, and are searched in parts.
 MAX_CELLS = 4096
 #: Donors, and rows with gaps, that meet in one task.
 GROUP_ROWS = 16_384
+#: A task cuts its donors into leaves of about so many rows.
+LEAF_ROWS = 128
+#: Groups that a row visits in the second round; what these leave open is visited in the third.
+FEW_GROUPS = 3
 #: Donors that the cuts are chosen from. They decide how fast the search is, never what it finds.
 SAMPLE_ROWS = 1 << 16
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
+#: Rows whose distances to all cells are held at once.
+REACH_ROWS = 128
 
 
 @dataclass(init=False)
@@ -133,16 +139,54 @@ class Boxes:
         A mean over the shared columns is not below the smallest of them, nor below what the columns
         that are sure to be shared add to a mean over all that may be.
         """
-        there = ~np.isnan(rows)
-        x = np.where(there, rows, 0.0)
-        out = np.empty((len(rows), len(self.low)))
-        for c in range(len(self.low)):
-            may = there & self.some[c]
-            off = np.maximum(np.maximum(self.low[c] - x, x - self.high[c]), 0.0)
-            off *= off
-            sure = np.where(there & self.full[c], off, 0.0).sum(1) / np.maximum(may.sum(1), 1)
-            out[:, c] = np.maximum(sure, np.where(may, off, np.inf).min(1))
-        return np.sqrt(rows.shape[1] * out) * (1 - 1e-9)
+        sure = np.zeros((len(rows), len(self.low)))
+        least = np.full(sure.shape, np.inf)
+        with np.errstate(invalid="ignore"):
+            for axis in range(rows.shape[1]):
+                x, low, high, full = rows[:, axis, None], self.low[:, axis], self.high[:, axis], self.full[:, axis]
+                # A column that the row lacks is passed over: its differences are NaN.
+                off = np.maximum(low - x, x - high)
+                least = np.fmin(least, np.maximum(off, 0.0))
+                off = np.fmax(np.where(full, off, 0.0), 0.0)
+                off *= off
+                sure += off
+        sure /= np.maximum(self.shared(rows), 1)
+        return np.sqrt(rows.shape[1] * np.maximum(sure, least * least)) * (1 - 1e-9)
+
+    def shared(self, rows: np.ndarray) -> np.ndarray:
+        """(rows, cells): how many columns a row may share with rows of the cell."""
+        return (~np.isnan(rows)).astype(float) @ self.some.T.astype(float)
+
+    def needed(self, reach: np.ndarray, far: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """(rows, cells): the cell can hold a donor that comes before the k-th so far of a gap.
+
+        ``far`` and ``value`` (rows, columns) are the distance and value of that donor: infinite if there
+        is none yet, negative if the row has the column. No donor is nearer than one at distance zero,
+        so of a cell only smaller values can come before it.
+        """
+        out = np.zeros(reach.shape, bool)
+        for axis in range(far.shape[1]):
+            who = np.flatnonzero(far[:, axis] >= 0)
+            if len(who):
+                d, v = far[who, axis][:, None], value[who, axis][:, None]
+                out[who] |= (reach[who] <= d) & np.where(d > 0, self.some[:, axis], self.low[:, axis] < v)
+        return out & np.isfinite(reach)
+
+    def promising(self, reach: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell): for each gap the nearest cell whose rows have the column.
+
+        Of equally near ones it is that with which the row shares the fewest columns: less can differ.
+        """
+        shared = self.shared(rows)
+        found = []
+        for axis in range(rows.shape[1]):
+            who = np.flatnonzero(np.isnan(rows[:, axis]))
+            near = np.where(self.some[:, axis], reach[who], np.inf)
+            best = near.min(1, keepdims=True)
+            cell = np.where(near == best, shared[who], np.inf).argmin(1)
+            any_ = np.isfinite(best[:, 0])
+            found.append((who[any_], cell[any_]))
+        return tuple(np.concatenate(part) for part in zip(*found))
 
 
 @dataclass
@@ -167,6 +211,13 @@ class Deal:
     def groups(self) -> int:
         return int((self.first + self.parts).max(initial=1))
 
+    def all_of(self, row: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, group, place): every group of each given cell, and which given pair it comes from."""
+        times = self.parts[cell]
+        place = np.repeat(np.arange(len(cell)), times)
+        group = self.first[cell[place]] + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return row[place], group, place
+
     def group_of(self, cells: np.ndarray, chance: np.ndarray) -> np.ndarray:
         return self.first[cells] + chance % self.parts[cells]
 
@@ -279,32 +330,22 @@ def nearest_means(values: DataFrame, donors: Donors) -> DataFrame:
     for r in gaps.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
     gaps = _dealt(gaps, Deal.of(sizes, GROUP_ROWS), "chunk")
-    home = _dealt(gaps, donors.deal, "group") if donors.deal else gaps.withColumn("group", F.lit(0).cast("long"))
-    near = _search(home.withColumn("bound", F.lit(None).cast("array<double>")), donors)
-    if donors.deal is not None and donors.deal.groups > 1:
-        near = write_table(near, "near")
-        near = near.unionByName(_search(_further(home.join(near.select("id", "d"), "id"), donors), donors))
-    merged = near.groupBy("id").agg(F.collect_list(F.struct("d", "v")).alias("found"))
+    if donors.deal is None or donors.deal.groups == 1:
+        unbound = [F.lit(None).cast("array<double>").alias(c) for c in ("far", "value")]
+        near = _search(gaps.select("x", "id", "cell", "chunk", F.lit(0).cast("long").alias("group"), *unbound), donors)
+    else:
+        gaps = gaps.repartition(_partitions(gaps, int(sizes.sum()) // GROUP_ROWS), "id")
+        near = write_table(_search(_first_visits(gaps, donors), donors), "near")
+        for most in (FEW_GROUPS, None):
+            more = write_table(_search(_further(gaps.join(_found(near), "id"), donors, most), donors), "near")
+            near = near.unionByName(more)
+    merged = _found(near)
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spare = np.array(means)
         for batch in batches:
             rows = _matrix(batch.column("x"), width)
-            row, axis = np.nonzero(np.isnan(rows))
-            slots = np.bincount(row, minlength=len(rows))
-            found = batch.column("found")
-            times = np.diff(found.offsets.to_numpy()) if len(found) else np.zeros(0, np.int64)
-            parts = found.flatten()
-            # Each list has k places for every gap of its row.
-            of = np.repeat(np.arange(len(rows)), times)
-            first = np.cumsum(slots) - slots
-            places = slots[of]
-            before = np.cumsum(places) - places
-            slot = np.repeat(np.arange(places.sum()) - np.repeat(before, places) + np.repeat(first[of], places), k)
-            d, v = (parts.field(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
-            best_d, best_v = np.full((len(row), k), np.inf), np.zeros((len(row), k))
-            use = np.isfinite(d)
-            _keep_best(best_d, best_v, slot[use], d[use], v[use], k)
+            row, axis, best_d, best_v = _merged(rows, batch.column("found"), k)
             n = np.isfinite(best_d).sum(1)
             total = np.where(np.isfinite(best_d), best_v, 0.0).sum(1)
             rows[row, axis] = np.where(n > 0, total / np.maximum(n, 1), spare[axis])
@@ -316,6 +357,30 @@ def nearest_means(values: DataFrame, donors: Donors) -> DataFrame:
         mean, "x array<double>, filled array<double>")
 
 
+def _found(near: DataFrame) -> DataFrame:
+    """(id, found): all that the visits of a row found."""
+    return near.groupBy("id").agg(F.collect_list(F.struct("group", "d", "v")).alias("found"))
+
+
+def _merged(rows: np.ndarray, found: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column) of each gap, and the k nearest distances and values over all visits."""
+    row, axis = np.nonzero(np.isnan(rows))
+    slots = np.bincount(row, minlength=len(rows))
+    times = np.diff(found.offsets.to_numpy()) if len(found) else np.zeros(0, np.int64)
+    parts = found.flatten()
+    # Each list has k places for every gap of its row.
+    of = np.repeat(np.arange(len(rows)), times)
+    first = np.cumsum(slots) - slots
+    places = slots[of]
+    before = np.cumsum(places) - places
+    slot = np.repeat(np.arange(places.sum()) - np.repeat(before, places) + np.repeat(first[of], places), k)
+    d, v = (parts.field(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+    best_d, best_v = np.full((len(row), k), np.inf), np.zeros((len(row), k))
+    use = np.isfinite(d)
+    _keep_best(best_d, best_v, slot[use], d[use], v[use], k)
+    return row, axis, best_d, best_v
+
+
 def _keep_best(best_d: np.ndarray, best_v: np.ndarray, slot: np.ndarray, d: np.ndarray, v: np.ndarray, k: int) -> None:
     """Merge new (slot, distance, value) into the k best of each slot, nearest first, in place."""
     if not len(slot):
@@ -332,128 +397,228 @@ def _keep_best(best_d: np.ndarray, best_v: np.ndarray, slot: np.ndarray, d: np.n
     best_d[touched], best_v[touched] = d[kept].reshape(-1, k), v[kept].reshape(-1, k)
 
 
-def _further(home: DataFrame, donors: Donors) -> DataFrame:
-    """Rows once for each other group with a cell that can hold a donor nearer than their k-th so far.
+VISIT = "x array<double>, id long, cell int, chunk long, group long, far array<double>, value array<double>"
+
+
+def _visits(part: pa.RecordBatch, row: np.ndarray, group: np.ndarray, far: pa.Array, value: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Records of VISIT: the rows ``row`` of ``part`` to the groups ``group``."""
+    for start in range(0, len(row), 10_000):
+        who = pa.array(row[start:start + 10_000])
+        yield pa.RecordBatch.from_arrays(
+            [*[part.column(c).take(who) for c in ("x", "id", "cell", "chunk")],
+             pa.array(group[start:start + 10_000]), far.take(who), value.take(who)],
+            ["x", "id", "cell", "chunk", "group", "far", "value"])
 
-    ``d`` has the k distances of each gap, infinite where there were fewer.
+
+def _first_visits(gaps: DataFrame, donors: Donors) -> DataFrame:
+    """Rows with the group of the most promising cell for each of their gaps; all rows have one at least.
+
+    A row's own cell may hold no donor with the column it lacks; without any, no cell could be left out.
     """
-    width, k, boxes, deal = donors.width, donors.k, donors.boxes, donors.deal
+    width, boxes, deal = donors.width, donors.boxes, donors.deal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
+            for at in range(0, batch.num_rows, REACH_ROWS):
+                part = batch.slice(at, REACH_ROWS)
                 rows = _finite(_matrix(part.column("x"), width))
-                d = part.column("d")
-                ends = d.offsets.to_numpy()[:-1] - d.offsets.to_numpy()[0]
-                farthest = np.maximum.reduceat(d.flatten().to_numpy(zero_copy_only=False), ends)
+                row, cell = boxes.promising(boxes.least_distances(rows), rows)
+                lost = np.setdiff1d(np.arange(len(rows)), row)
+                row = np.concatenate([row, lost])
+                cell = np.concatenate([cell, part.column("cell").to_numpy()[lost]])
+                group = deal.group_of(cell, part.column("id").to_numpy()[row])
+                both = np.unique(row * deal.groups + group)
+                none = pa.nulls(len(rows), pa.list_(pa.float64()))
+                yield from _visits(part, both // deal.groups, both % deal.groups, none, none)
+
+    return gaps.select("x", "id", "cell", "chunk").mapInArrow(run, VISIT)
+
+
+def _further(found: DataFrame, donors: Donors, most: int | None) -> DataFrame:
+    """Rows once for each other group with a cell that can hold a donor that comes before their k-th so far.
+
+    Those are the ``most`` nearest groups, or all.
+    """
+    width, k, boxes, deal = donors.width, donors.k, donors.boxes, donors.deal
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, REACH_ROWS):
+                part = batch.slice(at, REACH_ROWS)
+                raw, seen = _matrix(part.column("x"), width), part.column("found")
+                gap_row, axis, best_d, best_v = _merged(raw, seen, k)
+                far, value = np.full(raw.shape, -1.0), np.full(raw.shape, -np.inf)
+                far[gap_row, axis], value[gap_row, axis] = best_d[:, -1], best_v[:, -1]
+                rows = _finite(raw)
                 reach = boxes.least_distances(rows)
-                row, cell = np.nonzero((reach <= farthest[:, None]) & np.isfinite(reach))
-                times = deal.parts[cell]
-                group = np.repeat(deal.first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                both = np.unique(np.repeat(row, times) * deal.groups + group)
-                row, group = both // deal.groups, both % deal.groups
-                other = group != part.column("group").to_numpy()[row]
-                row, group = row[other], group[other]
-                for start in range(0, len(row), 10_000):
-                    who = pa.array(row[start:start + 10_000])
-                    yield pa.RecordBatch.from_arrays(
-                        [*[part.column(c).take(who) for c in ("x", "id", "cell", "chunk")],
-                         pa.array(group[start:start + 10_000]), d.take(who)],
-                        ["x", "id", "cell", "chunk", "group", "bound"])
-
-    return home.select("x", "id", "cell", "chunk", "group", "d").mapInArrow(
-        run, "x array<double>, id long, cell int, chunk long, group long, bound array<double>")
+                row, cell = np.nonzero(boxes.needed(reach, far, value))
+                near = reach[row, cell]
+                row, group, place = deal.all_of(row, cell)
+                order = np.lexsort((near[place], row))
+                both = (row * deal.groups + group)[order]
+                # Each group once, nearest first.
+                both = both[np.sort(np.unique(both, return_index=True)[1])]
+                visited = np.repeat(np.arange(len(rows)), np.diff(seen.offsets.to_numpy())) * deal.groups
+                both = both[~np.isin(both, visited + seen.flatten().field(0).to_numpy())]
+                row = both // deal.groups
+                if most is not None:
+                    both = both[np.arange(len(row)) - np.searchsorted(row, row) < most]
+                    row = both // deal.groups
+                ends = pa.array(np.append(0, np.cumsum(np.bincount(gap_row, minlength=len(rows)))).astype(np.int32))
+                yield from _visits(
+                    part, row, both % deal.groups, pa.ListArray.from_arrays(ends, pa.array(best_d[:, -1].copy())),
+                    pa.ListArray.from_arrays(ends, pa.array(best_v[:, -1].copy())))
+
+    return found.select("x", "id", "cell", "chunk", "found").mapInArrow(run, VISIT)
+
+
+def _partitions(df: DataFrame, wanted: int) -> int:
+    """Partitions for rows that are few in bytes but take long: Spark would join them into too few."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(wanted, MAX_CELLS))
 
 
 def _search(visits: DataFrame, donors: Donors) -> DataFrame:
-    """(id, d, v): for each row and visited group the k nearest donors of each gap in it.
+    """(id, group, d, v): for each row and visited group the k nearest donors of each gap in it.
 
     Both arrays have k places for each gap of the row, columns ascending; unused ones are infinitely
-    far. ``bound`` has the distances found before, or is null.
+    far. ``far`` and ``value`` have the k-th found before, or are null; what does not come before it is
+    left out. The donors of a group are sent as often as its visitors fill a task.
     """
     width, k = donors.width, donors.k
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "d": pa.array([], pa.list_(pa.float64())), "v": pa.array([], pa.list_(pa.float64()))})
+            return pa.table({"id": pa.array([], pa.int64()), "group": pa.array([], pa.int64()),
+                             "d": pa.array([], pa.list_(pa.float64())), "v": pa.array([], pa.list_(pa.float64()))})
         left = left.take(np.argsort(left["cell"].to_numpy(), kind="stable"))
         raw = _matrix(left["x"].combine_chunks(), width)
         gap = np.isnan(raw)
         slots = gap.sum(1)
         first = np.cumsum(slots) - slots
-        bound = np.full(int(slots.sum()), np.inf)
-        if left["bound"].null_count == 0:
-            bound = left["bound"].combine_chunks().flatten().to_numpy().reshape(-1, k)[:, -1].copy()
-        best_d, best_v = np.full((len(bound), k), np.inf), np.zeros((len(bound), k))
+        far, value = np.full(int(slots.sum()), np.inf), np.zeros(int(slots.sum()))
+        if left["far"].null_count == 0:
+            far, value = (left[c].combine_chunks().flatten().to_numpy().copy() for c in ("far", "value"))
+        best_d, best_v = np.full((len(far), k), np.inf), np.zeros((len(far), k))
         if right.num_rows:
-            _scan(_finite(raw), gap, first, bound, best_d, best_v, right, width, k)
-        ends = pa.array((np.append(first, len(bound)) * k).astype(np.int32))
-        return pa.table({"id": left["id"], "d": pa.ListArray.from_arrays(ends, pa.array(best_d.ravel())),
+            _scan(_finite(raw), gap, first, far, value, best_d, best_v, right, width, k)
+        ends = pa.array((np.append(first, len(far)) * k).astype(np.int32))
+        return pa.table({"id": left["id"], "group": left["group"], "d": pa.ListArray.from_arrays(ends, pa.array(best_d.ravel())),
                          "v": pa.ListArray.from_arrays(ends, pa.array(best_v.ravel()))})
 
-    wanted = visits.select(F.col("chunk").alias("chunk_"), F.col("group").alias("group_")).distinct()
-    sent = donors.table.join(wanted, F.col("group") == F.col("group_")).select("chunk_", "group_", "cell", "x", "n")
-    return visits.groupBy("chunk", "group").cogroup(sent.groupBy("chunk_", "group_")).applyInArrow(
-        run, "id long, d array<double>, v array<double>")
+    visits = write_table(visits, "visits")
+    tasks = visits.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("tasks"))
+    n = _partitions(visits, 2 * (tasks.agg(F.sum("tasks")).first()[0] or 0))
+    part = F.pmod(F.xxhash64("chunk"), F.col("tasks"))
+    come = visits.join(tasks, "group").withColumn("part", part).drop("tasks", "chunk")
+    sent = donors.table.join(tasks, "group").select(
+        F.col("group").alias("group_"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("part_"), "x", "n")
+    return come.repartition(n, "group", "part").groupBy("group", "part").cogroup(
+        sent.repartition(n, "group_", "part_").groupBy("group_", "part_")).applyInArrow(
+        run, "id long, group long, d array<double>, v array<double>")
 
 
-def _scan(x, gap, first, bound, best_d, best_v, donors: pa.Table, width: int, k: int) -> None:
-    """Search all donors of a group for all rows, cell by cell, nearest cells first."""
-    donors = donors.take(np.argsort(donors["cell"].to_numpy(), kind="stable"))
+def _scan(x, gap, first, far, value, best_d, best_v, donors: pa.Table, width: int, k: int) -> None:
+    """Search all donors of a group for all rows, leaf by leaf, nearest leaves first."""
     y, n = _matrix(donors["x"].combine_chunks(), width), donors["n"].to_numpy()
-    cell = donors["cell"].to_numpy()
-    starts = np.flatnonzero(np.diff(cell, prepend=-1))
+    leaf = Tree(y, -(-len(y) // LEAF_ROWS)).cells(y)
+    order = np.argsort(leaf, kind="stable")
+    y, n, leaf = y[order], n[order], leaf[order]
+    starts = np.flatnonzero(np.diff(leaf, prepend=-1))
     ends = np.append(starts[1:], len(y))
     boxes = Boxes.around(y, starts)
     slot_of = first[:, None] + np.cumsum(gap, 1) - 1
+    row_of, axis_of = np.nonzero(gap)
     for at in range(0, len(x), BLOCK_ROWS):
         block = np.arange(at, min(at + BLOCK_ROWS, len(x)))
         slots = np.where(gap[block], slot_of[block], -1)
         reach = boxes.least_distances(x[block])
-        for c in np.argsort(np.where(np.isfinite(reach), reach, 1e300).mean(0)):
-            start, step = starts[c], 64
-            while start < ends[c]:
-                limits = np.where(slots >= 0, bound[slots], -1.0)
-                live = np.flatnonzero(np.isfinite(reach[:, c]) & (reach[:, c] <= limits.max(1)))
-                if not len(live):
-                    break
-                if np.isfinite(limits[live]).all():
-                    step = CELL_ROWS  # all rows have a bound: the rest of the cell at once
-                stop = min(start + step, ends[c])
-                row, donor, d = _candidates(x[block[live]], limits[live], y[start:stop])
-                pair, axis = np.nonzero(
-                    (slots[live[row]] >= 0) & ~np.isnan(y[start + donor]) & (d[:, None] <= limits[live[row]]))
-                touched = slots[live[row[pair]], axis]
-                times = n[start + donor[pair]]
-                _keep_best(best_d, best_v, np.repeat(touched, times), np.repeat(d[pair], times),
-                           np.repeat(y[start + donor[pair], axis], times), k)
-                touched = np.unique(touched)
-                bound[touched] = np.minimum(bound[touched], best_d[touched, -1])
-                start, step = stop, 2 * step
-
-
-def _candidates(x: np.ndarray, limits: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, donor, distance) of the pairs that may be among the nearest of one of the row's gaps.
-
-    Matrix products give all distances but for rounding; those within it of a limit are computed
-    again, column by column. Where a gap has no limit yet, all donors with its column are.
+        limits, values = np.where(slots >= 0, far[slots], -1.0), np.where(slots >= 0, value[slots], -np.inf)
+        needed = boxes.needed(reach, limits, values)
+        order = np.lexsort((boxes.shared(x[block]).mean(0), np.where(np.isfinite(reach), reach, 1e300).mean(0)))
+        for c in order[needed.any(0)[order]]:
+            who = np.flatnonzero(needed[:, c])
+            mine, last = limits[who], values[who]
+            wanted = np.where(mine > 0, boxes.some[c], boxes.low[c] < last) & (reach[who, c, None] <= mine)
+            live = wanted.any(1)
+            if not live.any():
+                continue
+            who, mine, last = who[live], mine[live], last[live]
+            leaf = y[starts[c]:ends[c]]
+            if np.isinf(mine).any():
+                mine, last = _bounded(x[block[who]], mine, last, leaf, k)
+            row, donor, d = _candidates(x[block[who]], mine, leaf, last)
+            offered = leaf[donor]
+            before = (d[:, None] < mine[row]) | ((d[:, None] == mine[row]) & (offered < last[row]))
+            pair, axis = np.nonzero(before & ~np.isnan(offered))
+            if not len(pair):
+                continue
+            touched = slots[who[row[pair]], axis]
+            times = n[starts[c] + donor[pair]]
+            _keep_best(best_d, best_v, np.repeat(touched, times), np.repeat(d[pair], times),
+                       np.repeat(offered[pair, axis], times), k)
+            touched = np.unique(touched)
+            last_d, last_v = best_d[touched, -1], best_v[touched, -1]
+            nearer = (last_d < far[touched]) | ((last_d == far[touched]) & (last_v < value[touched]))
+            touched, last_d, last_v = touched[nearer], last_d[nearer], last_v[nearer]
+            far[touched], value[touched] = last_d, last_v
+            limits[row_of[touched] - at, axis_of[touched]], values[row_of[touched] - at, axis_of[touched]] = last_d, last_v
+
+
+def _centred(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(x0, mx, y0, my, slack): both less the mean of ``y``, zero where absent, and which are there.
+
+    Sums of squares from matrix products of these are off by ``slack`` at most for each row of ``x``.
     """
     width = x.shape[1]
     there_x, there_y = ~np.isnan(x), ~np.isnan(y)
     centre = np.where(there_y, y, 0.0).sum(0) / np.maximum(there_y.sum(0), 1)
     x0, y0 = np.where(there_x, x - centre, 0.0), np.where(there_y, y - centre, 0.0)
-    mx, my = there_x.astype(float), there_y.astype(float)
+    slack = 1e-14 * width * (4 + width) * ((x0 * x0).sum(1) + (y0 * y0).sum(1).max())
+    return x0, there_x.astype(float), y0, there_y.astype(float), slack
+
+
+def _bounded(x: np.ndarray, limits: np.ndarray, values: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``limits`` and ``values`` with infinite limits lowered to what the k nearest of ``y`` are sure to be within."""
+    x0, mx, y0, my, slack = _centred(x, y)
     shared = mx @ my.T
-    square = np.hstack([x0 * x0, mx, -2 * x0]) @ np.hstack([my, y0 * y0, y0]).T
     with np.errstate(divide="ignore", invalid="ignore"):
-        square = np.where(shared > 0, width / shared * square, np.inf)
+        square = (np.hstack([x0 * x0, mx, -2 * x0]) @ np.hstack([my, y0 * y0, y0]).T) * x.shape[1] / shared
+    square[~(shared > 0)] = np.inf
+    limits, values = limits.copy(), values.copy()
+    for axis in np.flatnonzero(np.isinf(limits).any(0)):
+        who, have = np.flatnonzero(np.isinf(limits[:, axis])), np.flatnonzero(my[:, axis])
+        if len(have) >= k:
+            kth = np.partition(square[np.ix_(who, have)], k - 1, axis=1)[:, k - 1]
+            limits[who, axis] = np.sqrt(np.maximum(kth, 0.0) + slack[who]) * (1 + 1e-9) + 1e-300
+            values[who, axis] = np.inf
+    return limits, values
+
+
+def _candidates(
+    x: np.ndarray, limits: np.ndarray, y: np.ndarray, values: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, donor, distance) of the pairs that may be among the nearest of one of the row's gaps.
+
+    Where a limit is zero, only donors whose value is below that of ``values`` are.
+
+    Matrix products give all distances but for rounding; those within it of a limit are computed
+    again, column by column. Where a gap has no limit yet, all donors with its column are.
+    """
+    width = x.shape[1]
+    x0, mx, y0, my, slack = _centred(x, y)
+    there_y = my > 0
     farthest = np.where(np.isfinite(limits), limits, -1.0).max(1)
-    slack = 1e-14 * width * (4 + width) * ((x0 * x0).sum(1) + (y0 * y0).sum(1).max())
-    near = square <= (np.where(farthest >= 0, farthest * farthest * (1 + 1e-12), -np.inf) + slack)[:, None]
+    # Squares less what is allowed for each shared column; where nothing is, no pair is near.
+    allowed = np.where(farthest >= 0, farthest * farthest * (1 + 1e-12) + 2 * slack, -1.0)[:, None]
+    near = np.hstack([width * x0 * x0 - allowed * mx, width * mx, -2 * width * x0]) @ np.hstack([my, y0 * y0, y0]).T <= 0
     for axis in np.flatnonzero(np.isinf(limits).any(0)):
         near[np.ix_(np.isinf(limits[:, axis]), there_y[:, axis])] = True
-    row, donor = np.nonzero(near & (shared > 0))
+    row, donor = np.nonzero(near)
+    if values is not None:
+        use = (limits[row] > 0) & there_y[donor] | (y[donor] < values[row])
+        row, donor = row[use.any(1)], donor[use.any(1)]
+    some = (mx[row] * my[donor]).any(1)
+    row, donor = row[some], donor[some]
     total, common = np.zeros(len(row)), np.zeros(len(row))
     for axis in range(width):
         off = x[row, axis] - y[donor, axis]

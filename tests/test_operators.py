@@ -223,6 +223,33 @@ def test_knn_over_many_cells(spark, monkeypatch):
     assert filled_by_knn(spark, rows) == pytest.approx(brute_knn(rows, 5))
 
 
+def test_rows_start_where_their_gap_is_known():
+    """A row's own cell may hold no donor with the column it lacks: without a bound it went to all cells."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(0, 10, (2400, 3))
+    rows[np.arange(0, 2400, 2), rng.integers(0, 3, 1200)] = np.nan
+    cells = neighbours.Tree(rows, 150).cells(rows)
+    order = np.argsort(cells, kind="stable")
+    rows, cells = rows[order], cells[order]
+    starts = np.flatnonzero(np.diff(cells, prepend=-1))
+    boxes = neighbours.Boxes.around(rows, starts)
+    gaps = rows[np.isnan(rows).any(1)]
+    reach = boxes.least_distances(gaps)
+    row, cell = boxes.promising(reach, gaps)
+    axis = np.isnan(gaps).argmax(1)
+    assert sorted(row) == list(range(len(gaps))) and boxes.some[cell, axis[row]].all()
+    far, value = np.full(gaps.shape, -1.0), np.full(gaps.shape, -np.inf)
+    for r, c in zip(row, cell):
+        part = rows[starts[c]:np.append(starts[1:], len(rows))[c]]
+        donors = part[~np.isnan(part[:, axis[r]])]
+        who, donor, d = neighbours._candidates(gaps[r:r + 1], np.full((1, 3), np.inf), donors)
+        far[r, axis[r]], value[r, axis[r]] = sorted(zip(d, donors[donor, axis[r]]))[min(4, len(d) - 1)]
+    assert boxes.needed(reach, far, value).sum(1).mean() < len(starts) / 4
+    # At distance zero only smaller values come before.
+    far[row, axis[row]], value[row, axis[row]] = 0.0, rows[~np.isnan(rows)].min()
+    assert not boxes.needed(reach, far, value).any()
+
+
 def test_infinite_values_are_no_neighbours(spark):
     rows = [(0, 1.0, None), (1, float("inf"), 9.0), (2, 1.5, 4.0), (3, 2.0, float("-inf")), (4, float("inf"), None), (5, None, 6.0)]
     df = spark.createDataFrame(rows, "k int, a double, b double")
