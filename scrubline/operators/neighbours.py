@@ -6,17 +6,22 @@ go a way of their own; a cell knows its limits in each column and which columns
 rows have. A column that a row lacks matches anything, so the least distance from a row to a cell is
 bounded by the columns that the cell's rows are sure to have. Rows are searched in groups of
 neighbouring cells: first where the most promising cell of each gap is, then in those with a cell that can
-hold a donor before the k-th so far, a few first. Each visited group is cut finer. No pattern of gaps is ever listed: any number of columns and patterns costs the same.
+hold a donor before the k-th so far, a few first. Each visited group is cut finer.
+
+Rows that lack a column that the cuts follow can not tell its cells apart: they would visit ever more of
+them as the table grows. Where many do, the donors are stored once more in a view whose cuts follow the
+columns that such rows have. A row searches the view that is cut least along what it lacks; all views hold all
+donors, so the choice decides the speed alone and patterns of gaps need not be listed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubline.storage import write_table
@@ -33,8 +38,12 @@ FEW_GROUPS = 3
 #: Donors that the cuts are chosen from. They decide how fast the search is, never what it finds.
 SAMPLE_ROWS = 1 << 16
 BLOCK_ROWS = 1024
-#: Rows whose distances to all cells are held at once.
-REACH_ROWS = 128
+#: Rows whose distances to all groups are held at once.
+REACH_ROWS = 2048
+#: Views at most, each of which stores the donors once.
+MAX_VIEWS = 8
+#: Patterns of gaps, the costliest first, that views are tried for.
+VIEW_PATTERNS = 16
 
 
 @dataclass(init=False)
@@ -44,11 +53,16 @@ class Tree:
     nodes: list[tuple]
     size: int
 
-    def __init__(self, sample: np.ndarray, cells: int):
+    def __init__(self, sample: np.ndarray, cells: int, columns: np.ndarray | None = None):
+        """Cuts follow ``columns`` as long as these tell rows apart, and the others after them."""
         self.nodes = []
         self.size = 0
+        self.columns = np.ones(sample.shape[1], bool) if columns is None else columns
+        #: How many cuts along each column a row meets.
+        self.cuts = np.zeros(sample.shape[1])
         if len(sample):
             self._grow(sample, max(2, 2 * len(sample) // max(cells, 1)))
+            self.cuts /= len(sample)
         else:
             self._leaf()
 
@@ -73,15 +87,22 @@ class Tree:
         filled = np.where(there, rows, 0.0)
         centre = filled.sum(0) / np.maximum(n, 1)
         spread = np.where(there, (filled - centre) ** 2, 0.0).sum(0)
-        axis = int(np.argmax(spread))
-        have = there[:, axis]
-        if not spread[axis] > 0:
+        # The mean of equal values may be off by rounding.
+        spread[np.where(there, rows, -np.inf).max(0) <= np.where(there, rows, np.inf).min(0)] = 0.0
+        for columns in (self.columns, ~self.columns):
+            if (spread[columns] > 0).any():
+                axis, equal = int(np.argmax(np.where(columns, spread, -1.0))), False
+                break
             # All that is there is equal: only what is absent can tell rows apart.
-            axis = int(np.argmax(np.where(n < len(rows), n, -1)))
-            have, cut = there[:, axis], -np.inf
-            if n[axis] in (0, len(rows)):
-                return self._leaf()
+            mixed = columns & (n > 0) & (n < len(rows))
+            if mixed.any():
+                axis, equal = int(np.argmax(np.where(mixed, n, -1))), True
+                break
         else:
+            return self._leaf()
+        self.cuts[axis] += len(rows)
+        have, cut = there[:, axis], -np.inf
+        if not equal:
             values = rows[have, axis]
             cut = float(np.median(values))
             if not (values < cut).any():
@@ -133,6 +154,14 @@ class Boxes:
             np.maximum.reduceat(np.where(there, rows, -np.inf), starts, axis=0), counts == sizes, counts > 0,
         )
 
+    def part(self, start: int, end: int) -> Boxes:
+        return Boxes(self.low[start:end], self.high[start:end], self.full[start:end], self.some[start:end])
+
+    def joined(self, starts: np.ndarray) -> Boxes:
+        """One box around each run of boxes that begins at ``starts``."""
+        return Boxes(np.minimum.reduceat(self.low, starts), np.maximum.reduceat(self.high, starts),
+                     np.logical_and.reduceat(self.full, starts), np.logical_or.reduceat(self.some, starts))
+
     def least_distances(self, rows: np.ndarray) -> np.ndarray:
         """(rows, cells): no row of the cell is nearer; infinite if none shares a column.
 
@@ -211,22 +240,79 @@ class Deal:
     def groups(self) -> int:
         return int((self.first + self.parts).max(initial=1))
 
-    def all_of(self, row: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, group, place): every group of each given cell, and which given pair it comes from."""
-        times = self.parts[cell]
-        place = np.repeat(np.arange(len(cell)), times)
-        group = self.first[cell[place]] + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        return row[place], group, place
-
     def group_of(self, cells: np.ndarray, chance: np.ndarray) -> np.ndarray:
         return self.first[cells] + chance % self.parts[cells]
 
 
+@dataclass
+class View:
+    """A way to cut all donors: cells dealt into groups, both numbered on from those of the views before.
+
+    ``columns`` are those that the cuts follow, ``cuts`` how many along each column a row meets.
+    """
+
+    tree: Tree
+    boxes: Boxes
+    deal: Deal
+    columns: np.ndarray
+    cuts: np.ndarray
+    first_cell: int
+    first_group: int
+
+    def bundles(self) -> tuple[np.ndarray, np.ndarray, Boxes]:
+        """The first cell and the first group of each run of cells that share groups, and its box."""
+        first, starts = np.unique(self.deal.first, return_index=True)
+        return starts, first, self.boxes.joined(starts)
+
+    def starts(self, rows: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, group): for each gap the nearest group with a cell whose rows have the column.
+
+        Of equally near ones it is that with the cell with which the row shares the fewest columns: less can differ.
+        """
+        cells, first, joined = self.bundles()
+        reach = joined.least_distances(rows)
+        patterns, own = np.unique(np.isnan(rows), axis=0, return_inverse=True)
+        own = own.ravel()
+        shared = (~patterns).astype(float) @ self.boxes.some.T.astype(float)
+        row, bundle = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for axis in np.flatnonzero(patterns.any(0)):
+            fewest = np.minimum.reduceat(np.where(self.boxes.some[:, axis] & (shared > 0), shared, np.inf), cells, axis=1)
+            who = np.flatnonzero(patterns[own, axis])
+            ties = fewest[own[who]]
+            near = np.where(np.isfinite(ties), reach[who], np.inf)
+            best = near.min(1, keepdims=True)
+            any_ = np.isfinite(best[:, 0])
+            row.append(who[any_])
+            bundle.append(np.where(near == best, ties, np.inf).argmin(1)[any_])
+        row, bundle = np.concatenate(row), np.concatenate(bundle)
+        return row, self.first_group + self.deal.group_of(cells[bundle], chance[row])
+
+    def visits(self, rows: np.ndarray, far: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, group, least distance): the groups with a cell that is ``needed``.
+
+        Cells are looked at where the box around all of a group is needed.
+        """
+        cells, first, joined = self.bundles()
+        ends = np.append(cells[1:], self.tree.size)
+        needed = joined.needed(joined.least_distances(rows), far, value)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in np.flatnonzero(needed.any(0)):
+            who = np.flatnonzero(needed[:, at])
+            part = self.boxes.part(cells[at], ends[at])
+            reach = part.least_distances(rows[who])
+            near = np.where(part.needed(reach, far[who], value[who]), reach, np.inf).min(1)
+            use = np.isfinite(near)
+            for group in range(self.first_group + first[at], self.first_group + first[at] + self.deal.parts[cells[at]]):
+                found.append((who[use], np.full(use.sum(), group), near[use]))
+        return tuple(np.concatenate(part) for part in zip(*found))
+
+
 @dataclass
 class Donors:
-    """The stored donors ``table`` (x, n, cell, group): distinct rows and their number, at most k.
+    """The stored donors ``table`` (x, n, cell, group): distinct rows and their number, at most k, once for each view.
 
-    What the driver holds of them, ``tree``, ``boxes`` and ``deal``, is bounded by MAX_CELLS.
+    What the driver holds of them, ``tree``, ``boxes`` and ``deal`` and those of the further views, is bounded
+    by MAX_CELLS and MAX_VIEWS.
     """
 
     width: int
@@ -236,6 +322,25 @@ class Donors:
     tree: Tree | None = None
     boxes: Boxes | None = None
     deal: Deal | None = None
+    cuts: np.ndarray | None = None
+    further: list[View] = field(default_factory=list)
+
+    @property
+    def views(self) -> list[View]:
+        if self.tree is None:
+            return []
+        cuts = self.cuts if self.cuts is not None else np.zeros(self.width)
+        return [View(self.tree, self.boxes, self.deal, np.ones(self.width, bool), cuts, 0, 0), *self.further]
+
+    @property
+    def groups(self) -> int:
+        last = self.views[-1]
+        return last.first_group + last.deal.groups
+
+
+def _best_view(rows: np.ndarray, views: list[View]) -> np.ndarray:
+    """For each row the view that is cut least along the columns that the row lacks."""
+    return (np.isnan(rows).astype(float) @ np.array([v.cuts for v in views]).T).argmin(1)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -247,14 +352,16 @@ def _finite(rows: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(rows), rows, np.nan)
 
 
-def _celled(rows: DataFrame, tree: Tree, width: int, extra: str) -> DataFrame:
-    """``rows`` with the cell of their ``x``."""
+def _celled(rows: DataFrame, views: list[View], width: int, extra: str, best: bool = False) -> DataFrame:
+    """``rows`` with the cell of their ``x``, once in each view or once in the best view of the row."""
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = tree.cells(_finite(_matrix(batch.column("x"), width)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], [*names, "cell"])
+            x = _finite(_matrix(batch.column("x"), width))
+            found = np.array([v.first_cell + v.tree.cells(x) for v in views], dtype=np.int32)
+            for cells in [found[_best_view(x, views), np.arange(len(x))]] if best else found:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], [*names, "cell"])
 
     return rows.mapInArrow(run, f"{extra}, cell int")
 
@@ -294,20 +401,60 @@ def fit_donors(values: DataFrame, k: int) -> Donors:
     # About SAMPLE_ROWS rows, by their hashes.
     bound = (2**63 - 1) * min(SAMPLE_ROWS, n) // n
     drawn = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(9), "x"), 1) <= bound).select("x").limit(2 * SAMPLE_ROWS).toArrow()
-    tree = Tree(_matrix(drawn["x"].combine_chunks(), width), min(MAX_CELLS, -(-n // CELL_ROWS)))
-    celled = write_table(_celled(rows, tree, width, "x array<double>, n long"), "donor-cells")
+    sample = _matrix(drawn["x"].combine_chunks(), width)
+    wanted = min(MAX_CELLS, -(-n // CELL_ROWS))
+    trees = _trees(sample, wanted, n)
+    none = Deal(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    first_cells = np.cumsum([0, *[t.size for t in trees]])
+    views = [View(t, None, none, t.columns, t.cuts, int(c), 0) for t, c in zip(trees, first_cells)]
+    celled = write_table(_celled(rows, views, width, "x array<double>, n long"), "donor-cells")
     x = [F.col("x")[i] for i in range(width)]
     found = celled.groupBy("cell").agg(
         F.count(F.lit(1)), *[F.min(c) for c in x], *[F.max(c) for c in x], *[F.count(c) for c in x]).collect()
-    sizes = np.zeros(tree.size, np.int64)
-    boxes = Boxes(np.full((tree.size, width), np.inf), np.full((tree.size, width), -np.inf), *np.zeros((2, tree.size, width), bool))
+    cells = int(first_cells[-1])
+    sizes = np.zeros(cells, np.int64)
+    boxes = Boxes(np.full((cells, width), np.inf), np.full((cells, width), -np.inf), *np.zeros((2, cells, width), bool))
     for r in found:
         c, sizes[r[0]] = r[0], r[1]
         low, high, count = (np.array(r[2 + i * width:2 + (i + 1) * width], dtype=float) for i in range(3))
         boxes.some[c], boxes.full[c] = count > 0, count == r[1]
         boxes.low[c], boxes.high[c] = np.where(count > 0, low, np.inf), np.where(count > 0, high, -np.inf)
-    deal = Deal.of(sizes, GROUP_ROWS)
-    return Donors(width, k, _dealt(celled, deal, "group"), means, tree, boxes, deal)
+    groups = 0
+    for view in views:
+        end = view.first_cell + view.tree.size
+        view.boxes, view.deal = boxes.part(view.first_cell, end), Deal.of(sizes[view.first_cell:end], GROUP_ROWS)
+        view.first_group, groups = groups, groups + view.deal.groups
+    dealt = Deal(np.concatenate([v.first_group + v.deal.first for v in views]), np.concatenate([v.deal.parts for v in views]))
+    own = views[0]
+    return Donors(width, k, _dealt(celled, dealt, "group"), means, own.tree, own.boxes, own.deal, own.cuts, views[1:])
+
+
+def _trees(sample: np.ndarray, cells: int, rows: int) -> list[Tree]:
+    """The tree over all columns, and those that spare rows with gaps more cells than the table has rows.
+
+    A row has to look into twice as many cells for each cut along a column that it lacks.
+    """
+    trees = [Tree(sample, cells)]
+    patterns, times = np.unique(np.isnan(sample), axis=0, return_counts=True)
+    use = patterns.any(1) & ~patterns.all(1)
+    patterns, times = patterns[use], times[use] * (rows / max(len(sample), 1))
+
+    def looks(tree: Tree) -> np.ndarray:
+        return times * 2.0 ** np.minimum(patterns @ tree.cuts, np.log2(tree.size))
+
+    cost = looks(trees[0])
+    tried = np.zeros(len(cost), bool)
+    for _ in range(VIEW_PATTERNS):
+        if len(trees) == MAX_VIEWS or tried.all() or cost.sum() - times.sum() < rows:
+            break
+        at = int(np.where(tried, -1.0, cost).argmax())
+        tried[at] = True
+        tree = Tree(sample, cells, ~patterns[at])
+        less = np.minimum(cost, looks(tree))
+        if (cost - less).sum() > rows:
+            trees.append(tree)
+            cost = less
+    return trees
 
 
 def nearest_means(values: DataFrame, donors: Donors) -> DataFrame:
@@ -321,16 +468,15 @@ def nearest_means(values: DataFrame, donors: Donors) -> DataFrame:
     gaps = gaps.withColumn("id", F.monotonically_increasing_id())
     schema = "x array<double>, id long"
     if donors.tree is not None:
-        gaps = _celled(gaps, donors.tree, width, schema)
+        gaps = _celled(gaps, donors.views, width, schema, best=True)
     else:
         gaps = gaps.withColumn("cell", F.lit(0))
     gaps = write_table(gaps, "gaps")
-    cells = donors.tree.size if donors.tree is not None else 1
-    sizes = np.zeros(cells, np.int64)
+    sizes = np.zeros(sum(v.tree.size for v in donors.views) or 1, np.int64)
     for r in gaps.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
     gaps = _dealt(gaps, Deal.of(sizes, GROUP_ROWS), "chunk")
-    if donors.deal is None or donors.deal.groups == 1:
+    if donors.deal is None or donors.groups == 1:
         unbound = [F.lit(None).cast("array<double>").alias(c) for c in ("far", "value")]
         near = _search(gaps.select("x", "id", "cell", "chunk", F.lit(0).cast("long").alias("group"), *unbound), donors)
     else:
@@ -410,26 +556,34 @@ def _visits(part: pa.RecordBatch, row: np.ndarray, group: np.ndarray, far: pa.Ar
             ["x", "id", "cell", "chunk", "group", "far", "value"])
 
 
+def _by_view(rows: np.ndarray, views: list[View]) -> Iterator[tuple[View, np.ndarray]]:
+    """Each view with the places of the rows that search it."""
+    best = _best_view(rows, views)
+    for at in np.unique(best):
+        yield views[at], np.flatnonzero(best == at)
+
+
 def _first_visits(gaps: DataFrame, donors: Donors) -> DataFrame:
-    """Rows with the group of the most promising cell for each of their gaps; all rows have one at least.
+    """Rows with the most promising group for each of their gaps; all rows have one at least.
 
     A row's own cell may hold no donor with the column it lacks; without any, no cell could be left out.
     """
-    width, boxes, deal = donors.width, donors.boxes, donors.deal
+    width, views, groups = donors.width, donors.views, donors.groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, REACH_ROWS):
                 part = batch.slice(at, REACH_ROWS)
-                rows = _finite(_matrix(part.column("x"), width))
-                row, cell = boxes.promising(boxes.least_distances(rows), rows)
-                lost = np.setdiff1d(np.arange(len(rows)), row)
-                row = np.concatenate([row, lost])
-                cell = np.concatenate([cell, part.column("cell").to_numpy()[lost]])
-                group = deal.group_of(cell, part.column("id").to_numpy()[row])
-                both = np.unique(row * deal.groups + group)
+                rows, cell, chance = _finite(_matrix(part.column("x"), width)), part.column("cell").to_numpy(), part.column("id").to_numpy()
+                both = []
+                for view, own in _by_view(rows, views):
+                    row, group = view.starts(rows[own], chance[own])
+                    lost = np.setdiff1d(np.arange(len(own)), row)
+                    spare = view.first_group + view.deal.group_of(cell[own[lost]] - view.first_cell, chance[own[lost]])
+                    both.append(own[np.concatenate([row, lost])] * groups + np.concatenate([group, spare]))
+                both = np.unique(np.concatenate(both))
                 none = pa.nulls(len(rows), pa.list_(pa.float64()))
-                yield from _visits(part, both // deal.groups, both % deal.groups, none, none)
+                yield from _visits(part, both // groups, both % groups, none, none)
 
     return gaps.select("x", "id", "cell", "chunk").mapInArrow(run, VISIT)
 
@@ -439,7 +593,7 @@ def _further(found: DataFrame, donors: Donors, most: int | None) -> DataFrame:
 
     Those are the ``most`` nearest groups, or all.
     """
-    width, k, boxes, deal = donors.width, donors.k, donors.boxes, donors.deal
+    width, k, views, groups = donors.width, donors.k, donors.views, donors.groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -450,23 +604,22 @@ def _further(found: DataFrame, donors: Donors, most: int | None) -> DataFrame:
                 far, value = np.full(raw.shape, -1.0), np.full(raw.shape, -np.inf)
                 far[gap_row, axis], value[gap_row, axis] = best_d[:, -1], best_v[:, -1]
                 rows = _finite(raw)
-                reach = boxes.least_distances(rows)
-                row, cell = np.nonzero(boxes.needed(reach, far, value))
-                near = reach[row, cell]
-                row, group, place = deal.all_of(row, cell)
-                order = np.lexsort((near[place], row))
-                both = (row * deal.groups + group)[order]
-                # Each group once, nearest first.
-                both = both[np.sort(np.unique(both, return_index=True)[1])]
-                visited = np.repeat(np.arange(len(rows)), np.diff(seen.offsets.to_numpy())) * deal.groups
+                found = []
+                for view, own in _by_view(rows, views):
+                    row, group, near = view.visits(rows[own], far[own], value[own])
+                    found.append((own[row], group, near))
+                row, group, near = (np.concatenate(f) for f in zip(*found))
+                # Nearest first.
+                both = (row * groups + group)[np.lexsort((near, row))]
+                visited = np.repeat(np.arange(len(rows)), np.diff(seen.offsets.to_numpy())) * groups
                 both = both[~np.isin(both, visited + seen.flatten().field(0).to_numpy())]
-                row = both // deal.groups
+                row = both // groups
                 if most is not None:
                     both = both[np.arange(len(row)) - np.searchsorted(row, row) < most]
-                    row = both // deal.groups
+                    row = both // groups
                 ends = pa.array(np.append(0, np.cumsum(np.bincount(gap_row, minlength=len(rows)))).astype(np.int32))
                 yield from _visits(
-                    part, row, both % deal.groups, pa.ListArray.from_arrays(ends, pa.array(best_d[:, -1].copy())),
+                    part, row, both % groups, pa.ListArray.from_arrays(ends, pa.array(best_d[:, -1].copy())),
                     pa.ListArray.from_arrays(ends, pa.array(best_v[:, -1].copy())))
 
     return found.select("x", "id", "cell", "chunk", "found").mapInArrow(run, VISIT)
@@ -485,6 +638,7 @@ def _search(visits: DataFrame, donors: Donors) -> DataFrame:
     left out. The donors of a group are sent as often as its visitors fill a task.
     """
     width, k = donors.width, donors.k
+    ways = [(v.first_group, v.columns) for v in donors.views] or [(0, np.ones(width, bool))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -500,27 +654,35 @@ def _search(visits: DataFrame, donors: Donors) -> DataFrame:
             far, value = (left[c].combine_chunks().flatten().to_numpy().copy() for c in ("far", "value"))
         best_d, best_v = np.full((len(far), k), np.inf), np.zeros((len(far), k))
         if right.num_rows:
-            _scan(_finite(raw), gap, first, far, value, best_d, best_v, right, width, k)
+            group = left["group"][0].as_py()
+            columns = next(c for g, c in reversed(ways) if g <= group)
+            _scan(_finite(raw), gap, first, far, value, best_d, best_v, right, width, k, columns)
         ends = pa.array((np.append(first, len(far)) * k).astype(np.int32))
         return pa.table({"id": left["id"], "group": left["group"], "d": pa.ListArray.from_arrays(ends, pa.array(best_d.ravel())),
                          "v": pa.ListArray.from_arrays(ends, pa.array(best_v.ravel()))})
 
     visits = write_table(visits, "visits")
-    tasks = visits.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("tasks"))
-    n = _partitions(visits, 2 * (tasks.agg(F.sum("tasks")).first()[0] or 0))
-    part = F.pmod(F.xxhash64("chunk"), F.col("tasks"))
-    come = visits.join(tasks, "group").withColumn("part", part).drop("tasks", "chunk")
-    sent = donors.table.join(tasks, "group").select(
-        F.col("group").alias("group_"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("part_"), "x", "n")
+    # Alike rows meet in one task, and no task gets more than others.
+    before = F.coalesce(F.sum("n").over(
+        Window.partitionBy("group").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = write_table(visits.groupBy("group", "chunk").agg(F.count(F.lit(1)).alias("n")).select(
+        "group", "chunk", F.floor(before / GROUP_ROWS).alias("part")), "visit-parts")
+    tasks = parts.select("group", "part").distinct()
+    n = _partitions(visits, 2 * tasks.count())
+    come = visits.join(parts, ["group", "chunk"]).drop("chunk")
+    sent = donors.table.join(tasks, "group").select(F.col("group").alias("group_"), F.col("part").alias("part_"), "x", "n")
     return come.repartition(n, "group", "part").groupBy("group", "part").cogroup(
         sent.repartition(n, "group_", "part_").groupBy("group_", "part_")).applyInArrow(
         run, "id long, group long, d array<double>, v array<double>")
 
 
-def _scan(x, gap, first, far, value, best_d, best_v, donors: pa.Table, width: int, k: int) -> None:
-    """Search all donors of a group for all rows, leaf by leaf, nearest leaves first."""
+def _scan(x, gap, first, far, value, best_d, best_v, donors: pa.Table, width: int, k: int, columns: np.ndarray) -> None:
+    """Search all donors of a group for all rows, leaf by leaf, nearest leaves first.
+
+    Leaves are cut along ``columns`` first.
+    """
     y, n = _matrix(donors["x"].combine_chunks(), width), donors["n"].to_numpy()
-    leaf = Tree(y, -(-len(y) // LEAF_ROWS)).cells(y)
+    leaf = Tree(y, -(-len(y) // LEAF_ROWS), columns).cells(y)
     order = np.argsort(leaf, kind="stable")
     y, n, leaf = y[order], n[order], leaf[order]
     starts = np.flatnonzero(np.diff(leaf, prepend=-1))

@@ -16,14 +16,14 @@ from scrubline.operators.currency import CurrencyFit
 from scrubline.operators.detect import TypeRoles
 from scrubline.operators.forest import ForestFit
 from scrubline.operators.impute import NumericFit
-from scrubline.operators.neighbours import Boxes, Deal, Donors, Tree
+from scrubline.operators.neighbours import Boxes, Deal, Donors, Tree, View
 from scrubline.operators.rules import RuleFit
 from scrubline.operators.typed import TypeFit
 from scrubline.plans.pipeline import CleaningPlan, LearnedFit
 
 VERSION = 1
 KINDS = {k.__name__: k for k in (
-    CleaningPlan, RuleFit, TypeFit, TypeRoles, CurrencyFit, LearnedFit, NumericFit, ForestFit, Donors, Tree, Boxes, Deal,
+    CleaningPlan, RuleFit, TypeFit, TypeRoles, CurrencyFit, LearnedFit, NumericFit, ForestFit, Donors, Tree, Boxes, Deal, View,
 )}
 #: What builds a kind from its fields.
 MAKERS = {**KINDS, "Tree": Tree.of}

@@ -106,6 +106,23 @@ def test_a_saved_plan_keeps_the_cells_of_many_donors(spark, messy, monkeypatch):
     assert sorted(map(str, again.apply(messy).collect())) == want
 
 
+def test_a_saved_plan_keeps_all_views_of_the_donors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 64)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 8)
+    df = spark.range(3000).selectExpr(
+        "case when id % 3 > 0 then pmod(id * 7919, 100003) / 7.0D end as height", "pmod(id * 104729, 997) / 13.0D as weight",
+        "case when id % 5 > 0 then pmod(id * 31, 89) / 2.0D end as width", "case when id % 11 > 0 then pmod(id * 17, 41) / 2.0D end as depth")
+    result = sl.clean(df, sl.CleaningConfig(fuzzy_columns=()))
+    assert result.plan.learned.fill.donors.further
+    want = sorted(map(str, result.plan.apply(df).collect()))
+    path = new_path(spark, "plan")
+    sl.save_plan(result.plan, spark, path)
+    result.release()
+    again = sl.load_plan(spark.newSession(), path)
+    assert [v.first_group for v in again.learned.fill.donors.views] == [v.first_group for v in result.plan.learned.fill.donors.views]
+    assert sorted(map(str, again.apply(df).collect())) == want
+
+
 def test_a_plan_of_another_version_is_refused(spark):
     path = new_path(spark, "plan")
     spark.createDataFrame([('{"version": 0, "plan": null}',)], "value string").write.text(f"{path}/plan")

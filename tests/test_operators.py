@@ -250,6 +250,38 @@ def test_rows_start_where_their_gap_is_known():
     assert not boxes.needed(reach, far, value).any()
 
 
+def test_rows_without_the_widest_column_visit_few_groups(spark, monkeypatch):
+    """Cuts follow the widest column: rows that lack it can not tell its cells apart and went to nearly all groups."""
+    for name, n in (("CELL_ROWS", 16), ("GROUP_ROWS", 64)):
+        monkeypatch.setattr(neighbours, name, n)
+    rng = np.random.default_rng(12)
+    rows = np.column_stack([rng.uniform(0, 1000, 5000), rng.uniform(0, 60, 5000), rng.uniform(0, 40, 5000), rng.integers(0, 3, 5000)])
+    rows[::4, 0] = np.nan
+    rows[::7, 3] = np.nan
+    rows[5::900, 1:] = np.nan
+    visits, search = [], neighbours._search
+    monkeypatch.setattr(neighbours, "_search", lambda v, donors: (visits.append(v.count()), search(v, donors))[1])
+    got = filled_by_knn(spark, rows)
+    assert sum(visits) < 8 * np.isnan(rows).any(1).sum()
+    some = np.r_[:5000:200, 5:5000:900]
+    want = rows[some].copy()
+    for at, i in enumerate(some):
+        both = ~np.isnan(rows[i]) & ~np.isnan(rows)
+        n = both.sum(1)
+        d = np.sqrt(4 / np.maximum(n, 1) * np.where(both, (rows[i] - rows) ** 2, 0).sum(1))
+        for j in np.flatnonzero(np.isnan(rows[i])):
+            near = np.flatnonzero(~np.isnan(rows[:, j]) & (n > 0))
+            want[at, j] = rows[near[np.lexsort((rows[near, j], d[near]))[:5]], j].mean()
+    want[:, 3] = np.where(np.isnan(rows[some, 3]), np.rint(want[:, 3]), want[:, 3])
+    assert got[some] == pytest.approx(want)
+
+
+def test_equal_values_are_not_cut():
+    """Their mean is off by rounding, which looked like a spread."""
+    rows = np.column_stack([np.full(15, 3.608), np.full(15, np.nan)])
+    assert neighbours.Tree(rows, 5).size == 1
+
+
 def test_infinite_values_are_no_neighbours(spark):
     rows = [(0, 1.0, None), (1, float("inf"), 9.0), (2, 1.5, 4.0), (3, 2.0, float("-inf")), (4, float("inf"), None), (5, None, 6.0)]
     df = spark.createDataFrame(rows, "k int, a double, b double")
