@@ -656,7 +656,7 @@ def _search(visits: DataFrame, donors: Donors) -> DataFrame:
         if right.num_rows:
             group = left["group"][0].as_py()
             columns = next(c for g, c in reversed(ways) if g <= group)
-            _scan(_finite(raw), gap, first, far, value, best_d, best_v, right, width, k, columns)
+            _scan_alike(_finite(raw), gap, first, far, value, best_d, best_v, right, width, k, columns)
         ends = pa.array((np.append(first, len(far)) * k).astype(np.int32))
         return pa.table({"id": left["id"], "group": left["group"], "d": pa.ListArray.from_arrays(ends, pa.array(best_d.ravel())),
                          "v": pa.ListArray.from_arrays(ends, pa.array(best_v.ravel()))})
@@ -676,6 +676,53 @@ def _search(visits: DataFrame, donors: Donors) -> DataFrame:
         run, "id long, group long, d array<double>, v array<double>")
 
 
+def _alike(x: np.ndarray, gap: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one, own): a row of each kind and the kind of each row.
+
+    Rows of a kind have the same gaps and are equal in the columns ``some``, so donors with no other
+    columns are as far from all of them.
+    """
+    seen = some & ~np.isnan(x)
+    key = np.ascontiguousarray(np.hstack([np.where(seen, x, 0.0), seen, gap]))
+    _, one, own = np.unique(key.view(f"V{key.itemsize * key.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    # Kinds in the order of their first rows, which lies alike rows side by side.
+    order = np.argsort(one)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return one[order], place[own]
+
+
+def _scan_alike(x, gap, first, far, value, best_d, best_v, donors: pa.Table, width: int, k: int, columns: np.ndarray) -> None:
+    """``_scan`` for one row of each kind; of the limits of alike rows the last counts for all.
+
+    Where donors lack the column that tells most rows apart, these go first, having few kinds to serve.
+    """
+    there = ~np.isnan(_matrix(donors["x"].combine_chunks(), width))
+    some = there.any(0)
+    one, own = _alike(x, gap, some)
+    lack = (~there).sum(0)
+    mixed = np.flatnonzero(some & (lack >= LEAF_ROWS))
+    if len(mixed) and len(one) > LEAF_ROWS:
+        axis = max(mixed, key=lambda c: len(np.unique(x[one, c])))
+        if 2 * len(_alike(x[one], gap[one], some & (np.arange(width) != axis))[0]) <= len(one):
+            for part in (~there[:, axis], there[:, axis]):
+                _scan_alike(x, gap, first, far, value, best_d, best_v, donors.filter(pa.array(part)), width, k, columns)
+            return
+    slots = gap.sum(1)
+    starts = np.cumsum(slots[one]) - slots[one]
+    slot = np.arange(len(far)) + np.repeat(starts[own] - first, slots)
+    order = np.lexsort((value, far, slot))
+    last = order[np.append(np.diff(slot[order]) > 0, True)]
+    one_d, one_v = np.full((len(last), k), np.inf), np.zeros((len(last), k))
+    _scan(x[one], gap[one], starts, far[last], value[last], one_d, one_v, donors, width, k, columns)
+    d, v = one_d[slot], one_v[slot]
+    found = np.isfinite(d)
+    _keep_best(best_d, best_v, np.repeat(np.arange(len(far)), found.sum(1)), d[found], v[found], k)
+    last_d, last_v = best_d[:, -1], best_v[:, -1]
+    nearer = (last_d < far) | ((last_d == far) & (last_v < value))
+    far[nearer], value[nearer] = last_d[nearer], last_v[nearer]
+
+
 def _scan(x, gap, first, far, value, best_d, best_v, donors: pa.Table, width: int, k: int, columns: np.ndarray) -> None:
     """Search all donors of a group for all rows, leaf by leaf, nearest leaves first.
 

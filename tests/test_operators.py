@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +283,47 @@ def test_equal_values_are_not_cut():
     assert neighbours.Tree(rows, 5).size == 1
 
 
+def test_alike_rows_are_searched_once(monkeypatch):
+    """Donors without the column that tells rows apart were compared with every row: as many as the table has."""
+    rng = np.random.default_rng(21)
+    y = np.column_stack([rng.integers(0, 5, 1500), rng.integers(0, 90, 1500), rng.uniform(0, 1000, 1500), rng.uniform(0, 9, 1500)])
+    y[:1200, 2] = np.nan
+    y[rng.random((1500, 4)) < 0.1] = np.nan
+    x = np.column_stack([rng.integers(0, 5, 3000), rng.integers(0, 3, 3000), rng.uniform(0, 1000, 3000), np.full(3000, np.nan)])
+    x[rng.random((3000, 4)) < 0.2] = np.nan
+    x[:, 3] = np.nan
+    pairs, candidates = [0], neighbours._candidates
+
+    def counted(x, limits, y, values=None):
+        pairs[0] += len(x) * len(y)
+        return candidates(x, limits, y, values)
+
+    monkeypatch.setattr(neighbours, "_candidates", counted)
+    gap = np.isnan(x)
+    first = np.cumsum(gap.sum(1)) - gap.sum(1)
+
+    def found(search, donors, far, value):
+        best_d, best_v = np.full((len(far), 4), np.inf), np.zeros((len(far), 4))
+        pairs[0] = 0
+        listed = pa.array([[None if np.isnan(v) else v for v in row] for row in donors], pa.list_(pa.float64()))
+        search(x, gap, first, far.copy(), value.copy(), best_d, best_v,
+               pa.table({"x": listed, "n": 1 + np.arange(len(donors)) % 3}), 4, 4, np.ones(4, bool))
+        before = (best_d < far[:, None]) | ((best_d == far[:, None]) & (best_v < value[:, None]))
+        return np.where(before, best_d, np.inf), np.where(before, best_v, 0.0), pairs[0]
+
+    open_ = np.full(int(gap.sum()), np.inf), np.zeros(int(gap.sum()))
+    limits = rng.uniform(0, 400, len(open_[0])).round(), rng.uniform(0, 9, len(open_[0]))
+    for far, value in (open_, limits):
+        want_d, want_v, _ = found(neighbours._scan, y, far, value)
+        got_d, got_v, _ = found(neighbours._scan_alike, y, far, value)
+        assert np.array_equal(got_d, want_d) and np.array_equal(got_v, want_v)
+        assert np.isfinite(want_d).any()
+    assert 2 * found(neighbours._scan_alike, y, *open_)[2] < found(neighbours._scan, y, *open_)[2]
+    # No donor has the column: a row of each kind is searched.
+    want, got = (found(search, y[:1000], *open_) for search in (neighbours._scan, neighbours._scan_alike))
+    assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1]) and 20 * got[2] < want[2]
+
+
 def test_infinite_values_are_no_neighbours(spark):
     rows = [(0, 1.0, None), (1, float("inf"), 9.0), (2, 1.5, 4.0), (3, 2.0, float("-inf")), (4, float("inf"), None), (5, None, 6.0)]
     df = spark.createDataFrame(rows, "k int, a double, b double")
